@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules
-from .common import documents
+from . import chat_format, licenses, mixing, quality_rules
+from .common import documents, materialize
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +21,34 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_source_mix": op2_source_mix}
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    hard = spark.range(2).select(
+        F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
+    )
+    written = materialize(chat_format.format_conversations(turns.unionByName(hard)), "chat-formatted")
+    read = written.withColumn("formatted", chat_format.formatted(F.col("segments")))
+    roles, texts = chat_format.parse(F.col("formatted"))
+    read = read.withColumn("roles", roles).withColumn("texts", texts)
+    whole = F.array_join(F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n"))), "")
+    loss = F.array_join(chat_format.masked_texts(F.col("segments")), "")
+    return read.select(
+        "conv_id", F.size("roles").cast("bigint").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_source_mix": op2_source_mix,
+    "op6_license_scan": op6_license_scan,
+    "op10_chat_format": op10_chat_format,
+}
 SQL: dict[str, str] = {}
