@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, licenses, mixing, quality_rules
-from .common import documents, materialize
+from . import chat_format, licenses, mixing, quality_rules, token_counts, token_output
+from .common import documents, materialize, shared_path
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,10 +27,20 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_path(spark, "token-output")
+    token_output.write(documents(spark, sf_dir), out, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return token_output.read_digests(spark, out)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -48,7 +64,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
+    "op3_token_output": op3_token_output,
     "op6_license_scan": op6_license_scan,
+    "op7_token_counts": op7_token_counts,
     "op10_chat_format": op10_chat_format,
 }
 SQL: dict[str, str] = {}
