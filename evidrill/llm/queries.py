@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, licenses, mixing, packing, quality_rules, token_counts, token_output
+from . import chat_format, licenses, mixing, neighbours, packing, quality_rules, token_counts, token_output
 from .common import documents, materialize, shared_path
 
 
@@ -33,6 +33,10 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digests(spark, out)
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
     "op3_token_output": op3_token_output,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
