@@ -21,7 +21,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, row_key
+from .common import materialize, row_key
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -166,27 +166,38 @@ def _spaces(text):
     return F.length(text) - F.length(F.replace(text, F.lit(" ")))
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Detections: row_key, doc_id, rule, label, priority, confidence, base, first and last word."""
-    spark = docs.sparkSession
+# Every match of a rule holds one of these words.
+GATE = (
+    "license licence licensed licenced unlicense unlicence gpl agpl lgpl gfdl spdx cc cc0 creative attribution domain domains reserved proprietary hereby "
+    "permission redistribution redistribute merchantability advertising waived unencumbered endorse clause notice compliance applicable liable identifier"
+).split()
+
+
+def word_forms(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document: row_key, doc_id, n_words and, if any rule can match, its words as one string and the
+    keywords among them. Lower-casing more than A-Z makes no word of a rule from another one."""
     keywords = sorted({r.keyword for r in rules()})
     d = docs.select(
-        row_key(F.col(id_col), F.col(text)).alias("row_key"), F.col(id_col).alias("doc_id"), ascii_lower(F.col(text)).alias("t")
+        row_key(F.col(id_col), F.col(text)).alias("row_key"), F.col(id_col).alias("doc_id"),
+        F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD), "").alias("words"),
+    )
+    gate = F.arrays_overlap("words", F.array(*map(F.lit, GATE)))
+    return d.select(
+        "row_key", "doc_id", F.size("words").cast("bigint").alias("n_words"),
+        F.when(gate, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("norm"),
+        F.when(gate, F.array_intersect(F.array(*map(F.lit, keywords)), "words")).alias("found"),
     )
-    # cheap first: any rule's match holds one of these strings
-    gate = F.col("t").rlike(r"cc[^0-9a-z]+by")
-    for x in ("licen", "gpl", "spdx", "cc0", "creative", "attribution", "clause", "public", "reserved", "proprietary", "permi", "redistribut",
-              "warrant", "advertising", "waived", "unencumbered", "endorse"):
-        gate = gate | F.col("t").contains(x)
-    d = d.where(gate).withColumn("words", F.array_remove(F.split("t", NOT_WORD), ""))
-    d = d.withColumn("found", F.array_intersect(F.array(*map(F.lit, keywords)), "words")).where(F.size("found") > 0)
-    d = d.withColumn("norm", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
-    hit = d.select("row_key", "doc_id", "norm", F.explode("found").alias("keyword")).join(F.broadcast(rules_table(spark)), "keyword")
+
+
+def detect(forms: DataFrame) -> DataFrame:
+    """Detections: row_key, rule, label, priority, confidence, base, first and last word."""
+    d = forms.where(F.col("norm").isNotNull())
+    hit = d.select("row_key", "norm", F.explode("found").alias("keyword")).join(F.broadcast(rules_table(forms.sparkSession)), "keyword")
     hit = hit.withColumn("parts", F.split(F.regexp_replace("norm", F.col("pattern"), F.lit("\x01$0\x02")), "\x01")).where(F.size("parts") > 1)
     # each part but the first starts with a match; what stands before it tells at which word
-    part = hit.select("row_key", "doc_id", "rule", "label", "priority", "confidence", "base", F.posexplode("parts").alias("at", "part"))
+    part = hit.select("row_key", "rule", "label", "priority", "confidence", "base", F.posexplode("parts").alias("at", "part"))
     part = part.select(
-        "row_key", "doc_id", "rule", "label", "priority", "confidence", "base", "at",
+        "row_key", "rule", "label", "priority", "confidence", "base", "at",
         _spaces(F.replace("part", F.lit("\x02"))).alias("words"),
         _spaces(F.substring_index("part", "\x02", 1)).alias("matched"),
     )
@@ -194,7 +205,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     before = Window.partitionBy("row_key", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("first", F.sum("words").over(before)).where("at > 0")
     return part.select(
-        "row_key", "doc_id", "rule", "label", "priority", "confidence", "base",
+        "row_key", "rule", "label", "priority", "confidence", "base",
         F.col("first").cast("bigint").alias("first"), (F.col("first") + F.col("matched") - 1).cast("bigint").alias("last"),
     )
 
@@ -213,7 +224,8 @@ def resolve(detections: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    kept = resolve(materialize(detect(docs, id_col, text), "license-detections"))
+    forms = materialize(word_forms(docs, id_col, text), "license-words")
+    kept = resolve(materialize(detect(forms), "license-detections"))
     per = kept.groupBy("row_key").agg(
         F.count_if("base").alias("n_base"),
         F.min(F.when(F.col("base"), F.col("first"))).alias("first_word"),
@@ -222,9 +234,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("confidence").alias("score"),
     )
-    n = F.size(F.array_remove(F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD), ""))
-    all_docs = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text)).alias("row_key"), n.cast("bigint").alias("n_words"))
-    return all_docs.join(per, "row_key", "left").select(
+    return forms.select("row_key", "doc_id", "n_words").join(per, "row_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
