@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, licenses, mixing, neighbours, packing, quality_rules, token_counts, token_output, toxicity
+from . import chat_format, jaccard_join, licenses, mixing, neighbours, packing, quality_rules, token_counts, token_output, toxicity
 from .common import documents, materialize, shared_path
 
 
@@ -49,6 +49,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir), n=3, similarity=jaccard_join.Similarity(90, 100))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
@@ -90,6 +94,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_license_scan": op6_license_scan,
     "op7_token_counts": op7_token_counts,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
