@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
@@ -60,10 +60,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], factor: float, max_epo
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text",
         weights: tuple[float, ...] = (5, 2, 1), factor: float = 1.5, max_epochs: int = 2, seed: str = "mix",
         buckets: int = 4096, quality: Column | None = None) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, epochs, selected, taken."""
+    """Per document: row_key, doc_id, source, size, source_size, target, epochs, selected, taken."""
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source).alias("source"),
+        row_key(F.col(id_col), F.col(source), F.col(text)).alias("row_key"), F.col(id_col).alias("doc_id"), F.col(source).alias("source"),
         F.regexp_count(t, F.lit(WORD)).cast("bigint").alias("size"),
         uniform(F.col(id_col), F.col(source), seed=seed).alias("u"),
         (quality_weight(t) if quality is None else quality).alias("q"),
@@ -101,6 +101,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
         "selected", F.coalesce(F.col("bucket") < F.col("cut"), F.lit(True)) & (F.col("budget") > 0)
     )
     return inside.unionByName(outside).select(
-        "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "epochs", "selected",
+        "row_key", "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "epochs", "selected",
         ((F.col("epochs") + F.col("selected").cast("bigint")) * F.col("size")).cast("bigint").alias("taken"),
     )
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The documents, all columns, each as often as the mix takes it."""
+    found = mix(docs, id_col, source, text, **options)
+    times = found.groupBy("row_key").agg(F.sum(F.col("epochs") + F.col("selected").cast("bigint")).cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    times = materialize(times, "mix-times")
+    repeated = times.where("_rows > 1").limit(1).count() > 0
+    chosen = times.where("_times > 0").select(F.col("row_key").alias("_key"), "_times")
+    if chosen.count() <= BROADCAST_ROWS * 10:  # 16 bytes each
+        chosen = F.broadcast(chosen)
+    rows = docs.withColumn("_key", row_key(F.col(id_col), F.col(source), F.col(text)))
+    if repeated:  # their times were added up
+        rows = rows.dropDuplicates(["_key"])
+    return rows.join(chosen, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

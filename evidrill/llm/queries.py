@@ -57,12 +57,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
-    return toxicity.fit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(F.col("doc_id")))
+def usable_label() -> Column:
+    """Labels to learn from: those of rows that aren't held out."""
+    return ~held_out(F.col("doc_id"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.score(documents(spark, sf_dir), toxicity_model(spark, sf_dir))
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, usable_label()))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
