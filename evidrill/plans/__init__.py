@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ledger, scores
+from . import ledger, reviews, scores
 
-MODULES = (scores, ledger)
+MODULES = (scores, ledger, reviews)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

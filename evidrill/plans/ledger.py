@@ -160,8 +160,8 @@ SELECT *, greatest(observed, "unique", relevant, direct_relevance, details, dire
     "recommended_terms": f"""WITH terms AS (SELECT p_brand AS snapshot_id, p_partkey AS seed_rank, p_name || ' tool ' || p_type AS query_term FROM part),
 tok AS (SELECT *, {_TOKENS} AS t FROM terms),
 cand AS (SELECT snapshot_id, seed_rank, list_concat(list_concat(CASE WHEN len(t) BETWEEN 2 AND 4 THEN [array_to_string(t, ' ')] ELSE [] END, {_grams(3)}), {_grams(2)}) AS c FROM tok),
-each_term AS (SELECT snapshot_id, seed_rank, unnest(c) AS term, generate_subscripts(c, 1) AS at FROM cand),
-once AS (SELECT snapshot_id, term, min(seed_rank * 1000 + at) AS fst FROM each_term WHERE (snapshot_id, term) NOT IN (SELECT (snapshot_id, lower(query_term)) FROM terms) GROUP BY ALL)
+each_term AS (SELECT snapshot_id, seed_rank, unnest(c) AS term, generate_subscripts(c, 1) AS pos FROM cand),
+once AS (SELECT snapshot_id, term, min(seed_rank * 1000 + pos) AS fst FROM each_term WHERE (snapshot_id, term) NOT IN (SELECT (snapshot_id, lower(query_term)) FROM terms) GROUP BY ALL)
 SELECT snapshot_id, term, CAST(row_number() OVER (PARTITION BY snapshot_id ORDER BY fst) AS INT) AS term_rank FROM once QUALIFY term_rank <= 5""",
     "detail_backfill_targets": f"""WITH signals AS ({views.as_sql(views.SIGNALS)}),
 needs AS (SELECT snapshot_id, count(*) % 20 AS total FROM signals GROUP BY ALL),
