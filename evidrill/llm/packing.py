@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             of, piece, length, crc = [], [], [], []
-            for i, x in enumerate(encode_texts(tokenizer, (t.as_py() for t in batch.column(1)))):
+            for i, x in enumerate(encode_texts(tokenizer, batch.column(1))):
                 ids = x + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]

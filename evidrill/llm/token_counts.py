@@ -26,21 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .tokens import PieceMemory, kind_of
+from .tokens import PieceMemory, byte_characters, kind_of
 
 # Fixed value: how byte-level BPE with 50,257 ids cuts texts.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
 
 
-def byte_characters() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes
-    stand for themselves, the others for the characters from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-
 class RankMerger:
     def __init__(self, config: dict):
         vocab = config["model"]["vocab"]
@@ -125,7 +117,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
         memory = counter(path)
         for batch in batches:
             texts = batch.column(1)
-            n = list(memory.texts((x.as_py() for x in texts), sum))
+            n = memory.sums(texts)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 

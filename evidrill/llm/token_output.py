@@ -102,7 +102,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
 
         for batch in batches:
-            for doc_id, x in zip(batch.column(0).to_pylist(), encode_texts(tokenizer, (t.as_py() for t in batch.column(1))), strict=True):
+            for doc_id, x in zip(batch.column(0).to_pylist(), encode_texts(tokenizer, batch.column(1)), strict=True):
                 ids.append(x + end)
                 ends.append((ends[-1] if ends else 0) + len(x) // 4 + 1)
                 held.append(doc_id)
