@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ledger, reviews, scores
+from . import decide, ledger, reviews, scores, texts
 
-MODULES = (scores, ledger, reviews)
+MODULES = (scores, ledger, reviews, texts, decide)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
