@@ -109,13 +109,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
 def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it."""
     found = mix(docs, id_col, source, text, **options)
-    times = found.groupBy("row_key").agg(F.sum(F.col("epochs") + F.col("selected").cast("bigint")).cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    times = found.groupBy("row_key").agg(F.sum(F.col("epochs") + F.col("selected").cast("bigint")).cast("int").alias("__times"), F.count(F.lit(1)).alias("_rows"))
     times = materialize(times, "mix-times")
     repeated = times.where("_rows > 1").limit(1).count() > 0
-    chosen = times.where("_times > 0").select(F.col("row_key").alias("_key"), "_times")
+    chosen = times.where("__times > 0").select(F.col("row_key").alias("__key"), "__times")
     if chosen.count() <= BROADCAST_ROWS * 10:  # 16 bytes each
         chosen = F.broadcast(chosen)
-    rows = docs.withColumn("_key", row_key(F.col(id_col), F.col(source), F.col(text)))
+    rows = docs.withColumn("__key", row_key(F.col(id_col), F.col(source), F.col(text)))
     if repeated:  # their times were added up
-        rows = rows.dropDuplicates(["_key"])
-    return rows.join(chosen, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+        rows = rows.dropDuplicates(["__key"])
+    return rows.join(chosen, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

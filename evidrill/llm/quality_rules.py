@@ -165,25 +165,27 @@ def clean(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: s
     marked = verdict.where(F.col("kept") & (F.col("n_removed_words") > 0)).select("row_key").distinct()
     lines = F.filter(F.split(F.col(text), "\n"), _has_word)
     hit = (
-        docs.withColumn("row_key", _key(id_col, host, text)).join(marked, "row_key", "left_semi")
-        .select("row_key", F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(_normal(x))))).alias("h"))
+        docs.select(_key(id_col, host, text).alias("row_key"), F.col(host).alias("host"), F.col(text)).join(marked, "row_key", "left_semi")
+        .select("row_key", "host", F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(_normal(x))))).alias("h"))
         .distinct()
     )
     hit = (
         hit.join(boilerplate, [hit.host.eqNullSafe(boilerplate.f_host), hit.h == boilerplate.f_h], "left_semi")
         .groupBy("row_key").agg(F.collect_set("h").alias("_drop"))
     )
-    kept = verdict.where("kept").select("row_key").distinct().join(hit, "row_key", "left")
+    kept = verdict.where("kept").select("row_key").distinct().join(hit, "row_key", "left").select(
+        F.col("row_key").alias("__kept_key"), F.col("_drop").alias("__drop")
+    )
     rest = F.array_join(
         F.filter(
             F.split(F.col(text), "\n"),
-            lambda x: ~(_has_word(x) & F.array_contains("_drop", F.xxhash64(_normal(x)))),
+            lambda x: ~(_has_word(x) & F.array_contains("__drop", F.xxhash64(_normal(x)))),
         ),
         "\n",
     )
-    out = docs.withColumn("_row_key", _key(id_col, host, text))
-    out = out.join(kept, out["_row_key"] == kept["row_key"], "inner")
-    out = out.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(rest))
+    out = docs.withColumn("__row_key", _key(id_col, host, text))
+    out = out.join(kept, out["__row_key"] == kept["__kept_key"], "inner")
+    out = out.withColumn(text, F.when(F.col("__drop").isNull(), F.col(text)).otherwise(rest))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

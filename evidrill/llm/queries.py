@@ -100,4 +100,40 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_chat_format": op10_chat_format,
 }
-SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+_LINE = r"lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')))"
+_WEIGHT = "(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END)"
+_ESCAPED = "replace(replace(replace(replace(text, '\\', '\\e'), '[', '\\b'), ']', '\\d'), '<', '\\l')"
+
+SQL: dict[str, str] = {
+    "op1_quality_rules": rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, source, t, {_WORDS} AS w FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep CROSS JOIN range(0, 8) r(k) GROUP BY ALL),
+l AS (SELECT doc_id, source, l FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY ALL),
+line AS (SELECT doc_id, source, {_LINE} AS h, sum(len({_WORDS.replace("(t,", "(l,")})) AS n FROM l GROUP BY ALL),
+f1 AS (SELECT source, h FROM line GROUP BY ALL HAVING count(*) > 10),
+s1 AS (SELECT doc_id, sum(n) AS n FROM line SEMI JOIN f1 USING (source, h) GROUP BY ALL),
+f2 AS (SELECT line.source, h FROM line JOIN w USING (doc_id) LEFT JOIN s1 USING (doc_id) WHERE coalesce(s1.n, 0) <= 0.5 * len(w) GROUP BY ALL HAVING count(*) > 10),
+s2 AS (SELECT doc_id, sum(n) AS n FROM line SEMI JOIN f2 USING (source, h) GROUP BY ALL),
+m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+  coalesce(cov.n, 0) AS n_repeat_words, CAST(coalesce(s2.n, 0) AS BIGINT) AS n_removed_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN s2 USING (doc_id)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_words - n_removed_words < 0.3 * n_words AS depleted FROM m)
+SELECT *, NOT base_failed AND NOT depleted AS kept FROM v""",
+    "op2_source_mix": rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+k AS (SELECT doc_id, source, len({_WORDS}) AS size, -ln((('0x' || substr(md5(concat_ws('|', 'mix', doc_id, coalesce(source, ''))), 1, 12))::BIGINT + 0.5e0) / 281474976710656e0)
+  / (0.5e0 + CASE WHEN length(t) > 0 THEN (length(t) - length(regexp_replace(t, '[\p{{L}}\x20]+', '', 'g'))) / length(t)::DOUBLE ELSE 0e0 END) AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY ALL),
+c AS (SELECT *, {_WEIGHT} AS weight, source_size * 2e0 AS cap, source_size * 2e0 / {_WEIGHT} AS ratio FROM s),
+e AS (SELECT *, (sum(source_size) OVER () * 1.5e0 - coalesce(sum(cap) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, ratio) FROM e WHERE level <= ratio) * weight, cap)) AS target FROM e),
+p AS (SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0 END AS epochs FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN before + size / 2e0 < target - epochs * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM b""",
+    "op10_chat_format": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(0, 2) r(i)),
+f AS (SELECT *, length(CASE WHEN conv_id = -7 THEN {_ESCAPED} ELSE text END) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7 END AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars FROM f GROUP BY ALL""",
+}
