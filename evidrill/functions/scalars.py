@@ -104,7 +104,8 @@ def log_score(value: Column, ceiling: float) -> Column:
 
 def freshness(published: Column, as_of: Column) -> Column:
     days = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(published)) / F.lit(86_400_000_000.0))
-    return F.when(days <= 1, 100.0).when(days <= 7, 80.0).when(days <= 30, 55.0).when(days <= 90, 30.0).when(days.isNotNull(), 10.0)
+    score = F.when(days <= 1, 100.0).when(days <= 7, 80.0).when(days <= 30, 55.0).when(days <= 90, 30.0).otherwise(10.0)
+    return F.when(published.isNotNull() & as_of.isNotNull(), score)  # greatest() would pass over a null
 
 
 def engagement_weight(platform_name: Column, kind: str) -> Column:
@@ -129,7 +130,7 @@ def dimensions(s: dict[str, Column], as_of: Column) -> dict[str, Column]:
         (s["current_window_count"] - s["previous_window_count"]) / F.greatest(s["previous_window_count"], F.lit(1.0)) * 100,
     )
     return {
-        "content_volume": log_score(s["observed_content_count"], 1000) + F.when(s["observed_content_count"].isNull(), F.lit(None).cast("double")).otherwise(0.0),
+        "content_volume": F.when(s["observed_content_count"].isNotNull(), log_score(s["observed_content_count"], 1000)),
         "engagement": engagement,
         "velocity": F.when(rate.isNotNull(), F.greatest(zero, F.least(F.lit(100.0), 50 + rate / 2))),
         "search_demand": F.when(s["search_result_count"].isNotNull(), log_score(s["search_result_count"], 10_000)).when(

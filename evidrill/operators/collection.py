@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.constants import CONTRACTS, QUERY_LAYERS, RELEVANCE_RANK
 
-_RELEVANT = F.col("relevance") >= RELEVANCE_RANK["adjacent"]
-_DIRECT = F.col("relevance") == RELEVANCE_RANK["direct"]
+
+def _relevant() -> Column:
+    return F.col("relevance") >= RELEVANCE_RANK["adjacent"]
+
+
+def _direct() -> Column:
+    return F.col("relevance") == RELEVANCE_RANK["direct"]
 
 
 def contract(mode: Column, name: str, bound: int | None = None) -> Column:
@@ -40,10 +45,10 @@ def layer_stats(runs: DataFrame, cards: DataFrame) -> DataFrame:
     observed = cards.groupBy("snapshot_id", "query_layer").agg(F.count(F.lit(1)).alias("observed_result_count"))
     found = unique_signals(cards).withColumn("query_layer", F.explode("layers")).groupBy("snapshot_id", "query_layer").agg(
         F.count(F.lit(1)).alias("unique_signal_count"),
-        F.count_if(_RELEVANT).alias("relevant_signal_count"),
-        F.count_if(_DIRECT).alias("direct_signal_count"),
+        F.count_if(_relevant()).alias("relevant_signal_count"),
+        F.count_if(_direct()).alias("direct_signal_count"),
         F.count_if("detail").alias("detail_open_count"),
-        F.count_if(_DIRECT & (F.col("detail") | F.col("direct_source"))).alias("direct_relevance_count"),
+        F.count_if(_direct() & (F.col("detail") | F.col("direct_source"))).alias("direct_relevance_count"),
     )
     key = ["snapshot_id", "query_layer"]
     return layers.join(queries, key, "left").join(observed, key, "left").join(found, key, "left").na.fill(0)
@@ -56,7 +61,7 @@ def ledger_counts(runs: DataFrame, cards: DataFrame) -> DataFrame:
     )
     u = unique_signals(cards).groupBy("snapshot_id").agg(
         F.sum("cards").alias("observed_result_count"), F.count(F.lit(1)).alias("unique_sample_count"), F.count_if("detail").alias("detail_open_count"),
-        F.count_if("counter").alias("counter_signal_count"), F.count_if(_RELEVANT).alias("relevant_unique_count"), F.count_if(F.col("relevance") > 0).alias("reviewed_count"),
+        F.count_if("counter").alias("counter_signal_count"), F.count_if(_relevant()).alias("relevant_unique_count"), F.count_if(F.col("relevance") > 0).alias("reviewed_count"),
     )
     c = r.join(u, "snapshot_id", "left").na.fill(0)
     return c.withColumn("duplicate_count", F.col("observed_result_count") - F.col("unique_sample_count"))
@@ -118,7 +123,7 @@ def search_budget(runs: DataFrame, cards: DataFrame) -> DataFrame:
 def query_yields(runs: DataFrame, cards: DataFrame) -> DataFrame:
     """Per run: observed, relevant, their rate, low_yield and the outcome."""
     keys = cards.groupBy("query_id", "dedupe_key").agg(F.max(S.lookup(F.col("semantic_relevance"), RELEVANCE_RANK, 0)).alias("relevance"))
-    per = keys.groupBy("query_id").agg(F.count(F.lit(1)).alias("observed"), F.count_if(_RELEVANT).alias("relevant"))
+    per = keys.groupBy("query_id").agg(F.count(F.lit(1)).alias("observed"), F.count_if(_relevant()).alias("relevant"))
     r = runs.join(per, "query_id", "left").na.fill(0, ["observed", "relevant"])
     low = (F.col("observed") == 0) | ((F.col("observed") >= 8) & (F.col("relevant") <= F.greatest(F.lit(1), F.floor(F.col("observed") * 0.1))))
     partial = F.col("stop_reason") == "timeout"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import decisions, review, scoring
 from ..sources import views
 from ..streaming import chunks
-from .scores import _AS_OF, TOPICS_SQL
+from .scores import TOPICS_SQL, as_of
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = days.withColumn("contract_status", F.when(F.dayofmonth(F.col("snapshot_id").cast("date")) % 2 == 0, "met").otherwise("partial"))
     plan = s.select("*", scoring.topic_key().alias("cluster")).withColumn("fit", F.when(F.col("semantic_relevance") == "direct", "core").otherwise("supporting")).withColumn("transition_match", F.col("semantic_relevance") != "weak")
     audits = review.cluster_audit(plan).select("snapshot_id", F.col("cluster").alias("topic"), "audit_status")
-    return scoring.topic_index(s, _AS_OF, status, audits).withColumn("mode", F.lit("standard"))
+    return scoring.topic_index(s, as_of(), status, audits).withColumn("mode", F.lit("standard"))
 
 
 def capped_topics(spark: SparkSession, sf_dir: str) -> DataFrame:

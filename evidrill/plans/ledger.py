@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import CONTRACTS
 from ..operators import collection, scoring
 from ..sources import views
-from .scores import _AS_OF, _FIVE, DIMENSIONS_SQL
+from .scores import _FIVE, DIMENSIONS_SQL, as_of
 
 
 def _ledger(operator):
@@ -68,7 +68,7 @@ def detail_backfill_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def data_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collection.data_gaps(scoring.signal_index(views.signals(spark, sf_dir), _AS_OF))
+    return collection.data_gaps(scoring.signal_index(views.signals(spark, sf_dir), as_of()))
 
 
 QUERIES = {

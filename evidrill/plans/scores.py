@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import ENGAGEMENT_WEIGHTS, SOURCE_QUALITY
 from ..operators import scoring
 from ..sources import views
 
-_AS_OF = F.lit(views.AS_OF).cast("timestamp")
+
+def as_of() -> Column:
+    return F.lit(views.AS_OF).cast("timestamp")
 
 
 def _case(key: str, values: dict, default) -> str:
@@ -55,7 +57,7 @@ _STATUS = "CASE WHEN data_coverage >= 75 THEN 'complete' WHEN data_coverage >= 4
 
 
 def signal_evidence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = scoring.signal_index(views.signals(spark, sf_dir), _AS_OF)
+    d = scoring.signal_index(views.signals(spark, sf_dir), as_of())
     return d.select(
         "snapshot_id", "signal_id", "observed_heat", "evidence_confidence", "data_coverage", "score_status", "source_quality",
         F.array_join("missing_fields", ",").alias("missing_fields"),
@@ -64,7 +66,7 @@ def signal_evidence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_evidence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: topics of every snapshot, ranked by evidence."""
-    t = scoring.ranked(scoring.topic_index(views.signals(spark, sf_dir), _AS_OF))
+    t = scoring.ranked(scoring.topic_index(views.signals(spark, sf_dir), as_of()))
     return t.select(
         "snapshot_id", "topic", "signal_count", "observed_heat", "raw_confidence", "confidence_cap", "evidence_confidence", "data_coverage", "score_status",
         "unique_author_count", "direct_source_count", "search_card_count", "counter_signal_count", "subject_bridge_signal_count",

@@ -18,7 +18,7 @@ OUTPUT = "query_id bigint, chunks bigint, observed bigint, timeouts bigint, unkn
 
 
 def fold_chunks(chunks: DataFrame, target: int) -> DataFrame:
-    """The state of each query after its chunks in order; chunks after the end change nothing."""
+    """The state of each query after its chunks, by seq (ties by what they hold); chunks after the end change nothing."""
     step = F.struct("seq", "read_status", "continuation_status", "keys")
     start = F.struct(
         F.lit(0).cast("bigint").alias("chunks"), F.array().cast("array<string>").alias("keys"), F.lit(0).cast("bigint").alias("timeouts"),
@@ -55,7 +55,7 @@ def stream_chunks(chunks: DataFrame, target: int) -> DataFrame:
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, keys, timeouts, unknowns, empties, reason = state.get if state.exists else (0, [], 0, 0, 0, "")
         keys, known = list(keys), set(keys)
-        for c in pd.concat(list(batches)).sort_values("seq").itertuples():
+        for c in sorted(pd.concat(list(batches)).itertuples(), key=lambda c: (c.seq, c.read_status, c.continuation_status, tuple(c.keys))):
             if reason:
                 break
             n += 1
