@@ -30,13 +30,15 @@ def first(*cols: Column) -> Column:
     return F.coalesce(*[F.when(c.cast("string") != "", c) for c in cols])
 
 
+def _times(suffix: Column) -> Column:
+    """What a suffix multiplies by; the suffix is looked up, so that it is worked out once."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), suffix)
+
+
 def number(c: Column) -> Column:
     """A count or measure: not negative, finite; thousands separators and k, m, b, 万, 亿 are understood."""
-    t = F.lower(text(c)).alias("t")
-    t = F.replace(t, F.lit(","), F.lit(""))
-    value = F.regexp_extract(t, _NUMBER, 1)
-    times = lookup(F.regexp_extract(t, _NUMBER, 2), {k: v for k, v in SUFFIXES.items() if k != "w"})
-    return F.when(value != "", value.cast("double") * times)
+    t = F.replace(F.lower(text(c)), F.lit(","), F.lit(""))
+    return F.when(c.isNotNull(), F.regexp_extract(t, _NUMBER, 1).try_cast("double") * _times(F.regexp_extract(t, _NUMBER, 2)))
 
 
 def measure(c: Column) -> Column:
@@ -65,8 +67,8 @@ def parse_count(c: Column, suffixes: str = "kmb", anchored: bool = True, rounded
     if anchored:
         pattern = f"^{pattern}$"
     value = F.regexp_extract(t, pattern, 1)
-    out = value.cast("double") * lookup(F.regexp_extract(t, pattern, 2), SUFFIXES)
-    return F.when(value != "", (F.bround(out, 0) if rounded else out).cast("bigint"))
+    out = value.try_cast("double") * _times(F.regexp_extract(t, pattern, 2))
+    return (F.bround(out, 0) if rounded else out).cast("bigint")
 
 
 def platform(c: Column) -> Column:

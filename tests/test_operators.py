@@ -212,3 +212,22 @@ def test_ledger_takes_each_run_once(spark, tmp_path):
     for batch in (a, a, a.unionByName(spark.createDataFrame([("t", 1, "z")], a.schema))):
         chunks.append_runs(batch, ledger)
     assert sorted((r.snapshot_id, r.query_id) for r in spark.read.parquet(ledger).collect()) == [("s", 1), ("s", 2), ("t", 1)]
+
+
+def test_snapshots_from_json_and_csv(spark, tmp_path):
+    from evidrill.operators import normalize
+    from evidrill.sources import snapshots
+
+    (tmp_path / "a.json").write_text(json.dumps({"signals": [{"id": "1", "title": "T", "metrics": {"views": "1.5k"}, "author": {"name": "N"}}, "no object", {"url": "https://a/b/#c", "likes": True, "limitations": ["x", ""]}]}))
+    (tmp_path / "b.json").write_text(json.dumps([{"contentId": "9", "text": "a�b", "role": "Counter"}]))
+    (tmp_path / "c.csv").write_bytes("﻿id,title,query_terms\n7,Hello,\"a|b\"\n".encode())
+    j = snapshots.read_json(spark, str(tmp_path / "*.json"))
+    assert j.count() == 4 and j.where("raw IS NULL").count() == 1
+    n = normalize.normalize(j, "x", "public_web", "now").orderBy("snapshot_id", "ordinal").collect()
+    assert [(r.signal_id, r.views, r.author_name) for r in n][:1] == [("1", 1500, "N")]
+    assert n[1].canonical_url == "https://a/b/#c" and n[1].likes is None and n[1].limitations == ["x"] and n[1].source_type == "search_snippet"
+    assert n[2].title == "ab" and n[2].evidence_role == "counter" and n[2].signal_id == "x-9" and len(n[2].limitations) == 1
+    c = normalize.normalize(snapshots.read_csv(spark, str(tmp_path / "c.csv")), "yt", "customer_export", "now").first()
+    assert (c.signal_id, c.platform, c.title, c.query_terms, c.source_type) == ("7", "youtube", "Hello", ["a", "b"], "exported_item")
+    snapshots.write(j.select("snapshot_id", "ordinal"), str(tmp_path / "out"), by=["ordinal"])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
