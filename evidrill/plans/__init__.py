@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decide, imports, ledger, reviews, scores, texts
+from . import contracts, decide, imports, ledger, reviews, scores, texts
 
-MODULES = (scores, ledger, reviews, texts, decide, imports)
+MODULES = (scores, ledger, reviews, texts, decide, imports, contracts)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
