@@ -9,8 +9,8 @@ from ..functions.constants import QUERY_LAYERS
 from .collection import contract
 from .decisions import disjoint_refs
 
-CONCLUSIONS = ("candidate", "review_ready", "confirmed")
-TEMPORAL = ("current_snapshot", "emerging", "declining", "sustained")
+CONCLUSIONS = ("candidate", "review_ready", "confirmed", "rejected")
+TEMPORAL = ("current_snapshot", "spreading", "rising", "falling", "resolved_over_time")
 REQUIRED = ("title", "analysis_unit_statement", "decision_summary", "audience", "evidence_boundary")
 
 

@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..functions.constants import MOJIBAKE
 
 MAX_SEGMENTS, MAX_OCR, MAX_FRAMES = 200, 80, 8
-VIDEO_PLATFORMS = ("youtube", "tiktok", "douyin", "bilibili", "wechat_channels")
+VIDEO_PLATFORMS = ("tiktok", "instagram", "youtube", "x")
 _OUTPUT = (
     "transcript struct<source:string,language:string,segments:array<struct<start:string,end:string,text:string>>>, "
     "ocrResults array<struct<time:string,text:string,confidence:double>>, frames array<struct<time:string>>, warnings array<string>"

@@ -69,9 +69,9 @@ def finding_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
         refs(5).alias("support_refs"), F.when(k % 19 == 0, refs(7)).otherwise(F.array(F.lit("https://other.test/"))).alias("counter_refs"), F.lit("found").alias("counter_search_status"),
         F.array(F.create_map(F.lit("owner"), F.when(k % 23 == 0, "").otherwise("team"))).alias("actions"), F.create_map(F.lit("summary"), text(29)).alias("sections"),
         F.when(k % 3 == 0, "confirmed").when(k % 3 == 1, "review_ready").otherwise("candidate").alias("conclusion_status"), F.when(k % 2 == 0, "me").alias("human_confirmation"),
-        F.when(k % 31 == 0, "emerging").otherwise("current_snapshot").alias("temporal_claim"), F.lit(1).alias("snapshots"), (k % 37 != 0).alias("direct_source_present"),
+        F.when(k % 31 == 0, "rising").otherwise("current_snapshot").alias("temporal_claim"), F.lit(1).alias("snapshots"), (k % 37 != 0).alias("direct_source_present"),
     )
-    profiles = spark.sql("SELECT 'demand' AS intent, array('need', 'barrier') AS allowed_roles, array('owner') AS action_fields, array('summary') AS section_names, 1 AS min_support, 2 AS min_roles, array('emerging') AS history_claims")
+    profiles = spark.sql("SELECT 'demand' AS intent, array('need', 'barrier') AS allowed_roles, array('owner') AS action_fields, array('summary') AS section_names, 1 AS min_support, 2 AS min_roles, array('rising') AS history_claims")
     topics = o.select(F.col("o_custkey").alias("study"), F.explode(F.array(*[F.lit(f"t{i}") for i in range(5)])).alias("topic"))
     return findings.finding_faults(f, profiles, topics)
 

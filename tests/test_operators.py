@@ -231,3 +231,53 @@ def test_snapshots_from_json_and_csv(spark, tmp_path):
     assert (c.signal_id, c.platform, c.title, c.query_terms, c.source_type) == ("7", "youtube", "Hello", ["a", "b"], "exported_item")
     snapshots.write(j.select("snapshot_id", "ordinal"), str(tmp_path / "out"), by=["ordinal"])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
+def test_opened_pages(spark):
+    from evidrill.sources import details
+
+    def rows(*pairs):
+        return spark.createDataFrame(list(pairs), "target_id string, raw string")
+
+    thread = [{"id": "9", "text": "other", "author": "@b", "likes": "2K"}, {"id": "1", "text": "The  post", "author": "@a", "views": "1,200", "replies": "3"}, {"id": "2", "text": " "}] + [{"id": str(10 + i), "text": f"r{i}", "author": "c"} for i in range(9)]
+    x = details.x_threads(rows(("1", json.dumps(thread)), ("404", json.dumps(thread)), ("1", "junk"), ("1", None))).collect()
+    assert len(x) == 1 and (x[0].title, x[0].author_id, x[0].views, x[0].comments) == ("The post", "a", 1200, 3)
+    assert [c.text for c in x[0].representative_comments] == ["other", "r0", "r1", "r2", "r3"] and x[0].representative_comments[0].likes == 2000
+    pairs = [{"field": "title", "value": "T"}, {"field": "channel", "value": "C"}, {"field": "description", "value": "D"}, {"field": "views", "value": "1.5万 views"}]
+    y = details.youtube_details(rows(("a", json.dumps(pairs)), ("b", json.dumps({"title": "T", "channel": "C", "description": "D", "subscribers": "3M"})), ("c", json.dumps({"title": "T"})))).orderBy("target_id").collect()
+    assert [(r.target_id, r.views, r.follower_count) for r in y] == [("a", 15000, None), ("b", None, 3000000)]
+    yc = details.youtube_comments(rows(("a", json.dumps([{"author": {"name": "N"}, "content": "hi", "likes": "5"}, {"text": ""}, {"author": "M", "text": "yo"}])), ("b", "{}"))).orderBy("target_id").collect()
+    assert [(c.author_name, c.text, c.likes) for c in yc[0].representative_comments] == [("N", "hi", 5), ("M", "yo", None)] and yc[1].representative_comments == []
+    xc = details.xiaohongshu_comments(rows(("a", json.dumps([{"text": "一", "likes": "1.2万"}, {"text": "二", "is_reply": True}])))).first()
+    assert [(c.text, c.likes) for c in xc.representative_comments] == [("一", 12000)]
+
+
+def test_rendered_posts(spark):
+    from evidrill.sources import details
+
+    page = ("Ann @ann_1\nfirst [1] post\n1,234 views 5 Likes\nhttps://x.com/ann_1/status/11\n---\nBob @bob\nhello **there**\nShow more\nhttps://x.com/bob/status/22\n---\nno heading here\n---\nAnn @ann_1\nsecond\n"
+            "https://x.com/ann_1/status/11\nhttps://x.com/ann_1/status/33\n---\nCy @cy\nwithout address")
+    got = details.rendered_x_posts(spark.createDataFrame([("p", page)], "target_id string, raw string")).orderBy("position").collect()
+    assert [(r.content_id, r.author_id, r.summary) for r in got] == [("11", "ann_1", "first  post"), ("22", "bob", "hello there"), ("33", "ann_1", "second")]
+    assert (got[0].views, got[0].likes, got[1].views) == (1234, 5, None)
+
+
+def test_media_rules(spark):
+    from evidrill.operators import media
+
+    raw = {"transcript": {"source": "Native Subtitle", "segments": [{"start": "01:05", "text": " hi "}, {"text": ""}]}, "ocrResults": [{"time": "3", "text": "ok"}, {"text": "bÃd"}], "frames": [{}] * 12, "warnings": [" "]}
+    d = spark.createDataFrame([("a", json.dumps(raw)), ("b", json.dumps({"frames": [{}]})), ("c", "junk"), ("d", None)], "signal_key string, raw string")
+    m = {r.signal_key: r for r in media.analyzer_results(d).collect()}
+    assert (m["a"].provenance, m["a"].status, m["a"].dropped, m["a"].keyframes, len(m["a"].segments), m["a"].segments[0].start_seconds) == ("native_subtitle", "partial", 1, 8, 1, 65.0)
+    assert m["b"].status == m["c"].status == m["d"].status == "unavailable" and m["b"].keyframes == 1
+
+
+def test_recovery_plan_faults(spark):
+    from evidrill.operators import findings
+
+    r = spark.createDataFrame([("s", "action items", "category"), ("t", "Old term", "category"), ("u", "one two three four five", "category")], "snapshot_id string, term string, layer string")
+    runs = spark.createDataFrame([("t", "old TERM")], "snapshot_id string, query_term string")
+    lacks = spark.createDataFrame([("s", "category"), ("t", "category"), ("u", "subject_bridge")], "snapshot_id string, query_layer string")
+    terms = spark.createDataFrame([("s", "Action Items"), ("t", "old term")], "snapshot_id string, term string")
+    got = {(x.snapshot_id, x.rule) for x in findings.recovery_faults(r, runs, lacks, terms).collect()}
+    assert got == {("t", "repeated"), ("u", "words"), ("u", "layer"), ("u", "evidence")}
