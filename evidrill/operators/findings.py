@@ -87,3 +87,20 @@ def report_rows(findings: DataFrame, topics: DataFrame, comments: DataFrame, med
 def unused_topics(topics: DataFrame, findings: DataFrame) -> DataFrame:
     """Eligible topics that no finding refers to."""
     return topics.join(findings.select("snapshot_id", "topic").distinct(), ["snapshot_id", "topic"], "left_anti")
+
+
+def cluster_spec_faults(specs: DataFrame) -> DataFrame:
+    """specs: plan_id, topic_key, title, analysis_unit_statement, inclusion_rule, exclusion_rule. Required texts, and a
+    title that is a short label for readers: no key, address or markup."""
+    need = ("topic_key", "title", "analysis_unit_statement", "inclusion_rule", "exclusion_rule")
+    t = F.col("title")
+    label = (F.length(t) > 120) | (t == F.col("topic_key")) | t.contains("**") | t.contains("__") | t.rlike("https?://")
+    return _rows(specs, ["plan_id", "topic_key"], {**{k: F.coalesce(F.trim(k), F.lit("")) == "" for k in need}, "reader_title": label})
+
+
+def format_mix(signals: DataFrame, keep: int = 3) -> DataFrame:
+    """Per snapshot: its formats (snapshot_id, format), the most frequent first, with the share of each."""
+    g = signals.where("format <> ''").groupBy("snapshot_id", "format").agg(F.count(F.lit(1)).alias("signals"))
+    w = Window.partitionBy("snapshot_id")
+    g = g.withColumn("share", F.bround(F.col("signals") / F.sum("signals").over(w), 4))
+    return g.withColumn("format_rank", F.row_number().over(w.orderBy(F.desc("signals"), "format"))).where(F.col("format_rank") <= keep)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import CONTRACTS
-from ..operators import findings, media
+from ..operators import findings, media, scoring
 from ..sources import views
+from .scores import TOPICS_SQL, as_of
 
 
 def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,37 @@ def finding_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.finding_faults(f, profiles, topics)
 
 
-QUERIES = {"media_results": media_results, "media_promotion": media_promotion, "topic_media": topic_media, "plan_faults": plan_faults, "finding_faults": finding_faults}
+def cluster_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = views.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    d = p.select(
+        F.col("p_brand").alias("plan_id"), k.cast("string").alias("topic_key"), F.when(k % 7 == 0, k.cast("string")).when(k % 11 == 0, F.concat(F.col("p_name"), F.lit(" **bold**"))).when(k % 13 == 0, F.repeat("p_name", 30)).otherwise(
+            F.col("p_name")).alias("title"), F.when(k % 5 == 0, " ").otherwise("unit").alias("analysis_unit_statement"), F.lit("in").alias("inclusion_rule"), F.when(k % 17 == 0, None).otherwise("out").alias("exclusion_rule"),
+    )
+    return findings.cluster_spec_faults(d)
+
+
+def format_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events")
+    return findings.format_mix(e.select(F.date_format("ts", "yyyy-MM-dd").alias("snapshot_id"), F.col("event_type").alias("format")))
+
+
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding for every third topic, with its scores and what reviewed conversations say on its number."""
+    t = scoring.topic_index(views.signals(spark, sf_dir), as_of()).select("snapshot_id", "topic", "observed_heat", "raw_confidence")
+    c = views.table(spark, sf_dir, "conversations").select(F.lit("2024-01-02").alias("snapshot_id"), F.concat(F.lit("topic-"), F.col("conv_id") % 10).alias("topic"), "role")
+    comments = c.groupBy("snapshot_id", "topic").agg(F.count(F.lit(1)).alias("comments"))
+    clips = c.where("role = 'system'").groupBy("snapshot_id", "topic").agg(F.count(F.lit(1)).alias("clips"))
+    f = t.where("raw_confidence % 3 = 0").select("snapshot_id", "topic")
+    return findings.report_rows(f, t, comments, clips).na.fill(0, ["comments", "clips"])
+
+
+def unused_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = scoring.topic_index(views.signals(spark, sf_dir), as_of()).select("snapshot_id", "topic", "raw_confidence")
+    return findings.unused_topics(t, t.where("raw_confidence % 3 = 0"))
+
+
+QUERIES = {"cluster_specs": cluster_specs, "format_mix": format_mix, "report_rows": report_rows, "unused_topics": unused_topics, "media_results": media_results, "media_promotion": media_promotion, "topic_media": topic_media, "plan_faults": plan_faults, "finding_faults": finding_faults}
 
 
 def _c(name: str, bound: int | None = None) -> str:
@@ -95,6 +126,15 @@ _FINDING = {
     "report_sections": "k % 29 = 0", "thresholds": "k % 3 <> 2 AND NOT (k % 5 <> 0 AND NOT (k % 19 = 0 AND k % 7 = 0) AND k % 17 <> 0 AND k % 37 <> 0)", "human_confirmation": "k % 3 = 0 AND k % 2 <> 0", "history": "k % 31 = 0",
 }
 SQL = {
+    "cluster_specs": """WITH p AS (SELECT p_brand AS plan_id, CAST(p_partkey AS VARCHAR) AS topic_key, p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN CAST(p_partkey AS VARCHAR) WHEN p_partkey % 11 = 0 THEN p_name || ' **bold**'
+  WHEN p_partkey % 13 = 0 THEN repeat(p_name, 30) ELSE p_name END AS t FROM part)
+SELECT plan_id, topic_key, 'analysis_unit_statement' AS rule FROM p WHERE k % 5 = 0 UNION ALL SELECT plan_id, topic_key, 'exclusion_rule' FROM p WHERE k % 17 = 0
+UNION ALL SELECT plan_id, topic_key, 'reader_title' FROM p WHERE length(t) > 120 OR t = topic_key OR contains(t, '**')""",
+    "format_mix": """WITH g AS (SELECT strftime(ts, '%Y-%m-%d') AS snapshot_id, event_type AS format, count(*) AS signals FROM events GROUP BY ALL)
+SELECT snapshot_id, format, signals, round_even(signals / sum(signals) OVER (PARTITION BY snapshot_id)::DOUBLE, 4) AS share, CAST(row_number() OVER (PARTITION BY snapshot_id ORDER BY signals DESC, format) AS INT) AS format_rank FROM g QUALIFY format_rank <= 3""",
+    "report_rows": f"""WITH {TOPICS_SQL}, c AS (SELECT 'topic-' || (conv_id % 10) AS topic, count(*) AS comments, count(*) FILTER (role = 'system') AS clips FROM conversations GROUP BY ALL)
+SELECT snapshot_id, t.topic, observed_heat, raw_confidence, coalesce(comments, 0) AS comments, coalesce(clips, 0) AS clips FROM topics t LEFT JOIN c ON c.topic = t.topic AND snapshot_id = '2024-01-02' WHERE raw_confidence % 3 = 0""",
+    "unused_topics": f"WITH {TOPICS_SQL} SELECT snapshot_id, topic, raw_confidence FROM topics WHERE raw_confidence % 3 <> 0",
     "media_results": f"WITH {_MEDIA} SELECT signal_key, segments, ocr_rows, dropped, keyframes, provenance, status FROM r",
     "media_promotion": f"""WITH {_MEDIA}, j AS (SELECT signal_key, CASE WHEN signal_key % 2 = 0 THEN 'search_card' ELSE 'webpage' END AS st, signal_key % 7 = 0 AS dc, status <> 'unavailable' AS seen, quality FROM r LEFT JOIN labels ON doc_id = signal_key)
 SELECT CASE WHEN seen AND st = 'search_card' AND coalesce(quality, 1) > 0 THEN 'direct_post' ELSE st END AS source_type, CASE WHEN seen AND coalesce(quality, 1) > 0 THEN true ELSE dc END AS detail_captured,
