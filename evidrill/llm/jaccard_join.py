@@ -185,23 +185,46 @@ def forest(sets: list[np.ndarray], similarity: Similarity) -> np.ndarray:
     return label
 
 
-def _sets_of_documents(docs: DataFrame, n: int, similarity: Similarity) -> DataFrame:
+def _keys_of_documents(docs: DataFrame, n: int) -> DataFrame:
+    """Per document the size of its set and two 64-bit keys that equal sets share."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, keys, sigs = [], ([], []), []
+            sizes, keys = [], ([], [])
             for s in shingle_sets(b.column(1), n):
                 sizes.append(len(s))
                 for k, salt in zip(keys, (8, 9), strict=True):
                     k.append(_mix(s, salt).sum(dtype=_U) if len(s) else _U(0))
-                sigs.append(signatures(s, similarity).view(np.int64))
-            ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sigs])))
             key_columns = [pa.array(np.array(k, _U).view(np.int64)) for k in keys]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *key_columns, column], ["doc_id", "size", "k1", "k2", "sigs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *key_columns], ["doc_id", "size", "k1", "k2"])
 
-    return docs.mapInArrow(build, f"doc_id {id_type}, size bigint, k1 bigint, k2 bigint, sigs array<bigint>")
+    return docs.mapInArrow(build, f"doc_id {id_type}, size bigint, k1 bigint, k2 bigint")
+
+
+def _signatures_of_documents(docs: DataFrame, n: int, similarity: Similarity, rows: int = 1 << 18) -> DataFrame:
+    """A row for each signature of each document: rid, sig."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, of, held = [], [], 0
+
+            def part() -> pa.RecordBatch:
+                at = np.repeat(np.array(of, np.int64), [len(x) for x in found])
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate(found))], ["rid", "sig"])  # noqa: B023
+
+            for i, s in enumerate(shingle_sets(b.column(1), n)):
+                found.append(signatures(s, similarity).view(np.int64))
+                of.append(i)
+                held += len(found[-1])
+                if held >= rows:
+                    yield part()
+                    found, of, held = [], [], 0
+            if held:
+                yield part()
+
+    return docs.mapInArrow(sign, f"rid {id_type}, sig bigint")
 
 
 def join(docs: DataFrame, n: int = 5, similarity: Similarity = Similarity(80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,15 +232,18 @@ def join(docs: DataFrame, n: int = 5, similarity: Similarity = Similarity(80, 10
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))
-    sets = materialize(_sets_of_documents(d, n, similarity), "jaccard-sets")
-    different = sets.where(F.col("size") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"), F.first("size").alias("size"), F.first("sigs").alias("sigs"))
-    signed = different.where(F.col("rid").isNotNull()).select("rid", F.explode("sigs").alias("sig"))
+    sets = materialize(_keys_of_documents(d, n), "jaccard-sets")
+    representative = sets.where("size > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"))
+    # of equal sets one is signed; nothing but signatures is shuffled unless there are very many sets
+    wanted = materialize(representative.where("rid IS NOT NULL").select("rid"), "jaccard-signed")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    signed = _signatures_of_documents(d.join(wanted, d.doc_id == wanted.rid, "left_semi"), n, similarity)
     first = F.first("rid").over(Window.partitionBy("sig").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0))
     candidates = signed.withColumn("anchor", first).where("rid <> anchor").select("rid", "anchor").distinct()
     groups = materialize(connected_components(candidates, "rid", "anchor"), "jaccard-groups")
     links = _verify(d, sets, groups, n, similarity)
     classes = connected_components(links, "rid", "root")
-    representative = sets.where(F.col("size") > 0).groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"))
     placed = representative.join(classes, representative.rid == classes.node, "left").select("k1", "k2", F.coalesce("component", "rid").alias("component"))
     return sets.select("doc_id", "size", "k1", "k2").join(placed, ["k1", "k2"], "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
