@@ -27,7 +27,7 @@ ODD = r"[\t\x0b-\r\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2
 RUNS = ("  ", " \n", "\n ", "\n\n")
 PIECE = re.compile("[ \n]*[^ \n]+|[ \n]+")
 FIRST = "\x01"
-ENTRIES = 600_000
+ENTRIES = 300_000
 CHUNK = 8 << 20
 
 
