@@ -1,9 +1,10 @@
 """License scans: ordered signature rules over the words of a text.
 
 A text becomes its lower-case words, joined by single spaces. A rule is a regular expression over that form,
-with the word that a text must hold for the rule to be tried (the keyword prefilter), a label, a priority and
-a confidence. Every match is a detection with an interval of words. A detection is suppressed if its interval
-lies within that of a detection of the same or a higher priority (of two equal ones the earlier rule stays).
+with keywords of which a text must hold one for the rule to be tried (the prefilter; each alternative of the
+expression has one of them), a label, a priority and a confidence. Every match is a detection with an interval of
+words. A detection is suppressed if its interval lies within that of a detection of the same or a higher priority
+(of two equal ones the earlier rule stays).
 
 Rules are made from license names and from the phrases in which they are given notice of, plus rules for the
 words of the licenses themselves. Base phrases are rules of their own, counted at every place and never
@@ -28,9 +29,9 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Label, pattern of the name, keyword, pattern of the short identifier.
+# Label, pattern of the name, keywords, pattern of the short identifier.
 NAMES = (
-    ("mit", "(?:mit|expat) (?:open source )?licen[cs]e", "mit", "mit"),
+    ("mit", "(?:mit|expat) (?:open source )?licen[cs]e", "mit expat", "mit"),
     ("mit-0", "mit no attribution(?: licen[cs]e)?", "mit", "mit 0"),
     ("apache-1.1", "apache (?:software )?licen[cs]e(?: version)? (?:v ?)?1 1", "apache", "apache 1 1"),
     ("apache-2.0", "apache (?:software )?licen[cs]e(?: version)? (?:v ?)?2(?: 0)?", "apache", "apache 2 0"),
@@ -43,11 +44,11 @@ NAMES = (
     ("lgpl-3.0", "(?:gnu )?lesser general public licen[cs]e(?: version| v)? ?3(?: 0)?", "lesser", "lgpl 3 0(?: only| or later)?"),
     ("agpl-3.0", "(?:gnu )?affero general public licen[cs]e(?:(?: version| v)? ?3(?: 0)?)?", "affero", "agpl 3 0(?: only| or later)?"),
     ("gfdl", "gnu free documentation licen[cs]e", "documentation", "gfdl 1 [123]"),
-    ("bsd-2-clause", "(?:simplified bsd|2 clause bsd|bsd 2 clause|freebsd) licen[cs]e", "bsd", "bsd 2 clause"),
+    ("bsd-2-clause", "(?:simplified bsd|2 clause bsd|bsd 2 clause|freebsd) licen[cs]e", "bsd freebsd", "bsd 2 clause"),
     ("bsd-3-clause", "(?:modified bsd|new bsd|revised bsd|3 clause bsd|bsd 3 clause) licen[cs]e", "bsd", "bsd 3 clause"),
     ("bsd-4-clause", "(?:original bsd|4 clause bsd|bsd 4 clause) licen[cs]e", "bsd", "bsd 4 clause"),
     ("bsd", "bsd (?:style )?licen[cs]e", "bsd", "bsd"),
-    ("0bsd", "(?:zero clause bsd|0bsd|bsd zero clause)(?: licen[cs]e)?", "zero", "0bsd"),
+    ("0bsd", "(?:zero clause bsd|0bsd|bsd zero clause)(?: licen[cs]e)?", "zero 0bsd", "0bsd"),
     ("isc", "isc licen[cs]e", "isc", "isc"),
     ("mpl-1.0", "mozilla public licen[cs]e(?: version| v)? 1 0", "mozilla", "mpl 1 0"),
     ("mpl-1.1", "mozilla public licen[cs]e(?: version| v)? 1 1", "mozilla", "mpl 1 1"),
@@ -66,7 +67,7 @@ NAMES = (
     ("busl-1.1", "business source licen[cs]e(?: 1 1)?", "business", "busl 1 1"),
     ("sspl-1.0", "server side public licen[cs]e", "server", "sspl 1 0"),
     ("elastic-2.0", "elastic licen[cs]e(?: 2 0)?", "elastic", "elastic 2 0"),
-    ("unlicense", "the unlicen[cs]e", "unlicense", "unlicense"),
+    ("unlicense", "the unlicen[cs]e", "unlicense unlicence", "unlicense"),
     ("wtfpl", "do what the fuck you want to public licen[cs]e", "fuck", "wtfpl"),
     ("ofl-1.1", "(?:sil )?open font licen[cs]e(?: 1 1)?", "font", "ofl 1 1"),
     ("psf-2.0", "python software foundation licen[cs]e", "python", "psf 2 0"),
@@ -84,7 +85,7 @@ NAMES = (
     ("odbl-1.0", "open (?:data commons open )?database licen[cs]e", "database", "odbl 1 0"),
     ("odc-by-1.0", "open data commons attribution licen[cs]e", "commons", "odc by 1 0"),
     ("pddl-1.0", "public domain dedication and licen[cs]e", "dedication", "pddl 1 0"),
-    ("cc0-1.0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?(?: public domain dedication)?", "cc0", "cc0 1 0"),
+    ("cc0-1.0", "(?:cc0|creative commons zero)(?: 1 0)?(?: universal)?(?: public domain dedication)?", "cc0 zero", "cc0 1 0"),
     ("cc-by-3.0", "(?:cc by|creative commons attribution)(?: licen[cs]e)? 3 0", "3", "cc by 3 0"),
     ("cc-by-4.0", "(?:cc by|creative commons attribution)(?: licen[cs]e)? 4 0", "4", "cc by 4 0"),
     ("cc-by-sa-3.0", "(?:cc by sa|creative commons attribution share ?alike)(?: licen[cs]e)? 3 0", "3", "cc by sa 3 0"),
@@ -104,7 +105,7 @@ NOTICES = (
     ("{name}", 3, 0.8),
 )
 
-# Label, pattern, keyword, priority, confidence.
+# Label, pattern, keywords, priority, confidence.
 TEXTS = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby", 1, 0.99),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies", "permission", 2, 0.9),
@@ -137,7 +138,7 @@ class Rule:
     rule: int
     label: str
     pattern: str
-    keyword: str
+    keywords: tuple[str, ...]
     priority: int
     confidence: float
     base: bool
@@ -151,15 +152,16 @@ def rules() -> tuple[Rule, ...]:
     for notice, priority, confidence in NOTICES:
         found += [(label, notice.format(name=name), word, priority, confidence, False) for label, name, word, _ in NAMES]
     found += [(label, f"spdx licen[cs]e identifier {short}", "spdx", 1, 1.0, False) for label, _, _, short in NAMES]
-    return tuple(Rule(i, *x) for i, x in enumerate(found))
+    return tuple(Rule(i, label, pattern, tuple(word.split()), *rest) for i, (label, pattern, word, *rest) in enumerate(found))
 
 
 def rules_table(spark: SparkSession) -> DataFrame:
-    """The rules as a table: as many rows as there are rules, whatever the input."""
+    """The rules as a table, a row for each keyword: its size is that of the rules, whatever the input."""
     values = ", ".join(
-        f"({r.rule}, '{r.label}', r' (?:{r.pattern})(?= )', '{r.keyword}', {r.priority}, {r.confidence}D, {str(r.base).lower()})" for r in rules()
+        f"({r.rule}, '{r.label}', r' (?:{r.pattern})(?= )', array({', '.join(map(repr, r.keywords))}), {word!r}, {r.priority}, {r.confidence}D, {str(r.base).lower()})"
+        for r in rules() for word in r.keywords
     )
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(rule, label, pattern, keyword, priority, confidence, base)")
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(rule, label, pattern, keywords, keyword, priority, confidence, base)")
 
 
 def _spaces(text):
@@ -168,7 +170,7 @@ def _spaces(text):
 
 # Every match of a rule holds one of these words.
 GATE = (
-    "license licence licensed licenced unlicense unlicence gpl agpl lgpl gfdl spdx cc cc0 creative attribution domain domains reserved proprietary hereby "
+    "license licence licensed licenced unlicense unlicence license1 license2 license3 licence1 licence2 licence3 0bsd gpl agpl lgpl gfdl spdx cc cc0 creative attribution domain domains reserved proprietary hereby "
     "permission redistribution redistribute merchantability advertising waived unencumbered endorse clause notice compliance applicable liable identifier"
 ).split()
 
@@ -176,7 +178,7 @@ GATE = (
 def word_forms(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: row_key, doc_id, n_words and, if any rule can match, its words as one string and the
     keywords among them. Lower-casing more than A-Z makes no word of a rule from another one."""
-    keywords = sorted({r.keyword for r in rules()})
+    keywords = sorted({word for r in rules() for word in r.keywords})
     d = docs.select(
         row_key(F.col(id_col), F.col(text)).alias("row_key"), F.col(id_col).alias("doc_id"),
         F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD), "").alias("words"),
@@ -192,7 +194,9 @@ def word_forms(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 def detect(forms: DataFrame) -> DataFrame:
     """Detections: row_key, rule, label, priority, confidence, base, first and last word."""
     d = forms.where(F.col("norm").isNotNull())
-    hit = d.select("row_key", "norm", F.explode("found").alias("keyword")).join(F.broadcast(rules_table(forms.sparkSession)), "keyword")
+    hit = d.select("row_key", "norm", "found", F.explode("found").alias("keyword")).join(F.broadcast(rules_table(forms.sparkSession)), "keyword")
+    # a text that holds several keywords of a rule tries it by the first of them
+    hit = hit.where(F.get(F.array_intersect("keywords", "found"), F.lit(0)) == F.col("keyword"))
     hit = hit.withColumn("parts", F.split(F.regexp_replace("norm", F.col("pattern"), F.lit("\x01$0\x02")), "\x01")).where(F.size("parts") > 1)
     # each part but the first starts with a match; what stands before it tells at which word
     part = hit.select("row_key", "rule", "label", "priority", "confidence", "base", F.posexplode("parts").alias("at", "part"))

@@ -332,3 +332,46 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0 and toxicity.without_toxic(empty, model).count() == 0
     none = toxicity.fit(empty, labels, F.lit(True))
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
+
+
+def samples(pattern):
+    """Texts of a rule's pattern in which each of its alternatives, options and letters stands once."""
+    from re import _parser
+
+    def of(node):
+        op, arg = str(node[0]), node[1]
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "ANY":
+            return ["x"]
+        if op == "IN":
+            return [chr(x) for _, x in arg]
+        if op == "SUBPATTERN":
+            return row(arg[3])
+        if op == "BRANCH":
+            return [x for part in arg[1] for x in row(part)]
+        least, most, part = arg  # MAX_REPEAT
+        return (["" if least == 0 else row(part)[0] * least]) + (row(part) if most > least else [])
+
+    def row(nodes):
+        each = [of(x) for x in nodes]
+        first = [x[0] for x in each]
+        return list(dict.fromkeys("".join([*first[:i], y, *first[i + 1 :]]) for i, x in enumerate(each) for y in x))
+
+    return row(_parser.parse(pattern))
+
+
+def test_every_alternative_of_a_license_rule_is_found(spark):
+    made = [(r.rule, x) for r in licenses.rules() for x in samples(r.pattern)]
+    assert len(made) > len(licenses.rules())
+    forms = licenses.word_forms(table(spark, [(k, "w " + x + " w") for k, (_, x) in enumerate(made)])).cache()
+    key = {r.row_key: r.doc_id for r in forms.select("row_key", "doc_id").collect()}
+    got = {(key[r.row_key], r.rule) for r in licenses.detect(forms).select("row_key", "rule").collect()}
+    assert [(rule, x) for k, (rule, x) in enumerate(made) if (k, rule) not in got] == []
+
+
+def test_license_names_without_the_first_keyword(spark):
+    texts = {1: "licensed under the Expat License", 2: "FreeBSD License", 3: "0BSD", 4: "the Unlicence", 5: "Creative Commons Zero 1.0 Universal", 6: "the MIT License, i.e. the Expat License"}
+    got = {r.doc_id: r for r in licenses.scan(table(spark, texts.items())).collect()}
+    assert [got[i].labels for i in texts] == ["mit", "bsd-2-clause", "0bsd", "unlicense", "cc0-1.0", "mit"]
+    assert got[1].score == 0.99 and got[6].n_base == 1
