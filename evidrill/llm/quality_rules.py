@@ -1,12 +1,12 @@
 """Quality rules: statistics of single documents and line frequency across the documents of a host.
 
 Each line is normalised (lower case, single spaces) and hashed. A line is boilerplate on a host if more than
-`max_docs` distinct documents of that host hold it beside content of their own; boilerplate lines are removed,
-and a document that keeps less than `min_kept_share` of its words is rejected as depleted.
+`max_docs` distinct documents of that host hold it; boilerplate lines are removed, and a document that keeps less
+than `min_kept_share` of its words is rejected as depleted.
 
-A document counts for a line only if at most half of its words stand in lines that are frequent at all. Whole
-copies consist of frequent lines alone, so they don't turn their own text into boilerplate: finding copies is
-the work of the near-duplicate operators, and a clean text isn't rejected for having been copied.
+Documents of the same set of normalised lines are one distinct document. So whole copies don't turn their own text
+into boilerplate: finding copies is the work of the near-duplicate operators, and a clean text isn't rejected for
+having been copied.
 
 Defined cases: a null text is an empty one (no words: it fails the base rule); a null host is a host of its
 own; repeated rows count as one document and get the same verdict; an empty table gives an empty result; other
@@ -29,7 +29,6 @@ class Limits:
     max_repeat_percent: int = 30
     window: int = 8
     max_docs: int = 10
-    own_content_share: float = 0.5
     min_kept_share: float = 0.3
 
 
@@ -126,21 +125,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: s
           limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Verdicts, one row per document, and the boilerplate lines as (host, line hash)."""
     stats = materialize(statistics(docs, id_col, host, text, limits), "quality-statistics")
-    # one row for each distinct line of each distinct document
+    # one row for each distinct line of each distinct document; documents of the same set of lines share the content
+    content = F.xxhash64(F.array_sort(F.array_distinct("line_hash")))
     lines = (
-        stats.select("row_key", "host", "n_words", F.explode(F.arrays_zip("line_hash", "line_words")).alias("z"))
-        .groupBy("row_key", "host", "n_words", F.col("z.line_hash").alias("h"))
+        stats.select("row_key", "host", content.alias("content"), F.explode(F.arrays_zip("line_hash", "line_words")).alias("z"))
+        .groupBy("row_key", "host", "content", F.col("z.line_hash").alias("h"))
         .agg(F.max("z.line_words").alias("per_line"), F.count(F.lit(1)).alias("times"))
-        .select("row_key", "host", "n_words", "h", (F.col("per_line") * F.col("times")).alias("w"))
+        .select("row_key", "host", "content", "h", (F.col("per_line") * F.col("times")).alias("w"))
     )
     lines = materialize(lines, "quality-lines")
-    repeated = materialize(_frequent(lines, limits.max_docs), "quality-repeated")
-    shares = _share(lines, repeated)
-    own = (
-        lines.join(shares, "row_key", "left")
-        .where(F.coalesce("n_frequent", F.lit(0)) <= limits.own_content_share * F.col("n_words"))
-    )
-    boilerplate = materialize(_frequent(own, limits.max_docs), "quality-boilerplate")
+    boilerplate = materialize(_frequent(lines.select("host", "h", "content").distinct(), limits.max_docs), "quality-boilerplate")
     removed = _share(lines, boilerplate).withColumnRenamed("n_frequent", "n_removed_words")
     failed = (F.col("n_words") < limits.min_words) | (
         100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words")

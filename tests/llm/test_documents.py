@@ -72,6 +72,17 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert kept[3] == plain_text(3, 40) and kept[200] == rows[-1][1]
 
 
+@pytest.mark.parametrize(("own", "kept"), [(40, 0), (11, 0), (60, 60)])
+def test_pages_of_mostly_template(spark, own, kept):
+    menu = plain_text(77, 100)
+    rows = [(i, plain_text(1000 + i, own) + "\n" + menu) for i in range(60)]  # 71, 90 and 63 % template
+    rows += [(100 + i, plain_text(998, 50) + "\n" + plain_text(999, 50)) for i in range(40)]
+    verdict, boilerplate = quality_rules.score(table(spark, rows).withColumn("source", F.lit("one")))
+    got = {r.doc_id: r for r in verdict.collect()}
+    assert boilerplate.count() == 1 and all(got[i].n_removed_words == 100 for i in range(60))
+    assert sum(got[i].kept for i in range(60)) == kept and all(got[100 + i].kept for i in range(40))
+
+
 def test_clean_keeps_columns_and_rows(docs, empty):
     out = quality_rules.clean(docs)
     assert out.columns == docs.columns and {r.row_key for r in out.collect()} == {"mine"}
