@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, row_key, ship
 from .components import connected_components
 
 BAND = 1.4
@@ -192,19 +192,18 @@ def _keys_of_documents(docs: DataFrame, n: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, keys = [], ([], [])
-            for s in shingle_sets(b.column(1), n):
+            for s in shingle_sets(b.column(2), n):
                 sizes.append(len(s))
                 for k, salt in zip(keys, (8, 9), strict=True):
                     k.append(_mix(s, salt).sum(dtype=_U) if len(s) else _U(0))
             key_columns = [pa.array(np.array(k, _U).view(np.int64)) for k in keys]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), *key_columns], ["doc_id", "size", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), *key_columns], ["doc_id", "row_key", "size", "k1", "k2"])
 
-    return docs.mapInArrow(build, f"doc_id {id_type}, size bigint, k1 bigint, k2 bigint")
+    return docs.mapInArrow(build, f"doc_id {id_type}, row_key bigint, size bigint, k1 bigint, k2 bigint")
 
 
 def _signatures_of_documents(docs: DataFrame, n: int, similarity: Similarity, rows: int = 1 << 18) -> DataFrame:
-    """A row for each signature of each document: rid, sig."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """A row for each signature of each document (row_key, t): rid, sig."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -224,37 +223,52 @@ def _signatures_of_documents(docs: DataFrame, n: int, similarity: Similarity, ro
             if held:
                 yield part()
 
-    return docs.mapInArrow(sign, f"rid {id_type}, sig bigint")
+    return docs.mapInArrow(sign, "rid bigint, sig bigint")
 
 
 def join(docs: DataFrame, n: int = 5, similarity: Similarity = Similarity(80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least id that links lead to, its own included)."""
+    return _classes(docs, n, similarity, id_col, text).select(
+        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
+    )
+
+
+def _classes(docs: DataFrame, n: int, similarity: Similarity, id_col: str, text: str) -> DataFrame:
+    """Per document: doc_id, row_key, size, and of its class the least id and the row of it (least, keeper), which
+    are null for a null id and for an empty set. Rows go by their id and text, as several texts can share an id."""
     spark = docs.sparkSession
     ship(spark)
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))
+    d = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text)).alias("row_key"), F.col(text).alias("t"))
     sets = materialize(_keys_of_documents(d, n), "jaccard-sets")
-    representative = sets.where("size > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"))
+    d = d.where(F.col("doc_id").isNotNull()).select("row_key", "t")
+    grouped = sets.where("size > 0 AND doc_id IS NOT NULL")
+    if _repeated(grouped):
+        d = d.dropDuplicates(["row_key"])
+    representative = grouped.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row_key")).alias("x"), F.max("size").alias("size"))
+    representative = materialize(representative.select("k1", "k2", "x", F.col("x.row_key").alias("rid"), "size"), "jaccard-signed")
     # of equal sets one is signed; nothing but signatures is shuffled unless there are very many sets
-    wanted = materialize(representative.where("rid IS NOT NULL").select("rid"), "jaccard-signed")
+    wanted = representative.select("rid")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    signed = _signatures_of_documents(d.join(wanted, d.doc_id == wanted.rid, "left_semi"), n, similarity)
+    signed = _signatures_of_documents(d.join(wanted, d.row_key == wanted.rid, "left_semi"), n, similarity)
     first = F.first("rid").over(Window.partitionBy("sig").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0))
     candidates = signed.withColumn("anchor", first).where("rid <> anchor").select("rid", "anchor").distinct()
     groups = materialize(connected_components(candidates, "rid", "anchor"), "jaccard-groups")
-    links = _verify(d, sets, groups, n, similarity)
-    classes = connected_components(links, "rid", "root")
-    placed = representative.join(classes, representative.rid == classes.node, "left").select("k1", "k2", F.coalesce("component", "rid").alias("component"))
-    return sets.select("doc_id", "size", "k1", "k2").join(placed, ["k1", "k2"], "left").select(
-        "doc_id", F.col("size").alias("n_shingles"),
-        F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+    links = _verify(d, representative.select("rid", "size"), groups, n, similarity)
+    classes = materialize(connected_components(links, "rid", "root"), "jaccard-linked")
+    linked = classes.join(representative.select("rid", "x"), classes.node == F.col("rid"))
+    best = linked.groupBy("component").agg(F.min("x").alias("best"))
+    best = linked.join(best, "component").select("rid", "best")
+    placed = representative.join(best, "rid", "left").select("k1", "k2", F.coalesce("best", "x").alias("best"))
+    grouping = (F.col("size") > 0) & F.col("doc_id").isNotNull()
+    return sets.join(placed, ["k1", "k2"], "left").select(
+        "doc_id", "row_key", "size", F.when(grouping, F.col("best.doc_id")).alias("least"), F.when(grouping, F.col("best.row_key")).alias("keeper")
     )
 
 
-def _verify(d: DataFrame, sets: DataFrame, groups: DataFrame, n: int, similarity: Similarity) -> DataFrame:
+def _verify(d: DataFrame, sizes: DataFrame, groups: DataFrame, n: int, similarity: Similarity) -> DataFrame:
     """Links among the candidates, a spanning forest for each pair of blocks: (rid, root)."""
-    id_type = d.schema["doc_id"].dataType.simpleString()
-    sizes = sets.join(groups, sets.doc_id == groups.node).groupBy("component", F.col("node").alias("rid")).agg(F.max("size").alias("size"))
+    sizes = sizes.join(groups, sizes.rid == groups.node).select("component", "rid", "size")
     weight = F.greatest("size", F.lit(1000))
     by_size = Window.partitionBy("component").orderBy("size", "rid").rowsBetween(Window.unboundedPreceding, -1)
     members = sizes.withColumn("block", F.floor(F.coalesce(F.sum(weight).over(by_size), F.lit(0)) / BLOCK).cast("int"))
@@ -274,8 +288,7 @@ def _verify(d: DataFrame, sets: DataFrame, groups: DataFrame, n: int, similarity
     wanted = materialize(few.unionByName(many), "jaccard-tasks")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    with_text = d.dropDuplicates(["doc_id"]) if _repeated(sets) else d
-    rows = with_text.join(wanted, with_text.doc_id == wanted.rid).select("task", "x", "y", "component", "rid", "t")
+    rows = d.join(wanted, d.row_key == wanted.rid).select("task", "x", "y", "component", "rid", "t")
 
     def link(table: pa.Table) -> pa.Table:
         out: tuple[list, list] = ([], [])
@@ -292,19 +305,24 @@ def _verify(d: DataFrame, sets: DataFrame, groups: DataFrame, n: int, similarity
         kind = table.schema.field("rid").type
         return pa.table([pa.array(out[0], kind), pa.array(out[1], kind)], ["rid", "root"])
 
-    return rows.groupBy("task", "x", "y").applyInArrow(link, f"rid {id_type}, root {id_type}")
+    return rows.groupBy("task", "x", "y").applyInArrow(link, "rid bigint, root bigint")
 
 
-def _repeated(sets: DataFrame) -> bool:
-    """Does any id stand in more than one row?"""
-    return bool(sets.groupBy("doc_id").count().where("count > 1").limit(1).count())
+def _repeated(rows: DataFrame) -> bool:
+    """Does any id stand in more than one row with the same text?"""
+    return bool(rows.groupBy("row_key").count().where("count > 1").limit(1).count())
 
 
 def one_of_each(docs: DataFrame, n: int = 5, similarity: Similarity = Similarity(80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, without those that link to one of a smaller id."""
-    classes = materialize(join(docs, n, similarity, id_col, text), "jaccard-classes")
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.dropDuplicates([id_col]) if _repeated(classes.where(F.col("doc_id").isNotNull())) else docs
+    """The documents, all columns, without those that link to one of a smaller id (or, under the same id, to the row
+    that stands for it), and repeated rows once. Documents of a null id all stay."""
+    classes = materialize(_classes(docs, n, similarity, id_col, text), "jaccard-classes")
+    gone = classes.where("row_key <> keeper").select(F.col("row_key").alias("__gone")).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return kept.join(gone, id_col, "left_anti")
+    kept = docs.withColumn("__row_key", row_key(F.col(id_col), F.col(text)))
+    kept = kept.join(gone, kept["__row_key"] == gone["__gone"], "left_anti")
+    if _repeated(classes.where(F.col("doc_id").isNotNull())):
+        named = F.col(id_col).isNotNull()
+        kept = kept.where(named).dropDuplicates(["__row_key"]).unionByName(kept.where(~named))
+    return kept.drop("__row_key")

@@ -314,6 +314,18 @@ def test_jaccard_edges(docs, empty):
     assert jaccard_join.join(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
 
 
+def test_jaccard_tells_texts_of_one_id_apart(spark):
+    a, b, c = (plain_text(k, 60) for k in (11, 12, 13))
+    rows = [(1, a), (2, b), (3, c), (5, a + " end"), (5, b + " end"), (5, plain_text(14, 60)), (6, plain_text(15, 60)), (6, plain_text(15, 60) + " end"),
+            (7, "same"), (7, "same"), (None, plain_text(16, 60)), (None, plain_text(17, 60)), (None, a), (None, None), (None, a)]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard_join.join(table(spark, rows)).collect())
+    assert got == {(1, 1): 1, (2, 2): 1, (3, 3): 1, (5, 1): 1, (5, 2): 1, (5, 5): 1, (6, 6): 2, (7, 7): 2, (None, None): 5}
+    kept = Counter((r.doc_id, r.text) for r in jaccard_join.one_of_each(table(spark, rows)).collect())
+    six = next(t for i, t in kept if i == 6)
+    assert six in (rows[6][1], rows[7][1])
+    assert kept == Counter([*rows[:3], rows[5], (6, six), rows[8], *rows[10:]])
+
+
 def toxic_rows(n):
     rng, rows = random.Random(3), []
     bad = ["nasty", "vileword", "grimword"]
