@@ -97,8 +97,7 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
         covered = np.zeros(len(lengths))
         order = rng.permutation(len(lengths))
         for some in np.array_split(order, max(1, len(order) // group)):
-            limits = np.minimum(counts[some], 4)
-            c = tuple((int(some[i]), n) for i, n in knapsack(lengths[some], limits, weight[some] / counts[some], capacity))
+            c = tuple((int(some[i]), n) for i, n in knapsack(lengths[some], counts[some], weight[some] / counts[some], capacity))
             amount = step * min(counts[i] / n for i, n in c)
             used[c] = used.get(c, 0.0) + amount
             for i, n in c:
@@ -117,6 +116,13 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 200, group: in
         return result
     left = np.array([histogram[x] for x in lengths.tolist()], np.int64)
     used = fractional(lengths, left, capacity, rounds, group, step, seed)
+    # how full a configuration has to be to be worth its place is tried out: the fewest sequences are taken
+    best = min((rounded(lengths, left.copy(), capacity, used, full) for full in (0.0, 0.98, 0.995)), key=lambda x: sum(x.values()))
+    return result + [(tuple((int(lengths[i]), n) for i, n in c), times) for c, times in best.items()]
+
+
+def rounded(lengths: np.ndarray, left: np.ndarray, capacity: int, used: dict[Configuration, float], full: float) -> dict[Configuration, int]:
+    """Whole numbers of the configurations that fill `full` of the capacity, and best fit for what they leave."""
     covered = np.zeros(len(lengths))
     for c, amount in used.items():
         for i, n in c:
@@ -130,9 +136,10 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 200, group: in
             for i, n in c:
                 left[i] -= n * times
 
-    for c, amount in used.items():
-        take(c, int(min(amount / max(1.0, max(surplus[i] for i, _ in c)), min(left[i] // n for i, n in c))))
     filled = {c: sum(int(lengths[i]) * n for i, n in c) for c in used}
+    for c, amount in used.items():
+        if filled[c] >= full * capacity:
+            take(c, int(min(amount / max(1.0, max(surplus[i] for i, _ in c)), min(left[i] // n for i, n in c))))
     for c in sorted(used, key=lambda c: (-c[-1][0], -filled[c])):
         if filled[c] >= 0.995 * capacity:
             take(c, int(min(left[i] // n for i, n in c)))
@@ -150,7 +157,7 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 200, group: in
             room -= int(lengths[i])
         key = tuple(sorted(c.items()))
         take(key, int(min(left[i] // n for i, n in key)))
-    return result + [(tuple((int(lengths[i]), n) for i, n in c), times) for c, times in taken.items()]
+    return taken
 
 
 def places(solution: list[tuple[Configuration, int]]) -> list[tuple[int, int, int, int, int, int]]:

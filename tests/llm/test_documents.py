@@ -226,6 +226,17 @@ def test_packing_is_close_to_the_bound(seed):
     assert used == h and sum(times for _, times in solution) <= 1.01 * lengths.sum() / 4096 + 1
 
 
+@pytest.mark.parametrize(("histogram", "most"), [({100: 40_000}, 1000), ({x: 1000 for x in range(1, 21)}, 53), ({x: 7 + 500 * x * x % 977 for x in range(1, 21)}, None)])
+def test_short_lengths_fill_their_sequences(histogram, most):
+    solution, used = packing.solve(histogram, 4096), Counter()
+    for c, times in solution:
+        assert sum(size * n for size, n in c) <= 4096
+        for size, n in c:
+            used[size] += n * times
+    bound = -(-sum(size * n for size, n in histogram.items()) // 4096)
+    assert used == histogram and sum(times for _, times in solution) <= (most or bound + 1)
+
+
 def test_licenses(docs, empty):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     r = got[9]
