@@ -5,21 +5,27 @@ program is stated over the histogram of lengths, which has at most `capacity` en
 are: a configuration says how many pieces of each length share a sequence, and the fewest configurations are to
 cover all pieces. It is solved by multiplicative weights. Each length carries a weight; a knapsack by dynamic
 programming prices the configurations, over groups of lengths that are drawn anew in every round, so that a round
-gives one full configuration for each group; the lengths that got covered lose weight. The fractional solution is
-rounded down, and what is left over is packed by best fit over the remaining histogram.
+gives one full configuration for each group; the lengths that got covered lose weight. The weights are prices of
+the dual program: divided by the value of the best configuration of all lengths, they add up to a lower bound of the
+number of sequences, and rounds end when the rounded solution is within a thousandth of it. The fractional solution
+is rounded down, and what is left over is packed by best fit over the remaining histogram.
 
 Only the histogram is gathered on the driver. Pieces are numbered within their length, salted, so that a length
 which most pieces have (as `capacity` itself) is spread over all tasks, and look their place up in the table of
 configurations, whose size is bounded by the histogram's.
 
-Defined cases: a null text is empty and has the end id alone; repeated rows are packed each for itself; ties are
+Defined cases: a null text is empty and has the end id alone; a very long text is cut into pieces and nothing of it
+is lost; repeated rows are packed each for itself; ties are
 broken by the pieces' own values; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +65,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     return d.mapInArrow(cut, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def knapsack(lengths: np.ndarray, limits: np.ndarray, values: np.ndarray, capacity: int) -> list[tuple[int, int]]:
+def knapsack(lengths: list[int], limits: list[int], values: list[float], capacity: int) -> list[tuple[int, int]]:
     """The (index, times) of greatest value that fit into capacity, each at most `limits` times."""
     items, sizes, worth = [], [], []
-    for i, (size, limit) in enumerate(zip(lengths.tolist(), limits.tolist(), strict=True)):
+    for i, (size, limit) in enumerate(zip(lengths, limits, strict=True)):
         times, left = 1, min(limit, capacity // size)
         while left:  # parts of 1, 2, 4, ... and the rest make up any number
             times = min(times, left)
@@ -75,9 +81,8 @@ def knapsack(lengths: np.ndarray, limits: np.ndarray, values: np.ndarray, capaci
     taken = np.zeros((len(items), capacity + 1), bool)
     for k, (size, value) in enumerate(zip(sizes, worth, strict=True)):
         with_it = best[:-size] + value
-        better = with_it > best[size:]
-        taken[k, size:] = better
-        np.copyto(best[size:], with_it, where=better)
+        np.greater(with_it, best[size:], out=taken[k, size:])
+        np.maximum(with_it, best[size:], out=best[size:])
     found: dict[int, int] = {}
     at = capacity
     for k in range(len(items) - 1, -1, -1):
@@ -88,76 +93,140 @@ def knapsack(lengths: np.ndarray, limits: np.ndarray, values: np.ndarray, capaci
     return sorted(found.items())
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, group: int, step: float, seed: int) -> dict[Configuration, float]:
-    """Configurations, as (index of the length, times), and how often each is used."""
-    rng = np.random.default_rng(seed)
-    weight = counts * lengths / capacity
-    used: dict[Configuration, float] = {}
-    for _ in range(rounds):
-        covered = np.zeros(len(lengths))
-        order = rng.permutation(len(lengths))
-        for some in np.array_split(order, max(1, len(order) // group)):
-            c = tuple((int(some[i]), n) for i, n in knapsack(lengths[some], counts[some], weight[some] / counts[some], capacity))
-            amount = step * min(counts[i] / n for i, n in c)
-            used[c] = used.get(c, 0.0) + amount
+def most_valuable(lengths: np.ndarray, values: np.ndarray, capacity: int) -> float:
+    """The value of the best configuration of all lengths, each as often as it fits."""
+    by_size = np.zeros(capacity + 1)
+    by_size[lengths] = values
+    best = np.zeros(capacity + 1)
+    for room in range(1, capacity + 1):
+        best[room] = (by_size[1 : room + 1] + best[room - 1 :: -1]).max()
+    return float(best[capacity])
+
+
+def lower_bound(lengths: np.ndarray, counts: np.ndarray, values: np.ndarray, capacity: int) -> float:
+    """What the dual says: prices that no configuration exceeds 1 with add up to at most the fewest sequences."""
+    return float((values * counts).sum() / most_valuable(lengths, values, capacity))
+
+
+@dataclass
+class Program:
+    """The configuration program over a histogram, solved round by round.
+
+    `weight` is what each length's pieces are worth together; a round deals the lengths into groups, prices a
+    configuration for each and uses it; what got covered loses weight."""
+
+    lengths: np.ndarray
+    counts: np.ndarray
+    capacity: int
+    step: float
+    group: int
+    seed: int
+    used: dict[Configuration, float] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.rng = np.random.default_rng(self.seed)
+        self.weight = self.counts * self.lengths / self.capacity
+        self.prices = np.zeros(len(self.lengths))
+        self.bound = max([self.weight.sum(), *(float((self.counts * x).sum()) for x in self._steps())])
+
+    def _steps(self) -> Iterator[np.ndarray]:
+        """Prices that no configuration exceeds 1 with: floor((k + 1) x) / k of a length's share x of the capacity, or
+        x itself where (k + 1) x is whole."""
+        for k in range(1, 17):
+            parts, rest = np.divmod((k + 1) * self.lengths, self.capacity)
+            yield np.where(rest == 0, self.lengths / self.capacity, parts / k)
+
+    def round(self) -> None:
+        covered = np.zeros(len(self.lengths))
+        self.prices += self.weight / self.counts
+        order = self.rng.permutation(len(self.lengths))
+        for some in np.array_split(order, max(1, len(order) // self.group)):
+            worth = self.weight[some] / self.counts[some]
+            found = knapsack(self.lengths[some].tolist(), self.counts[some].tolist(), worth.tolist(), self.capacity)
+            c = tuple((int(some[i]), n) for i, n in found)
+            amount = self.step * min(self.counts[i] / n for i, n in c)
+            self.used[c] = self.used.get(c, 0.0) + amount
             for i, n in c:
                 covered[i] += amount * n
-        weight *= np.exp(-covered / counts)
-    return used
+        self.weight *= np.exp(-covered / self.counts)
+        self.weight /= self.weight.sum() / len(self.weight)
 
+    def tighten(self) -> None:
+        for prices in (self.weight / self.counts, self.prices):  # those of this round, and of all rounds together
+            self.bound = max(self.bound, lower_bound(self.lengths, self.counts, prices, self.capacity))
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 200, group: int = 64, step: float = 0.1, seed: int = 1) -> list[tuple[Configuration, int]]:
-    """Configurations as (length, times), and the number of sequences of each. Every piece is in exactly one."""
+    def whole(self) -> dict[Configuration, int]:
+        """Whole numbers of configurations that cover every piece: how full one has to be to be worth its place is
+        tried out."""
+        return min((self._rounded(full) for full in (0.0, 0.98, 0.995)), key=lambda x: sum(x.values()))
+
+    def _rounded(self, full: float) -> dict[Configuration, int]:
+        left = self.counts.copy()
+        covered = np.zeros(len(left))
+        for c, amount in self.used.items():
+            for i, n in c:
+                covered[i] += amount * n
+        surplus = covered / left  # a length that is covered more than once gives its configurations a smaller share
+        taken: dict[Configuration, int] = {}
+
+        def take(c: Configuration, times: int) -> None:
+            if times > 0:
+                taken[c] = taken.get(c, 0) + times
+                for i, n in c:
+                    left[i] -= n * times
+
+        filled = {c: sum(int(self.lengths[i]) * n for i, n in c) for c in self.used}
+        for c, amount in self.used.items():
+            if filled[c] >= full * self.capacity:
+                take(c, int(min(amount / max(1.0, max(surplus[i] for i, _ in c)), min(left[i] // n for i, n in c))))
+        for c in sorted(self.used, key=lambda c: (-c[-1][0], -filled[c])):
+            if filled[c] >= max(full, 0.995) * self.capacity:
+                take(c, int(min(left[i] // n for i, n in c)))
+        # the rest, from the longest: each sequence gets the longest piece that still fits, as often as there are enough
+        there = [i for i in range(len(left)) if left[i]]
+        sizes = [int(self.lengths[i]) for i in there]
+        while there:
+            room, c, at = self.capacity, [], len(there)
+            while (at := bisect_right(sizes, room, 0, at) - 1) >= 0:
+                n = min(int(left[there[at]]), room // sizes[at])
+                c.append((there[at], n))
+                room -= n * sizes[at]
+            c.reverse()
+            take(tuple(c), min(int(left[i]) // n for i, n in c))
+            for i, _ in c:
+                if not left[i]:
+                    at = bisect_left(there, i)
+                    del there[at], sizes[at]
+        return taken
+
+
+def solve_with_bound(histogram: dict[int, int], capacity: int, rounds: int = 48, group: int = 256, step: float = 0.25, seed: int = 1,
+                     close: float = 0.001) -> tuple[list[tuple[Configuration, int]], int]:
+    """Configurations as (length, times) with the number of sequences of each, every piece in exactly one, and a
+    lower bound to the number of all sequences. Rounds end early when the two are as `close` as that."""
     result: list[tuple[Configuration, int]] = []
-    if histogram.get(capacity):
-        result.append((((capacity, 1),), histogram[capacity]))
+    full = histogram.get(capacity, 0)
+    if full:
+        result.append((((capacity, 1),), full))
     lengths = np.array(sorted(x for x, n in histogram.items() if x < capacity and n), np.int64)
     if not len(lengths):
-        return result
-    left = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    used = fractional(lengths, left, capacity, rounds, group, step, seed)
-    # how full a configuration has to be to be worth its place is tried out: the fewest sequences are taken
-    best = min((rounded(lengths, left.copy(), capacity, used, full) for full in (0.0, 0.98, 0.995)), key=lambda x: sum(x.values()))
-    return result + [(tuple((int(lengths[i]), n) for i, n in c), times) for c, times in best.items()]
-
-
-def rounded(lengths: np.ndarray, left: np.ndarray, capacity: int, used: dict[Configuration, float], full: float) -> dict[Configuration, int]:
-    """Whole numbers of the configurations that fill `full` of the capacity, and best fit for what they leave."""
-    covered = np.zeros(len(lengths))
-    for c, amount in used.items():
-        for i, n in c:
-            covered[i] += amount * n
-    surplus = covered / left  # a length that is covered more than once gives its configurations a smaller share
-    taken: dict[Configuration, int] = {}
-
-    def take(c: Configuration, times: int) -> None:
-        if times > 0:
-            taken[c] = taken.get(c, 0) + times
-            for i, n in c:
-                left[i] -= n * times
-
-    filled = {c: sum(int(lengths[i]) * n for i, n in c) for c in used}
-    for c, amount in used.items():
-        if filled[c] >= full * capacity:
-            take(c, int(min(amount / max(1.0, max(surplus[i] for i, _ in c)), min(left[i] // n for i, n in c))))
-    for c in sorted(used, key=lambda c: (-c[-1][0], -filled[c])):
-        if filled[c] >= 0.995 * capacity:
-            take(c, int(min(left[i] // n for i, n in c)))
-    # the rest, from the longest: each sequence gets the longest piece that still fits, as often as there are enough
-    while (there := np.flatnonzero(left)).size:
-        room, c = capacity, {}
-        free = left.copy()
-        while room > 0 and (fits := there[: np.searchsorted(lengths[there], room, side="right")]).size:
-            fits = fits[free[fits] > 0]
-            if not fits.size:
-                break
-            i = int(fits[-1])
-            c[i] = c.get(i, 0) + 1
-            free[i] -= 1
-            room -= int(lengths[i])
-        key = tuple(sorted(c.items()))
-        take(key, int(min(left[i] // n for i, n in key)))
-    return taken
+        return result, full
+    program = Program(lengths, np.array([histogram[x] for x in lengths.tolist()], np.int64), capacity, step, group, seed)
+    best: dict[Configuration, int] | None = None
+    for k in range(1, rounds + 1):
+        program.round()
+        if k & (k - 1) == 0 or k == rounds:
+            program.tighten()
+            if k >= 4:
+                best = min((x for x in (best, program.whole()) if x is not None), key=lambda x: sum(x.values()))
+                if sum(best.values()) <= math.ceil(program.bound - 1e-6) * (1 + close):
+                    break
+    result += [(tuple((int(lengths[i]), n) for i, n in c), times) for c, times in (best or program.whole()).items()]
+    return result, full + math.ceil(program.bound - 1e-6)
+
+
+def solve(histogram: dict[int, int], capacity: int, **options) -> list[tuple[Configuration, int]]:
+    return solve_with_bound(histogram, capacity, **options)[0]
 
 
 def places(solution: list[tuple[Configuration, int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -190,7 +259,8 @@ def pack(cut: DataFrame, capacity: int, salt: int = 64, **options) -> DataFrame:
     )
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     numbered = salted.withColumn("row", F.row_number().over(within)).join(bases, ["length", "salt"]).withColumn("k", F.col("base") + F.col("row") - 1)
-    # the table's rows are bounded by the lengths and the rounds, not by the pieces
+    # the table has at most a row for each length of each configuration: lengths x (rounds x groups + lengths), whatever
+    # the number of pieces
     placed = numbered.join(F.broadcast(table), (F.col("length") == F.col("p_length")) & (F.col("k") >= F.col("p_from")) & (F.col("k") < F.col("p_to")))
     nth = F.col("k") - F.col("p_from")
     return placed.select(
