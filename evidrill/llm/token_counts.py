@@ -4,17 +4,19 @@ Batches of pre-tokens are ragged numpy arrays: one flat array of symbols and the
 round every sequence applies its lowest-rank pair at all its places at once (in a run of one symbol, at every
 other place from the left); sequences without a pair that the vocabulary knows leave the batch with their number
 of symbols. As a merged symbol only takes part in pairs of higher ranks than its own, this gives what merging one
-pair at a time gives.
+pair at a time gives. A long sequence is an array of its own with links to the next and the previous symbol; the
+places of its pairs are kept by rank, and a round touches only the places of the lowest one.
 
 Vocabularies are byte-level BPE files of the tokenizers library. A special string inside a text is one token, as
 in the library's default. Counts are remembered by piece, see tokens.py.
 
-Defined cases: a null text is empty: 0 bytes, 0 tokens; repeated rows each get their count; an empty table gives
+Defined cases: a null text is empty: 0 bytes, 0 tokens; a very long text, or word, is counted whole; repeated rows each get their count; an empty table gives
 an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -31,6 +33,7 @@ from .tokens import PieceMemory, byte_characters, kind_of
 # Fixed value: how byte-level BPE with 50,257 ids cuts texts.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int32(2**31 - 1)
+LONG = 2048
 
 
 class RankMerger:
@@ -44,19 +47,69 @@ class RankMerger:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.symbols = np.array([vocab[c] for c in byte_characters()], np.int64)
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, or NONE."""
+        key = left * self.n + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+    def long_count(self, sequence: bytes) -> int:
+        """The number of symbols that remain of one long sequence."""
+        symbol = self.symbols[np.frombuffer(sequence, np.uint8)]
+        n = len(symbol)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def add(at: np.ndarray) -> None:
+            rank = self.rank_of(symbol[at], symbol[after[at]])
+            at, rank = at[rank != NONE], rank[rank != NONE]
+            if not len(at):
+                return
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(np.diff(rank, prepend=-1))
+            for r, some in zip(rank[cuts].tolist(), np.split(at, cuts[1:]), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(some)
+
+        add(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (after[at] < n)]
+            at = at[self.rank_of(symbol[at], symbol[after[at]]) == r]
+            # in a run of places that share symbols every other one is merged
+            joins = np.concatenate([[False], after[at[:-1]] == at[1:]])
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(joins, 0, place))) % 2 == 0]
+            gone = after[at]
+            symbol[at] = self.merged[r]
+            alive[gone] = False
+            after[at] = after[gone]
+            follow = at[after[at] < n]
+            before[after[follow]] = follow
+            lead = before[at]
+            add(np.unique(np.concatenate([follow, lead[lead >= 0]])))
+        return int(alive.sum())
+
     def counts(self, sequences: list[bytes]) -> np.ndarray:
         """The number of symbols that remain of each sequence, none of which is empty."""
         result = np.zeros(len(sequences), np.int64)
-        who = np.arange(len(sequences))
         sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
-        flat = self.symbols[np.frombuffer(b"".join(sequences), np.uint8)]
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            result[i] = self.long_count(sequences[i])
+        who = np.flatnonzero(sizes <= LONG)
+        sizes = sizes[who]
+        flat = self.symbols[np.frombuffer(b"".join(sequences[i] for i in who.tolist()), np.uint8)]
         while len(who):
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             of = np.repeat(np.arange(len(who)), sizes)
             rank = np.full(len(flat), NONE)
-            key = flat[:-1] * self.n + flat[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank[:-1] = np.where((self.keys[at] == key) & (of[:-1] == of[1:]), self.ranks[at], NONE)
+            rank[:-1] = np.where(of[:-1] == of[1:], self.rank_of(flat[:-1], flat[1:]), NONE)
             lowest = np.minimum.reduceat(rank, starts)
             done = lowest == NONE
             result[who[done]] = sizes[done]

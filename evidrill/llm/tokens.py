@@ -6,8 +6,9 @@ line feeds with what follows it: none of its pre-tokens crosses the end of a wor
 space depends on the run and the next character alone. For a tokenizer that drops white space a piece is a word.
 A text with other white space than spaces and line feeds (for the first kind), and any text under a tokenizer of
 another kind, goes to the library whole. Cutting texts, telling pieces apart and putting the ids together is done
-by Arrow and numpy for a few megabytes of text at a time. Memory is bounded: there are two halves of about
-`entries` pieces, and when one is full the older one goes.
+by Arrow and numpy for a few megabytes of text at a time. Memory is bounded: there are two halves of about `held`
+bytes, and when one is full the older one goes; pieces of more than `longest` characters (texts without spaces)
+aren't remembered. What is remembered changes no result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ ODD = r"[\t\x0b-\r\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2
 RUNS = ("  ", " \n", "\n ", "\n\n")
 PIECE = re.compile("[ \n]*[^ \n]+|[ \n]+")
 FIRST = "\x01"
-ENTRIES = 300_000
+HELD = 24 << 20
+LONGEST = 64
+#: About what a remembered piece takes besides its characters and its value.
+ENTRY = 150
 CHUNK = 8 << 20
 
 
@@ -47,9 +51,9 @@ def kind_of(config: dict) -> str:
 class PieceMemory:
     """What `look_up` says of each piece, remembered."""
 
-    def __init__(self, kind: str, look_up: Callable[[list[str]], Iterable], entries: int = ENTRIES):
-        self.kind, self.look_up, self.entries = kind, look_up, entries
-        self.memory, self.older = {}, {}
+    def __init__(self, kind: str, look_up: Callable[[list[str]], Iterable], held: int = HELD, longest: int = LONGEST):
+        self.kind, self.look_up, self.held, self.longest = kind, look_up, held, longest
+        self.memory, self.older, self.size = {}, {}, 0
 
     def piece(self, key: str) -> str:
         """Under 'keep' a key stands for a space and itself, but after FIRST or with a line feed in front for
@@ -95,8 +99,8 @@ class PieceMemory:
             start = end
 
     def _values(self, keys: list[str]) -> list:
-        if len(self.memory) > self.entries:  # what is still in use comes over from the older half
-            self.memory, self.older = {}, self.memory
+        if self.size > self.held:  # what is still in use comes over from the older half
+            self.memory, self.older, self.size = {}, self.memory, 0
         values = list(map(self.memory.get, keys))
         missing = [i for i, v in enumerate(values) if v is None]
         found = [self.older.get(keys[i]) for i in missing]
@@ -105,7 +109,10 @@ class PieceMemory:
             values[i] = v
         for i, v in zip(new, self.look_up([self.piece(keys[i]) for i in new]), strict=True):
             values[i] = v
-        self.memory.update((keys[i], values[i]) for i in missing)
+        for i in missing:
+            if len(keys[i]) <= self.longest:
+                self.memory[keys[i]] = values[i]
+                self.size += ENTRY + len(keys[i])
         return values
 
     def sums(self, texts: pa.Array) -> np.ndarray:
