@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,30 +17,67 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 _own_folder: list[str] = []
+_scratch: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or, where it is unset
-    (a single machine, tests), a temporary folder of this process."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """This application's folder in the one that the driver and all executors see, spark.checkpoint.dir. Where that
+    is unset, a local master (a single machine, tests) gets a temporary folder; a cluster has to set it."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
     if folder:
-        return folder.rstrip("/")
+        return f"{folder.rstrip('/')}/evidrill-{sc.applicationId}"
+    if not (sc.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="evidrill-"))
     return "file://" + _own_folder[0]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and a lost executor costs nothing."""
-    path = shared_path(df.sparkSession, name)
+    return stored(df, shared_path(df.sparkSession, name))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what was written under a path that nothing reads any more."""
+    if path.startswith("file://") and (spark.sparkContext.master or "").startswith("local"):
+        shutil.rmtree(path[len("file://") :], ignore_errors=True)
+        return
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is materialized inside goes when the block ends; the block writes elsewhere what is to stay."""
+    path = shared_path(spark, name)
+    _scratch.append(path)
+    try:
+        yield
+    finally:
+        _scratch.remove(path)
+        discard(spark, path)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Words of a text (null: none): runs of anything but ASCII white space."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
@@ -49,8 +89,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def row_key(*cols: Column) -> Column:
-    """A 64-bit key of a row's content, never null. Repeated rows share it."""
-    return F.xxhash64(*cols)
+    """A 64-bit key of a row's content, never null. Repeated rows share it; a null differs from any value and from a
+    null elsewhere. Joins by it compare the rows' ids as well."""
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

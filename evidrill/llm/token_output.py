@@ -1,17 +1,19 @@
 """Token ids in a binary form, with Elias-Fano encoded document boundaries.
 
 The format: a folder of Parquet files whose rows are blocks. A block holds the ids of some documents one after
-the other (`ids`, unsigned little-endian integers of `width` bytes), the documents' ids in order, and their ends
-as an Elias-Fano sequence: `low` has the lower bits of each end, packed; `high` has the upper parts in unary, as
-a bit for each end and a zero for each step; `ranks` has the place of every 64th one. An end is found by select
-on `high` and a look at `low`, in about 2 + log2(ids / documents) bits a document, without a table of 64-bit
-offsets. Blocks go by (part, block); parts and the documents in them go by ascending document id.
-
-Spark writes the blocks, so a lost executor's part is written anew and nothing half-written stays.
-
-Defined cases: a null text is empty: its document holds the end id alone; a null document id comes first;
-repeated rows are documents of their own, next to each other; an empty table gives a folder without blocks;
-other columns are ignored.
+the other (`ids`, unsigned little-endian integers of `width` bytes, 2 where the vocabulary allows) and two
+Elias-Fano sequences: the documents' ends, and their ids less the block's first one. In such a sequence `low` has the
+lower bits of each number, packed; `high` has the upper parts in unary, as a bit for each number and a zero for each
+step; `ranks` has the place of every 64th one. A number is found by select on `high` and a look at `low`, in about
+2 + log2(range / numbers) bits each, without a table of 64-bit offsets. Blocks go by (part, block); parts and the
+documents in them go by ascending document id.
+
+Texts are encoded where they are and only ids are shuffled. Spark writes the blocks, so a lost executor's part is
+written anew and nothing half-written stays.
+
+Defined cases: a null text is empty: its document holds the end id alone; a very long text is one document of a block
+of its size; a null document id comes first; repeated rows are documents of their own, next to each other; rows of one
+document id go by their ids' bytes; an empty table gives a folder without blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import materialize, scratch, ship
 from .tokens import encode_texts
 
 SELECT_EVERY = 64
 BLOCK_IDS = 1 << 19
+PART_BYTES = 128 << 20
+FURTHEST = 1 << 62
 BROADCAST_ROWS = 100_000
 
 
@@ -82,41 +86,67 @@ class EliasFano:
         return (ones - np.arange(self.n)) << self.bits | low
 
 
+def largest_id(tokenizer: str, end_id: int) -> int:
+    from tokenizers import Tokenizer
+
+    return max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+
+
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
+    """Per document: doc_id and ids, with the end id."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end, kind = np.array([end_id], f"<u{width}").tobytes(), f"<u{width}"
+        for batch in batches:
+            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in encode_texts(tokenizer, batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return docs.mapInArrow(encode, "doc_id bigint, ids binary")
+
+
 def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text",
-          vocabulary: int = 1 << 16, block_ids: int = BLOCK_IDS) -> None:
-    """Encode all texts and write them to the folder `out`. Ids are below `vocabulary`."""
-    width = 2 if vocabulary <= 1 << 16 else 4
-    ship(docs.sparkSession)
+          block_ids: int = BLOCK_IDS) -> None:
+    """Encode all texts and write them to the folder `out`."""
+    spark = docs.sparkSession
+    ship(spark)
+    width = 2 if largest_id(tokenizer, end_id) < 1 << 16 else 4
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = d.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "t")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        part = TaskContext.get().partitionId()
         number, ids, ends, held = 0, [], [], []
 
         def block() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}")
-            ef = EliasFano.encode(np.array(ends))
-            values = [[part], [number], [held], [width], [len(flat)], [flat.tobytes()], [ef.bits], [ef.low], [ef.high], [ef.ranks]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names)
+            named = [x for x in held if x is not None]
+            first = named[0] if named else None
+            at, by = EliasFano.encode(np.array(ends)), EliasFano.encode(np.array([x - first for x in named], np.int64))
+            flat = b"".join(ids)
+            values = [part, number, len(held), len(held) - len(named), first, by.bits, by.low, by.high, by.ranks, width, len(flat) // width, flat, at.bits, at.low, at.high, at.ranks]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
         for batch in batches:
-            for doc_id, x in zip(batch.column(0).to_pylist(), encode_texts(tokenizer, batch.column(1)), strict=True):
-                ids.append(x + end)
-                ends.append((ends[-1] if ends else 0) + len(x) // 4 + 1)
-                held.append(doc_id)
-                if ends[-1] >= block_ids:
+            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and (ends[-1] >= block_ids or (doc_id is not None and held[0] is not None and doc_id - held[0] >= FURTHEST) or (held[0] is None) != (doc_id is None)):
                     yield block()
                     number, ids, ends, held = number + 1, [], [], []
+                ids.append(x.as_py())
+                ends.append((ends[-1] if ends else 0) + len(ids[-1]) // width)
+                held.append(doc_id)
         if held:
             yield block()
 
-    names = ["part", "block", "doc_ids", "width", "n_ids", "ids", "ef_bits", "ef_low", "ef_high", "ef_ranks"]
-    b = pa.binary()
-    types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), b, pa.int32(), b, b, b]
-    schema = "part int, block int, doc_ids array<bigint>, width int, n_ids bigint, ids binary, ef_bits int, ef_low binary, ef_high binary, ef_ranks binary"
-    ordered.mapInArrow(blocks, schema).write.option("parquet.block.size", 16 << 20).parquet(out)
+    b, n, i = pa.binary(), pa.int64(), pa.int32()
+    names, types = zip(*[("part", i), ("block", i), ("n_docs", i), ("n_unnamed", i), ("first_id", n), ("id_bits", i), ("id_low", b), ("id_high", b), ("id_ranks", b),
+                         ("width", i), ("n_ids", n), ("ids", b), ("ef_bits", i), ("ef_low", b), ("ef_high", b), ("ef_ranks", b)], strict=True)
+    spark_name = {b: "binary", n: "bigint", i: "int"}
+    schema = ", ".join(f"{name} {spark_name[t]}" for name, t in zip(names, types, strict=True))
+    with scratch(spark, "token-ids"):
+        ids = materialize(_encoded(d, tokenizer, end_id, width), "encoded")
+        size = ids.agg(F.sum(F.length("ids"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+        ordered = ids.repartitionByRange(parts, *order).sortWithinPartitions(order[0], "ids")
+        ordered.mapInArrow(blocks, schema).write.option("parquet.block.size", 16 << 20).parquet(out)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -131,31 +161,35 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def _documents(spark: SparkSession, path: str, column: str, of) -> DataFrame:
     ship(spark)
-    stored = spark.read.parquet(path)
+    blocks = spark.read.parquet(path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 r = {name: batch.column(name)[k] for name in batch.schema.names}
-                held = r["doc_ids"].values
-                ef = EliasFano(len(held), r["ef_bits"].as_py(), r["ef_low"].as_py(), r["ef_high"].as_py(), r["ef_ranks"].as_py())
-                ends = ef.decode()
-                starts = np.concatenate([[0], ends[:-1]])
+                sequence = lambda n, x: EliasFano(n, *(r[f"{x}_{y}"].as_py() for y in ("bits", "low", "high", "ranks")))  # noqa: B023, E731
+                n, unnamed = r["n_docs"].as_py(), r["n_unnamed"].as_py()
+                at, by = sequence(n, "ef"), sequence(n - unnamed, "id")
+                first = r["first_id"].as_py()
+                ends = [at[i] for i in range(n)]
+                starts = [0, *ends[:-1]]
+                held = [None] * unnamed + [first + by[i] for i in range(n - unnamed)]
                 flat = np.frombuffer(r["ids"].as_buffer(), f"<u{r['width'].as_py()}").astype("<u4")
-                what, kind = of([flat[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-                n = len(held)
+                what, kind = of([flat[a:b].tobytes() for a, b in zip(starts, ends, strict=True)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["part"].as_py()] * n, pa.int32()), pa.array([r["block"].as_py()] * n, pa.int32()), held,
-                     pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(what, kind)],
+                    [pa.array([r["part"].as_py()] * n, pa.int32()), pa.array([r["block"].as_py()] * n, pa.int32()), pa.array(held, pa.int64()),
+                     pa.array(starts, pa.int64()), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(what, kind)],
                     ["part", "block", "doc_id", "start_in_block", "n_tokens", column.split()[0]],
                 )
 
-    held = stored.mapInArrow(decode, f"part int, block int, doc_id bigint, start_in_block bigint, n_tokens bigint, {column}")
-    # a row for each block: few next to what they hold
-    before = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = stored.select("part", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("block_start"))
-    if stored.count() <= BROADCAST_ROWS:
+    held = blocks.mapInArrow(decode, f"part int, block int, doc_id bigint, start_in_block bigint, n_tokens bigint, {column}")
+    # sums of whole parts first, a row for each; then those of the blocks of each part
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_start"))
+    before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("block_start")).join(parts, "part")
+    if blocks.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
     return held.join(starts, ["part", "block"]).select(
-        "doc_id", (F.col("block_start") + F.col("start_in_block")).cast("bigint").alias("start"), "n_tokens", column.split()[0]
+        "doc_id", (F.col("part_start") + F.col("block_start") + F.col("start_in_block")).cast("bigint").alias("start"), "n_tokens", column.split()[0]
     )
