@@ -16,7 +16,8 @@ components are the classes. No link between different texts is lost, whatever th
 
 Defined cases: a null text, or one without words, has an empty set and is linked with nothing; a text of fewer
 than `n` words has one shingle, all its words; repeated rows are linked; a null id is linked with nothing that
-has none; an empty table gives an empty result; other columns are ignored.
+has none; a very long text is one set like others, cut into no windows; an empty table gives an empty result;
+other columns are ignored by `join` and carried by `one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, ship
+from .common import materialize, row_key, ship, spare
 from .components import connected_components
 
 BAND = 1.4
@@ -251,8 +252,13 @@ def _classes(docs: DataFrame, n: int, similarity: Similarity, id_col: str, text:
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     signed = _signatures_of_documents(d.join(wanted, d.row_key == wanted.rid, "left_semi"), n, similarity)
-    first = F.first("rid").over(Window.partitionBy("sig").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0))
-    candidates = signed.withColumn("anchor", first).where("rid <> anchor").select("rid", "anchor").distinct()
+    # a signature's least set, combined before the shuffle; the few signatures that sets share are looked up in a
+    # second pass, which makes them anew instead of storing all
+    anchors = signed.groupBy("sig").agg(F.min("rid").alias("anchor"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("sig", "anchor")
+    anchors = materialize(anchors, "jaccard-anchors")
+    if anchors.count() <= BROADCAST_ROWS:
+        anchors = F.broadcast(anchors)
+    candidates = signed.join(anchors, "sig").where("rid <> anchor").select("rid", "anchor").distinct()
     groups = materialize(connected_components(candidates, "rid", "anchor"), "jaccard-groups")
     links = _verify(d, representative.select("rid", "size"), groups, n, similarity)
     classes = materialize(connected_components(links, "rid", "root"), "jaccard-linked")
@@ -266,13 +272,32 @@ def _classes(docs: DataFrame, n: int, similarity: Similarity, id_col: str, text:
     )
 
 
+def _weight() -> Column:
+    return F.greatest("size", F.lit(1000))
+
+
+def _blocks(sizes: DataFrame) -> DataFrame:
+    """Deals the sets (component, rid, size) of each component into blocks of alike sizes. Sets of one size are
+    counted by salts and numbered within one, so that no task orders a whole component."""
+    salts = max(64, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = sizes.groupBy("component").agg(F.sum(_weight()).alias("total"))
+    sizes = sizes.join(total, "component")
+    large = sizes.where(F.col("total") > BLOCK).withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)))
+    earlier = Window.partitionBy("component").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = large.groupBy("component", "size", "salt").agg(F.sum(_weight()).alias("w"))
+    base = base.select("component", "size", "salt", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("component", "size", "salt").orderBy("rid")
+    placed = large.withColumn("row", F.row_number().over(within) - 1).join(base, ["component", "size", "salt"])
+    block = F.floor((F.col("base") + F.col("row") * _weight()) / BLOCK).cast("int")
+    few = sizes.where(F.col("total") <= BLOCK).select("component", "rid", "size", F.lit(0).alias("block"))
+    return few.unionByName(placed.select("component", "rid", "size", block.alias("block")))
+
+
 def _verify(d: DataFrame, sizes: DataFrame, groups: DataFrame, n: int, similarity: Similarity) -> DataFrame:
     """Links among the candidates, a spanning forest for each pair of blocks: (rid, root)."""
     sizes = sizes.join(groups, sizes.rid == groups.node).select("component", "rid", "size")
-    weight = F.greatest("size", F.lit(1000))
-    by_size = Window.partitionBy("component").orderBy("size", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    members = sizes.withColumn("block", F.floor(F.coalesce(F.sum(weight).over(by_size), F.lit(0)) / BLOCK).cast("int"))
-    members = materialize(members, "jaccard-members")
+    members = materialize(_blocks(sizes), "jaccard-members")
+    weight = _weight()
     blocks = members.groupBy("component", "block").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.sum(weight).alias("w"))
     total = blocks.groupBy("component").agg(F.count(F.lit(1)).alias("n_blocks"))
     small = members.join(total.where("n_blocks = 1"), "component")
@@ -317,12 +342,14 @@ def one_of_each(docs: DataFrame, n: int = 5, similarity: Similarity = Similarity
     """The documents, all columns, without those that link to one of a smaller id (or, under the same id, to the row
     that stands for it), and repeated rows once. Documents of a null id all stay."""
     classes = materialize(_classes(docs, n, similarity, id_col, text), "jaccard-classes")
-    gone = classes.where("row_key <> keeper").select(F.col("row_key").alias("__gone")).distinct()
+    key = spare(docs, "row_key")
+    kept = docs.withColumn(key, row_key(F.col(id_col), F.col(text)))
+    gone_key, gone_id = spare(kept, "gone_key"), spare(kept, "gone_id")
+    gone = classes.where("row_key <> keeper").select(F.col("row_key").alias(gone_key), F.col("doc_id").alias(gone_id)).distinct()
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    kept = docs.withColumn("__row_key", row_key(F.col(id_col), F.col(text)))
-    kept = kept.join(gone, kept["__row_key"] == gone["__gone"], "left_anti")
+    kept = kept.join(gone, (kept[key] == gone[gone_key]) & (kept[id_col] == gone[gone_id]), "left_anti")
     if _repeated(classes.where(F.col("doc_id").isNotNull())):
         named = F.col(id_col).isNotNull()
-        kept = kept.where(named).dropDuplicates(["__row_key"]).unionByName(kept.where(~named))
-    return kept.drop("__row_key")
+        kept = kept.where(named).dropDuplicates([id_col, key]).unionByName(kept.where(~named))
+    return kept.drop(key)
