@@ -52,9 +52,51 @@ def test_many_equal_vectors_cost_one_entry(spark):
 def test_probing_retrieves_all_within_the_radius():
     rng = np.random.default_rng(0)
     rows, asked = rng.integers(0, 256, (500, 8), dtype=np.uint8), rng.integers(0, 256, (20, 8), dtype=np.uint8)
-    apart = neighbours.hamming(asked, rows)
-    for radius in (0, 5, 20, 27, 64):
-        assert (neighbours.probe(rows, asked, radius) | (apart > radius)).all()
+    rows[:100] = asked[np.arange(100) % 20]
+    for i in range(100):  # near copies of the codes asked for
+        for bit in rng.integers(0, 64, i % 12):
+            rows[i, bit // 8] ^= 1 << bit % 8
+    apart, index = neighbours.hamming(asked, rows), neighbours.Index(rows)
+    for to in range(1, 18):
+        for i, code in enumerate(asked):
+            found = np.zeros(500, bool)
+            for start in range(to):  # grown by one bit at a time
+                found[index.probe(code, start, start + 1)] = True
+            assert (found[apart[i] < 4 * to]).all()
+            assert (found == (np.bitwise_count(rows.view(np.uint16) ^ code.view(np.uint16)).min(axis=1) < to)).all()
+
+
+def test_probing_touches_few_rows_where_copies_are_near():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(400, 64))
+    x = (centres[np.arange(8000) % 400] + 0.02 * rng.normal(size=(8000, 64))).astype(np.float64)
+    model = neighbours.fit(x[:4000], 64, 10, 1.0)
+    codes, ids = model.of(x), [np.array([i]) for i in range(8000)]
+    of, found, _, touched = neighbours.nearest_in_block(ids, x, codes, np.arange(40), x[:40], codes[:40], model, 10)
+    d = ((x[:40, None] - x[None]) ** 2).sum(-1)
+    d[np.arange(40), np.arange(40)] = np.inf
+    want = {(i, j) for i in range(40) for j in np.argsort(d[i])[:10].tolist()}
+    assert len(want & set(zip(of, found, strict=True))) >= 0.95 * len(want)
+    assert touched < 0.1 * 40 * 8000
+
+
+def test_without_probing_nothing_is_found(spark, monkeypatch):
+    """Rows come from the index alone."""
+    monkeypatch.setattr(neighbours.Index, "probe", lambda *args: np.zeros(0, np.int64))
+    x = np.random.default_rng(1).normal(size=(50, 16))
+    model = neighbours.fit(x, 64, 5, 1.0)
+    with pytest.raises(ValueError):
+        neighbours.nearest_in_block([np.array([i]) for i in range(50)], x, model.of(x), np.arange(5), x[:5], model.of(x[:5]), model, 5)
+
+
+def test_recall_on_the_given_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = queries.op4_nearest_neighbours(spark, "/root/testdata/sf0.1").collect()
+    want = brute([(r.vec_id, r.embedding) for r in table.collect()], 10)
+    asked = [i for i in want if i % 100 == 0]
+    assert {r.query_id for r in got} == set(asked)
+    hits = {(r.query_id, r.vec_id) for r in got} & {(i, j) for i in asked for _, j in want[i]}
+    assert len(hits) >= 0.9 * 10 * len(asked)
 
 
 def turns(spark, rows):
