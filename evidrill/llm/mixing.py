@@ -9,8 +9,9 @@ The prefix sums never put a source into one task: keys fall into `buckets` range
 and range, and only the one range of each source in which its budget ends is sorted.
 
 Defined cases: a null or empty text has size 0; a null source is a source of its own, after all others;
-repeated rows are separate documents, tied by key and interchangeable; an empty table gives an empty result;
-other columns are ignored.
+ties of the key go by the id and the row's content, so repeated rows, which are separate documents, are the only ones
+that are interchangeable; a very long text is taken whole or not at all; an empty table gives an empty result; other
+columns are ignored by `mix` and carried by `mixed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import materialize, row_key, spare
 
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
     if cut.count() <= BROADCAST_ROWS:
         cut = F.broadcast(cut)
     d = d.join(cut, d.source.eqNullSafe(cut.p_source))
-    sorted_range = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    sorted_range = Window.partitionBy("source").orderBy("key", "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, -1)
     inside = d.where(F.col("bucket") == F.col("cut")).withColumn(
         "selected",
         F.col("before") + F.coalesce(F.sum("size").over(sorted_range), F.lit(0)) + F.col("size") / 2 < F.col("budget"),
@@ -109,13 +110,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: s
 def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it."""
     found = mix(docs, id_col, source, text, **options)
-    times = found.groupBy("row_key").agg(F.sum(F.col("epochs") + F.col("selected").cast("bigint")).cast("int").alias("__times"), F.count(F.lit(1)).alias("_rows"))
+    times = found.groupBy("row_key", "doc_id").agg(F.sum(F.col("epochs") + F.col("selected").cast("bigint")).cast("int").alias("times"), F.count(F.lit(1)).alias("rows"))
     times = materialize(times, "mix-times")
-    repeated = times.where("_rows > 1").limit(1).count() > 0
-    chosen = times.where("__times > 0").select(F.col("row_key").alias("__key"), "__times")
-    if chosen.count() <= BROADCAST_ROWS * 10:  # 16 bytes each
-        chosen = F.broadcast(chosen)
-    rows = docs.withColumn("__key", row_key(F.col(id_col), F.col(source), F.col(text)))
+    repeated = times.where("rows > 1").limit(1).count() > 0
+    key = spare(docs, "row_key")
+    rows = docs.withColumn(key, row_key(F.col(id_col), F.col(source), F.col(text)))
     if repeated:  # their times were added up
-        rows = rows.dropDuplicates(["__key"])
-    return rows.join(chosen, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+        rows = rows.dropDuplicates([id_col, source, text])
+    chosen_key, chosen_id, n = (spare(rows, x) for x in ("chosen_key", "chosen_id", "times"))
+    chosen = times.where("times > 0").select(F.col("row_key").alias(chosen_key), F.col("doc_id").alias(chosen_id), F.col("times").alias(n))
+    if chosen.count() <= BROADCAST_ROWS * 10:  # 24 bytes each
+        chosen = F.broadcast(chosen)
+    rows = rows.join(chosen, (rows[key] == chosen[chosen_key]) & rows[id_col].eqNullSafe(chosen[chosen_id]))
+    return rows.withColumn(spare(rows, "copy"), F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
