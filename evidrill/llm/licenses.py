@@ -10,8 +10,8 @@ Rules are made from license names and from the phrases in which they are given n
 words of the licenses themselves. Base phrases are rules of their own, counted at every place and never
 suppressed.
 
-Defined cases: a null text is empty (no words, no labels, score 0); repeated rows each get the same answer; an
-empty table gives an empty result; other columns are ignored.
+Defined cases: a null text is empty (no words, no labels, score 0); a very long text is scanned whole; repeated rows
+each get the same answer; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import ascii_lower, materialize, row_key
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -130,6 +130,56 @@ TEXTS = (
     ("all-rights-reserved", "all rights reserved", "reserved", 3, 0.5),
     ("proprietary", "(?:proprietary and confidential|confidential and proprietary)", "proprietary", 2, 0.8),
     ("proprietary", "may not be (?:reproduced|copied|distributed) without (?:the )?(?:prior )?(?:written )?permission", "permission", 2, 0.8),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", "received", 1, 0.97),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this (?:library|program)", "received", 1, 0.97),
+    ("agpl-3.0", "you should have received a copy of the gnu affero general public license along with this program", "received", 1, 0.98),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty", "hope", 2, 0.9),
+    ("lgpl", "this library is distributed in the hope that it will be useful but without any warranty", "hope", 2, 0.9),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "verbatim", 2, 0.9),
+    ("gpl-2.0", "either version 2 of the license or at your option any later version", "option", 1, 0.95),
+    ("gpl-3.0", "either version 3 of the license or at your option any later version", "option", 1, 0.95),
+    ("lgpl-2.1", "either version 2 1 of the license or at your option any later version", "option", 1, 0.95),
+    ("gpl-3.0", "the gnu general public license is a free copyleft license for software and other kinds of works", "copyleft", 1, 0.97),
+    ("agpl-3.0", "the gnu affero general public license is a free copyleft license for software and other kinds of works", "copyleft", 1, 0.97),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "documentation", 1, 0.98),
+    ("apache-2.0", "see the license for the specific language governing permissions and limitations under the license", "governing", 2, 0.95),
+    ("apache-2.0", "you may obtain a copy of the license at(?: http)? www apache org licenses license 2 0", "obtain", 1, 0.98),
+    ("apache-1.1", "this product includes software developed by the apache software foundation", "apache", 1, 0.95),
+    ("bsd", "redistributions of source code must retain the above copyright notice", "redistributions", 2, 0.95),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice", "redistributions", 2, 0.95),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "merchantability", 2, 0.9),
+    ("x11", "except as contained in this notice the name of .{1,120} shall not be used in advertising or otherwise", "advertising", 1, 0.97),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software", "disclaims", 2, 0.9),
+    ("hpnd", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted", "hereby", 1, 0.97),
+    ("zlib", "the origin of this software must not be misrepresented", "misrepresented", 1, 0.97),
+    ("zlib", "altered source versions must be plainly marked as such", "altered", 2, 0.95),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "mpl", 1, 0.99),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse", 1, 0.98),
+    ("artistic-1.0", "the intent of this document is to state the conditions under which a package may be copied", "intent", 1, 0.97),
+    ("psf-2.0", "psf is making python available to licensee on an as is basis", "psf", 1, 0.98),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "compile", 1, 0.98),
+    ("wtfpl", "you just do what the fuck you want to", "fuck", 1, 0.98),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer in return", "beer", 1, 0.99),
+    ("json", "the software shall be used for good not evil", "evil", 1, 0.98),
+    ("ofl-1.1", "(?:the )?font software may be sold as part of a larger software package", "font", 1, 0.95),
+    ("openssl", "this product includes software developed by the openssl project", "openssl", 1, 0.97),
+    ("php-3.01", "this product includes php software freely available from", "php", 1, 0.97),
+    ("sspl-1.0", "if you make the functionality of the program or a modified version available to third parties as a service", "functionality", 1, 0.98),
+    ("busl-1.1", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "licensor", 1, 0.99),
+    ("elastic-2.0", "you may not provide the software to third parties as a hosted or managed service", "hosted", 1, 0.98),
+    ("commons-clause", "the license does not grant to you the right to sell the software", "sell", 1, 0.97),
+    ("cc-by-4.0", "(?:creative commons )?attribution 4 0 international", "attribution", 2, 0.95),
+    ("cc-by-sa-4.0", "(?:creative commons )?attribution share ?alike 4 0 international", "attribution", 2, 0.95),
+    ("cc-by-nc-4.0", "(?:creative commons )?attribution non ?commercial 4 0 international", "attribution", 2, 0.95),
+    ("cc-by-nd-4.0", "(?:creative commons )?attribution no ?derivatives 4 0 international", "attribution", 2, 0.95),
+    ("cc-by-nc-sa-4.0", "(?:creative commons )?attribution non ?commercial share ?alike 4 0 international", "attribution", 2, 0.95),
+    ("cc-by-nc-nd-4.0", "(?:creative commons )?attribution non ?commercial no ?derivatives 4 0 international", "attribution", 2, 0.95),
+    ("public-domain", "no (?:known )?copyright restrictions", "restrictions", 2, 0.7),
+    ("proprietary", "unauthori[sz]ed (?:copying|reproduction|distribution|disclosure) of this (?:file|software|material|document)", "unauthorized unauthorised", 2, 0.9),
+    ("proprietary", "(?:for )?evaluation purposes only", "evaluation", 3, 0.6),
+    ("all-rights-reserved", "no part of this (?:publication|book|work|document) may be reproduced", "reproduced", 2, 0.85),
+    ("eula", "end user licen[cs]e agreement", "agreement", 2, 0.8),
+    ("non-commercial", "(?:for )?non ?commercial use only", "commercial noncommercial", 3, 0.6),
 )
 
 
@@ -168,22 +218,27 @@ def _spaces(text):
     return F.length(text) - F.length(F.replace(text, F.lit(" ")))
 
 
-# Every match of a rule holds one of these words.
+# Every match of a rule on names holds one of these words; one on texts holds one of its keywords.
 GATE = (
     "license licence licensed licenced unlicense unlicence license1 license2 license3 licence1 licence2 licence3 0bsd gpl agpl lgpl gfdl spdx cc cc0 creative attribution domain domains reserved proprietary hereby "
     "permission redistribution redistribute merchantability advertising waived unencumbered endorse clause notice compliance applicable liable identifier"
 ).split()
+#: The letters beyond A-Z of whose lower case an ASCII letter is a part.
+NOT_ASCII = "[\u0130\u212A]"
 
 
 def word_forms(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: row_key, doc_id, n_words and, if any rule can match, its words as one string and the
-    keywords among them. Lower-casing more than A-Z makes no word of a rule from another one."""
+    keywords among them. As rules hold ASCII alone, lower case of all letters gives what that of A-Z gives, but for
+    the two letters that it would turn into ASCII ones."""
     keywords = sorted({word for r in rules() for word in r.keywords})
+    t = F.coalesce(F.col(text), F.lit(""))
+    lowered = F.when(t.rlike(NOT_ASCII), ascii_lower(t)).otherwise(F.lower(t))
     d = docs.select(
         row_key(F.col(id_col), F.col(text)).alias("row_key"), F.col(id_col).alias("doc_id"),
-        F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD), "").alias("words"),
+        F.array_remove(F.split(lowered, NOT_WORD), "").alias("words"),
     )
-    gate = F.arrays_overlap("words", F.array(*map(F.lit, GATE)))
+    gate = F.arrays_overlap("words", F.array(*map(F.lit, sorted({*GATE, *(w for _, _, words, *_ in TEXTS for w in words.split())}))))
     return d.select(
         "row_key", "doc_id", F.size("words").cast("bigint").alias("n_words"),
         F.when(gate, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("norm"),
@@ -243,3 +298,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
+
+
+def plain_sql(table: str = "documents") -> str:
+    """What `scan` gives, in DuckDB's SQL and without the prefilter: every rule is tried on every text. Letters beyond
+    ASCII become Q, which no rule and no lower-cased text holds, so that an ASCII word boundary is one."""
+    values = ",\n".join(f"({r.rule}, '{r.label}', ' (?:{r.pattern})\\b', {r.priority}, {r.confidence}e0, {str(r.base).lower()})" for r in rules())
+    spaces = "(length({0}) - length(replace({0}, ' ', '')))".format
+    return rf"""WITH rules(rule, label, pattern, priority, confidence, base) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}),
+x AS (SELECT r, ' ' || regexp_replace(array_to_string(w, ' '), '[^\x00-\x7F]', 'Q', 'g') || ' ' AS x FROM d),
+hit AS (SELECT r, rules.*, regexp_extract_all(x, pattern) AS m, string_split_regex(x, pattern) AS p FROM x JOIN rules ON regexp_matches(x, pattern)),
+part AS (SELECT * EXCLUDE (m, p), unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(p[1:len(m)]) AS p FROM hit),
+pos AS (SELECT *, sum({spaces("p")} + {spaces("m")}) OVER (PARTITION BY r, rule ORDER BY i) - {spaces("m")} AS first FROM part),
+found AS (SELECT r, rule, label, priority, confidence, base, first::BIGINT AS first, (first + {spaces("m")} - 1)::BIGINT AS last FROM pos),
+kept AS (SELECT * FROM found f WHERE base OR NOT EXISTS (FROM found o WHERE NOT o.base AND o.r = f.r AND o.first <= f.first AND o.last >= f.last AND o.priority <= f.priority
+  AND (o.first < f.first OR o.last > f.last OR o.priority < f.priority OR o.rule < f.rule))),
+per AS (SELECT r, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(confidence) AS score FROM kept GROUP BY ALL)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0e0) AS score
+FROM d LEFT JOIN per USING (r)"""

@@ -9,8 +9,8 @@ into boilerplate: finding copies is the work of the near-duplicate operators, an
 having been copied.
 
 Defined cases: a null text is an empty one (no words: it fails the base rule); a null host is a host of its
-own; repeated rows count as one document and get the same verdict; an empty table gives an empty result; other
-columns of the input are carried by `clean` and ignored by `score`.
+own; repeated rows count as one document and get the same verdict; a very long text is measured whole; an empty table
+gives an empty result; other columns of the input are carried by `clean`, whatever their names, and ignored by `score`.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, row_key, words
+from .common import SPACE, materialize, row_key, spare, words
 
 
 @dataclass(frozen=True)
@@ -56,12 +56,13 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", host: str = "source", te
         "lines", F.filter(F.split("t", "\n"), _has_word)
     )
     n = F.size("words")
-    # a hash for each window of `w` words; most texts repeat none, and the set shows that cheaply
-    d = d.withColumn(
+    # a hash for each window of `w` words, from the words' hashes; most texts repeat none, and the set shows that
+    # cheaply
+    d = d.withColumn("hashes", F.transform("words", lambda x: F.xxhash64(x))).withColumn(
         "win",
         F.when(
             n >= w,
-            F.transform(F.sequence(F.lit(1), n - (w - 1)), lambda i: F.xxhash64(F.slice("words", i, w))),
+            F.transform(F.slice("hashes", F.lit(1), n - (w - 1)), lambda x, i: F.xxhash64(F.slice("hashes", i + 1, w))),
         ).otherwise(F.array().cast("array<bigint>")),
     )
     d = d.withColumn(
@@ -165,21 +166,19 @@ def clean(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: s
     )
     hit = (
         hit.join(boilerplate, [hit.host.eqNullSafe(boilerplate.f_host), hit.h == boilerplate.f_h], "left_semi")
-        .groupBy("row_key").agg(F.collect_set("h").alias("_drop"))
+        .groupBy("row_key").agg(F.collect_set("h").alias("lines"))
     )
-    kept = verdict.where("kept").select("row_key").distinct().join(hit, "row_key", "left").select(
-        F.col("row_key").alias("__kept_key"), F.col("_drop").alias("__drop")
+    key = spare(docs, "row_key")
+    out = docs.withColumn(key, _key(id_col, host, text))
+    kept_key, kept_id, drop = (spare(out, x) for x in ("kept_key", "kept_id", "drop"))
+    kept = verdict.where("kept").select("row_key", "doc_id").distinct().join(hit, "row_key", "left").select(
+        F.col("row_key").alias(kept_key), F.col("doc_id").alias(kept_id), F.col("lines").alias(drop)
     )
     rest = F.array_join(
-        F.filter(
-            F.split(F.col(text), "\n"),
-            lambda x: ~(_has_word(x) & F.array_contains("__drop", F.xxhash64(_normal(x)))),
-        ),
-        "\n",
+        F.filter(F.split(F.col(text), "\n"), lambda x: ~(_has_word(x) & F.array_contains(drop, F.xxhash64(_normal(x))))), "\n"
     )
-    out = docs.withColumn("__row_key", _key(id_col, host, text))
-    out = out.join(kept, out["__row_key"] == kept["__kept_key"], "inner")
-    out = out.withColumn(text, F.when(F.col("__drop").isNull(), F.col(text)).otherwise(rest))
+    out = out.join(kept, (out[key] == kept[kept_key]) & out[id_col].eqNullSafe(kept[kept_id]), "inner")
+    out = out.withColumn(text, F.when(F.col(drop).isNull(), F.col(text)).otherwise(rest))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -113,10 +113,9 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep CROSS JOIN range(0, 8
 l AS (SELECT doc_id, source, l FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY ALL),
 line AS (SELECT doc_id, source, {_LINE} AS h, sum(len({_WORDS.replace("(t,", "(l,")})) AS n FROM l GROUP BY ALL),
-f1 AS (SELECT source, h FROM line GROUP BY ALL HAVING count(*) > 10),
-s1 AS (SELECT doc_id, sum(n) AS n FROM line SEMI JOIN f1 USING (source, h) GROUP BY ALL),
-f2 AS (SELECT line.source, h FROM line JOIN w USING (doc_id) LEFT JOIN s1 USING (doc_id) WHERE coalesce(s1.n, 0) <= 0.5 * len(w) GROUP BY ALL HAVING count(*) > 10),
-s2 AS (SELECT doc_id, sum(n) AS n FROM line SEMI JOIN f2 USING (source, h) GROUP BY ALL),
+content AS (SELECT doc_id, md5(array_to_string(list_sort(list(h)), chr(10))) AS c FROM line GROUP BY ALL),
+f AS (SELECT source, h FROM line JOIN content USING (doc_id) GROUP BY ALL HAVING count(DISTINCT c) > 10),
+s2 AS (SELECT doc_id, sum(n) AS n FROM line WHERE EXISTS (FROM f WHERE f.source IS NOT DISTINCT FROM line.source AND f.h = line.h) GROUP BY ALL),
 m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
   coalesce(cov.n, 0) AS n_repeat_words, CAST(coalesce(s2.n, 0) AS BIGINT) AS n_removed_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN s2 USING (doc_id)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_words - n_removed_words < 0.3 * n_words AS depleted FROM m)
@@ -131,6 +130,7 @@ t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, rat
 p AS (SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0 END AS epochs FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
 b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
 SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN before + size / 2e0 < target - epochs * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM b""",
+    "op6_license_scan": licenses.plain_sql(),
     "op10_chat_format": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(0, 2) r(i)),
 f AS (SELECT *, length(CASE WHEN conv_id = -7 THEN {_ESCAPED} ELSE text END) + CASE role WHEN 'user' THEN 13 WHEN 'system' THEN 15 WHEN 'assistant' THEN 7 END AS n FROM c)
