@@ -8,12 +8,13 @@ step; `ranks` has the place of every 64th one. A number is found by select on `h
 2 + log2(range / numbers) bits each, without a table of 64-bit offsets. Blocks go by (part, block); parts and the
 documents in them go by ascending document id.
 
-Texts are encoded where they are and only ids are shuffled. Spark writes the blocks, so a lost executor's part is
+Texts are encoded where they are and only ids are shuffled, once, to parts that quantiles of the document ids tell
+beforehand. Spark writes the blocks, so a lost executor's part is
 written anew and nothing half-written stays.
 
 Defined cases: a null text is empty: its document holds the end id alone; a very long text is one document of a block
 of its size; a null document id comes first; repeated rows are documents of their own, next to each other; rows of one
-document id go by their ids' bytes; an empty table gives a folder without blocks; other columns are ignored.
+document id go by part and their ids' bytes; an empty table gives a folder without blocks; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,16 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, ship
+from .common import ship
 from .tokens import encode_texts
 
 SELECT_EVERY = 64
 BLOCK_IDS = 1 << 19
-PART_BYTES = 128 << 20
 FURTHEST = 1 << 62
 BROADCAST_ROWS = 100_000
 
@@ -92,26 +93,39 @@ def largest_id(tokenizer: str, end_id: int) -> int:
     return max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
-    """Per document: doc_id and ids, with the end id."""
+def _bounds(d: DataFrame, parts: int) -> np.ndarray:
+    """Ids that cut the documents into `parts` parts of about one size: what is gathered grows with the parts alone."""
+    found = d.where("doc_id IS NOT NULL").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
+    return np.array(sorted(map(int, found)), np.int64)
+
+
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, bounds: np.ndarray) -> DataFrame:
+    """Per document: part, doc_id and ids, with the end id. An id that is several bounds at once has as many parts,
+    which its documents are dealt to by their ids' checksums."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, kind = np.array([end_id], f"<u{width}").tobytes(), f"<u{width}"
         for batch in batches:
             ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + end for x in encode_texts(tokenizer, batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            at = pc.fill_null(batch.column(0), 0).to_numpy()
+            low, high = np.searchsorted(bounds, at, "left"), np.searchsorted(bounds, at, "right")
+            crc = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
+            part = np.where(named, low + crc % (high - low + 1), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0), pa.array(ids, pa.binary())], ["part", "doc_id", "ids"])
 
-    return docs.mapInArrow(encode, "doc_id bigint, ids binary")
+    return docs.mapInArrow(encode, "part int, doc_id bigint, ids binary")
 
 
 def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text: str = "text",
-          block_ids: int = BLOCK_IDS) -> None:
+          block_ids: int = BLOCK_IDS, part_rows: int = 1 << 20) -> None:
     """Encode all texts and write them to the folder `out`."""
     spark = docs.sparkSession
     ship(spark)
     width = 2 if largest_id(tokenizer, end_id) < 1 << 16 else 4
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // part_rows))
+    bounds = _bounds(d, parts)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -126,7 +140,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str =
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
         for batch in batches:
-            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if held and (ends[-1] >= block_ids or (doc_id is not None and held[0] is not None and doc_id - held[0] >= FURTHEST) or (held[0] is None) != (doc_id is None)):
                     yield block()
                     number, ids, ends, held = number + 1, [], [], []
@@ -141,12 +155,9 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str =
                          ("width", i), ("n_ids", n), ("ids", b), ("ef_bits", i), ("ef_low", b), ("ef_high", b), ("ef_ranks", b)], strict=True)
     spark_name = {b: "binary", n: "bigint", i: "int"}
     schema = ", ".join(f"{name} {spark_name[t]}" for name, t in zip(names, types, strict=True))
-    with scratch(spark, "token-ids"):
-        ids = materialize(_encoded(d, tokenizer, end_id, width), "encoded")
-        size = ids.agg(F.sum(F.length("ids"))).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-        ordered = ids.repartitionByRange(parts, *order).sortWithinPartitions(order[0], "ids")
-        ordered.mapInArrow(blocks, schema).write.option("parquet.block.size", 16 << 20).parquet(out)
+    ids = _encoded(d, tokenizer, end_id, width, bounds).repartitionById(parts, F.col("part"))
+    ordered = ids.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ordered.mapInArrow(blocks, schema).write.option("parquet.block.size", 16 << 20).parquet(out)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
