@@ -20,10 +20,16 @@ from pyspark.sql import functions as F
 from .common import discard, shared_path, stored
 
 
-def _with_least(edges: DataFrame, around: DataFrame, hub: int) -> DataFrame:
+#: Up to so many edges a node's edges are no matter for one task, and there are no hubs.
+FEW = 1 << 20
+
+
+def _with_least(edges: DataFrame, around: DataFrame, hub: int | None) -> DataFrame:
     """(a, b, m): edges with the least node around a. `around` is what the least is taken from; a node with more
     than `hub` rows of it is a hub."""
     least = around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    if hub is None:
+        return edges.join(least.select("a", "m"), "a").select("a", "b", "m")
     hubs = least.where(F.col("n") > hub).select("a", F.col("m").alias("hub_m"))
     marked = edges.join(F.broadcast(hubs), "a", "left")
     others = marked.where("hub_m IS NULL").select("a", "b").join(least.where(F.col("n") <= hub).select("a", "m"), "a")
@@ -38,7 +44,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", hubs: int
     e = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), path)
     state, n = None, e.count()
     while True:
-        hub = max(64, 2 * n // hubs)
+        hub = 2 * n // hubs if n > FEW else None
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_least(both.where("b > a"), both, hub)
         large = large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()

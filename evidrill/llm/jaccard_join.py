@@ -38,6 +38,7 @@ BAND = 1.4
 PARTS = 3
 BLOCK = 512_000
 BROADCAST_ROWS = 1_000_000
+HOT_ROWS = 1 << 18
 CHUNK = 4 << 20
 _PLAIN = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in bytes(range(256)).lower())
 _U = np.uint64
@@ -252,13 +253,22 @@ def _classes(docs: DataFrame, n: int, similarity: Similarity, id_col: str, text:
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     signed = _signatures_of_documents(d.join(wanted, d.row_key == wanted.rid, "left_semi"), n, similarity)
-    # a signature's least set, combined before the shuffle; the few signatures that sets share are looked up in a
-    # second pass, which makes them anew instead of storing all
-    anchors = signed.groupBy("sig").agg(F.min("rid").alias("anchor"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("sig", "anchor")
-    anchors = materialize(anchors, "jaccard-anchors")
-    if anchors.count() <= BROADCAST_ROWS:
-        anchors = F.broadcast(anchors)
-    candidates = signed.join(anchors, "sig").where("rid <> anchor").select("rid", "anchor").distinct()
+    # a set hangs on the least one that shares its signature; what has a hot signature is dealt over salts first
+    hot = _hot_signatures(d, representative.count(), n, similarity)
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if hot:
+        listed = F.broadcast(spark.createDataFrame([(x,) for x in hot], "hot bigint"))  # bounded, see there
+        signed = signed.join(listed, signed.sig == listed.hot, "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod("rid", F.lit(salts))).otherwise(0).cast("int"))
+    else:
+        signed = signed.withColumn("hot", F.lit(None).cast("bigint")).withColumn("salt", F.lit(0))
+    first = F.first("rid").over(Window.partitionBy("sig", "salt").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0))
+    found = signed.withColumn("anchor", first).where("rid <> anchor OR hot IS NOT NULL")
+    if hot:
+        found = materialize(found.select("rid", "anchor", "hot"), "jaccard-candidates")
+        least = found.where("hot IS NOT NULL").groupBy("hot").agg(F.min("anchor").alias("least"))
+        across = found.where("hot IS NOT NULL").select("hot", F.col("anchor").alias("rid")).distinct().join(F.broadcast(least), "hot")
+        found = found.select("rid", "anchor").unionByName(across.select("rid", F.col("least").alias("anchor")))
+    candidates = found.where("rid <> anchor").select("rid", "anchor").distinct()
     groups = materialize(connected_components(candidates, "rid", "anchor"), "jaccard-groups")
     links = _verify(d, representative.select("rid", "size"), groups, n, similarity)
     classes = materialize(connected_components(links, "rid", "root"), "jaccard-linked")
@@ -272,6 +282,17 @@ def _classes(docs: DataFrame, n: int, similarity: Similarity, id_col: str, text:
     )
 
 
+def _hot_signatures(d: DataFrame, sets: int, n: int, similarity: Similarity) -> list[int]:
+    """Signatures that so many sets share that one task shouldn't order them, as counted over every 64th set (by the hash
+    that its key is). This steers how rows are dealt and no result. Each has more than 1 / (4 x partitions) of the sets, which have some
+    hundred signatures each, so what comes here is bounded by the partitions."""
+    if sets <= HOT_ROWS:
+        return []
+    least = max(HOT_ROWS, sets // (4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    some = _signatures_of_documents(d.where(F.pmod("row_key", F.lit(64)) == 0), n, similarity)
+    return [r.sig for r in some.groupBy("sig").count().where(F.col("count") * 64 > least).select("sig").collect()]
+
+
 def _weight() -> Column:
     return F.greatest("size", F.lit(1000))
 

@@ -301,6 +301,28 @@ def test_jaccard_cuts_groups_into_blocks(spark, monkeypatch):
     assert got == plain_classes(rows, 3, 90, 100)[0]
 
 
+def test_hot_signatures_lose_no_link(spark, monkeypatch):
+    """Every signature is taken for a hot one, sides are never broadcast, and components are cut into blocks."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4000)
+    rows = near_copies(6, 5)
+    texts = pa.array([t for _, t in rows])
+    every = sorted({int(x) for s in jaccard_join.shingle_sets(texts, 3) for x in jaccard_join.signatures(s, jaccard_join.Similarity(90, 100)).view(np.int64)})
+    monkeypatch.setattr(jaccard_join, "_hot_signatures", lambda *args: every)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(table(spark, rows), 3, jaccard_join.Similarity(90, 100)).collect()}
+    assert got == plain_classes(rows, 3, 90, 100)[0]
+
+
+def test_hot_signatures_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 100)
+    same = " ".join(f"w{k}" for k in range(100))
+    rows = [(i, f"{same} x{i}") for i in range(3000)]
+    d = table(spark, rows).select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("text").alias("t"))
+    jaccard_join.ship(spark)
+    assert jaccard_join._hot_signatures(d, 3000, 3, jaccard_join.Similarity(90, 100))
+    assert jaccard_join._hot_signatures(d, 50, 3, jaccard_join.Similarity(90, 100)) == []
+
+
 def test_signatures_of_similar_sets_meet():
     rng = np.random.default_rng(1)
     for similarity in (jaccard_join.Similarity(90, 100), jaccard_join.Similarity(80, 100)):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evidrill.llm import chat_format, neighbours, queries
+from evidrill.llm import chat_format, components, neighbours, queries
 from evidrill.llm.components import connected_components
 
 
@@ -128,7 +128,9 @@ def test_chat_leaves_plain_texts_alone(spark):
     assert [x.escaped for x in sorted(r, key=lambda x: x.turn)] == [False, True]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 50)]
     least = {x: x for e in edges for x in e}
