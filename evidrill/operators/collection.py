@@ -57,7 +57,7 @@ def layer_stats(runs: DataFrame, cards: DataFrame) -> DataFrame:
 def ledger_counts(runs: DataFrame, cards: DataFrame) -> DataFrame:
     """Per snapshot: counts over raw cards and over distinct keys."""
     r = runs.groupBy("snapshot_id").agg(
-        F.count(F.lit(1)).alias("query_count"), F.first("mode").alias("mode"), F.first("snapshot_stop").alias("stop_reason")
+        F.count(F.lit(1)).alias("query_count"), F.min_by("mode", "query_id").alias("mode"), F.min_by("snapshot_stop", "query_id").alias("stop_reason")
     )
     u = unique_signals(cards).groupBy("snapshot_id").agg(
         F.sum("cards").alias("observed_result_count"), F.count(F.lit(1)).alias("unique_sample_count"), F.count_if("detail").alias("detail_open_count"),
@@ -135,7 +135,7 @@ def query_yields(runs: DataFrame, cards: DataFrame) -> DataFrame:
 
 def layer_deficits(runs: DataFrame, cards: DataFrame) -> DataFrame:
     """Per (snapshot, layer): what is missing to the contract's minimums."""
-    mode = runs.groupBy("snapshot_id").agg(F.first("mode").alias("mode"))
+    mode = runs.groupBy("snapshot_id").agg(F.min_by("mode", "query_id").alias("mode"))
     s = layer_stats(runs, cards).join(mode, "snapshot_id")
     m = F.col("mode")
 

@@ -44,6 +44,12 @@ PLATFORMS = (
     ("x", r"(?:^|[，。；、,.!?\s])x(?:上|平台|英语市场|$|[，。；、,.!?\s])|\bon\s+x\b|\btwitter\b"),
 )
 
+MARKETS = (
+    ("英语市场", r"英语市场|英文市场|english[- ]speaking market|english market"),
+    ("中国市场", r"中国市场|china market|mainland china"),
+    ("全球市场", r"全球市场|global market|worldwide"),
+)
+
 # Inside words and what readers are told instead, in order.
 JARGON = (("copilot", "assistant"), ("orchestration engine", "workflow tool"), ("enablement layer", "support process"), ("flywheel", "feedback process"))
 
@@ -105,15 +111,18 @@ def surface_state(stop: Column, cards: Column, identity: Column, body: Column) -
 
 
 def classify_requests(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
-    """Adds intent (the first whose pattern matches), platform (if exactly one matches), language and what is missing."""
+    """Adds intent (the first whose pattern matches), platform and market (if exactly one matches), language and what is
+    missing."""
     t = F.lower(F.col(prompt))
     intent = None
     for name, pattern in INTENTS:
         intent = F.when(t.rlike(pattern), name) if intent is None else intent.when(t.rlike(pattern), name)
     hits = F.array_compact(F.array(*[F.when(t.rlike(p), name) for name, p in PLATFORMS]))
     r = requests.withColumn("intent", intent).withColumn("platform", F.when(F.size(hits) == 1, F.get(hits, F.lit(0))))
+    markets = F.array_compact(F.array(*[F.when(t.rlike(p), name) for name, p in MARKETS]))
+    r = r.withColumn("market", F.when(F.size(markets) == 1, F.get(markets, F.lit(0))))
     missing = F.array_compact(F.array(F.when(F.col("intent").isNull(), "research_intent"), F.when(F.col("platform").isNull(), "platform")))
-    return r.withColumn("language", F.when(F.col(prompt).rlike(r"[\x{4e00}-\x{9fff}]"), "zh-CN").otherwise("en")).withColumn("missing", missing)
+    return r.withColumn("language", F.when(F.col(prompt).rlike(r"[\x{3400}-\x{9fff}]"), "zh-CN").otherwise("en")).withColumn("missing", missing)
 
 
 def reader_title(title: Column) -> Column:
@@ -160,6 +169,8 @@ def social_url(url: Column) -> Column:
         take(fb + r"reel/([A-Za-z0-9_-]+)", "https://www.facebook.com/reel/", 0, "/"),
         take(fb + r"([^/?#]+)/posts/([A-Za-z0-9_-]+)", "https://www.facebook.com/", 0, "/posts/", 1, "/"),
         take(fb + r"share/p/([A-Za-z0-9_-]+)", "https://www.facebook.com/share/p/", 0, "/"),
+        take(fb + r"photo/?\?(?:[^#]*&)?fbid=([A-Za-z0-9._-]+)", "https://www.facebook.com/photo/?fbid=", 0),
+        take(fb + r"permalink\.php\?(?:[^#]*&)?story_fbid=([A-Za-z0-9._-]+)", "https://www.facebook.com/permalink.php?story_fbid=", 0),
         take(r"^https?://(?:www\.)?instagram\.com/(p|reel)/([A-Za-z0-9_-]+)", "https://www.instagram.com/", 0, "/", 1, "/"),
         take(r"^https?://(?:www\.)?tiktok\.com/@([^/?#]+)/video/(\d+)", "https://www.tiktok.com/@", 0, "/video/", 1),
         take(r"^https?://(?:www\.)?reddit\.com/r/([^/?#]+)/comments/([a-z0-9]+)", "https://www.reddit.com/r/", 0, "/comments/", 1, "/"),

@@ -12,11 +12,11 @@ from .scores import TOPICS_SQL, as_of
 
 
 def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is a video: its first lines are segments, its paragraphs' beginnings are read from pictures."""
+    """A document is a video: its lines are segments, its sentences are read from pictures, every third one wrongly."""
     d = views.table(spark, sf_dir, "documents")
-    lines = F.slice(F.split("text", "\n"), 1, 300)
+    lines = F.split("text", "\n")
     segments = F.transform(lines, lambda x, i: F.struct(F.concat(i, F.lit(":30")).alias("start"), x.alias("text")))
-    ocr = F.transform(F.slice(F.split("text", "\\. "), 1, 100), lambda x, i: F.struct(i.cast("string").alias("time"), F.concat(F.when(i % 3 == 0, "Ã").otherwise(""), F.substring(x, 1, 9)).alias("text"), F.lit(0.5).alias("confidence")))
+    ocr = F.transform(F.split("text", "\\. "), lambda x, i: F.struct(i.cast("string").alias("time"), F.concat(F.when(i % 3 == 0, "Ã").otherwise(""), x).alias("text"), F.lit(0.5).alias("confidence")))
     k = F.col("doc_id") % 5
     raw = F.struct(
         F.when(k < 3, F.struct(F.when(k == 0, "ASR").otherwise("other").alias("source"), segments.alias("segments"))).alias("transcript"), F.when(k != 1, ocr).alias("ocrResults"),
@@ -41,7 +41,7 @@ def media_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.table(spark, sf_dir, "conversations")
     e = c.select(
-        (F.col("conv_id") % 5).alias("snapshot_id"), (F.col("conv_id") % 3).alias("topic"), F.struct("conv_id", "turn").alias("ordinal"), F.col("role").alias("channel"), F.substring("text", 1, 15).alias("text"),
+        (F.col("conv_id") % 5).alias("snapshot_id"), (F.col("conv_id") % 3).alias("topic"), F.struct("conv_id", "turn").alias("ordinal"), F.col("role").alias("channel"), F.col("text"),
         F.when(F.col("turn") % 3 == 2, "weak").otherwise("direct").alias("relevance"), F.col("conv_id").cast("string").alias("url"),
     )
     t = media.topic_media(e)
@@ -115,9 +115,9 @@ def _c(name: str, bound: int | None = None) -> str:
     return f"(CASE mode WHEN 'standard' THEN {v['standard']} WHEN 'deep' THEN {v['deep']} ELSE {v['quick']} END)"
 
 
-_MEDIA = r"""d AS (SELECT doc_id, doc_id % 5 AS k, string_split(text, chr(10))[1:200] AS l, string_split(text, '. ')[1:100] AS o FROM documents),
+_MEDIA = r"""d AS (SELECT doc_id, doc_id % 5 AS k, string_split(text, chr(10))[1:200] AS l, string_split(text, '. ') AS o FROM documents),
 s AS (SELECT doc_id, k, len(list_filter(l, lambda x: regexp_replace(x, '[\s\p{Z}]', '', 'g') <> '')) AS seg, len(o) AS raw_ocr,
-  len(list_filter(list_filter(range(1, least(len(o), 80) + 1), lambda i: (i - 1) % 3 <> 0), lambda i: regexp_replace(o[i][1:9], '[\s\p{Z}]', '', 'g') <> '')) AS ok FROM d),
+  len(list_filter(list_filter(range(1, least(len(o), 80) + 1), lambda i: (i - 1) % 3 <> 0), lambda i: regexp_replace(o[i], '[\s\p{Z}]', '', 'g') <> '')) AS ok FROM d),
 m AS (SELECT doc_id AS signal_key, CASE WHEN k < 3 THEN seg ELSE 0 END AS segments, CASE WHEN k IN (0, 2, 3) THEN ok ELSE 0 END AS ocr_rows, CASE WHEN k IN (0, 2, 3) THEN raw_ocr - ok ELSE 0 END AS dropped,
   CASE WHEN k < 4 THEN 1 ELSE 0 END AS keyframes, CASE WHEN k = 0 THEN 'asr' WHEN k = 2 AND seg > 0 THEN 'asr' ELSE 'unknown' END AS provenance, k FROM s),
 r AS (SELECT *, CASE WHEN segments = 0 AND ocr_rows = 0 THEN 'unavailable' WHEN k = 2 OR dropped > 0 THEN 'partial' ELSE 'complete' END AS status FROM m)"""
@@ -139,7 +139,7 @@ SELECT snapshot_id, t.topic, observed_heat, raw_confidence, coalesce(comments, 0
     "media_promotion": f"""WITH {_MEDIA}, j AS (SELECT signal_key, CASE WHEN signal_key % 2 = 0 THEN 'search_card' ELSE 'webpage' END AS st, signal_key % 7 = 0 AS dc, status <> 'unavailable' AS seen, quality FROM r LEFT JOIN labels ON doc_id = signal_key)
 SELECT CASE WHEN seen AND st = 'search_card' AND coalesce(quality, 1) > 0 THEN 'direct_post' ELSE st END AS source_type, CASE WHEN seen AND coalesce(quality, 1) > 0 THEN true ELSE dc END AS detail_captured,
   quality IS NOT NULL AS media_reviewed, count(*) AS signals FROM j GROUP BY ALL""",
-    "topic_media": """WITH e AS (SELECT conv_id % 5 AS snapshot_id, conv_id % 3 AS topic, conv_id, turn, role, substr(text, 1, 15) AS x FROM conversations WHERE turn % 3 <> 2 AND trim(substr(text, 1, 15)) <> ''),
+    "topic_media": """WITH e AS (SELECT conv_id % 5 AS snapshot_id, conv_id % 3 AS topic, conv_id, turn, role, text AS x FROM conversations WHERE turn % 3 <> 2 AND trim(text) <> ''),
 c AS (SELECT snapshot_id, topic, string_agg(role || ':' || n, ',' ORDER BY role) AS channels FROM (SELECT snapshot_id, topic, role, count(*) AS n FROM e GROUP BY ALL) GROUP BY ALL)
 SELECT snapshot_id, topic, count(DISTINCT conv_id) AS reviewed_videos, count(*) AS excerpt_count, array_to_string(list(x ORDER BY conv_id, turn)[1:4], '|') AS excerpts, any_value(channels) AS channels FROM e JOIN c USING (snapshot_id, topic) GROUP BY ALL""",
     "plan_faults": f"""WITH p AS (SELECT o_custkey AS plan_id, CASE o_custkey % 3 WHEN 0 THEN 'quick' WHEN 1 THEN 'standard' ELSE 'deep' END AS mode, o_orderkey AS k, o_orderkey % 2000 AS query_id,

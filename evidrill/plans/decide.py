@@ -26,10 +26,10 @@ def capped_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opportunity_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two proposals for each topic and day, from the first two of its signals."""
+    """Every signal of a topic and day is a proposal; the first is its primary one."""
     s = views.signals(spark, sf_dir).withColumn("topic", scoring.topic_key())
     none = F.array().cast("array<string>")
-    p = s.where("ordinal % 100 < 10").select(
+    p = s.select(
         "snapshot_id", "topic", "ordinal", "title", F.when(F.col("ordinal") % 3 == 0, "").otherwise("sellers").alias("audience"), F.lit("gap").alias("task_gap"), F.lit("entry").alias("subject_entry"),
         F.lit("test").alias("expected_action"), F.array("signal_id").alias("support_refs"), F.when(F.col("ordinal") % 2 == 0, F.array("signal_id")).otherwise(none).alias("counter_refs"),
         F.when(F.col("ordinal") % 4 == 1, "searched_none_found").otherwise("found").alias("counter_search_status"), F.lit("agent_reviewed").alias("semantic_review"),
@@ -52,7 +52,7 @@ def platform_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's study, an order a report: its priority is the platform, its status part of the key."""
     o = views.table(spark, sf_dir, "orders")
     reports = o.select(F.col("o_custkey").alias("study"), F.col("o_orderpriority").alias("platform"), F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderstatus")).otherwise("same").alias("compatibility_key"))
-    shared = o.where("o_orderkey % 2 = 0").groupBy(F.col("o_custkey").alias("study"), F.year("o_orderdate").alias("finding")).agg(F.collect_set("o_orderpriority").alias("platforms"))
+    shared = o.groupBy(F.col("o_custkey").alias("study"), F.year("o_orderdate").alias("finding")).agg(F.collect_set("o_orderpriority").alias("platforms"))
     c = decisions.platform_comparison(reports, shared)
     return c.select("study", F.array_join("platforms", ",").alias("platforms"), "shared_findings", "comparison")
 
@@ -67,7 +67,7 @@ def ledger_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def artifact_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items refer to parts; parts of even keys are in the manifest. An order owns what it refers to."""
-    refs = views.table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("owner"), F.concat(F.lit("part/"), F.col("l_partkey")).alias("path"))
+    refs = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("owner"), F.concat(F.lit("part/"), F.col("l_partkey")).alias("path"))
     manifest = views.table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("part/"), F.col("p_partkey")).alias("path"))
     return decisions.missing_references(refs, manifest)
 
@@ -111,7 +111,7 @@ capped AS (SELECT t.*, audit_status, CAST(day(CAST(snapshot_id AS DATE)) AS INT)
   FROM topics t JOIN audits USING (snapshot_id, topic))"""
 SQL = {
     "capped_topics": f"{_CAPPED} SELECT snapshot_id, topic, raw_confidence, audit_status, confidence_cap, least(raw_confidence, confidence_cap) AS evidence_confidence FROM capped",
-    "opportunity_gates": f"""{_CAPPED}, p AS (SELECT snapshot_id, CASE WHEN topic_key <> '' THEN topic_key ELSE query_layer || ':' || query_term END AS topic, ordinal FROM signals WHERE ordinal % 100 < 10),
+    "opportunity_gates": f"""{_CAPPED}, p AS (SELECT snapshot_id, CASE WHEN topic_key <> '' THEN topic_key ELSE query_layer || ':' || query_term END AS topic, ordinal FROM signals),
 g AS (SELECT p.*, audit_status, row_number() OVER (PARTITION BY p.snapshot_id, p.topic ORDER BY ordinal) AS nth, concat_ws(',', CASE WHEN NOT met THEN 'sampling_contract_completed' END, CASE WHEN ordinal % 3 = 0 THEN 'audience_relevance' END,
   CASE WHEN signal_count < 3 THEN 'minimum_independent_signals' END, CASE WHEN unique_author_count < 2 THEN 'minimum_independent_authors' END, CASE WHEN direct_source_count < 1 THEN 'direct_source_present' END,
   CASE WHEN subject_bridge_direct_count < 1 THEN 'subject_bridge_direct_evidence' END, CASE WHEN round_even(reviewed_count / signal_count::DOUBLE, 3) < 0.8 THEN 'semantic_relevance_reviewed' END,
@@ -122,13 +122,13 @@ SELECT snapshot_id, topic, ordinal, failed_gates, rejected, CASE WHEN rejected <
     "finding_evidence": f"""WITH signals AS ({views.as_sql(views.SIGNALS)}) SELECT concat_ws('/', snapshot_id, author_id) AS finding_id, string_agg('https://x.test/' || content_id, ',' ORDER BY ordinal) AS urls, 'signal-none' AS unknown
 FROM signals GROUP BY snapshot_id, author_id""",
     "platform_comparison": """WITH r AS (SELECT o_custkey AS study, count(DISTINCT CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus ELSE 'same' END) AS keys, list_sort(list(DISTINCT o_orderpriority)) AS platforms FROM orders GROUP BY ALL),
-s AS (SELECT o_custkey AS study, year(o_orderdate) AS finding, list_sort(list(DISTINCT o_orderpriority)) AS p FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL),
+s AS (SELECT o_custkey AS study, year(o_orderdate) AS finding, list_sort(list(DISTINCT o_orderpriority)) AS p FROM orders GROUP BY ALL),
 j AS (SELECT study, keys, platforms, count(p) AS shared_findings, count(*) FILTER (p <> platforms) AS incomplete FROM r LEFT JOIN s USING (study) GROUP BY ALL)
 SELECT study, array_to_string(platforms, ',') AS platforms, shared_findings, CASE WHEN keys <> 1 THEN 'incompatible' WHEN len(platforms) < 2 THEN 'single_platform' WHEN incomplete > 0 THEN 'incomplete_finding'
   WHEN shared_findings = 0 THEN 'no_shared_finding' ELSE 'comparable' END AS comparison FROM j""",
     "ledger_reconcile": """SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'lost' ELSE 'changed' END AS fault FROM orders WHERE o_orderkey % 13 = 0 OR (o_orderkey % 17 = 0 AND o_orderstatus <> '?')
 UNION ALL SELECT -1 - o_orderkey, 'added' FROM orders WHERE o_orderkey % 19 = 0""",
-    "artifact_refs": """WITH r AS (SELECT l_orderkey AS owner, l_partkey AS p FROM lineitem WHERE l_orderkey % 10 = 0)
+    "artifact_refs": """WITH r AS (SELECT l_orderkey AS owner, l_partkey AS p FROM lineitem)
 SELECT DISTINCT 'part/' || p AS path, 'absent' AS fault FROM r WHERE p NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)
 UNION ALL SELECT 'part/' || p, 'claimed_twice' FROM r GROUP BY p HAVING count(DISTINCT owner) > 1""",
     "coverage_matrix": """WITH g AS (SELECT n_name AS "row", s AS col FROM nation CROSS JOIN (SELECT DISTINCT c_mktsegment AS s FROM customer)),

@@ -71,7 +71,7 @@ def _comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         F.col("conv_id").alias("signal_key"), (F.col("conv_id") % 10).alias("topic"), F.col("turn").alias("ordinal"), F.col("role").alias("category"),
         F.when(F.col("turn") % 3 == 0, "direct").when(F.col("turn") % 3 == 1, "adjacent").otherwise("weak").alias("relevance"),
-        F.when(F.col("role") == "assistant", "counter").otherwise("support").alias("role"), F.substring("text", 1, 20).alias("insight"),
+        F.when(F.col("role") == "assistant", "counter").otherwise("support").alias("role"), F.col("text").alias("insight"),
     )
 
 
@@ -90,7 +90,7 @@ def topic_comment_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verbatim_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items are excerpts; a document's paragraphs are the rows that they must stand in."""
-    e = views.table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("text"), F.explode(F.array(*[F.lit(s) for s in ("en", "fr", "de", "es")])).alias("channel"))
+    e = views.table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.array(*[F.lit(s) for s in ("en", "fr", "de", "es")])).alias("channel"))
     rows = views.table(spark, sf_dir, "documents").select(F.col("lang").alias("channel"), F.explode(F.split("text", "\n")).alias("row_text"))
     return review.verbatim(e, rows, ["channel"]).select("item_id", "channel")
 
@@ -135,7 +135,7 @@ _QUALITY = "(CASE source_type WHEN 'direct_post' THEN 100 WHEN 'exported_item' T
 _REVIEWS = """reviews AS (SELECT doc_id % 7 AS snapshot_id, doc_id AS content_id, CASE WHEN quality = 0 THEN 'weak' WHEN doc_id % 3 = 0 THEN 'adjacent' ELSE 'direct' END AS relevance,
   CASE WHEN toxic = 1 THEN 'counter' ELSE 'support' END AS role, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 't' || (doc_id % 9) END AS topic, CASE WHEN doc_id % 11 = 0 THEN '' ELSE 'read' END AS reason FROM labels)"""
 _COMMENTS = """c AS (SELECT conv_id AS signal_key, conv_id % 10 AS topic, turn AS ordinal, role AS category, CASE turn % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'adjacent' ELSE 'weak' END AS relevance,
-  CASE WHEN role = 'assistant' THEN 'counter' ELSE 'support' END AS role, substr(text, 1, 20) AS insight FROM conversations)"""
+  CASE WHEN role = 'assistant' THEN 'counter' ELSE 'support' END AS role, text AS insight FROM conversations)"""
 _COUNTS = """count(*) AS reviewed_count, count(*) FILTER (relevance <> 'weak') AS relevant_count, count(*) FILTER (relevance <> 'weak' AND role = 'support') AS support_count,
   count(*) FILTER (relevance <> 'weak' AND role = 'counter') AS counter_count"""
 _CLUSTERED = f"""{_SIGNALS}, assigned AS (SELECT *, CASE topic_key WHEN 'topic-0' THEN 'c0' WHEN 'topic-1' THEN 'c0' WHEN 'topic-2' THEN 'c1' WHEN 'topic-3' THEN 'c1' WHEN 'topic-4' THEN 'c2' ELSE 'other' END AS cluster,
@@ -166,7 +166,7 @@ SELECT g.*, coalesce((SELECT string_agg(insight, '|' ORDER BY o) FROM (SELECT *
   coalesce((SELECT string_agg(category || ':' || n, ',' ORDER BY category) FROM k WHERE k.signal_key = g.signal_key), '') AS categories
 FROM (SELECT signal_key, {_COUNTS} FROM c GROUP BY ALL) g""",
     "topic_comment_evidence": f"WITH {_COMMENTS} SELECT topic, {_COUNTS} FROM c GROUP BY ALL",
-    "verbatim_excerpts": r"""WITH e AS (SELECT item_id, lower(trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g'))) AS x FROM benchmark),
+    "verbatim_excerpts": r"""WITH e AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS x FROM benchmark),
 r AS (SELECT DISTINCT lang AS channel, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g'))) AS y FROM documents)
 SELECT DISTINCT item_id, channel FROM e JOIN r ON x = y OR (length(x) >= 12 AND contains(y, x))""",
     "cluster_plan": f"WITH {_CLUSTERED} SELECT snapshot_id, cluster, fit, transition_match, count(*) AS assignments FROM assigned GROUP BY ALL",

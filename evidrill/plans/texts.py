@@ -21,8 +21,16 @@ def text_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.integrity_faults(d, "doc_id", ["text", "source"]).select("doc_id", "path", F.array_join("markers", ",").alias("markers"))
 
 
+#: What documents get at their end, by their number.
+PLANTED = {0: "-----BEGIN EC PRIVATE KEY-----", 10: "Client_Secret: 'abcdefgh1'", 20: "authorization: Bearer abcdefghijkl.1", 30: "ghp_abcdefghij0123456789"}
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.secret_findings(_docs(spark, sf_dir))
+    """Documents, some of which get a secret of each kind at their end."""
+    k, said = F.col("doc_id") % 40, F.lit("")
+    for at, secret in PLANTED.items():
+        said = F.when(k == at, secret).otherwise(said)
+    return R.secret_findings(_docs(spark, sf_dir).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said)))
 
 
 def limitation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +63,7 @@ def request_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ask = F.element_at(F.array(*map(F.lit, (
         "Validate demand on Reddit: ", "brand sentiment on YouTube and Reddit ", "哪些内容机会 小红书 ", "Find business opportunities on X ", "switching triggers on twitter ",
         "plain text ", "adoption barriers, tiktok ", "监测舆情 抖音 "))), (k + 1).cast("int"))
-    r = R.classify_requests(c.select("conv_id", "turn", F.concat(ask, F.substring("text", 1, 30)).alias("prompt")))
+    r = R.classify_requests(c.select("conv_id", "turn", F.concat(ask, F.coalesce("text", F.lit(""))).alias("prompt")))
     return r.select("conv_id", "turn", F.coalesce("intent", F.lit("")).alias("intent"), F.coalesce("platform", F.lit("")).alias("platform"), "language", F.array_join("missing", ",").alias("missing"))
 
 
@@ -71,7 +79,7 @@ def safety_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 9
     said = F.when(k == 0, "Security check ").when(k == 1, "Try again later ").when(k == 2, "This content is private ").when(k == 3, "No results found ").otherwise("")
     path = F.when(k == 4, "/login/x").when(k == 5, "/checkpoint/1").otherwise("/search")
-    stop = R.safety_stop(F.lit("title"), F.concat(said, F.substring("html", 1, 20)), path, F.lit(0))
+    stop = R.safety_stop(F.lit("title"), F.concat(said, F.coalesce("html", F.lit(""))), path, F.lit(0))
     d = p.select("page_id", stop.alias("stop"), said.alias("said"))
     return d.select("page_id", "stop", R.surface_state(F.col("stop"), F.col("page_id") % 2, F.col("page_id") % 5 < 4, F.col("said")).alias("state"))
 
@@ -138,6 +146,7 @@ def _first(t: str, rules, otherwise: str) -> str:
 
 
 _SPOILT = "(SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN replace(text, 'é', 'Ã©') ELSE text END AS text FROM documents)"
+_PLANTED = "(SELECT doc_id, coalesce(text, '') || chr(10) || CASE doc_id % 40 " + " ".join(f"WHEN {k} THEN {_quote(x)}" for k, x in PLANTED.items()) + " ELSE '' END AS text FROM documents)"
 _NOTE = """CASE doc_id % 6 WHEN 0 THEN 'Vendor claim ' || source WHEN 1 THEN 'Search card, not opened' WHEN 2 THEN 'generic business, ' || lang WHEN 3 THEN 'sampling_contract_unmet: details'
   WHEN 4 THEN 'No measurable result ' || (doc_id % 50) ELSE '' END"""
 _ASK = """(['Validate demand on Reddit: ', 'brand sentiment on YouTube and Reddit ', '哪些内容机会 小红书 ', 'Find business opportunities on X ', 'switching triggers on twitter ', 'plain text ',
@@ -155,19 +164,20 @@ SELECT capture_id, content_id, {url} AS canonical_url, title, {likes} AS likes,
 SQL = {
     "text_integrity": "SELECT doc_id, path, array_to_string(m[1:3], ',') AS markers FROM (" + " UNION ALL ".join(
         f"SELECT doc_id, '{c}' AS path, list_filter([{', '.join(map(_quote, MOJIBAKE))}], lambda x: contains({c}, x)) AS m FROM {_SPOILT}" for c in ("text", "source")) + ") WHERE len(m) > 0",
-    "secret_scan": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule FROM documents WHERE regexp_matches(text, {_quote(p)})" for n, p in R.SECRETS.items()),
+    "secret_scan": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS rule FROM {_PLANTED} WHERE regexp_matches(text, {_quote(p)})" for n, p in R.SECRETS.items()),
     "limitation_summary": f"""WITH n AS (SELECT DISTINCT source, {_NOTE} AS note FROM documents), c AS (SELECT source, lower(note) AS t FROM n WHERE note <> '' AND NOT starts_with(lower(note), 'sampling_contract_unmet:'))
 SELECT source, CASE {" ".join(f"WHEN {_contains('t', w)} THEN '{k}'" for k, w in R.LIMITATIONS.items())} ELSE 'validation' END AS category, count(*) AS notes FROM c GROUP BY ALL""",
     "url_canonical": r"""SELECT page_id, regexp_replace(CASE WHEN regexp_matches(url, '^(https?|snapshot|artifact)://') THEN split_part(url, '#', 1) ELSE '' END, '/+$', '') AS canonical_url,
   regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages""",
     "social_urls": """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://www.facebook.com/reel/' || page_id || '/' WHEN 1 THEN 'https://www.facebook.com/some.one/posts/' || page_id || '/'
   WHEN 2 THEN 'https://www.instagram.com/p/' || page_id || '/' WHEN 3 THEN 'https://www.tiktok.com/@a.b/video/' || page_id WHEN 4 THEN 'https://www.reddit.com/r/test/comments/' || page_id || '/' ELSE '' END AS post_url FROM pages""",
-    "request_classes": f"""WITH r AS (SELECT conv_id, turn, {_ASK} || substr(text, 1, 30) AS prompt, lower({_ASK} || substr(text, 1, 30)) AS t FROM conversations), c AS (SELECT *, {_first('t', R.INTENTS, "''")} AS intent, {_PLATFORM_HITS} AS hits FROM r)
-SELECT conv_id, turn, intent, CASE WHEN len(hits) = 1 THEN hits[1] ELSE '' END AS platform, CASE WHEN regexp_matches(prompt, '[\\x{{4e00}}-\\x{{9fff}}]') THEN 'zh-CN' ELSE 'en' END AS language,
+    "request_classes": f"""WITH r AS (SELECT conv_id, turn, {_ASK} || coalesce(text, '') AS prompt, lower({_ASK} || coalesce(text, '')) AS t FROM conversations), c AS (SELECT *, {_first('t', R.INTENTS, "''")} AS intent, {_PLATFORM_HITS} AS hits FROM r)
+SELECT conv_id, turn, intent, CASE WHEN len(hits) = 1 THEN hits[1] ELSE '' END AS platform, CASE WHEN regexp_matches(prompt, '[\\x{{3400}}-\\x{{9fff}}]') THEN 'zh-CN' ELSE 'en' END AS language,
   concat_ws(',', CASE WHEN intent = '' THEN 'research_intent' END, CASE WHEN len(hits) <> 1 THEN 'platform' END) AS missing FROM c""",
     "reader_titles": r"""WITH t AS (SELECT p_partkey, p_name, p_name || CASE p_partkey % 4 WHEN 0 THEN ' copilot' WHEN 1 THEN ' enablement layer' WHEN 2 THEN ' orchestration engine flywheel' ELSE '' END AS t FROM part)
 SELECT p_partkey, replace(replace(replace(replace(t, 'copilot', 'assistant'), 'orchestration engine', 'workflow tool'), 'enablement layer', 'support process'), 'flywheel', 'feedback process') AS title, p_partkey % 4 = 3 AS repeats FROM t""",
-    "safety_stops": """WITH p AS (SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'captcha' WHEN 1 THEN 'rate_limit' WHEN 2 THEN 'private_content' WHEN 4 THEN 'login_expired' WHEN 5 THEN 'permission_prompt' ELSE '' END AS stop FROM pages)
+    "safety_stops": f"""WITH t AS (SELECT page_id, lower('title' || chr(10) || CASE page_id % 9 WHEN 0 THEN 'Security check ' WHEN 1 THEN 'Try again later ' WHEN 2 THEN 'This content is private ' WHEN 3 THEN 'No results found ' ELSE '' END || coalesce(html, '')) AS t FROM pages),
+p AS (SELECT page_id, CASE {" ".join(f"WHEN regexp_matches(t, {_quote(x)})" + {"login_expired": " OR page_id % 9 = 4", "permission_prompt": " OR page_id % 9 = 5"}.get(n, "") + f" THEN '{n}'" for n, x in R.STOPS)} ELSE '' END AS stop FROM t)
 SELECT page_id, stop, CASE WHEN stop <> '' THEN 'safety_stop' WHEN page_id % 5 < 4 AND page_id % 2 > 0 THEN 'results_visible' WHEN page_id % 5 < 4 AND page_id % 9 = 3 THEN 'explicit_empty' ELSE 'surface_unreadable' END AS state FROM p""",
     "count_texts": """WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(floor(l_extendedprice) AS BIGINT) AS p FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN q * 1000 WHEN 2 THEN p WHEN 4 THEN q * 1000000 + 250000 END AS anchored,

@@ -80,12 +80,13 @@ def extract(captures: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def envelopes(captures: DataFrame, depth: int = 4) -> DataFrame:
-    """Post records nested under results, posts, data, result, items or content become one flat array, for `extract`."""
+def envelopes(captures: DataFrame) -> DataFrame:
+    """Post records nested under results, posts, data, result, items or content, however deep, become one flat array, for
+    `extract`. Levels are read until one holds nothing more."""
     keys = ("results", "posts", "data", "result", "items", "content")
     level = captures.select("capture_id", "query_term", "query_layer", F.try_parse_json("raw").alias("v"), F.array(F.lit(0).cast("bigint")).alias("path"))
     found = None
-    for _ in range(depth):
+    while found is None or not level.isEmpty():
         level = level.where(F.col("v").isNotNull())
         lists = F.expr("try_variant_get(v, '$', 'array<variant>')")
         post = F.expr("try_variant_get(v, '$.id', 'string') IS NOT NULL AND try_variant_get(v, '$.title', 'string') IS NOT NULL AND coalesce(try_variant_get(v, '$.subreddit', 'string'), try_variant_get(v, '$.permalink', 'string')) IS NOT NULL")
