@@ -298,18 +298,17 @@ def _weight() -> Column:
 
 
 def _blocks(sizes: DataFrame) -> DataFrame:
-    """Deals the sets (component, rid, size) of each component into blocks of alike sizes. Sets of one size are
-    counted by salts and numbered within one, so that no task orders a whole component."""
-    salts = max(64, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Deals the sets (component, rid, size) of each component into blocks of alike sizes. Sizes are laid end to end by
+    their weights; a set's place within its size goes by its hash, so that no task orders or numbers sets."""
     total = sizes.groupBy("component").agg(F.sum(_weight()).alias("total"))
     sizes = sizes.join(total, "component")
-    large = sizes.where(F.col("total") > BLOCK).withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(salts)))
-    earlier = Window.partitionBy("component").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = large.groupBy("component", "size", "salt").agg(F.sum(_weight()).alias("w"))
-    base = base.select("component", "size", "salt", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("component", "size", "salt").orderBy("rid")
-    placed = large.withColumn("row", F.row_number().over(within) - 1).join(base, ["component", "size", "salt"])
-    block = F.floor((F.col("base") + F.col("row") * _weight()) / BLOCK).cast("int")
+    large = sizes.where(F.col("total") > BLOCK)
+    earlier = Window.partitionBy("component").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    base = large.groupBy("component", "size").agg(F.sum(_weight()).alias("w"))  # a row for each size, however many sets
+    base = base.select("component", "size", "w", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("base"))
+    within = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) / float(1 << 30)
+    placed = large.join(base, ["component", "size"])
+    block = F.floor((F.col("base") + within * F.col("w")) / BLOCK).cast("int")
     few = sizes.where(F.col("total") <= BLOCK).select("component", "rid", "size", F.lit(0).alias("block"))
     return few.unionByName(placed.select("component", "rid", "size", block.alias("block")))
 
