@@ -114,9 +114,13 @@ def _foreign(rows: str) -> Column:
     return F.exists(rows, lambda r: r["id"].isNull() | ~F.coalesce(F.array_contains("urls", r["id"]["url"]), F.lit(False)))
 
 
-def _of(rows: str, cid: Column) -> Column:
-    """The last of the rows with an id."""
-    return F.try_element_at(F.filter(F.col(rows), lambda r: r["id"]["content_id"] == cid), F.lit(-1))["x"]
+def _placed(d: DataFrame, term: str) -> DataFrame:
+    """A row for each link of the first pass (p, at pos), with the last detail (d) and the last card (k) of its id, by
+    joins within the capture."""
+    own = lambda rows: d.select("capture_id", F.posexplode(rows).alias("at", "r")).groupBy("capture_id", F.col("r.id.content_id").alias("cid")).agg(F.max_by("r.x", "at").alias("x"))
+    e = d.select("capture_id", term, "query_layer", F.size("observed").alias("n"), F.posexplode("observed").alias("pos", "p")).withColumn("cid", F.col("p.content_id"))
+    key = ["capture_id", "cid"]
+    return e.join(own("details").withColumnRenamed("x", "d"), key, "left").join(own("cards").withColumnRenamed("x", "k"), key, "left")
 
 
 def _title(text: Column) -> Column:
@@ -147,9 +151,8 @@ def hashtag_captures(captures: DataFrame) -> DataFrame:
 def hashtag_signals(captures: DataFrame) -> DataFrame:
     """Signals of the captured ones, in the order of the first pass: a detail stands for the card of its id."""
     d = hashtag_captures(captures).where("status = 'captured'")
-    e = d.select("capture_id", "hashtag", "query_layer", "cards", "details", F.size("observed").alias("n"), F.posexplode("observed").alias("pos", "p"))
+    e = _placed(d, "hashtag")
     cid = F.col("p.content_id")
-    e = e.withColumn("d", _of("details", cid)).withColumn("k", _of("cards", cid))
     seen = F.col("d").isNotNull()
     text = F.when(seen, S.text(F.col("d.caption"))).otherwise(S.text(F.col("k.preview_text")))
     author = F.regexp_replace(S.text(F.when(seen, F.col("d.author_username")).otherwise(F.col("k.author_username"))), "^@+", "")
@@ -185,9 +188,8 @@ def post_search_captures(captures: DataFrame) -> DataFrame:
 def post_search_signals(captures: DataFrame) -> DataFrame:
     """Signals of the captured ones. Reactions aren't likes; a link without card or detail gives none."""
     d = post_search_captures(captures).where("status = 'captured'")
-    e = d.select("capture_id", "query_term", "query_layer", "cards", "details", F.size("observed").alias("n"), F.posexplode("observed").alias("pos", "p"))
+    e = _placed(d, "query_term").where("d IS NOT NULL OR k IS NOT NULL")
     cid = F.col("p.content_id")
-    e = e.withColumn("d", _of("details", cid)).withColumn("k", _of("cards", cid)).where("d IS NOT NULL OR k IS NOT NULL")
     seen = F.col("d").isNotNull()
     pick = lambda name: F.when(seen, F.col(f"d.{name}")).otherwise(F.col(f"k.{name}"))
     text = F.when(seen, S.text(F.col("d.body_text"))).otherwise(S.text(F.col("k.preview_text")))

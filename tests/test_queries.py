@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from evidrill import plans
+from evidrill.plans import social
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,10 +27,10 @@ def plain(v):
     return repr(v) if isinstance(v, float) else str(v)[:19] if hasattr(v, "year") else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(plans.SQL))
+@pytest.mark.parametrize("name", sorted([*plans.SQL, *social.SLOW]))
 def test_query_equals_sql(spark, duck, name):
-    df = plans.QUERIES[name](spark, SF)
-    cur = duck.execute(plans.SQL[name])
+    df = (plans.QUERIES | social.SLOW)[name](spark, SF)
+    cur = duck.execute((plans.SQL | social.SLOW_SQL)[name])
     names = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(names)
     columns = sorted(names)
