@@ -28,11 +28,13 @@ ODD = r"[\t\x0b-\r\x01\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2
 RUNS = ("  ", " \n", "\n ", "\n\n")
 PIECE = re.compile("[ \n]*[^ \n]+|[ \n]+")
 FIRST = "\x01"
-HELD = 24 << 20
+HELD = 48 << 20
 LONGEST = 64
 #: About what a remembered piece takes besides its characters and its value.
 ENTRY = 150
 CHUNK = 8 << 20
+#: Pieces given to the library in one call; its results take far more memory than the ids.
+AT_ONCE = 1 << 12
 
 
 def kind_of(config: dict) -> str:
@@ -160,8 +162,9 @@ def encoder(path: str) -> PieceMemory:
         library.no_padding()
 
         def look_up(pieces: list[str]) -> Iterator[bytes]:
-            for x in library.encode_batch_fast(pieces, add_special_tokens=False):
-                yield np.array(x.ids, "<u4").tobytes()
+            for at in range(0, len(pieces), AT_ONCE):
+                for x in library.encode_batch_fast(pieces[at : at + AT_ONCE], add_special_tokens=False):
+                    yield np.array(x.ids, "<u4").tobytes()
 
         _encoders[path] = PieceMemory(kind_of(config), look_up)
     return _encoders[path]
