@@ -297,19 +297,23 @@ def _weight() -> Column:
     return F.greatest("size", F.lit(1000))
 
 
+def _broadcast_if_few(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _blocks(sizes: DataFrame) -> DataFrame:
     """Deals the sets (component, rid, size) of each component into blocks of alike sizes. Sizes are laid end to end by
     their weights; a set's place within its size goes by its hash, so that no task orders or numbers sets."""
-    total = sizes.groupBy("component").agg(F.sum(_weight()).alias("total"))
-    sizes = sizes.join(total, "component")
-    large = sizes.where(F.col("total") > BLOCK)
+    total = sizes.groupBy("component").agg(F.sum(_weight()).alias("total")).where(F.col("total") > BLOCK)
+    sizes = sizes.join(_broadcast_if_few(materialize(total, "jaccard-large")), "component", "left")  # not dealt by component
+    large = sizes.where("total IS NOT NULL")
     earlier = Window.partitionBy("component").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
     base = large.groupBy("component", "size").agg(F.sum(_weight()).alias("w"))  # a row for each size, however many sets
     base = base.select("component", "size", "w", F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("base"))
     within = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) / float(1 << 30)
-    placed = large.join(base, ["component", "size"])
+    placed = large.join(_broadcast_if_few(materialize(base, "jaccard-base")), ["component", "size"])
     block = F.floor((F.col("base") + within * F.col("w")) / BLOCK).cast("int")
-    few = sizes.where(F.col("total") <= BLOCK).select("component", "rid", "size", F.lit(0).alias("block"))
+    few = sizes.where("total IS NULL").select("component", "rid", "size", F.lit(0).alias("block"))
     return few.unionByName(placed.select("component", "rid", "size", block.alias("block")))
 
 
