@@ -112,14 +112,14 @@ def surface_state(stop: Column, cards: Column, identity: Column, body: Column) -
 
 def classify_requests(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Adds intent (the first whose pattern matches), platform and market (if exactly one matches), language and what is
-    missing."""
+    missing. Word limits and spaces are Unicode's, whatever the Java version: reddit isn't a word of "在reddit上"."""
     t = F.lower(F.col(prompt))
     intent = None
     for name, pattern in INTENTS:
-        intent = F.when(t.rlike(pattern), name) if intent is None else intent.when(t.rlike(pattern), name)
-    hits = F.array_compact(F.array(*[F.when(t.rlike(p), name) for name, p in PLATFORMS]))
+        intent = F.when(t.rlike("(?U)" + pattern), name) if intent is None else intent.when(t.rlike("(?U)" + pattern), name)
+    hits = F.array_compact(F.array(*[F.when(t.rlike("(?U)" + p), name) for name, p in PLATFORMS]))
     r = requests.withColumn("intent", intent).withColumn("platform", F.when(F.size(hits) == 1, F.get(hits, F.lit(0))))
-    markets = F.array_compact(F.array(*[F.when(t.rlike(p), name) for name, p in MARKETS]))
+    markets = F.array_compact(F.array(*[F.when(t.rlike("(?U)" + p), name) for name, p in MARKETS]))
     r = r.withColumn("market", F.when(F.size(markets) == 1, F.get(markets, F.lit(0))))
     missing = F.array_compact(F.array(F.when(F.col("intent").isNull(), "research_intent"), F.when(F.col("platform").isNull(), "platform")))
     return r.withColumn("language", F.when(F.col(prompt).rlike(r"[\x{3400}-\x{9fff}]"), "zh-CN").otherwise("en")).withColumn("missing", missing)

@@ -87,14 +87,26 @@ def stream_chunks(chunks: DataFrame, target: int) -> DataFrame:
 
 
 def append_runs(batch: DataFrame, ledger: str) -> None:
-    """For foreachBatch: add to the ledger table (a Parquet folder, by snapshot) the runs that aren't in it yet. A
-    batch that is delivered again adds nothing; of two runs of a query the first of the batch stays."""
+    """For foreachBatch: add to the ledger table (a Parquet folder, by snapshot) the runs that aren't in it yet. A run
+    is known by its query_id; where that is null or blank, by query_term and query_layer (if the batch has them), which
+    runs with an id hold as well. A batch that is delivered again adds nothing; of two runs of a query one of the batch
+    stays. Only the partitions between the batch's first and last snapshot are read."""
     spark = batch.sparkSession
-    new = batch.dropDuplicates(["snapshot_id", "query_id"])
+    blank = F.trim(F.coalesce(F.col("query_id").cast("string"), F.lit(""))) == ""
+    by_id, by_term = ["snapshot_id", "query_id"], ["snapshot_id", "query_term", "query_layer"]
+    new = batch.where(~blank).dropDuplicates(by_id)
+    unnamed = batch.where(blank).dropDuplicates(by_term if set(by_term) <= set(batch.columns) else by_id)
     try:
-        held = spark.read.parquet(ledger).select("snapshot_id", "query_id")
-        new = new.join(held, ["snapshot_id", "query_id"], "left_anti")
+        low, high = batch.agg(F.min("snapshot_id"), F.max("snapshot_id")).first()
+        held = spark.read.schema(batch.schema).parquet(ledger).where(F.col("snapshot_id").between(F.lit(low), F.lit(high)))
+        new = new.join(held.select(*by_id), by_id, "left_anti")
     except Exception as e:  # no ledger so far
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    new.write.mode("append").partitionBy("snapshot_id").parquet(ledger)
+        held = batch.limit(0)
+    if set(by_term) <= set(batch.columns):
+        known = held.select(*by_term).unionByName(new.select(*by_term))
+        unnamed = unnamed.join(known, by_term, "left_anti")
+    else:
+        unnamed = unnamed.join(held.where(blank).select("snapshot_id"), "snapshot_id", "left_anti")
+    new.unionByName(unnamed.select(*new.columns)).write.mode("append").partitionBy("snapshot_id").parquet(ledger)

@@ -214,6 +214,40 @@ def test_ledger_takes_each_run_once(spark, tmp_path):
     assert sorted((r.snapshot_id, r.query_id) for r in spark.read.parquet(ledger).collect()) == [("s", 1), ("s", 2), ("t", 1)]
 
 
+def test_ledger_of_runs_without_ids(spark, tmp_path):
+    from evidrill.streaming import chunks
+
+    ledger, schema = str(tmp_path / "ledger"), "snapshot_id string, query_id string, query_term string, query_layer string"
+    first = spark.createDataFrame([("007", "1", "a", "l"), ("007", " ", "b", "l"), ("007", None, "b", "l"), ("007", "", "a", "l")], schema)
+    again = spark.createDataFrame([("007", "", "b", "l"), ("007", "", "b", "m"), ("007", "2", "b", "l"), ("008", "", "b", "l")], schema)
+    for batch in (first, first, again, again, again.limit(0)):
+        chunks.append_runs(batch, ledger)
+    kept = spark.read.schema(schema).parquet(ledger).collect()
+    found = sorted((r.snapshot_id, (r.query_id or "").strip(), r.query_term, r.query_layer) for r in kept)
+    assert found == [("007", "", "b", "l"), ("007", "", "b", "m"), ("007", "1", "a", "l"), ("007", "2", "b", "l"), ("008", "", "b", "l")]
+
+
+def test_csv_files_have_their_own_headers(spark, tmp_path):
+    from evidrill.sources import snapshots
+
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a b.csv").write_bytes("\ufeffid,title\n1,one\n2,\"two\nlines\"\n".encode())
+    (folder / "b.csv").write_text("title,id,likes\r\nthree,3,9\r\n")
+    (folder / "c.csv").write_text("id,title\n4,four\n")
+    (folder / "empty.csv").write_text("")
+    for path in (str(folder), str(folder / "*.csv")):
+        rows = sorted((r.raw for r in snapshots.read_csv(spark, path).collect()), key=lambda m: m["id"])
+        assert rows == [{"id": "1", "title": "one"}, {"id": "2", "title": "two\nlines"}, {"id": "3", "title": "three", "likes": "9"}, {"id": "4", "title": "four"}]
+
+
+def test_requests_beside_other_scripts(spark):
+    from evidrill.operators import text_rules
+
+    d = spark.createDataFrame([(0, "在reddit上"), (1, "在 reddit 上"), (2, "on reddit and youtube"), (3, None), (4, "")], "i int, prompt string")
+    assert [r.platform for r in text_rules.classify_requests(d).orderBy("i").collect()] == [None, "reddit", None, None, None]
+
+
 def test_snapshots_from_json_and_csv(spark, tmp_path):
     from evidrill.operators import normalize
     from evidrill.sources import snapshots
