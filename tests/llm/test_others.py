@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -187,5 +188,22 @@ def test_formatted_conversations_query(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_give_a_row_for_each_of_their_table(spark, name):
     out = queries.QUERIES[name](spark, SF)
-    n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert out.count() >= (n if name not in ("op4_nearest_neighbours", "op10_chat_format") else 10)
+    of = {"op12_embedding_dedup": "embeddings"}.get(name, "documents")
+    n = spark.read.parquet(f"{SF}/{of}.parquet").count()
+    assert out.count() >= (n if name not in ("op4_nearest_neighbours", "op10_chat_format", "op11_hard_negatives") else 10)
+
+
+def plain(v):
+    return "" if v is None else repr(v) if isinstance(v, float) else str(v)
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df, found = queries.QUERIES[name](spark, SF), con.execute(queries.SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(df.columns) == sorted(names)
+    want = sorted([plain(r[names.index(c)]) for c in sorted(names)] for r in found.fetchall())
+    assert sorted([plain(r[c]) for c in sorted(names)] for r in df.collect()) == want
