@@ -188,14 +188,22 @@ def recommended_terms(terms: DataFrame, k: int = 5) -> DataFrame:
 def detail_targets(signals: DataFrame, needs: DataFrame) -> DataFrame:
     """Which unopened signals to open. signals: snapshot_id, signal_key, layers, semantic_relevance, evidence_role,
     detail_captured. needs: snapshot_id, one column a layer, and `total`. Layers go in order of their names; each
-    takes twice its need, a signal goes to one layer, and what the total still lacks comes from the rest."""
+    takes twice its need, a signal goes to one layer, and what the total still lacks comes from the rest.
+
+    Signals of the same layers are taken best first, and no more of them than all needs together: each snapshot is cut
+    down to so many of each set of layers, by a group limit that holds before the shuffle, and quotas are dealt
+    among those alone."""
     relevance = S.lookup(F.col("semantic_relevance"), {"direct": 3, "adjacent": 2}, 0)
     role = S.lookup(F.col("evidence_role"), {"counter": 2, "support": 1}, 0)
     open_ = signals.where(~F.col("detail_captured") & F.col("semantic_relevance").isin("direct", "adjacent")).select(
         "snapshot_id", "signal_key", "layers", relevance.alias("relevance"), role.alias("role")
-    ).join(needs, "snapshot_id")
-    best = Window.partitionBy("snapshot_id").orderBy(F.desc("relevance"), F.desc("role"), "signal_key")
-    rest, picked = open_.withColumn("layer", F.lit(None).cast("string")), None
+    )
+    asked = sum((2 * F.col(layer) for layer in QUERY_LAYERS), F.col("total"))
+    most = needs.agg(F.max(asked)).first()[0] or 0  # a single number, bounded by the contracts
+    alike = Window.partitionBy("snapshot_id", "kind").orderBy(F.desc("relevance"), F.desc("role"), "signal_key")
+    open_ = open_.withColumn("kind", F.array_join(F.array_sort(F.array_distinct("layers")), ","))
+    open_ = open_.withColumn("n", F.row_number().over(alike)).where(F.col("n") <= int(most)).drop("n", "kind").join(needs, "snapshot_id")
+    rest = open_.withColumn("layer", F.lit(None).cast("string"))
     for layer in sorted(QUERY_LAYERS):
         fits = F.col("layer").isNull() & F.array_contains("layers", layer)
         within = Window.partitionBy("snapshot_id", fits).orderBy(F.desc("relevance"), F.desc("role"), "signal_key")

@@ -29,60 +29,83 @@ _METRICS = ("views", "likes", "saves", "comments", "shares")
 _REVIEWED = ("evidence_role", "topic_key")
 
 
+def ordered_union(rows: DataFrame, key: list[str], order: list[str], arrays: list[str]) -> DataFrame:
+    """Per key, for each array column its different elements over all rows, in the order in which they are first seen.
+    Each element keeps its least place, which is combined before the shuffle. Null arrays are empty; keys without any
+    element have no row."""
+    place = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+
+    def marked(c: str, kind: int) -> Column:
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x.cast("string").alias("x")))
+
+    parts = [marked(c, k) for k, c in enumerate(arrays)]
+    each = rows.select(*key, F.struct(*place).alias("_row"), F.explode(F.concat(*parts)).alias("e"))
+    least = each.groupBy(*key, "e.kind", "e.x").agg(F.min(F.struct("_row", "e.at")).alias("place"))
+    found = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "x")))), lambda e: e["x"]).alias(name) for k, name in enumerate(arrays)]
+    return least.groupBy(*key).agg(*found)
+
+
 def merge_duplicates(signals: DataFrame) -> DataFrame:
-    """Fold the observations of each (snapshot_id, dedupe_key) in input order.
-
-    At each step the one with details, then the better source type, then the longer summary is primary (the
-    earlier on a tie); its blank fields are filled from the other, arrays are joined in first-seen order, details
-    are OR-ed and the higher relevance stays. Needs the columns snapshot_id, dedupe_key, ordinal, signal_id,
-    source_type, detail_captured, title, summary, published_text, semantic_relevance, reviewed, evidence_role,
-    topic_key, query_term, query_layer, evidence_refs, limitations and the five metrics. A fold depends on the
-    order, so it isn't a plain aggregate; only these columns travel."""
-    quality = S.source_quality(F.col("source_type")).cast("int")
-    row = F.struct(
-        "ordinal", "signal_id", "source_type", quality.alias("quality"), "detail_captured", *_FILLED, "semantic_relevance", "reviewed", *_REVIEWED,
-        F.array_compact(F.array(F.when(F.col("query_term") != "", F.col("query_term")))).alias("query_terms"),
-        F.array_compact(F.array(F.when(F.col("query_layer") != "", F.col("query_layer")))).alias("query_layers"),
-        "evidence_refs", "limitations", *[F.col(m).cast("double").alias(m) for m in _METRICS], F.lit(1).alias("merged_from_count"),
+    """Merge the observations of each (snapshot_id, dedupe_key) as if one after the other in input order.
+
+    At each step the one with details, then the better source type, then the longer summary is primary (the earlier on
+    a tie); its blank fields are filled from the other, arrays are joined in first-seen order, details are OR-ed and the
+    higher relevance stays. Needs the columns snapshot_id, dedupe_key, ordinal, signal_id, source_type, detail_captured,
+    title, summary, published_text, semantic_relevance, reviewed, evidence_role, topic_key, query_term, query_layer,
+    evidence_refs, limitations and the five metrics.
+
+    Nearly all of it is a plain aggregate, combined before the shuffle: a field that no primary fills is the first one
+    that isn't blank; arrays are ordered unions; relevance is the earliest of the highest; a reviewed role is the
+    first reviewed row's or else the first there is. Which rows become primary, one after the other, isn't one, as a
+    filled summary counts with its length. But of all rows alike in details, quality and length of the summary only the
+    earliest can become primary, so that steps go over one row for each such level: however often a post was observed,
+    there are at most 18 for each length that a summary has."""
+    key = ["snapshot_id", "dedupe_key"]
+    fields = [*_FILLED, *_METRICS]
+    place = ["ordinal", "signal_id"]
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    held = {f: ~blank(F.col(f)) for f in _FILLED} | {f: F.col(f).isNotNull() for f in _METRICS}
+    first = lambda c, value: F.min(F.when(c, F.struct(*place, value)))
+    d = signals.withColumns({m: F.col(m).cast("double") for m in _METRICS} | {
+        "detail": F.coalesce("detail_captured", F.lit(False)).cast("int"), "quality": S.source_quality(F.col("source_type")).cast("int"), "length": F.length(F.coalesce("summary", F.lit(""))),
+        "rank": S.lookup(F.col("semantic_relevance"), RELEVANCE_RANK, 0), "reviewed": F.coalesce("reviewed", F.lit(False)),
+    })
+    firsts = {f"_{f}": first(c, F.col(f)) for f, c in held.items()} | {f"_{f}": first(~blank(F.col(f)), F.col(f)) for f in _REVIEWED}
+    firsts["_relevance"] = F.min(F.struct((-F.col("rank")).alias("rank"), *place, "semantic_relevance"))
+    firsts["_review"] = first(F.col("reviewed"), F.struct(*_REVIEWED).alias("labels"))
+    levels = d.groupBy(*key, "detail", "quality", "length").agg(
+        F.min(F.struct(*place, "source_type", *fields)).alias("row"), F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in firsts.items()]
     )
-
-    def merge(left: Column, right: Column) -> Column:
-        def better() -> Column:
-            key = lambda x: F.struct(x["detail_captured"].cast("int"), x["quality"], F.length(x["summary"]))
-            return key(right) > key(left)
-
-        def pick(name: str) -> tuple[Column, Column]:
-            return F.when(better(), right[name]).otherwise(left[name]), F.when(better(), left[name]).otherwise(right[name])
-
-        def union(name: str) -> Column:
-            return F.array_distinct(F.concat(left[name], right[name]))
-
-        fields = {"ordinal": F.least(left["ordinal"], right["ordinal"]), "signal_id": pick("signal_id")[0], "source_type": pick("source_type")[0], "quality": pick("quality")[0]}
-        detail = left["detail_captured"] | right["detail_captured"]
-        fields["detail_captured"] = detail
-        for name in _FILLED:
-            own, other = pick(name)
-            fields[name] = F.when(own != "", own).otherwise(other)
-        rank = lambda x: S.lookup(x["semantic_relevance"], RELEVANCE_RANK, 0)
-        fields["semantic_relevance"] = F.when(rank(right) > rank(left), right["semantic_relevance"]).otherwise(left["semantic_relevance"])
-        fields["reviewed"] = left["reviewed"] | right["reviewed"]
-        for name in _REVIEWED:
-            chosen = F.when(left["reviewed"], left[name]).when(right["reviewed"], right[name]).otherwise(F.lit(""))
-            fields[name] = F.when(chosen != "", chosen).when(left[name] != "", left[name]).otherwise(right[name])
-        fields |= {n: union(n) for n in ("query_terms", "query_layers", "evidence_refs")}
-        limits = union("limitations")
-        fields["limitations"] = F.when(detail, F.filter(limits, lambda x: ~F.trim(x).isin(*_STALE))).otherwise(limits)
-        for name in _METRICS:
-            own, other = pick(name)
-            fields[name] = F.coalesce(own, other)
-        fields["merged_from_count"] = left["merged_from_count"] + right["merged_from_count"]
-        return F.struct(*[v.alias(k) for k, v in fields.items()])
-
-    g = signals.groupBy("snapshot_id", "dedupe_key").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    # the accumulator's type must not change from step to step: all of it may be null
-    kind = T.StructType([T.StructField(f.name, T.ArrayType(T.StringType()) if isinstance(f.dataType, T.ArrayType) else f.dataType) for f in g.schema["rows"].dataType.elementType])
-    folded = F.aggregate(F.slice("rows", 2, 2_000_000_000), F.get("rows", F.lit(0)).cast(kind), lambda a, x: merge(a, x).cast(kind))
-    return g.select("snapshot_id", "dedupe_key", folded.alias("s")).select("snapshot_id", "dedupe_key", "s.*").drop("quality")
+    level = F.struct(F.col("row.ordinal").alias("ordinal"), F.col("row.signal_id").alias("signal_id"), "detail", "quality", "length", F.col("row.source_type").alias("source_type"), *[F.col(f"row.{f}").alias(f) for f in fields])
+    g = levels.groupBy(*key).agg(F.array_sort(F.collect_list(level)).alias("levels"), F.sum("n").cast("int").alias("merged_from_count"), *[F.min(k).alias(k) for k in firsts])
+    # the state's type must not change from step to step: all of it may be null
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in g.schema["levels"].dataType.elementType])
+
+    def step(s: Column, x: Column) -> Column:
+        names = ("detail", "quality", "length")
+        better = F.struct(*[x[c] for c in names]) > F.struct(*[s[c] for c in names])
+        taken = {c: x[c] for c in ("ordinal", "signal_id", "detail", "quality", "source_type")} | {"length": F.when(x["length"] > 0, x["length"]).otherwise(s["length"])}
+        taken |= {f: F.when(~blank(x[f]), x[f]).otherwise(s[f]) for f in _FILLED} | {f: F.coalesce(x[f], s[f]) for f in _METRICS}
+        # what isn't primary fills a blank summary, whose length counts from then on
+        kept = {c: s[c] for c in taken} | {"length": F.when(s["length"] > 0, s["length"]).otherwise(x["length"])}
+        return F.when(better, F.struct(*[taken[f.name].alias(f.name) for f in kind]).cast(kind)).otherwise(F.struct(*[kept[f.name].alias(f.name) for f in kind]).cast(kind))
+
+    folded = F.aggregate(F.slice("levels", 2, 2_000_000_000), F.get("levels", F.lit(0)).cast(kind), step)
+    m = g.withColumn("s", folded).withColumn("detail_captured", F.exists("levels", lambda x: x["detail"] == 1))
+    filled = [F.when(~blank(F.col(f"s.{f}")), F.col(f"s.{f}")).otherwise(F.coalesce(F.col(f"_{f}.{f}"), F.col(f"s.{f}"))).alias(f) for f in _FILLED]
+    labels = [F.when(~blank(F.col(f"_review.labels.{f}")), F.col(f"_review.labels.{f}")).otherwise(F.coalesce(F.col(f"_{f}.{f}"), F.lit(""))).alias(f) for f in _REVIEWED]
+    m = m.select(
+        *key, F.get("levels", F.lit(0))["ordinal"].alias("ordinal"), "s.signal_id", "s.source_type", "detail_captured", *filled, F.col("_relevance.semantic_relevance").alias("semantic_relevance"),
+        F.col("_review").isNotNull().alias("reviewed"), *labels, *[F.coalesce(F.col(f"s.{f}"), F.col(f"_{f}.{f}")).alias(f) for f in _METRICS], "merged_from_count",
+    )
+    one = lambda c: F.array_compact(F.array(F.when(F.col(c) != "", F.col(c))))
+    arrays = {"query_terms": one("query_term"), "query_layers": one("query_layer"), "evidence_refs": F.col("evidence_refs"), "limitations": F.col("limitations")}
+    unions = ordered_union(signals.select(*key, *place, *[v.alias(k) for k, v in arrays.items()]), key, place, list(arrays))
+    j = m.join(unions, key, "left")
+    whole = {c: F.coalesce(c, F.array().cast("array<string>")) for c in arrays}
+    stale = F.col("detail_captured") & (F.col("merged_from_count") > 1)
+    whole["limitations"] = F.when(stale, F.filter(whole["limitations"], lambda x: ~F.trim(x).isin(*_STALE))).otherwise(whole["limitations"])
+    return j.withColumns(whole)
 
 
 def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -91,20 +114,30 @@ def first_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def merge_snapshots(rows: DataFrame, detail_fields: list[str]) -> DataFrame:
-    """Merge snapshots of one subject: per signal_id the first row stays, and if it has no detail the first
-    detailed row gives the listed fields. Adds the number of rows and the sorted layers and terms."""
-    detailed = F.col("detail_captured")
-    fill = [
-        F.when(F.bool_and(~(detailed & (F.col("_n") == 1))), F.coalesce(F.min_by(F.when(detailed, F.col(c)), F.when(detailed, F.col("ordinal"))), F.min_by(c, "ordinal")))
-        .otherwise(F.min_by(c, "ordinal")).alias(c)
-        for c in detail_fields
-    ]
-    w = Window.partitionBy("subject", "signal_id").orderBy("ordinal")
-    return rows.withColumn("_n", F.row_number().over(w)).groupBy("subject", "signal_id").agg(
-        *fill, F.bool_or("detail_captured").alias("detail_captured"), F.count(F.lit(1)).alias("merged_rows"),
+#: What a detailed observation gives a signal that was first seen without details.
+DETAIL_FIELDS = ("source_type", "detail_captured", "title", "summary", "published_at", "metrics", "author", "platform_facts", "limitations")
+
+
+def merge_snapshots(rows: DataFrame, detail_fields: list[str], arrays: list[str] = ()) -> DataFrame:
+    """Merge snapshots of one subject. rows: subject, signal_id, ordinal (the place of the row among all snapshots),
+    detail_captured, query_layer, query_term, the listed fields (usually DETAIL_FIELDS) and arrays. Per signal_id the first
+    row stays, and if it has no detail the first detailed row gives the listed fields. Adds the number of rows, the
+    sorted layers and terms, and the different elements of each array in first-seen order. All of it is combined before
+    the shuffle."""
+    key = ["subject", "signal_id"]
+    detailed = F.coalesce("detail_captured", F.lit(False))
+    row = F.struct("ordinal", detailed.alias("detailed"), F.struct(*detail_fields).alias("f"))
+    m = rows.groupBy(*key).agg(
+        F.min_by(row, "ordinal").alias("a"), F.min_by(F.when(detailed, row), F.when(detailed, F.col("ordinal"))).alias("b"), F.count(F.lit(1)).alias("merged_rows"),
         F.array_sort(F.collect_set("query_layer")).alias("query_layers"), F.array_sort(F.collect_set("query_term")).alias("query_terms"),
     )
+    fill = F.col("b").isNotNull() & ~F.col("a.detailed")
+    taken = [F.when(fill, F.col(f"b.f.{c}")).otherwise(F.col(f"a.f.{c}")).alias(c) for c in detail_fields if c != "detail_captured"]
+    m = m.select(*key, *taken, F.col("b").isNotNull().alias("detail_captured"), "merged_rows", "query_layers", "query_terms")
+    if not arrays:
+        return m
+    found = ordered_union(rows, key, ["ordinal"], list(arrays))
+    return m.join(found, key, "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in arrays})
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -66,12 +66,41 @@ def normal_text(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " ")))
 
 
+#: How many counts stand for the frequencies of grams; at most as many rows are broadcast.
+GRAM_BUCKETS = 1 << 16
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Hashes of all runs of n characters, in order."""
+    chars = F.split(text, "")
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.xxhash64(F.slice(chars, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def verbatim(excerpts: DataFrame, rows: DataFrame, key: list[str], least: int = 12) -> DataFrame:
-    """Excerpts (text) that equal a row of the same key, or, from `least` characters on, stand within one."""
-    e, r = excerpts.withColumn("_e", normal_text(F.col("text"))), rows.select(*key, normal_text(F.col("row_text")).alias("_r"))
-    same = [e[k] == r[k] for k in key]
-    inside = (F.length("_e") >= least) & F.col("_r").contains(F.col("_e"))
-    return e.join(r, [*same, (F.col("_e") == F.col("_r")) | inside], "left_semi").drop("_e")
+    """Excerpts (text) that equal a row (row_text) of the same key, or, from `least` characters on, stand within one; both
+    without regard to case and runs of white space.
+
+    Short excerpts are joined by equality. Of a long one the rarest run of `least` characters is looked up among those
+    of the rows, and only rows that hold it are compared. How rare a run is, is read from counts over buckets of
+    hashes, GRAM_BUCKETS in number whatever the texts; rows are cut into runs where they are, and only the runs in
+    buckets that some excerpt asks for are shuffled. Excerpts with a null in the key, or a null text, have no row."""
+    e = excerpts.withColumn("_e", normal_text(F.col("text")))
+    asked = e.select(*key, "_e").where(F.col("_e").isNotNull()).distinct()
+    r = rows.select(*key, normal_text(F.col("row_text")).alias("_r"))
+    short = asked.where(F.length("_e") < least)
+    equal = short.join(r.withColumnRenamed("_r", "_e"), [*key, "_e"], "left_semi")
+    bucket = F.pmod("gram", F.lit(GRAM_BUCKETS)).cast("int")
+    of_rows = r.where(F.length("_r") >= least).select(*key, "_r", F.explode(_grams(F.col("_r"), least)).alias("gram")).withColumn("bucket", bucket)
+    counts = of_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    of_excerpts = asked.where(F.length("_e") >= least).select(*key, "_e", F.posexplode(_grams(F.col("_e"), least)).alias("at", "gram")).withColumn("bucket", bucket)
+    # an excerpt with a run in an empty bucket stands nowhere
+    rarest = of_excerpts.join(F.broadcast(counts), "bucket", "left").groupBy(*key, "_e").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "gram", "bucket")).alias("x"))
+    rarest = rarest.where("x.n > 0").select(*key, "_e", "x.gram", "x.bucket")
+    wanted = F.broadcast(rarest.select("bucket").distinct())
+    candidates = of_rows.join(wanted, "bucket", "left_semi").select(*key, "gram", "_r").distinct()
+    inside = rarest.join(candidates, [*key, "gram"]).where(F.col("_r").contains(F.col("_e"))).select(*key, "_e").distinct()
+    return e.join(equal.unionByName(inside), [*key, "_e"], "left_semi").select(*excerpts.columns)
 
 
 def cluster_plan(signals: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -107,15 +136,44 @@ def cluster_audit(assigned: DataFrame) -> DataFrame:
 def media_candidates(signals: DataFrame, k: int = 10) -> DataFrame:
     """The k signals of each snapshot to review as media: by relevance, bridge, counter, unopened and engagement.
     The best comes first, then the best of the opposite role by another author, then the best of each author not
-    yet seen, then the others. Exactly k, where there are as many."""
+    yet seen, then the others. Exactly k, where there are as many.
+
+    Each snapshot is first cut down to the rows that can be chosen (`_within_reach`), by group limits that hold before
+    any shuffle; only those are ranked together."""
     weight = {"views": 0.05, "likes": 1.0, "comments": 2.0, "shares": 2.5, "saves": 2.5}
     engaged = F.log1p(sum((F.greatest(F.coalesce(F.col(m), F.lit(0.0)), F.lit(0.0)) * w for m, w in weight.items()), F.lit(0.0)))
     relevance = F.when(F.col("semantic_relevance") == "direct", 400.0).when(F.col("semantic_relevance") == "adjacent", 300.0).when(
         F.col("semantic_relevance") == "unreviewed", 150.0).when(F.col("semantic_relevance") == "weak", 50.0).otherwise(0.0)
     score = relevance + F.when(F.col("query_layer") == "subject_bridge", 70.0).otherwise(0.0) + F.when(F.col("evidence_role") == "counter", 40.0).otherwise(0.0) \
         + F.when(~F.col("detail_captured"), 20.0).otherwise(0.0) + F.bround(engaged, 6)
+    return ranked_candidates(_within_reach(signals.withColumn("score", score).withColumn("author", F.lower("author_id")), k), k)
+
+
+def _best_of(s: DataFrame, by: list[str], n: int) -> DataFrame:
+    """The n best rows of each group."""
+    return s.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("signal_id")))).where(F.col("_n") <= n).drop("_n")
+
+
+def _within_reach(s: DataFrame, k: int) -> DataFrame:
+    """The rows of each snapshot among which `ranked_candidates` finds its k, a few times k however large it is.
+
+    The runner-up is the best of its role without an author, or of that role's two best authors. Then come k rows at
+    most that have no author or are their author's best: the k + 2 best of either, as two may have gone before. If
+    those are fewer than k, all others that are chosen are among the 2 k best."""
+    whole = ["snapshot_id"]
+    nameless = F.coalesce(F.col("author") == "", F.lit(False))
+    top = _best_of(s, whole, 2 * k + 2)
+    own = _best_of(s.where(~nameless), [*whole, "author", "evidence_role"], 1)
+    authors = _best_of(_best_of(own, [*whole, "author"], 1), whole, k + 2)
+    roles = _best_of(own, [*whole, "evidence_role"], 2)
+    others = _best_of(s.where(nameless), [*whole, "evidence_role"], k + 2)
+    return top.unionByName(authors).unionByName(roles).unionByName(others).dropDuplicates(["snapshot_id", "signal_id"])
+
+
+def ranked_candidates(s: DataFrame, k: int) -> DataFrame:
+    """The k candidates of each snapshot in their order; s has a score and an author as well."""
     best = Window.partitionBy("snapshot_id").orderBy(F.desc("score"), F.desc("signal_id"))
-    s = signals.withColumn("score", score).withColumn("r", F.row_number().over(best)).withColumn("author", F.lower("author_id"))
+    s = s.withColumn("r", F.row_number().over(best))
     whole = Window.partitionBy("snapshot_id")
     top = F.max(F.when(F.col("r") == 1, F.struct("evidence_role", "author"))).over(whole)
     opposite = F.when(top["evidence_role"] == "counter", "support").otherwise("counter")

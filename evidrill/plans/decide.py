@@ -83,26 +83,37 @@ def window_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's line items are the chunks of its query; parts are the results."""
+    """An order's line items are the chunks of its query; parts are the results. Some readers lose their session, some
+    meet a hard stop."""
     li = views.table(spark, sf_dir, "lineitem")
     k = (F.col("l_orderkey") + F.col("l_linenumber")) % 11
+    lost, hard = F.col("l_suppkey") % 5 == 0, F.col("l_suppkey") % 23 == 1
+    keys = F.when((k < 2) | (k == 5) | lost, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey"))))
     return li.select(
-        F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("bigint").alias("seq"), F.when(k < 2, "timeout").otherwise("success").alias("read_status"),
+        F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").cast("bigint").alias("seq"), F.when(lost, "error").when(k < 2, "timeout").otherwise("success").alias("read_status"),
         F.when(k == 10, "exhausted").when(k > 7, "unknown").otherwise("available").alias("continuation_status"),
-        F.when((k < 2) | (k == 5), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey")))).alias("keys"),
+        F.when(lost & (k == 3), "cli_error").when(lost, "session_expired").when(k == 10, "zero_results").otherwise("").alias("stop_reason"), F.when(hard, "captcha").otherwise("").alias("hard_stop"),
+        keys.alias("keys"), F.slice(keys, 1, 1).alias("signals"), F.when(F.col("l_linestatus") == "F", F.slice(keys, 2, 1)).alias("details"),
     )
 
 
 def chunk_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of every query after its chunks; a fold in order, which SQL has no word for (tested against a loop)."""
+    """State of every query after its chunks, one after the other."""
     return chunks.fold_chunks(_chunks(spark, sf_dir), 6)
 
 
+def chunk_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk_faults(_chunks(spark, sf_dir))
+
+
 QUERIES = {
     "capped_topics": capped_topics, "opportunity_gates": opportunity_gates, "finding_evidence": finding_evidence, "platform_comparison": platform_comparison,
-    "ledger_reconcile": ledger_reconcile, "artifact_refs": artifact_refs, "coverage_matrix": coverage_matrix, "window_growth": window_growth, "chunk_fold": chunk_fold,
+    "ledger_reconcile": ledger_reconcile, "artifact_refs": artifact_refs, "coverage_matrix": coverage_matrix, "window_growth": window_growth, "chunk_fold": chunk_fold, "chunk_faults": chunk_faults,
 }
 
+_CHUNKS = """c AS (SELECT l_orderkey AS query_id, CAST(l_linenumber AS BIGINT) AS seq, (l_orderkey + l_linenumber) % 11 AS k, l_suppkey % 5 = 0 AS lost, CASE WHEN l_suppkey % 23 = 1 THEN 'captcha' ELSE '' END AS hard,
+  CASE WHEN k < 2 OR k = 5 OR lost THEN [] ELSE ['p' || l_partkey, 's' || l_suppkey] END AS ks, ks[1:1] AS sg, CASE WHEN l_linestatus = 'F' THEN ks[2:2] ELSE [] END AS dt, CASE WHEN lost THEN 'error' WHEN k < 2 THEN 'timeout' ELSE 'success' END AS status,
+  CASE WHEN k = 10 THEN 'exhausted' WHEN k > 7 THEN 'unknown' ELSE 'available' END AS cont, CASE WHEN lost AND k = 3 THEN 'cli_error' WHEN lost THEN 'session_expired' WHEN k = 10 THEN 'zero_results' ELSE '' END AS stop FROM lineitem)"""
 _CAPPED = f"""WITH {TOPICS_SQL}, audits AS (SELECT snapshot_id, {"CASE WHEN topic_key <> '' THEN topic_key ELSE query_layer || ':' || query_term END"} AS topic,
   CASE WHEN count(*) >= 3 AND count(DISTINCT CASE WHEN author_id <> '' THEN lower(author_id) END) >= 2 AND count(*) FILTER (detail_captured OR source_type IN ('direct_post', 'exported_item')) >= 1
     AND count(*) FILTER (semantic_relevance = 'direct') >= 2 AND count(*) FILTER (semantic_relevance <> 'weak') / count(*)::DOUBLE >= 0.8 AND count(*) FILTER (query_layer = 'subject_bridge') >= 1
@@ -138,4 +149,23 @@ FROM g LEFT JOIN c ON n_name = "row" AND c_mktsegment = col""",
     "window_growth": f"""WITH signals AS ({views.as_sql(views.SIGNALS)}), g AS (SELECT topic_key, time_bucket(INTERVAL 7 DAY, published_at, TIMESTAMP '1970-01-01') AS window_start, count(*) AS current_window_count FROM signals WHERE topic_key <> '' GROUP BY ALL),
 l AS (SELECT *, CASE WHEN lag(window_start) OVER w + INTERVAL 7 DAY = window_start THEN lag(current_window_count) OVER w END AS previous_window_count FROM g WINDOW w AS (PARTITION BY topic_key ORDER BY window_start))
 SELECT *, round_even((current_window_count - previous_window_count) / greatest(previous_window_count, 1)::DOUBLE * 100, 3) AS growth_rate_percent FROM l""",
+    "chunk_faults": f"""WITH {_CHUNKS}, d AS (SELECT *, len(ks) = 0 AS nothing, coalesce(min(CASE WHEN len(ks) > 0 THEN seq END) OVER (PARTITION BY query_id) < seq, false) AS later FROM c)
+SELECT query_id, seq, 'error' AS fault FROM d WHERE status = 'error' AND hard = '' AND stop NOT IN ('cli_error', 'session_expired')
+UNION ALL SELECT query_id, seq, 'zero_result' FROM d WHERE nothing AND status = 'success' AND NOT (cont = 'available' AND later) AND NOT (cont = 'exhausted' AND (hard <> '' OR stop = 'zero_results'))""",
+    "chunk_fold": f"""WITH RECURSIVE {_CHUNKS}, o AS (SELECT *, CASE WHEN status = 'timeout' THEN 'unknown' ELSE cont END AS going, CASE WHEN status = 'timeout' THEN '' ELSE stop END AS own,
+  row_number() OVER (PARTITION BY query_id ORDER BY seq, status, cont, stop, hard, ks, sg, dt) AS i FROM c),
+f AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS i, []::VARCHAR[] AS keys, []::VARCHAR[] AS sgs, []::VARCHAR[] AS dts, CAST(0 AS BIGINT) AS timeouts, CAST(0 AS BIGINT) AS unknowns, CAST(0 AS BIGINT) AS empties, CAST(0 AS BIGINT) AS restarts, '' AS reason FROM c
+UNION ALL SELECT query_id, i, keys, sgs, dts, timeouts, unknowns, empties, restarts, CASE WHEN hard <> '' THEN hard WHEN status = 'timeout' AND timeouts >= 2 THEN 'repeated_timeout'
+    WHEN (was_unknown AND unknowns >= 2) OR (was_empty AND empties >= 2) THEN 'continuation_unresolved' WHEN was_lost AND restarts >= 2 THEN 'session_recovery_failed' WHEN own = 'cli_error' THEN own
+    WHEN len(keys) >= 6 THEN 'query_target_met' WHEN going = 'exhausted' THEN CASE WHEN own = 'zero_results' THEN own ELSE 'results_exhausted' END ELSE '' END
+  FROM (SELECT query_id, i, own, hard, status, going, keys, sgs, dts, was_unknown, was_empty, was_lost, timeouts + CAST(status = 'timeout' AS BIGINT) AS timeouts, unknowns + CAST(was_unknown AS BIGINT) AS unknowns,
+      CASE WHEN len(ks) > 0 THEN 0 ELSE empties + CAST(was_empty AS BIGINT) END AS empties, restarts + CAST(was_lost AS BIGINT) AS restarts
+    FROM (SELECT o.query_id, o.i, own, hard, status, going, ks, f.timeouts, f.unknowns, f.empties, f.restarts, list_concat(f.keys, list_filter(ks, lambda x: NOT list_contains(f.keys, x))) AS keys,
+        list_concat(sgs, list_filter(sg, lambda x: NOT list_contains(f.sgs, x))) AS sgs, list_concat(dts, list_filter(dt, lambda x: NOT list_contains(f.dts, x))) AS dts,
+        status = 'success' AND hard = '' AND going = 'unknown' AND len(list_distinct(list_concat(f.keys, ks))) < 6 AS was_unknown,
+        status = 'success' AND len(ks) = 0 AND going = 'available' AND len(f.keys) > 0 AS was_empty, status = 'error' AND own = 'session_expired' AND hard = '' AS was_lost
+      FROM f JOIN o ON o.query_id = f.query_id AND o.i = f.i + 1 WHERE f.reason = ''))),
+l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i DESC) = 1)
+SELECT query_id, i AS chunks, len(keys) AS observed, len(sgs) AS signals, len(dts) AS details, timeouts, unknowns, restarts, reason AS stop_reason, CASE WHEN reason = '' THEN '' WHEN reason IN ('continuation_unresolved', 'repeated_timeout', 'cli_error', 'session_recovery_failed')
+  THEN 'completed_partial' WHEN len(keys) = 0 THEN 'completed_with_zero_results' ELSE 'completed_with_results' END AS outcome, reason <> '' AS done FROM l""",
 }

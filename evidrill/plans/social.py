@@ -200,14 +200,11 @@ def visible_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "hashtag_captures": hashtag_captures, "post_search_captures": post_search_captures, "account_posts": account_posts, "meta_details": meta_details,
+    "hashtag_captures": hashtag_captures, "post_search_captures": post_search_captures, "hashtag_signals": hashtag_signals, "post_search_signals": post_search_signals, "account_posts": account_posts, "meta_details": meta_details,
     "card_details": card_details, "comment_captures": comment_captures, "rendered_videos": rendered_videos, "rendered_posts": rendered_posts, "page_posts": page_posts, "thread_details": thread_details, "video_details": video_details,
     "panel_comments": panel_comments, "post_addresses": post_addresses, "visible_texts": visible_texts,
 }
 
-#: Right, but too slow so far to be registered: a minute for 15,000 posts. The tests run them.
-SLOW = {"hashtag_signals": hashtag_signals, "post_search_signals": post_search_signals}
-
 _TAGGED = """o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderpriority AS pr, o_orderstatus AS st, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders),
 g AS (SELECT c, count(*) AS n, count(*) FILTER (k % 7 = 0) AS nd, count(*) FILTER (k % 5 = 1) AS nc, count(*) FILTER (k % 3 <> 0) AS p2, CASE WHEN c % 13 = 0 THEN 'captcha' WHEN c % 17 = 0 THEN 'timeout' ELSE '' END AS stop FROM o GROUP BY c),
 f AS (SELECT *, concat_ws(',', CASE WHEN stop = '' AND n > 24 THEN 'passes' END, CASE WHEN nc > 24 THEN 'cards' END, CASE WHEN nd > 6 THEN 'details' END) AS faults FROM g),
@@ -249,8 +246,6 @@ SELECT conv_id AS target_id, CAST(least(10, count(*) FILTER (said)) AS INT) AS v
   CASE o_orderkey % 3 WHEN 0 THEN 's' || (o_orderkey % 20) ELSE 'u' || (o_orderkey % 10) END AS key FROM orders),
 f AS (SELECT o_custkey, min(k) AS k, arg_min(ref, k) AS ref FROM r GROUP BY o_custkey, key) SELECT o_custkey, string_agg(ref, ',' ORDER BY k) AS refs FROM f GROUP BY ALL""",
     "visible_texts": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'one  two ' || url ELSE 'one ' || url END AS visible FROM pages",
-}
-SLOW_SQL = {
     "hashtag_signals": f"""WITH {_TAGGED} SELECT c AS capture_id, 'id' || k AS content_id, 'https://www.instagram.com/' || kind || '/id' || k || '/' AS canonical_url, kind AS content_format,
   CASE WHEN k % 7 = 0 THEN 'direct_post' ELSE 'search_card' END AS source_type, CASE WHEN k % 7 = 0 THEN 'seen ' || st WHEN k % 5 = 1 THEN 'card ' || pr ELSE '' END AS title, CASE WHEN k % 7 = 0 OR k % 5 = 1 THEN 'u' || c ELSE '' END AS author_id,
   CASE WHEN k % 7 = 0 THEN k % 90 * 1000 END AS likes, CAST(pos AS INT) AS search_rank, CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS comments, sha256('instagram:id' || k) AS capture_key

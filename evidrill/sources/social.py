@@ -13,6 +13,7 @@ from ..functions import addresses as A
 from ..functions import scalars as S
 from ..operators.dedup import jaccard
 from ..operators.text_rules import forbidden_keys
+from .staging import staged
 
 # Why reading stops for good, and why there is nothing to read.
 HARD_STOPS = ("captcha", "rate_limit", "login_expired", "permission_prompt", "abnormal_redirect", "content_mismatch")
@@ -87,19 +88,19 @@ def _empty(c: Column) -> Column:
 
 
 def _parsed(captures: DataFrame, post, more: tuple[str, ...]) -> DataFrame:
-    """Adds the capture's parts: links of each pass (null where one isn't a post's), cards and details by content id. The
-    row number keeps filters from being worked out on the texts again, in place of the parts."""
-    d = captures.withColumn("c", F.from_json("raw", CAPTURE))
+    """Adds the capture's parts: links of each pass (null where one isn't a post's), cards and details by content id. Texts
+    are parsed and addresses read once; the parts are written, and everything else goes by those."""
+    d = captures.withColumn("c", F.from_json("raw", CAPTURE)).withColumn("forbidden", forbidden_keys(F.col("raw"), *more)).drop("raw")
+    own = lambda rows: F.transform(_empty(F.col(rows)), lambda x: F.struct(post(x["canonical_url"]).alias("id"), x.alias("x")))
     d = d.withColumns({
-        "forbidden": forbidden_keys(F.col("raw"), *more), "stop": F.lower(S.text(F.col("c.stop_reason"))), "passes": F.transform("c.result_passes", lambda p: F.transform(p, lambda u: post(u))),
-        "cards": F.transform(_empty(F.col("c.result_cards")), lambda x: F.struct(post(x["canonical_url"]).alias("id"), x.alias("x"))),
-        "details": F.transform(_empty(F.col("c.posts")), lambda x: F.struct(post(x["canonical_url"]).alias("id"), x.alias("x"))),
-        "_row": F.monotonically_increasing_id(),
+        "stop": F.lower(S.text(F.col("c.stop_reason"))), "passes": F.transform("c.result_passes", lambda p: F.transform(p, lambda u: post(u))), "cards": own("c.result_cards"), "details": own("c.posts"),
+        "c": F.struct("c.hashtag", "c.checks"),
     })
+    d = staged(d, "captures")
     observed = _once(F.filter(F.coalesce(F.get("passes", F.lit(0)), F.array()), lambda x: x.isNotNull()))
     d = d.withColumn("observed", observed).withColumn("urls", F.transform("observed", lambda x: x["url"]))
     urls = lambda i: F.array_distinct(F.transform(F.filter(F.get("passes", F.lit(i)), lambda x: x.isNotNull()), lambda x: x["url"]))
-    return d.withColumn("overlap", F.when(F.size("passes") == 2, jaccard(urls(0), urls(1)))).withColumns({"pass_count": F.greatest(F.lit(0), F.size("passes")), "_row": F.monotonically_increasing_id()})
+    return d.withColumn("overlap", F.when(F.size("passes") == 2, jaccard(urls(0), urls(1)))).withColumn("pass_count", F.greatest(F.lit(0), F.size("passes")))
 
 
 def _bad_passes() -> Column:
@@ -114,6 +115,11 @@ def _foreign(rows: str) -> Column:
     return F.exists(rows, lambda r: r["id"].isNull() | ~F.coalesce(F.array_contains("urls", r["id"]["url"]), F.lit(False)))
 
 
+def _captured(d: DataFrame, term: str) -> DataFrame:
+    """What signals need of the captured ones, with their checks worked out once."""
+    return staged(d.select("capture_id", term, "query_layer", "status", "observed", "cards", "details"), "checked").where("status = 'captured'")
+
+
 def _placed(d: DataFrame, term: str) -> DataFrame:
     """A row for each link of the first pass (p, at pos), with the last detail (d) and the last card (k) of its id, by
     joins within the capture."""
@@ -145,13 +151,12 @@ def hashtag_captures(captures: DataFrame) -> DataFrame:
     )
     reason = F.when((F.size("faults") > 0) | (stop != ""), stop).when(wrong, "content_mismatch").when(F.size("observed") == 0, "no_visible_posts").when(_foreign("cards") | _foreign("details"), "content_mismatch").when(
         F.size("details") > 0, "").otherwise("details_unavailable")
-    return d.withColumns({"status": status, "stop_reason": reason, "_row": F.monotonically_increasing_id()})
+    return d.withColumns({"status": status, "stop_reason": reason})
 
 
 def hashtag_signals(captures: DataFrame) -> DataFrame:
     """Signals of the captured ones, in the order of the first pass: a detail stands for the card of its id."""
-    d = hashtag_captures(captures).where("status = 'captured'")
-    e = _placed(d, "hashtag")
+    e = _placed(_captured(hashtag_captures(captures), "hashtag"), "hashtag")
     cid = F.col("p.content_id")
     seen = F.col("d").isNotNull()
     text = F.when(seen, S.text(F.col("d.caption"))).otherwise(S.text(F.col("k.preview_text")))
@@ -182,13 +187,12 @@ def post_search_captures(captures: DataFrame) -> DataFrame:
     stop = F.when((F.col("stop") == "") & ~_checked(F.col("c.checks"), "posts"), "content_mismatch").otherwise(F.col("stop"))
     status = F.when(F.size("faults") > 0, "invalid").when(stop.isin(*HARD_STOPS, "private_content"), "blocked").when(details > 0, "captured").otherwise("unavailable")
     reason = F.when(stop != "", stop).when(F.size("observed") == 0, "no_visible_posts").when(details == 0, "details_unavailable").otherwise("")
-    return d.withColumns({"status": status, "stop_reason": reason, "detail_open_count": details, "_row": F.monotonically_increasing_id()})
+    return d.withColumns({"status": status, "stop_reason": reason, "detail_open_count": details})
 
 
 def post_search_signals(captures: DataFrame) -> DataFrame:
     """Signals of the captured ones. Reactions aren't likes; a link without card or detail gives none."""
-    d = post_search_captures(captures).where("status = 'captured'")
-    e = _placed(d, "query_term").where("d IS NOT NULL OR k IS NOT NULL")
+    e = _placed(_captured(post_search_captures(captures), "query_term"), "query_term").where("d IS NOT NULL OR k IS NOT NULL")
     cid = F.col("p.content_id")
     seen = F.col("d").isNotNull()
     pick = lambda name: F.when(seen, F.col(f"d.{name}")).otherwise(F.col(f"k.{name}"))

@@ -10,7 +10,7 @@ from evidrill.functions import scalars as S
 from evidrill.operators import collection, decisions, dedup, review, scoring, text_rules
 from evidrill.plans.decide import _chunks
 from evidrill.sources import captures
-from evidrill.streaming import chunks
+from evidrill.streaming import chunks, ledger
 
 
 def values(spark, column, rows, kind="string"):
@@ -207,24 +207,22 @@ def test_stream_of_chunks_ends_like_the_batch(spark, tmp_path):
 
 
 def test_ledger_takes_each_run_once(spark, tmp_path):
-    ledger = str(tmp_path / "ledger")
+    folder = str(tmp_path / "ledger")
     a = spark.createDataFrame([("s", 1, "x"), ("s", 2, "y")], "snapshot_id string, query_id bigint, outcome string")
     for batch in (a, a, a.unionByName(spark.createDataFrame([("t", 1, "z")], a.schema))):
-        chunks.append_runs(batch, ledger)
-    assert sorted((r.snapshot_id, r.query_id) for r in spark.read.parquet(ledger).collect()) == [("s", 1), ("s", 2), ("t", 1)]
+        ledger.append_runs(batch, folder)
+    assert sorted((r.snapshot_id, r.query_id) for r in spark.read.parquet(folder).collect()) == [("s", 1), ("s", 2), ("t", 1)]
 
 
 def test_ledger_of_runs_without_ids(spark, tmp_path):
-    from evidrill.streaming import chunks
-
-    ledger, schema = str(tmp_path / "ledger"), "snapshot_id string, query_id string, query_term string, query_layer string"
+    folder, schema = str(tmp_path / "ledger"), "snapshot_id string, query_id string, query_term string, query_layer string"
     first = spark.createDataFrame([("007", "1", "a", "l"), ("007", " ", "b", "l"), ("007", None, "b", "l"), ("007", "", "a", "l")], schema)
-    again = spark.createDataFrame([("007", "", "b", "l"), ("007", "", "b", "m"), ("007", "2", "b", "l"), ("008", "", "b", "l")], schema)
+    again = spark.createDataFrame([("007", "", "b", "l"), ("007", "", "b", "m"), ("007", "2", "b", "l"), ("008", "", "b", "l"), ("008", None, None, None), ("008", "", "", None)], schema)
     for batch in (first, first, again, again, again.limit(0)):
-        chunks.append_runs(batch, ledger)
-    kept = spark.read.schema(schema).parquet(ledger).collect()
+        ledger.append_runs(batch, folder)
+    kept = spark.read.schema(schema).parquet(folder).collect()
     found = sorted((r.snapshot_id, (r.query_id or "").strip(), r.query_term, r.query_layer) for r in kept)
-    assert found == [("007", "", "b", "l"), ("007", "", "b", "m"), ("007", "1", "a", "l"), ("007", "2", "b", "l"), ("008", "", "b", "l")]
+    assert found == [("007", "", "b", "l"), ("007", "", "b", "m"), ("007", "1", "a", "l"), ("007", "2", "b", "l"), ("008", "", "", ""), ("008", "", "b", "l")]
 
 
 def test_csv_files_have_their_own_headers(spark, tmp_path):
