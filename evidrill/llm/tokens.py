@@ -53,8 +53,8 @@ def kind_of(config: dict) -> str:
 class PieceMemory:
     """What `look_up` says of each piece, remembered."""
 
-    def __init__(self, kind: str, look_up: Callable[[list[str]], Iterable], held: int = HELD, longest: int = LONGEST):
-        self.kind, self.look_up, self.held, self.longest = kind, look_up, held, longest
+    def __init__(self, kind: str, look_up: Callable[[list[str]], Iterable], held: int = HELD, longest: int = LONGEST, chunk: int = CHUNK):
+        self.kind, self.look_up, self.held, self.longest, self.chunk = kind, look_up, held, longest, chunk
         self.memory, self.older, self.size = {}, {}, 0
 
     def piece(self, key: str) -> str:
@@ -94,7 +94,7 @@ class PieceMemory:
         size = np.cumsum(pc.binary_length(texts).to_numpy())
         start = 0
         while start < len(texts):
-            end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + CHUNK, side="right")))
+            end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + self.chunk, side="right")))
             offsets, keys = self._cut(texts.slice(start, end - start))
             known = keys.dictionary_encode()
             yield offsets.astype(np.int64) - offsets[0], known.indices.to_numpy(), self._values(known.dictionary.to_numpy(zero_copy_only=False).tolist())
