@@ -8,7 +8,10 @@ programming prices the configurations, over groups of lengths that are drawn ane
 gives one full configuration for each group; the lengths that got covered lose weight. The weights are prices of
 the dual program: divided by the value of the best configuration of all lengths, they add up to a lower bound of the
 number of sequences, and rounds end when the rounded solution is within a thousandth of it. The fractional solution
-is rounded down, and what is left over is packed by best fit over the remaining histogram.
+is rounded down, and what is left over is packed by best fit over the remaining histogram. Where that doesn't come as
+close, the rest is packed anew, each sequence from its longest piece on by the subset of all remaining lengths that fills
+it best, the longest ones first, as short pieces are the easiest to place later; how much of the fractional solution
+is kept is tried out, from all of it to nothing. At last full sequences are exchanged for two (`absorb`).
 
 Only the histogram is gathered on the driver. Pieces are numbered within their length, salted, so that a length
 which most pieces have (as `capacity` itself) is spread over all tasks, and look their place up in the table of
@@ -22,8 +25,10 @@ broken by the pieces' own values; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -155,12 +160,12 @@ class Program:
         for prices in (self.weight / self.counts, self.prices):  # those of this round, and of all rounds together
             self.bound = max(self.bound, lower_bound(self.lengths, self.counts, prices, self.capacity))
 
-    def whole(self) -> dict[Configuration, int]:
+    def whole(self, fulls: tuple[float, ...] = (0.0, 0.98, 0.995), subsets: bool = False) -> dict[Configuration, int]:
         """Whole numbers of configurations that cover every piece: how full one has to be to be worth its place is
         tried out."""
-        return min((self._rounded(full) for full in (0.0, 0.98, 0.995)), key=lambda x: sum(x.values()))
+        return min((self._rounded(full, subsets) for full in fulls), key=lambda x: sum(x.values()))
 
-    def _rounded(self, full: float) -> dict[Configuration, int]:
+    def _rounded(self, full: float, subsets: bool) -> dict[Configuration, int]:
         left = self.counts.copy()
         covered = np.zeros(len(left))
         for c, amount in self.used.items():
@@ -180,8 +185,12 @@ class Program:
             if filled[c] >= full * self.capacity:
                 take(c, int(min(amount / max(1.0, max(surplus[i] for i, _ in c)), min(left[i] // n for i, n in c))))
         for c in sorted(self.used, key=lambda c: (-c[-1][0], -filled[c])):
-            if filled[c] >= max(full, 0.995) * self.capacity:
+            if not subsets and filled[c] >= max(full, 0.995) * self.capacity:
                 take(c, int(min(left[i] // n for i, n in c)))
+        if subsets:
+            for c, times in fill_by_subsets(self.lengths.tolist(), left.tolist(), self.capacity):
+                take(c, times)
+            return taken
         # the rest, from the longest: each sequence gets the longest piece that still fits, as often as there are enough
         there = [i for i in range(len(left)) if left[i]]
         sizes = [int(self.lengths[i]) for i in there]
@@ -200,6 +209,113 @@ class Program:
         return taken
 
 
+def fill_by_subsets(lengths: list[int], counts: list[int], capacity: int) -> Iterator[tuple[Configuration, int]]:
+    """Configurations (index, times) that use up all pieces: the longest left, and of the others those that together
+    fill its sequence best, longest first. Sums that the first lengths reach are bits of a number for each of them; a
+    number is right until a count below it changes."""
+    left, mask = counts[:], (1 << capacity + 1) - 1
+    reached = [1] * (len(lengths) + 1)
+    stale = 0  # reached[k] holds for k <= stale
+    top = len(lengths) - 1
+    while top >= 0:
+        if not left[top]:
+            top -= 1
+            continue
+        left[top] -= 1
+        room = capacity - lengths[top]
+        end = bisect_right(lengths, room, 0, top + 1)
+        stale = min(stale, end)
+        for k in range(stale, end):
+            bits, size, times, n = reached[k], lengths[k], 1, min(left[k], capacity // lengths[k])
+            while n:  # parts of 1, 2, 4, ... and the rest make up any number
+                times = min(times, n)
+                bits |= bits << size * times & mask
+                n -= times
+                times *= 2
+            reached[k + 1] = bits
+        target = (reached[end] & ((1 << room + 1) - 1)).bit_length() - 1
+        taken = {top: 1}
+        for k in range(end - 1, -1, -1):
+            if not target:
+                break
+            n, size = min(left[k], target // lengths[k]), lengths[k]
+            while n and not reached[k] >> target - n * size & 1:
+                n -= 1
+            if n:
+                taken[k] = taken.get(k, 0) + n
+                target -= n * size
+        left[top] += 1
+        copies = min(left[k] // n for k, n in taken.items())
+        for k, n in taken.items():
+            left[k] -= n * copies
+        stale = min(taken)
+        yield tuple(sorted(taken.items())), copies
+
+
+def exact_fill(pieces: list[int], room: int) -> list[int] | None:
+    """Places of pieces that fill the room exactly, the later ones of the list first."""
+    reached, mask = [1], (1 << room + 1) - 1
+    for size in pieces:
+        reached.append(reached[-1] | reached[-1] << size & mask)
+    if not reached[-1] >> room & 1:
+        return None
+    found = []
+    for k in range(len(pieces) - 1, -1, -1):
+        if not reached[k] >> room & 1:
+            found.append(k)
+            room -= pieces[k]
+    return found
+
+
+def absorb(solution: dict[Configuration, int], lengths: list[int], capacity: int, sample: int = 48, tries: int = 400, most: int = 1 << 16, seed: int = 3) -> dict[Configuration, int]:
+    """Fewer sequences by exchange: a full one is opened, two of its pieces are each filled up exactly from the pieces of
+    those that aren't full, and its other pieces join these. So one full sequence more takes up a sequence's worth of
+    the rest, which is packed anew at the end. Goes on until `tries` attempts in a row fail."""
+    rng = random.Random(seed)
+    total = lambda x: sum(x.values())
+    size = lambda c: sum(lengths[i] * n for i, n in c)
+    full = {c: n for c, n in solution.items() if size(c) == capacity}
+    rest = [i for c, n in solution.items() if c not in full for i, times in c for _ in range(times * min(n, most))]
+    if len(rest) > most or not full:
+        return solution
+    names = [c for c in full if sum(n for _, n in c) > 1]
+    failed, loose = 0, sum(lengths[i] for i in rest)
+    while names and failed < tries and loose > capacity:
+        c = names[rng.randrange(len(names))]
+        failed += 1
+        if not full.get(c):
+            continue
+        own = [i for i, n in c for _ in range(n)]
+        rng.shuffle(own)
+        for k in range(len(rest) - 1, max(0, len(rest) - sample) - 1, -1):
+            at = rng.randrange(k + 1)
+            rest[k], rest[at] = rest[at], rest[k]
+        some = rest[-sample:]
+        made = []
+        for x in own[:2]:
+            at = exact_fill([lengths[i] for i in some], capacity - lengths[x])
+            if at is None:
+                break
+            made.append(tuple(sorted(Counter([x, *(some[k] for k in at)]).items())))
+            gone = set(at)
+            some = [i for k, i in enumerate(some) if k not in gone]
+        if len(made) < 2:
+            continue
+        failed = 0
+        full[c] -= 1
+        for new in made:
+            if new not in full:
+                names.append(new)
+            full[new] = full.get(new, 0) + 1
+        rest[-sample:] = some + own[2:]
+        loose -= capacity
+    left = Counter(rest)
+    found = {c: n for c, n in full.items() if n}
+    for c, times in fill_by_subsets(lengths, [left.get(i, 0) for i in range(len(lengths))], capacity):
+        found[c] = found.get(c, 0) + times
+    return found if total(found) < total(solution) else solution
+
+
 def solve_with_bound(histogram: dict[int, int], capacity: int, rounds: int = 48, group: int = 256, step: float = 0.25, seed: int = 1,
                      close: float = 0.001) -> tuple[list[tuple[Configuration, int]], int]:
     """Configurations as (length, times) with the number of sequences of each, every piece in exactly one, and a
@@ -221,6 +337,10 @@ def solve_with_bound(histogram: dict[int, int], capacity: int, rounds: int = 48,
                 best = min((x for x in (best, program.whole()) if x is not None), key=lambda x: sum(x.values()))
                 if sum(best.values()) <= math.ceil(program.bound - 1e-6) * (1 + close):
                     break
+    goal = math.ceil(program.bound - 1e-6)
+    for full in (2.0, 0.0):
+        if best is not None and sum(best.values()) > goal:
+            best = min(best, absorb(program.whole((full,), subsets=True), lengths.tolist(), capacity), key=lambda x: sum(x.values()))
     result += [(tuple((int(lengths[i]), n) for i, n in c), times) for c, times in (best or program.whole()).items()]
     return result, full + math.ceil(program.bound - 1e-6)
 

@@ -136,7 +136,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: s
     )
     lines = materialize(lines, "quality-lines")
     boilerplate = materialize(_frequent(lines.select("host", "h", "content").distinct(), limits.max_docs), "quality-boilerplate")
-    removed = _share(lines, boilerplate).withColumnRenamed("n_frequent", "n_removed_words")
+    # the lines of repeated rows were summed up; each row has its own part
+    rows = stats.groupBy("row_key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    removed = _share(lines, boilerplate).join(rows, "row_key", "left").select(
+        "row_key", F.expr("n_frequent DIV coalesce(rows, 1)").alias("n_removed_words")
+    )
     failed = (F.col("n_words") < limits.min_words) | (
         100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words")
     )

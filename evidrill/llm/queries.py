@@ -124,18 +124,18 @@ _FINITE = "embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lam
 _ESCAPED = "replace(replace(replace(replace(text, '\\', '\\e'), '[', '\\b'), ']', '\\d'), '<', '\\l')"
 
 SQL: dict[str, str] = {
-    "op1_quality_rules": rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, source, t, {_WORDS} AS w FROM d),
-win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
-rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, x) > 1),
-cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep CROSS JOIN range(0, 8) r(k) GROUP BY ALL),
-l AS (SELECT doc_id, source, l FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l GROUP BY ALL),
-line AS (SELECT doc_id, source, {_LINE} AS h, sum(len({_WORDS.replace("(t,", "(l,")})) AS n FROM l GROUP BY ALL),
-content AS (SELECT doc_id, md5(array_to_string(list_sort(list(h)), chr(10))) AS c FROM line GROUP BY ALL),
-f AS (SELECT source, h FROM line JOIN content USING (doc_id) GROUP BY ALL HAVING count(DISTINCT c) > 10),
-s2 AS (SELECT doc_id, sum(n) AS n FROM line WHERE EXISTS (FROM f WHERE f.source IS NOT DISTINCT FROM line.source AND f.h = line.h) GROUP BY ALL),
-m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
-  coalesce(cov.n, 0) AS n_repeat_words, CAST(coalesce(s2.n, 0) AS BIGINT) AS n_removed_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id) LEFT JOIN s2 USING (doc_id)),
+    "op1_quality_rules": rf"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents), w AS (SELECT row, doc_id, t, {_WORDS} AS w FROM d),
+win AS (SELECT row, i, array_to_string(w[i:i + 7], ' ') AS x FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+rep AS (SELECT row, i FROM win QUALIFY count(*) OVER (PARTITION BY row, x) > 1),
+cov AS (SELECT row, count(DISTINCT i + k) AS n FROM rep CROSS JOIN range(0, 8) r(k) GROUP BY ALL),
+l AS (SELECT row, source, l FROM (SELECT row, source, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT row, count(*) - count(DISTINCT l) AS n FROM l GROUP BY ALL),
+line AS (SELECT row, source, {_LINE} AS h, sum(len({_WORDS.replace("(t,", "(l,")})) AS n FROM l GROUP BY ALL),
+content AS (SELECT row, md5(array_to_string(list_sort(list(h)), chr(10))) AS c FROM line GROUP BY ALL),
+f AS (SELECT source, h FROM line JOIN content USING (row) GROUP BY ALL HAVING count(DISTINCT c) > 10),
+s2 AS (SELECT row, sum(n) AS n FROM line WHERE EXISTS (FROM f WHERE f.source IS NOT DISTINCT FROM line.source AND f.h = line.h) GROUP BY ALL),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+  coalesce(cov.n, 0) AS n_repeat_words, CAST(coalesce(s2.n, 0) AS BIGINT) AS n_removed_words FROM w LEFT JOIN dup USING (row) LEFT JOIN cov USING (row) LEFT JOIN s2 USING (row)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_words - n_removed_words < 0.3 * n_words AS depleted FROM m)
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM v""",
     "op2_source_mix": rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),

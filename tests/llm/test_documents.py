@@ -5,13 +5,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evidrill.llm import jaccard_join, licenses, mixing, packing, quality_rules, token_counts, token_output, toxicity
-from evidrill.llm.queries import tokenizer_path
+from evidrill.llm.queries import SQL, tokenizer_path
 from evidrill.llm.token_output import EliasFano
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, row_key string, words int, t string, host string"
@@ -83,6 +84,20 @@ def test_pages_of_mostly_template(spark, own, kept):
     assert sum(got[i].kept for i in range(60)) == kept and all(got[100 + i].kept for i in range(40))
 
 
+def test_repeated_rows_with_boilerplate_stay(spark):
+    """Each of them has its own 40 words of the menu, not 80."""
+    menu = plain_text(77, 40)
+    rows = [(i, plain_text(1000 + i, 60) + "\n" + menu) for i in range(20)]
+    rows += [rows[3], *[rows[5]] * 3]
+    verdict, _ = quality_rules.score(table(spark, rows).withColumn("source", F.lit("one")))
+    assert sorted((r.doc_id, r.n_removed_words, r.depleted, r.kept) for r in verdict.collect()) == sorted((i, 40, False, True) for i, _ in rows)
+    kept = sorted((r.doc_id, r.text) for r in quality_rules.clean(table(spark, rows).withColumn("source", F.lit("one"))).collect())
+    assert kept == sorted((i, t.split("\n")[0]) for i, t in rows)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "source": ["one"] * len(rows)}))
+    assert sorted(con.execute(f"SELECT doc_id, n_removed_words, depleted, kept FROM ({SQL['op1_quality_rules']})").fetchall()) == sorted((i, 40, False, True) for i, _ in rows)
+
+
 def test_clean_keeps_columns_and_rows(docs, empty):
     out = quality_rules.clean(docs)
     assert out.columns == docs.columns and {r.row_key for r in out.collect()} == {"mine"}
@@ -226,6 +241,31 @@ def test_packing_is_close_to_the_bound(seed):
     assert used == h and sum(times for _, times in solution) <= 1.01 * lengths.sum() / 4096 + 1
 
 
+def triplets(n: int, seed: int) -> Counter:
+    """Pieces that fill n sequences, three in each."""
+    rng, found = np.random.default_rng(seed), Counter()
+    for _ in range(n):
+        a = int(rng.integers(1025, 2047))
+        b = int(rng.integers(1025, min(2047, 4096 - a - 600)))
+        found.update([a, b, 4096 - a - b])
+    return found
+
+
+@pytest.mark.parametrize(("histogram", "best", "over"), [
+    (triplets(1000, 1), 1000, 0.035), (triplets(20_000, 2), 20_000, 0.015), ({1700: 1000, 1200: 1000, 1196: 1000, 2100: 1000, 1096: 1000, 900: 1000}, 2000, 0),
+    ({2049: 100, 1024: 100, 1023: 100}, 100, 0), ({x: 500 for x in range(1, 4096)}, 500 * 4095 // 2, 0.003), ({4096: 3, 4095: 5, 1: 5, 2048: 6}, 11, 0),
+])
+def test_packing_with_known_optima(histogram, best, over):
+    solution, bound = packing.solve_with_bound(dict(histogram), 4096)
+    used = Counter()
+    for c, times in solution:
+        assert sum(size * n for size, n in c) <= 4096
+        for size, n in c:
+            used[size] += n * times
+    assert used == Counter(histogram)
+    assert bound <= best <= sum(times for _, times in solution) <= best * (1 + over)
+
+
 @pytest.mark.parametrize(("histogram", "most"), [({100: 40_000}, 1000), ({x: 1000 for x in range(1, 21)}, 53), ({x: 7 + 500 * x * x % 977 for x in range(1, 21)}, None)])
 def test_short_lengths_fill_their_sequences(histogram, most):
     solution, used = packing.solve(histogram, 4096), Counter()
