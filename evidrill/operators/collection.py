@@ -152,6 +152,40 @@ def layer_deficits(runs: DataFrame, cards: DataFrame) -> DataFrame:
     return d.withColumn("recommended", F.greatest("observed", "unique", "relevant", "direct_relevance", "details", "direct") > 0)
 
 
+def recovery_needs(runs: DataFrame, cards: DataFrame) -> DataFrame:
+    """Per snapshot: what the whole lacks to its contract (observed, unique, relevant, details, counters), the layers that a
+    new query should go to, in order, and whether volume is all that is lacking. First come layers that lack something
+    themselves, by name; then, for each thing that the whole lacks, the layers with the least of it; counters are looked
+    for in the bridge first. Where volume is all, the layers of the queries that yielded most, in that order, stand
+    instead."""
+    m = F.col("mode")
+    layer = F.struct("query_layer", "recommended", F.col("observed_result_count").alias("observed"), F.col("unique_signal_count").alias("unique"), F.col("relevant_signal_count").alias("relevant"), F.col("detail_open_count").alias("details"))
+    own = layer_stats(runs, cards).join(layer_deficits(runs, cards).select("snapshot_id", "query_layer", "recommended"), ["snapshot_id", "query_layer"])
+    own = own.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(layer)).alias("layers"))  # three of each snapshot
+    c = ledger_counts(runs, cards).join(own, "snapshot_id")
+    lacks = {
+        "observed": contract(m, "observed_result_target", 0) - F.col("observed_result_count"), "unique": contract(m, "unique_signal_target", 0) - F.col("unique_sample_count"),
+        "relevant": contract(m, "relevant_unique_signal_min") - F.col("relevant_unique_count"), "details": contract(m, "detail_open_target", 0) - F.col("detail_open_count"),
+        "counters": contract(m, "counter_signal_min") - F.col("counter_signal_count"),
+    }
+    c = c.select("snapshot_id", "layers", *[F.greatest(F.lit(0), v).cast("bigint").alias(k) for k, v in lacks.items()])
+
+    def by_least(metric: str) -> Column:
+        return F.transform(F.array_sort(F.transform("layers", lambda x: F.struct(x[metric].alias("n"), x["query_layer"].alias("layer")))), lambda x: x["layer"])
+
+    none = F.array().cast("array<string>")
+    wanted = [F.transform(F.filter("layers", lambda x: x["recommended"]), lambda x: x["query_layer"])]
+    wanted += [F.when(F.col(k) > 0, by_least(k)).otherwise(none) for k in ("observed", "unique", "relevant", "details")]
+    wanted.append(F.when(F.col("counters") > 0, F.array(*map(F.lit, ("subject_bridge", "category", "platform_baseline")))).otherwise(none))
+    quality = (F.greatest("relevant", "details", "counters") > 0) | F.exists("layers", lambda x: x["recommended"])
+    best = F.min(F.struct((-F.col("relevant")).alias("a"), (-F.col("observed")).alias("b"), (-F.col("relevant_yield_rate")).alias("c"), "query_term", "query_id"))
+    proven = query_yields(runs, cards).where("observed > 0").groupBy("snapshot_id", "query_layer").agg(best.alias("best")).groupBy("snapshot_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("best", "query_layer"))), lambda x: x["query_layer"]).alias("proven"))
+    c = c.withColumn("volume_only", (F.greatest("observed", "unique") > 0) & ~quality).withColumn("recommended_layers", F.array_distinct(F.concat(*wanted)))
+    c = c.join(proven, "snapshot_id", "left")
+    return c.withColumn("recommended_layers", F.when(F.col("volume_only") & F.col("proven").isNotNull(), F.col("proven")).otherwise(F.col("recommended_layers"))).drop("layers", "proven")
+
+
 def recovery_seeds(runs: DataFrame, cards: DataFrame, k: int = 5) -> DataFrame:
     """The k queries of each snapshot that yielded most."""
     y = query_yields(runs, cards).where("observed > 0")

@@ -82,6 +82,70 @@ def reconcile(raw: DataFrame, scored: DataFrame, key: list[str], kept: list[str]
     return j.select(*key, fault.alias("fault")).where("fault IS NOT NULL")
 
 
+def ledger_digest(ledger: DataFrame, columns: list[str], by: str = "snapshot_id") -> DataFrame:
+    """Per snapshot the number of rows and two sums of their hashes, 128 bits together: equal for equal rows in any order,
+    so that ledgers are told apart without being joined. Sums of parts add up."""
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), *columns, *[F.col(c).isNull() for c in columns]).cast("decimal(38,0)"))
+    return ledger.groupBy(by).agg(F.count(F.lit(1)).alias("n"), h(1).alias("h1"), h(2).alias("h2"))
+
+
+def changed_snapshots(a: DataFrame, b: DataFrame, columns: list[str], by: str = "snapshot_id") -> DataFrame:
+    """Snapshots whose rows differ."""
+    x, y = (ledger_digest(d, columns, by).select(by, F.struct("n", "h1", "h2").alias(name)) for d, name in ((a, "x"), (b, "y")))
+    return x.join(y, by, "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select(by)
+
+
+def reconcile_changed(raw: DataFrame, scored: DataFrame, key: list[str], kept: list[str], by: str = "snapshot_id") -> DataFrame:
+    """As `reconcile`, but rows are compared in changed snapshots alone."""
+    changed = changed_snapshots(raw, scored, [*dict.fromkeys([by, *key, *kept])], by)
+    return reconcile(raw.join(changed, by, "left_semi"), scored.join(changed, by, "left_semi"), key, kept)
+
+
+def _sums(signals: DataFrame) -> DataFrame:
+    each = signals.groupBy("snapshot_id", "signal_key").agg(F.bool_or("detail_captured").alias("d"), F.bool_or(F.col("evidence_role") == "counter").alias("c"))
+    return each.groupBy("snapshot_id").agg(F.count_if("d").alias("details"), F.count_if("c").alias("counters"))
+
+
+def ledger_faults(raw: DataFrame, stored: DataFrame, reviewed: DataFrame, report: DataFrame, audits: DataFrame) -> DataFrame:
+    """Three ledgers of each snapshot held against each other, a row for each broken rule (snapshot_id, fault).
+
+    raw and reviewed: snapshot_id, signal_key, content_id, detail_captured, evidence_role, semantic_relevance, topic_key,
+    review. stored: snapshot_id, details, counters (the raw ledger's own counts). report: snapshot_id, details, counters,
+    contract_status, stop_reason (of the reviewed ledger). audits: snapshot_id, success, content_ids, details. Details that the
+    reviewed ledger has and the raw one hasn't need a successful audit, which names them or, if none names any, counts
+    enough; opened signals keep their review, role and topic. Detail keys are compared where their digests differ."""
+    key = ["snapshot_id", "signal_key"]
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+
+    def miscounted(counts: DataFrame, signals: DataFrame, name: str) -> DataFrame:
+        j = counts.select("snapshot_id", F.col("details").alias("_d"), F.col("counters").alias("_c")).join(_sums(signals), "snapshot_id", "left")
+        faults = F.array_compact(F.array(F.when(zero("_d") != zero("details"), f"{name}_details"), F.when(zero("_c") != zero("counters"), f"{name}_counters")))
+        return j.select("snapshot_id", F.explode(faults).alias("fault"))
+
+    opened = lambda d: d.where("detail_captured").groupBy(*key).agg(F.min("content_id").alias("content_id"))
+    a, b = opened(raw), opened(reviewed)
+    moved = changed_snapshots(a, b, key)
+    appended = b.join(moved, "snapshot_id", "left_semi").join(a, key, "left_anti")
+    good = audits.where("success")
+    ids = good.select("snapshot_id", F.explode("content_ids").alias("content_id")).where("content_id <> ''").distinct()
+    audited = good.groupBy("snapshot_id").agg(F.sum(F.coalesce("details", F.lit(0))).alias("n"), F.count(F.lit(1)).alias("audits"))
+    named = ids.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("named"))
+    missing = appended.where("content_id <> ''").join(ids, ["snapshot_id", "content_id"], "left_anti").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("missing"))
+    s = appended.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("appended")).join(audited, "snapshot_id", "left").join(named, "snapshot_id", "left").join(missing, "snapshot_id", "left")
+    fault = F.when(zero("audits") == 0, "no_audit").when((zero("named") > 0) & (zero("missing") > 0), "unaudited_detail").when((zero("named") == 0) & (zero("n") < F.col("appended")), "audit_count")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    lost = F.col("detail_captured") & (blank("evidence_role") | blank("review") | (F.col("semantic_relevance").isin("direct", "adjacent") & blank("topic_key")))
+    stopped = (F.col("contract_status") == "met") & (F.coalesce("stop_reason", F.lit("")) != "sampling_contract_met")
+    parts = [
+        miscounted(stored, raw, "raw"), miscounted(report, reviewed, "report"), s.select("snapshot_id", fault.alias("fault")).where("fault IS NOT NULL"),
+        reviewed.where(lost).select("snapshot_id").distinct().withColumn("fault", F.lit("lost_review")), report.where(stopped).select("snapshot_id", F.lit("stop_reason").alias("fault")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def missing_references(refs: DataFrame, manifest: DataFrame) -> DataFrame:
     """refs: owner, path. References without an entry in the manifest (path), and paths that two owners claim."""
     absent = refs.join(manifest.select("path").distinct(), "path", "left_anti").select("path", F.lit("absent").alias("fault"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions.constants import QUERY_LAYERS
 from .collection import contract
 from .decisions import disjoint_refs
@@ -62,19 +63,31 @@ def plan_faults(plans: DataFrame) -> DataFrame:
     return own.unionByName(whole)
 
 
-def recovery_faults(recovery: DataFrame, runs: DataFrame, deficits: DataFrame, terms: DataFrame, most_words: int = 4) -> DataFrame:
-    """recovery: snapshot_id, term, layer. One query a snapshot, in a layer that lacks something (deficits: snapshot_id,
-    query_layer), with few words, not run before (runs: snapshot_id, query_term), from the recommended terms."""
-    low = lambda df, c: df.select("snapshot_id", F.lower(c).alias("term_key")).distinct()
-    r = recovery.withColumn("term_key", F.lower("term")).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("snapshot_id")))
-    r = r.join(low(runs, "query_term").withColumn("_ran", F.lit(True)), ["snapshot_id", "term_key"], "left")
-    r = r.join(low(terms, "term").withColumn("_from", F.lit(True)), ["snapshot_id", "term_key"], "left")
-    lacks = deficits.select("snapshot_id", F.col("query_layer").alias("layer")).distinct().withColumn("_lacks", F.lit(True))
-    r = r.join(lacks, ["snapshot_id", "layer"], "left")
-    return _rows(r, ["snapshot_id", "term"], {
-        "one_query": F.col("_n") > 1, "repeated": F.col("_ran").isNotNull(), "words": F.size(F.split(F.trim("term"), r"\s+")) > most_words,
-        "layer": F.col("_lacks").isNull(), "evidence": F.col("_from").isNull(),
-    })
+def recovery_faults(recovery: DataFrame, runs: DataFrame, needs: DataFrame, terms: DataFrame, most_words: int = 4) -> DataFrame:
+    """recovery: snapshot_id, id, term, layer, url, and, where a profile limits them, intent and allowed_intents. One query
+    a snapshot, within what the mode's contract leaves of its queries, with few words, in a layer that lacks something if
+    any does, with no id, term or address of a run (runs: snapshot_id, query_id, query_term, url, mode). Where volume is
+    all that is lacking (needs: snapshot_id, recommended_layers, volume_only) the term has to be one of the recommended
+    ones (terms: snapshot_id, term). Every broken rule is a row."""
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    known = {"id": ("query_id", text("query_id")), "repeated": ("query_term", F.lower(text("query_term"))), "url_repeated": ("url", text("url"))}
+    r = recovery.withColumns({"_id": text("id"), "_repeated": F.lower(text("term")), "_url_repeated": text("url")}).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("snapshot_id")))
+    for rule, (_, value) in known.items():
+        held = runs.select("snapshot_id", value.alias(f"_{rule}")).where(F.col(f"_{rule}") != "").distinct().withColumn(f"_has_{rule}", F.lit(True))
+        r = r.join(held, ["snapshot_id", f"_{rule}"], "left")
+    r = r.join(terms.select("snapshot_id", F.lower(F.trim("term")).alias("_repeated")).distinct().withColumn("_from", F.lit(True)), ["snapshot_id", "_repeated"], "left")
+    spent = runs.groupBy("snapshot_id").agg((contract(F.min("mode"), "query_target", 1) - F.count(F.lit(1))).alias("_left"))
+    r = r.join(spent, "snapshot_id", "left").join(needs.select("snapshot_id", "recommended_layers", "volume_only"), "snapshot_id", "left")
+    words = F.size(F.regexp_extract_all(F.coalesce("term", F.lit("")), F.lit(r"(?U)([\w'-]+)"), 1))
+    lacking = F.coalesce(F.size("recommended_layers"), F.lit(0)) > 0
+    rules = {
+        "budget": F.coalesce(F.col("_left") < F.col("_n"), F.lit(False)), "one_query": F.col("_n") > 1, "term": F.col("_repeated") == "", "layer_name": ~F.coalesce(F.col("layer").isin(*QUERY_LAYERS), F.lit(False)),
+        "url": ~F.col("_url_repeated").rlike("^https?://"), **{k: F.col(f"_has_{k}").isNotNull() for k in known}, "words": words > most_words,
+        "layer": lacking & ~F.coalesce(F.array_contains("recommended_layers", F.col("layer")), F.lit(False)), "evidence": F.coalesce("volume_only", F.lit(False)) & F.col("_from").isNull(),
+    }
+    if "allowed_intents" in recovery.columns:
+        rules["intent"] = F.col("allowed_intents").isNotNull() & ~F.coalesce(F.array_contains("allowed_intents", F.col("intent")), F.lit(False))
+    return _rows(r, ["snapshot_id", "term"], rules)
 
 
 def report_rows(findings: DataFrame, topics: DataFrame, comments: DataFrame, media: DataFrame) -> DataFrame:
@@ -98,9 +111,27 @@ def cluster_spec_faults(specs: DataFrame) -> DataFrame:
     return _rows(specs, ["plan_id", "topic_key"], {**{k: F.coalesce(F.trim(k), F.lit("")) == "" for k in need}, "reader_title": label})
 
 
-def format_mix(signals: DataFrame, keep: int = 3) -> DataFrame:
-    """Per snapshot: its formats (snapshot_id, format), the most frequent first, with the share of each."""
-    g = signals.where("format <> ''").groupBy("snapshot_id", "format").agg(F.count(F.lit(1)).alias("signals"))
-    w = Window.partitionBy("snapshot_id")
+# What readers are told of a format.
+FORMAT_LABELS = {"p": "Post", "post": "Post", "photo": "Photo", "image": "Image", "carousel": "Carousel", "reel": "Reel", "video": "Video", "short_video": "Short video", "unknown": "Format unconfirmed"}
+
+
+def format_label(value: Column) -> Column:
+    """The label of a format, without regard to case, dashes and spaces; an unknown one is its own, a blank one unconfirmed."""
+    own = F.trim(F.coalesce(value, F.lit("")))
+    key = F.regexp_replace(F.lower(own), "[- ]", "_")
+    return S.lookup(F.when(key == "", "unknown").otherwise(key), FORMAT_LABELS, own)
+
+
+def format_mix(signals: DataFrame) -> DataFrame:
+    """Per snapshot: all its formats by their labels (snapshot_id, format), those without one among them, the most frequent
+    first, with the share of each."""
+    g = signals.groupBy("snapshot_id", format_label(F.col("format")).alias("format")).agg(F.count(F.lit(1)).alias("signals"))
+    w = Window.partitionBy("snapshot_id")  # a row for each format
     g = g.withColumn("share", F.bround(F.col("signals") / F.sum("signals").over(w), 4))
-    return g.withColumn("format_rank", F.row_number().over(w.orderBy(F.desc("signals"), "format"))).where(F.col("format_rank") <= keep)
+    return g.withColumn("format_rank", F.row_number().over(w.orderBy(F.desc("signals"), "format")))
+
+
+def supply_hints(signals: DataFrame, k: int = 3) -> DataFrame:
+    """signals: snapshot_id, ordinal, hint. The first k different hints of each snapshot, in the order of its signals."""
+    h = signals.withColumn("hint", F.trim(F.coalesce("hint", F.lit("")))).where("hint <> ''").groupBy("snapshot_id", "hint").agg(F.min("ordinal").alias("first"))
+    return h.withColumn("hint_rank", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("first", "hint"))).where(F.col("hint_rank") <= k).drop("first")

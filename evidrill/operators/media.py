@@ -12,10 +12,6 @@ from ..functions.constants import MOJIBAKE
 
 MAX_SEGMENTS, MAX_OCR, MAX_FRAMES = 200, 80, 8
 VIDEO_PLATFORMS = ("tiktok", "instagram", "youtube", "x")
-_OUTPUT = (
-    "transcript struct<source:string,language:string,segments:array<struct<start:string,end:string,text:string>>>, "
-    "ocrResults array<struct<time:string,text:string,confidence:double>>, frames array<struct<time:string>>, warnings array<string>"
-)
 
 
 def is_video(platform: Column, content_format: Column, url: Column) -> Column:
@@ -28,30 +24,54 @@ def _spoilt(text: Column) -> Column:
     return F.exists(F.array(*map(F.lit, MOJIBAKE)), lambda m: text.contains(m))
 
 
+def _text(v: Column, *paths: str) -> Column:
+    """The first of the paths that holds a text or a number; '' if none does."""
+    found = [F.nullif(S.text(F.try_variant_get(v, p, "string")), F.lit("")) for p in paths]
+    return F.coalesce(*found, F.lit(""))
+
+
+def _list(v: Column, *paths: str) -> Column:
+    """The first of the paths that is a list with anything in it."""
+    found = [F.try_variant_get(v, p, "array<variant>") for p in paths]
+    return F.coalesce(*[F.when(F.size(f) > 0, f) for f in found], F.array().cast("array<variant>"))
+
+
+def _said(x: Column, *names: str) -> Column:
+    """A row's text: that of an object, or a plain string."""
+    return F.when(F.schema_of_variant(x) == "STRING", S.text(F.try_variant_get(x, "$", "string"))).otherwise(_text(x, *names))
+
+
+# Spellings of times, the first of which counts.
+_START, _END, _AT = ("$.start", "$.startSeconds", "$.start_seconds", "$.time"), ("$.end", "$.endSeconds", "$.end_seconds", "$.endTime"), ("$.time", "$.timestamp", "$.timestampSeconds", "$.timestamp_seconds")
+
+
 def analyzer_results(raw: DataFrame) -> DataFrame:
-    """raw: signal_key, raw (JSON). Bounded transcript and OCR rows (spoilt ones dropped and counted), key frames,
-    provenance and status. Frames alone prove that a stream was opened, not that it was understood."""
-    d = raw.withColumn("o", F.from_json("raw", f"struct<{_OUTPUT.replace('transcript struct', 'transcript:struct').replace('ocrResults array', 'ocrResults:array').replace('frames array', 'frames:array').replace('warnings array', 'warnings:array')}>"))
-    none = F.array()
-    segment = lambda x: F.struct(S.clock_seconds(x["start"]).alias("start_seconds"), S.clock_seconds(x["end"]).alias("end_seconds"), F.substring(S.text(x["text"]), 1, 2000).alias("text"))
-    row = lambda x: F.struct(S.clock_seconds(x["time"]).alias("timestamp_seconds"), F.substring(S.text(x["text"]), 1, 1000).alias("text"), S.measure(x["confidence"]).alias("confidence"))
+    """raw: signal_key, raw (JSON in any of the analyzer's spellings; segments and rows may be plain strings). Bounded
+    transcript and OCR rows (spoilt ones dropped and counted), key frames, metadata, provenance, format and status. Frames
+    alone prove that a stream was opened, not that it was understood. What isn't JSON is unavailable."""
+    v = F.col("v")
+    d = raw.select("signal_key", F.try_parse_json("raw").alias("v"))
+    segment = lambda x: F.struct(S.clock_seconds(_text(x, *_START)).alias("start_seconds"), S.clock_seconds(_text(x, *_END)).alias("end_seconds"), F.substring(_said(x, "$.text", "$.content"), 1, 2000).alias("text"))
+    row = lambda x: F.struct(S.clock_seconds(_text(x, *_AT)).alias("timestamp_seconds"), F.substring(_said(x, "$.text"), 1, 1000).alias("text"), S.measure(_text(x, "$.confidence").try_cast("double")).alias("confidence"))
     held = lambda rows, make, n: F.filter(F.transform(F.slice(rows, 1, n), make), lambda x: x["text"] != "")
+    d = d.withColumns({"spoken": _list(v, "$.transcript.segments", "$.transcript"), "shown": _list(v, "$.ocrResults", "$.ocr_results"), "frames": _list(v, "$.frames")})
     d = d.withColumns({
-        "segments": F.coalesce(held(F.col("o.transcript.segments"), segment, MAX_SEGMENTS), none),
-        "ocr_rows": F.coalesce(F.filter(held(F.col("o.ocrResults"), row, MAX_OCR), lambda x: ~_spoilt(x["text"])), none),
-        "frames": F.coalesce(F.size(F.slice(F.col("o.frames"), 1, MAX_FRAMES)), F.lit(0)),
-        "warnings": F.coalesce(F.filter(F.transform("o.warnings", S.text), lambda x: x != ""), none),
-        "dropped": F.greatest(F.lit(0), F.coalesce(F.size("o.ocrResults"), F.lit(0))),
+        "segments": held(F.col("spoken"), segment, MAX_SEGMENTS), "ocr_rows": F.filter(held(F.col("shown"), row, MAX_OCR), lambda x: ~_spoilt(x["text"])),
+        "keyframes": F.size(F.filter(F.slice("frames", 1, MAX_FRAMES), lambda x: F.schema_of_variant(x).startswith("OBJECT"))),
+        "warnings": F.filter(F.transform(_list(v, "$.warnings"), lambda x: S.text(F.try_variant_get(x, "$", "string"))), lambda x: x != ""),
     })
-    d = d.withColumn("dropped", F.greatest(F.lit(0), F.col("dropped") - F.size("ocr_rows")))
-    named = F.replace(F.lower(S.text(F.col("o.transcript.source"))), F.lit(" "), F.lit("_"))
-    whisper = (F.size("segments") > 0) & F.exists("warnings", lambda w: F.lower(w).contains("whisper"))
+    d = d.withColumn("dropped", F.greatest(F.lit(0), F.size("shown") - F.size("ocr_rows")))
+    named = F.replace(F.lower(_text(v, "$.transcript.source")), F.lit(" "), F.lit("_"))
+    warned = lambda words: F.exists("warnings", lambda w: F.lower(w).contains(words))
     usable = (F.size("segments") > 0) | (F.size("ocr_rows") > 0)
     doubt = (F.size("warnings") > 0) | (F.col("dropped") > 0)
     return d.select(
-        "signal_key", "segments", "ocr_rows", F.col("frames").alias("keyframes"), "dropped", "warnings",
-        F.when(named.isin("native_subtitle", "asr"), named).when(whisper, "asr").otherwise("unknown").alias("provenance"),
-        F.when(~usable, "unavailable").when(doubt, "partial").otherwise("complete").alias("status"),
+        "signal_key", "segments", "ocr_rows", "keyframes", "dropped", "warnings",
+        F.when(named.isin("native_subtitle", "asr"), named).when((F.size("segments") > 0) & warned("whisper"), "asr").otherwise("unknown").alias("provenance"),
+        F.when(~usable, "unavailable").when(doubt, "partial").otherwise("complete").alias("status"), _text(v, "$.transcript.language").alias("language"),
+        F.when(F.col("keyframes") > 0, "video").when(warned("does not contain any stream"), "audio_or_slideshow").otherwise("unknown").alias("content_format"),
+        F.substring(_text(v, "$.metadata.title"), 1, 500).alias("title"), S.measure(_text(v, "$.metadata.duration", "$.metadata.durationSeconds").try_cast("double")).alias("duration_seconds"),
+        F.substring(_text(v, "$.metadata.uploader", "$.metadata.channel"), 1, 300).alias("uploader"), F.substring(_text(v, "$.metadata.uploadDate", "$.metadata.upload_date"), 1, 100).alias("upload_date"),
     )
 
 

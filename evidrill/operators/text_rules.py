@@ -44,6 +44,7 @@ PLATFORMS = (
     ("x", r"(?:^|[，。；、,.!?\s])x(?:上|平台|英语市场|$|[，。；、,.!?\s])|\bon\s+x\b|\btwitter\b"),
 )
 
+# Patterns that tell a request's market.
 MARKETS = (
     ("英语市场", r"英语市场|英文市场|english[- ]speaking market|english market"),
     ("中国市场", r"中国市场|china market|mainland china"),
@@ -91,8 +92,8 @@ def secret_findings(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return docs.select(F.col(id_col), F.explode(hits).alias("rule"))
 
 
-def safety_stop(title: Column, body: Column, path: Column, password_inputs: Column) -> Column:
-    """Why reading a page has to stop; '' if it needn't. The first rule that holds."""
+def safety_stop(title: Column, body: Column, path: Column, password_inputs: Column, redirected: Column | None = None) -> Column:
+    """Why reading a page has to stop; '' if it needn't. The first rule that holds; an abnormal redirect is the last."""
     t, p = F.lower(F.concat_ws("\n", title, body)), F.lower(path)
     extra = {"login_expired": p.startswith("/login") | (password_inputs > 0), "permission_prompt": p.startswith("/checkpoint")}
     out = None
@@ -101,12 +102,29 @@ def safety_stop(title: Column, body: Column, path: Column, password_inputs: Colu
         if name in extra:
             hit = hit | F.coalesce(extra[name], F.lit(False))
         out = F.when(hit, name) if out is None else out.when(hit, name)
+    if redirected is not None:
+        out = out.when(redirected, "abnormal_redirect")
     return out.otherwise("")
 
 
+def abnormal_redirect(expected: Column, actual: Column, query_surface: Column) -> Column:
+    """Did a page lead elsewhere? A search has to stay on the network's post search with the same term; any other page of
+    the network on the network. Where either address is blank, nothing is said."""
+    host = lambda u: F.coalesce(F.lower(F.try_parse_url(u, F.lit("HOST"))), F.lit(""))
+    term = lambda u: F.lower(F.coalesce(F.try_url_decode(F.replace(F.coalesce(F.try_parse_url(u, F.lit("QUERY"), F.lit("q")), F.lit("")), F.lit("+"), F.lit(" "))), F.lit("")))
+    path = F.regexp_replace(F.coalesce(F.try_parse_url(actual, F.lit("PATH")), F.lit("")), "/+$", "")
+    home = lambda u: host(u).endswith("facebook.com")
+    moved = F.when(query_surface, F.lower(actual).rlike("^https?:") & ~(home(actual) & (path == "/search/posts") & (term(actual) == term(expected)))).otherwise(home(expected) & ~home(actual))
+    return F.coalesce((expected != "") & (actual != "") & moved, F.lit(False))
+
+
+# How a page says that there is nothing.
+EMPTY_RESULT = r"没有(?:找到|任何).{0,20}(?:结果|帖子)|找不到.{0,20}(?:结果|帖子)|未找到.{0,20}(?:结果|帖子)|no results(?: found)?|couldn['’]t find any results|didn['’]t find any results"
+
+
 def surface_state(stop: Column, cards: Column, identity: Column, body: Column) -> Column:
     """results_visible, explicit_empty, safety_stop or surface_unreadable: no cards alone are no zero result."""
-    empty = F.lower(body).rlike(r"没有(?:找到|任何).{0,20}(?:结果|帖子)|找不到.{0,20}(?:结果|帖子)|未找到.{0,20}(?:结果|帖子)|no results(?: found)?|couldn['’]t find any results|didn['’]t find any results")
+    empty = F.lower(body).rlike(EMPTY_RESULT)
     return F.when(stop != "", "safety_stop").when(identity & (cards > 0), "results_visible").when(identity & empty, "explicit_empty").otherwise("surface_unreadable")
 
 
@@ -121,7 +139,7 @@ def classify_requests(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
     r = requests.withColumn("intent", intent).withColumn("platform", F.when(F.size(hits) == 1, F.get(hits, F.lit(0))))
     markets = F.array_compact(F.array(*[F.when(t.rlike("(?U)" + p), name) for name, p in MARKETS]))
     r = r.withColumn("market", F.when(F.size(markets) == 1, F.get(markets, F.lit(0))))
-    missing = F.array_compact(F.array(F.when(F.col("intent").isNull(), "research_intent"), F.when(F.col("platform").isNull(), "platform")))
+    missing = F.array_compact(F.array(F.when(F.col("intent").isNull(), "research_intent"), F.when(F.col("platform").isNull(), "platform"), F.when(F.col("market").isNull(), "market")))
     return r.withColumn("language", F.when(F.col(prompt).rlike(r"[\x{3400}-\x{9fff}]"), "zh-CN").otherwise("en")).withColumn("missing", missing)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import contracts, decide, enrich, imports, ledger, reviews, scores, social, texts
+from . import audits, contracts, decide, enrich, imports, ledger, reviews, scores, social, texts
 
-MODULES = (scores, ledger, reviews, texts, decide, imports, contracts, social, enrich)
+MODULES = (scores, ledger, reviews, texts, decide, imports, contracts, social, enrich, audits)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -87,9 +87,20 @@ def cluster_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.cluster_spec_faults(d)
 
 
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as posts in some format, as far as they say, with what their hashtag page shows."""
+    e, k = views.table(spark, sf_dir, "events"), F.col("event_id")
+    said = F.when(k % 7 == 0, None).when(k % 7 == 1, " ").when(k % 7 == 2, F.concat(F.lit("Short"), F.when(k % 2 == 0, " ").otherwise("-"), F.lit("Video"))).when(k % 7 == 3, "REEL").when(k % 7 == 4, "p").otherwise(F.col("event_type"))
+    hint = F.when(k % 5 < 2, F.concat(F.lit(" "), F.col("user_id") % 50, F.lit("K posts")))
+    return e.select(F.date_format("ts", "yyyy-MM-dd").alias("snapshot_id"), k.alias("ordinal"), said.alias("format"), hint.alias("hint"))
+
+
 def format_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.table(spark, sf_dir, "events")
-    return findings.format_mix(e.select(F.date_format("ts", "yyyy-MM-dd").alias("snapshot_id"), F.col("event_type").alias("format")))
+    return findings.format_mix(_formats(spark, sf_dir))
+
+
+def supply_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.supply_hints(_formats(spark, sf_dir))
 
 
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +118,7 @@ def unused_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.unused_topics(t, t.where("raw_confidence % 3 = 0"))
 
 
-QUERIES = {"cluster_specs": cluster_specs, "format_mix": format_mix, "report_rows": report_rows, "unused_topics": unused_topics, "media_results": media_results, "media_promotion": media_promotion, "topic_media": topic_media, "plan_faults": plan_faults, "finding_faults": finding_faults}
+QUERIES = {"cluster_specs": cluster_specs, "format_mix": format_mix, "supply_hints": supply_hints, "report_rows": report_rows, "unused_topics": unused_topics, "media_results": media_results, "media_promotion": media_promotion, "topic_media": topic_media, "plan_faults": plan_faults, "finding_faults": finding_faults}
 
 
 def _c(name: str, bound: int | None = None) -> str:
@@ -121,6 +132,9 @@ s AS (SELECT doc_id, k, len(list_filter(l, lambda x: regexp_replace(x, '[\s\p{Z}
 m AS (SELECT doc_id AS signal_key, CASE WHEN k < 3 THEN seg ELSE 0 END AS segments, CASE WHEN k IN (0, 2, 3) THEN ok ELSE 0 END AS ocr_rows, CASE WHEN k IN (0, 2, 3) THEN raw_ocr - ok ELSE 0 END AS dropped,
   CASE WHEN k < 4 THEN 1 ELSE 0 END AS keyframes, CASE WHEN k = 0 THEN 'asr' WHEN k = 2 AND seg > 0 THEN 'asr' ELSE 'unknown' END AS provenance, k FROM s),
 r AS (SELECT *, CASE WHEN segments = 0 AND ocr_rows = 0 THEN 'unavailable' WHEN k = 2 OR dropped > 0 THEN 'partial' ELSE 'complete' END AS status FROM m)"""
+_FORMATS = """f AS (SELECT strftime(ts, '%Y-%m-%d') AS snapshot_id, event_id, trim(CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN ' ' WHEN 2 THEN CASE WHEN event_id % 2 = 0 THEN 'Short Video' ELSE 'Short-Video' END WHEN 3 THEN 'REEL' WHEN 4 THEN 'p' ELSE event_type END) AS f,
+  CASE WHEN event_id % 5 < 2 THEN ' ' || (user_id % 50) || 'K posts' END AS hint FROM events)"""
+_LABELS = "WHEN '' THEN 'Format unconfirmed' WHEN 'short video' THEN 'Short video' WHEN 'short-video' THEN 'Short video' WHEN 'reel' THEN 'Reel' WHEN 'p' THEN 'Post' WHEN 'video' THEN 'Video' WHEN 'post' THEN 'Post' WHEN 'image' THEN 'Image' WHEN 'photo' THEN 'Photo' WHEN 'carousel' THEN 'Carousel' WHEN 'unknown' THEN 'Format unconfirmed'"
 _FINDING = {
     "title": "k % 11 = 0", "analysis_unit_statement": "k % 13 = 0", "topic_key": "k % 6 = 5", "profile_evidence_roles": "k % 17 = 0", "shared_refs": "k % 19 = 0 AND k % 5 <> 0 AND k % 7 <> 0", "recommended_actions": "k % 23 = 0",
     "report_sections": "k % 29 = 0", "thresholds": "k % 3 <> 2 AND NOT (k % 5 <> 0 AND NOT (k % 19 = 0 AND k % 7 = 0) AND k % 17 <> 0 AND k % 37 <> 0)", "human_confirmation": "k % 3 = 0 AND k % 2 <> 0", "history": "k % 31 = 0",
@@ -130,8 +144,10 @@ SQL = {
   WHEN p_partkey % 13 = 0 THEN repeat(p_name, 30) ELSE p_name END AS t FROM part)
 SELECT plan_id, topic_key, 'analysis_unit_statement' AS rule FROM p WHERE k % 5 = 0 UNION ALL SELECT plan_id, topic_key, 'exclusion_rule' FROM p WHERE k % 17 = 0
 UNION ALL SELECT plan_id, topic_key, 'reader_title' FROM p WHERE length(t) > 120 OR t = topic_key OR contains(t, '**')""",
-    "format_mix": """WITH g AS (SELECT strftime(ts, '%Y-%m-%d') AS snapshot_id, event_type AS format, count(*) AS signals FROM events GROUP BY ALL)
-SELECT snapshot_id, format, signals, round_even(signals / sum(signals) OVER (PARTITION BY snapshot_id)::DOUBLE, 4) AS share, CAST(row_number() OVER (PARTITION BY snapshot_id ORDER BY signals DESC, format) AS INT) AS format_rank FROM g QUALIFY format_rank <= 3""",
+    "format_mix": f"""WITH {_FORMATS}, g AS (SELECT snapshot_id, CASE lower(f) {_LABELS} ELSE f END AS format, count(*) AS signals FROM f GROUP BY ALL)
+SELECT snapshot_id, format, signals, round_even(signals / sum(signals) OVER (PARTITION BY snapshot_id)::DOUBLE, 4) AS share, CAST(row_number() OVER (PARTITION BY snapshot_id ORDER BY signals DESC, format) AS INT) AS format_rank FROM g""",
+    "supply_hints": f"""WITH {_FORMATS}, h AS (SELECT snapshot_id, trim(hint) AS hint, min(event_id) AS o FROM f WHERE hint IS NOT NULL GROUP BY ALL)
+SELECT snapshot_id, hint, CAST(row_number() OVER (PARTITION BY snapshot_id ORDER BY o, hint) AS INT) AS hint_rank FROM h QUALIFY hint_rank <= 3""",
     "report_rows": f"""WITH {TOPICS_SQL}, c AS (SELECT 'topic-' || (conv_id % 10) AS topic, count(*) AS comments, count(*) FILTER (role = 'system') AS clips FROM conversations GROUP BY ALL)
 SELECT snapshot_id, t.topic, observed_heat, raw_confidence, coalesce(comments, 0) AS comments, coalesce(clips, 0) AS clips FROM topics t LEFT JOIN c ON c.topic = t.topic AND snapshot_id = '2024-01-02' WHERE raw_confidence % 3 = 0""",
     "unused_topics": f"WITH {TOPICS_SQL} SELECT snapshot_id, topic, raw_confidence FROM topics WHERE raw_confidence % 3 <> 0",

@@ -158,13 +158,16 @@ def report_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recovery_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order in ten proposes to search again, half of the times with a term that ran."""
-    runs = views.runs(spark, sf_dir)
-    deficits = collection.layer_deficits(runs, views.cards(spark, sf_dir)).where("recommended").select("snapshot_id", "query_layer")
-    term = F.when(F.col("query_id") % 2 == 0, F.upper("query_term")).when(F.col("query_id") % 3 == 0, "one two three four five").otherwise("fresh words")
-    proposals = runs.select("snapshot_id", term.alias("term"), F.col("query_layer").alias("layer"))
-    terms = runs.select("snapshot_id", F.lit("fresh words").alias("term"))
-    return findings.recovery_faults(proposals, runs, deficits, terms)
+    """The last order of each customer proposes to search again, a few times with what ran before."""
+    runs = views.runs(spark, sf_dir).withColumn("url", F.concat(F.lit("https://x.test/search?q="), F.col("query_id")))
+    k, c = F.col("k"), F.col("snapshot_id")
+    last = runs.groupBy("snapshot_id").agg(F.max("query_id").alias("k"), F.max_by("query_term", "query_id").alias("t"), F.max_by("query_layer", "query_id").alias("layer"))
+    term = F.when(c % 5 == 0, F.upper("t")).when(c % 5 == 1, "one two-three four's five six").when(c % 5 == 2, "").otherwise("fresh words")
+    url = F.when(c % 7 == 0, F.concat(F.lit("https://x.test/search?q="), k)).when(c % 7 == 1, "ftp://x").otherwise("https://x.test/new")
+    p = last.select("snapshot_id", F.when(c % 11 == 0, k).alias("id"), term.alias("term"), F.when(c % 13 == 0, "other").otherwise(F.col("layer")).alias("layer"), url.alias("url"), F.when(c % 3 == 0, "ask").alias("intent"), F.when(c % 2 == 0, F.array(F.lit("ask"), F.lit("buy"))).alias("allowed_intents"))
+    p = p.unionByName(p.where("snapshot_id % 17 = 0"))
+    terms = last.select("snapshot_id", F.when(c % 3 == 0, "Fresh Words").otherwise("stale words").alias("term"))
+    return findings.recovery_faults(p, runs, collection.recovery_needs(views.runs(spark, sf_dir), views.cards(spark, sf_dir)), terms)
 
 
 def forbidden_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,10 +261,14 @@ SELECT study, query_count, observed_count, unique_count, detail_count, relevant_
     "context_faults": """WITH c AS (SELECT c_custkey AS context_id, c_custkey AS k, c_mktsegment AS s FROM customer) SELECT context_id, 'status' AS rule FROM c WHERE k % 6 = 0 UNION ALL SELECT context_id, 'platform' FROM c WHERE k % 6 <> 0 AND k % 7 = 0
 UNION ALL SELECT context_id, 'version' FROM c WHERE k % 6 <> 0 AND (k % 5 = 0 OR s = 'MACHINERY')""",
     "report_faults": """SELECT doc_id AS report_id, 'subject' AS rule FROM documents WHERE NOT contains(text, 'the') UNION ALL SELECT doc_id, 'shared_refs' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'stop_reason' FROM documents WHERE doc_id % 2 = 0 AND doc_id % 5 = 0""",
-    "recovery_faults": f"""WITH d AS ({ledger.SQL["layer_deficits"]}), r AS ({views.as_sql(views.RUNS)}), p AS (SELECT snapshot_id, CASE WHEN query_id % 2 = 0 THEN upper(query_term) WHEN query_id % 3 = 0 THEN 'one two three four five' ELSE 'fresh words' END AS term, query_layer AS layer,
-  count(*) OVER (PARTITION BY snapshot_id) AS n, query_id FROM r)
-SELECT snapshot_id, term, 'one_query' AS rule FROM p WHERE n > 1 UNION ALL SELECT snapshot_id, term, 'repeated' FROM p WHERE query_id % 2 = 0 UNION ALL SELECT snapshot_id, term, 'words' FROM p WHERE query_id % 2 <> 0 AND query_id % 3 = 0
-UNION ALL SELECT snapshot_id, term, 'layer' FROM p WHERE NOT EXISTS (FROM d WHERE d.snapshot_id = p.snapshot_id AND query_layer = layer AND recommended) UNION ALL SELECT snapshot_id, term, 'evidence' FROM p WHERE NOT (query_id % 2 <> 0 AND query_id % 3 <> 0)""",
+    "recovery_faults": f"""WITH {ledger.NEEDS_SQL}, r AS ({views.as_sql(views.RUNS)}), q AS (SELECT snapshot_id AS c, max(query_id) AS k, arg_max(query_term, query_id) AS t, arg_max(query_layer, query_id) AS layer, count(*) AS n_runs, min(mode) AS mode FROM r GROUP BY ALL),
+p AS (SELECT *, CASE c % 5 WHEN 0 THEN upper(t) WHEN 1 THEN 'one two-three four''s five six' WHEN 2 THEN '' ELSE 'fresh words' END AS term, CASE WHEN c % 13 = 0 THEN 'other' ELSE layer END AS l, CASE WHEN c % 17 = 0 THEN 2 ELSE 1 END AS copies FROM q),
+w AS (SELECT p.*, recommended_layers, volume_only, unnest(range(0, copies)) AS i FROM p LEFT JOIN needs ON snapshot_id = c)
+{" UNION ALL ".join(f"SELECT c AS snapshot_id, term, '{rule}' AS rule FROM w WHERE {when}" for rule, when in {
+    "budget": f"{ledger._c('query_target', 1)} - n_runs < copies", "one_query": "copies > 1", "term": "term = ''", "layer_name": "c % 13 = 0", "url": "c % 7 = 1", "id": "c % 11 = 0", "url_repeated": "c % 7 = 0",
+    "repeated": "term <> '' AND EXISTS (FROM r WHERE r.snapshot_id = c AND lower(query_term) = lower(term))", "words": "len(regexp_extract_all(term, '[a-z''-]+')) > 4",
+    "layer": "recommended_layers <> '' AND NOT list_contains(string_split(recommended_layers, ','), l)", "evidence": "volume_only AND lower(term) <> CASE WHEN c % 3 = 0 THEN 'fresh words' ELSE 'stale words' END",
+    "intent": "c % 2 = 0 AND c % 3 <> 0"}.items())}""",
     "forbidden_captures": "SELECT conv_id, turn, text IS NOT NULL AND (conv_id + turn) % 5 < 2 AS forbidden FROM conversations",
     "video_flags": """WITH p AS (SELECT page_id, page_id % 3 = 0 AS a, page_id % 5 = 0 AS b, CASE WHEN page_id % 4 = 0 THEN 'https://youtu.be/' || page_id WHEN page_id % 4 = 1 THEN '' ELSE lower(url) END AS u FROM pages)
 SELECT page_id, u <> '' AND (a OR b OR contains(u, '/video/') OR contains(u, 'youtu.be/') OR contains(u, 'youtube.com/watch')) AS video FROM p""",

@@ -43,6 +43,11 @@ def layer_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(collection.layer_deficits)(spark, sf_dir)
 
 
+def recovery_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _ledger(collection.recovery_needs)(spark, sf_dir)
+    return n.withColumn("recommended_layers", F.array_join("recommended_layers", ","))
+
+
 def recovery_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(collection.recovery_seeds)(spark, sf_dir).select("snapshot_id", "query_id", "query_term", "observed", "relevant", "seed_rank")
 
@@ -73,7 +78,7 @@ def data_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "layer_stats": layer_stats, "collection_status": collection_status, "search_budget": search_budget, "query_yields": query_yields,
-    "layer_deficits": layer_deficits, "recovery_seeds": recovery_seeds, "recommended_terms": recommended_terms,
+    "layer_deficits": layer_deficits, "recovery_needs": recovery_needs, "recovery_seeds": recovery_seeds, "recommended_terms": recommended_terms,
     "detail_backfill_targets": detail_backfill_targets, "data_gaps": data_gaps,
 }
 
@@ -176,3 +181,17 @@ g AS (SELECT snapshot_id, field, count(*) AS affected FROM miss GROUP BY ALL)
 SELECT snapshot_id, field, affected, CASE WHEN affected = n THEN 'high' ELSE 'medium' END AS priority,
   CAST(row_number() OVER (PARTITION BY snapshot_id ORDER BY affected DESC, field) AS INT) AS task_rank FROM g JOIN (SELECT snapshot_id, count(*) AS n FROM dims GROUP BY ALL) USING (snapshot_id)""",
 }
+_GLOBAL = ", ".join(f"CAST(greatest(0, {_c(name, bound)} - {count}) AS BIGINT) AS {alias}" for alias, name, bound, count in (
+    ("observed", "observed_result_target", 0, "observed_result_count"), ('"unique"', "unique_signal_target", 0, "unique_sample_count"), ("relevant", "relevant_unique_signal_min", None, "relevant_unique_count"),
+    ("details", "detail_open_target", 0, "detail_open_count"), ("counters", "counter_signal_min", None, "counter_signal_count")))
+NEEDS_SQL = f"""ld AS ({SQL["layer_deficits"]}), st AS ({SQL["layer_stats"]}), gl AS (WITH {LEDGER_SQL} SELECT snapshot_id, {_GLOBAL} FROM counts),
+place AS (SELECT snapshot_id, query_layer, 0 AS kind, 0 AS n FROM ld WHERE recommended
+  {" ".join(f"UNION ALL SELECT st.snapshot_id, query_layer, {i}, st.{count} FROM st JOIN gl USING (snapshot_id) WHERE gl.{metric} > 0" for i, (metric, count) in enumerate((("observed", "observed_result_count"), ('"unique"', "unique_signal_count"), ("relevant", "relevant_signal_count"), ("details", "detail_open_count")), 1))}
+  UNION ALL SELECT snapshot_id, query_layer, 5, CASE query_layer WHEN 'subject_bridge' THEN 0 WHEN 'category' THEN 1 ELSE 2 END FROM st JOIN gl USING (snapshot_id) WHERE counters > 0),
+least_place AS (SELECT snapshot_id, query_layer, min((kind, n)) AS p FROM place GROUP BY ALL), wanted AS (SELECT snapshot_id, string_agg(query_layer, ',' ORDER BY p, query_layer) AS recommended_layers FROM least_place GROUP BY ALL),
+yl AS (WITH {LEDGER_SQL} SELECT snapshot_id, query_layer, min((-relevant, -observed, -round_even(relevant / greatest(observed, 1)::DOUBLE, 3), query_term, query_id)) AS b FROM yields WHERE observed > 0 GROUP BY ALL),
+proven AS (SELECT snapshot_id, string_agg(query_layer, ',' ORDER BY b) AS proven FROM yl GROUP BY ALL),
+needs0 AS (SELECT gl.*, recommended_layers AS rl, greatest(observed, "unique") > 0 AND greatest(relevant, details, counters) = 0 AND NOT coalesce(own, false) AS volume_only
+  FROM gl LEFT JOIN wanted USING (snapshot_id) LEFT JOIN (SELECT snapshot_id, bool_or(recommended) AS own FROM ld GROUP BY ALL) USING (snapshot_id)),
+needs AS (SELECT * EXCLUDE (rl, proven), coalesce(CASE WHEN volume_only THEN proven END, rl, '') AS recommended_layers FROM needs0 LEFT JOIN proven USING (snapshot_id))"""
+SQL["recovery_needs"] = f"WITH {NEEDS_SQL} SELECT * FROM needs"

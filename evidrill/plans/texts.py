@@ -62,9 +62,9 @@ def request_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("conv_id") + F.col("turn")) % 8
     ask = F.element_at(F.array(*map(F.lit, (
         "Validate demand on Reddit: ", "brand sentiment on YouTube and Reddit ", "哪些内容机会 小红书 ", "Find business opportunities on X ", "switching triggers on twitter ",
-        "plain text ", "adoption barriers, tiktok ", "监测舆情 抖音 "))), (k + 1).cast("int"))
+        "plain text, worldwide ", "adoption barriers, tiktok, English-speaking market ", "监测舆情 抖音 中国市场 "))), (k + 1).cast("int"))
     r = R.classify_requests(c.select("conv_id", "turn", F.concat(ask, F.coalesce("text", F.lit(""))).alias("prompt")))
-    return r.select("conv_id", "turn", F.coalesce("intent", F.lit("")).alias("intent"), F.coalesce("platform", F.lit("")).alias("platform"), "language", F.array_join("missing", ",").alias("missing"))
+    return r.select("conv_id", "turn", F.coalesce("intent", F.lit("")).alias("intent"), F.coalesce("platform", F.lit("")).alias("platform"), F.coalesce("market", F.lit("")).alias("market"), "language", F.array_join("missing", ",").alias("missing"))
 
 
 def reader_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,10 @@ def safety_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 9
     said = F.when(k == 0, "Security check ").when(k == 1, "Try again later ").when(k == 2, "This content is private ").when(k == 3, "No results found ").otherwise("")
     path = F.when(k == 4, "/login/x").when(k == 5, "/checkpoint/1").otherwise("/search")
-    stop = R.safety_stop(F.lit("title"), F.concat(said, F.coalesce("html", F.lit(""))), path, F.lit(0))
+    asked = F.concat(F.lit("https://www.facebook.com/search/posts?q=term+"), F.col("page_id"))
+    led = F.when(F.col("page_id") % 4 == 1, F.col("url")).when(F.col("page_id") % 4 == 2, F.concat(F.lit("https://m.facebook.com/search/posts/?q=Term%20"), F.col("page_id"))).when(F.col("page_id") % 4 == 3, F.concat(asked, F.lit("x"))).otherwise("")
+    moved = R.abnormal_redirect(asked, led, F.col("page_id") % 3 > 0)
+    stop = R.safety_stop(F.lit("title"), F.concat(said, F.coalesce("html", F.lit(""))), path, F.lit(0), moved)
     d = p.select("page_id", stop.alias("stop"), said.alias("said"))
     return d.select("page_id", "stop", R.surface_state(F.col("stop"), F.col("page_id") % 2, F.col("page_id") % 5 < 4, F.col("said")).alias("state"))
 
@@ -149,9 +152,10 @@ _SPOILT = "(SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN replace(text, '
 _PLANTED = "(SELECT doc_id, coalesce(text, '') || chr(10) || CASE doc_id % 40 " + " ".join(f"WHEN {k} THEN {_quote(x)}" for k, x in PLANTED.items()) + " ELSE '' END AS text FROM documents)"
 _NOTE = """CASE doc_id % 6 WHEN 0 THEN 'Vendor claim ' || source WHEN 1 THEN 'Search card, not opened' WHEN 2 THEN 'generic business, ' || lang WHEN 3 THEN 'sampling_contract_unmet: details'
   WHEN 4 THEN 'No measurable result ' || (doc_id % 50) ELSE '' END"""
-_ASK = """(['Validate demand on Reddit: ', 'brand sentiment on YouTube and Reddit ', '哪些内容机会 小红书 ', 'Find business opportunities on X ', 'switching triggers on twitter ', 'plain text ',
-  'adoption barriers, tiktok ', '监测舆情 抖音 '])[(conv_id + turn) % 8 + 1]"""
+_ASK = """(['Validate demand on Reddit: ', 'brand sentiment on YouTube and Reddit ', '哪些内容机会 小红书 ', 'Find business opportunities on X ', 'switching triggers on twitter ', 'plain text, worldwide ',
+  'adoption barriers, tiktok, English-speaking market ', '监测舆情 抖音 中国市场 '])[(conv_id + turn) % 8 + 1]"""
 _PLATFORM_HITS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {_quote(p.replace('(?:^|', '(?:^|'))}) THEN '{n}' END" for n, p in R.PLATFORMS) + "], lambda x: x IS NOT NULL)"
+_MARKET_HITS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {_quote(p)}) THEN '{n}' END" for n, p in R.MARKETS) + "], lambda x: x IS NOT NULL)"
 _I = "CAST(CASE WHEN o_orderkey % 7 = 0 THEN o_custkey ELSE o_orderkey END AS VARCHAR)"
 
 
@@ -171,13 +175,16 @@ SELECT source, CASE {" ".join(f"WHEN {_contains('t', w)} THEN '{k}'" for k, w in
   regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages""",
     "social_urls": """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://www.facebook.com/reel/' || page_id || '/' WHEN 1 THEN 'https://www.facebook.com/some.one/posts/' || page_id || '/'
   WHEN 2 THEN 'https://www.instagram.com/p/' || page_id || '/' WHEN 3 THEN 'https://www.tiktok.com/@a.b/video/' || page_id WHEN 4 THEN 'https://www.reddit.com/r/test/comments/' || page_id || '/' ELSE '' END AS post_url FROM pages""",
-    "request_classes": f"""WITH r AS (SELECT conv_id, turn, {_ASK} || coalesce(text, '') AS prompt, lower({_ASK} || coalesce(text, '')) AS t FROM conversations), c AS (SELECT *, {_first('t', R.INTENTS, "''")} AS intent, {_PLATFORM_HITS} AS hits FROM r)
-SELECT conv_id, turn, intent, CASE WHEN len(hits) = 1 THEN hits[1] ELSE '' END AS platform, CASE WHEN regexp_matches(prompt, '[\\x{{3400}}-\\x{{9fff}}]') THEN 'zh-CN' ELSE 'en' END AS language,
-  concat_ws(',', CASE WHEN intent = '' THEN 'research_intent' END, CASE WHEN len(hits) <> 1 THEN 'platform' END) AS missing FROM c""",
+    "request_classes": f"""WITH r AS (SELECT conv_id, turn, {_ASK} || coalesce(text, '') AS prompt, lower({_ASK} || coalesce(text, '')) AS t FROM conversations), c AS (SELECT *, {_first('t', R.INTENTS, "''")} AS intent, {_PLATFORM_HITS} AS hits, {_MARKET_HITS} AS markets FROM r)
+SELECT conv_id, turn, intent, CASE WHEN len(hits) = 1 THEN hits[1] ELSE '' END AS platform, CASE WHEN len(markets) = 1 THEN markets[1] ELSE '' END AS market, CASE WHEN regexp_matches(prompt, '[\\x{{3400}}-\\x{{9fff}}]') THEN 'zh-CN' ELSE 'en' END AS language,
+  concat_ws(',', CASE WHEN intent = '' THEN 'research_intent' END, CASE WHEN len(hits) <> 1 THEN 'platform' END, CASE WHEN len(markets) <> 1 THEN 'market' END) AS missing FROM c""",
     "reader_titles": r"""WITH t AS (SELECT p_partkey, p_name, p_name || CASE p_partkey % 4 WHEN 0 THEN ' copilot' WHEN 1 THEN ' enablement layer' WHEN 2 THEN ' orchestration engine flywheel' ELSE '' END AS t FROM part)
 SELECT p_partkey, replace(replace(replace(replace(t, 'copilot', 'assistant'), 'orchestration engine', 'workflow tool'), 'enablement layer', 'support process'), 'flywheel', 'feedback process') AS title, p_partkey % 4 = 3 AS repeats FROM t""",
-    "safety_stops": f"""WITH t AS (SELECT page_id, lower('title' || chr(10) || CASE page_id % 9 WHEN 0 THEN 'Security check ' WHEN 1 THEN 'Try again later ' WHEN 2 THEN 'This content is private ' WHEN 3 THEN 'No results found ' ELSE '' END || coalesce(html, '')) AS t FROM pages),
-p AS (SELECT page_id, CASE {" ".join(f"WHEN regexp_matches(t, {_quote(x)})" + {"login_expired": " OR page_id % 9 = 4", "permission_prompt": " OR page_id % 9 = 5"}.get(n, "") + f" THEN '{n}'" for n, x in R.STOPS)} ELSE '' END AS stop FROM t)
+    "safety_stops": f"""WITH t AS (SELECT page_id, lower('title' || chr(10) || CASE page_id % 9 WHEN 0 THEN 'Security check ' WHEN 1 THEN 'Try again later ' WHEN 2 THEN 'This content is private ' WHEN 3 THEN 'No results found ' ELSE '' END || coalesce(html, '')) AS t, page_id % 3 > 0 AS search,
+  CASE page_id % 4 WHEN 1 THEN url WHEN 2 THEN 'https://m.facebook.com/search/posts/?q=Term%20' || page_id WHEN 3 THEN 'https://www.facebook.com/search/posts?q=term+' || page_id || 'x' ELSE '' END AS led FROM pages),
+p AS (SELECT page_id, CASE {" ".join(f"WHEN regexp_matches(t, {_quote(x)})" + {"login_expired": " OR page_id % 9 = 4", "permission_prompt": " OR page_id % 9 = 5"}.get(n, "") + f" THEN '{n}'" for n, x in R.STOPS)}
+  WHEN led <> '' AND search AND regexp_matches(led, '^https?:', 'i') AND NOT (regexp_matches(led, '^https?://([^/?#]*\\.)?facebook\\.com/search/posts/*([?#]|$)', 'i') AND lower(url_decode(replace(regexp_extract(led, '[?&]q=([^&#]*)', 1), '+', ' '))) = 'term ' || page_id) THEN 'abnormal_redirect'
+  WHEN led <> '' AND NOT search AND NOT regexp_matches(led, '^https?://[^/?#]*facebook\\.com([/?#:]|$)', 'i') THEN 'abnormal_redirect' ELSE '' END AS stop FROM t)
 SELECT page_id, stop, CASE WHEN stop <> '' THEN 'safety_stop' WHEN page_id % 5 < 4 AND page_id % 2 > 0 THEN 'results_visible' WHEN page_id % 5 < 4 AND page_id % 9 = 3 THEN 'explicit_empty' ELSE 'surface_unreadable' END AS state FROM p""",
     "count_texts": """WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, CAST(floor(l_extendedprice) AS BIGINT) AS p FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN q * 1000 WHEN 2 THEN p WHEN 4 THEN q * 1000000 + 250000 END AS anchored,

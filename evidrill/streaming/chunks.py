@@ -37,10 +37,10 @@ def chunk_faults(chunks: DataFrame) -> DataFrame:
     """Chunks that can't be recorded, a row for each broken rule: query_id, seq, fault. Errors name what stopped them;
     signals come with result keys; nothing found is said to be the end, or follows earlier results."""
     c = _whole(chunks)
-    first = F.min(F.when(F.size("keys") > 0, F.col("seq"))).over(Window.partitionBy("query_id"))
+    c = c.withColumn("first", F.min(F.when(F.size("keys") > 0, F.col("seq"))).over(Window.partitionBy("query_id")))
     nothing = (F.size("keys") == 0) & (F.size("signals") == 0)
     hard, success = F.col("hard_stop") != "", F.col("read_status") == "success"
-    later = (F.col("continuation_status") == "available") & F.coalesce(first < F.col("seq"), F.lit(False))
+    later = (F.col("continuation_status") == "available") & F.coalesce(F.col("first") < F.col("seq"), F.lit(False))
     ended = (F.col("continuation_status") == "exhausted") & (hard | F.col("stop_reason").isin(*ZERO_STOPS))
     rules = {
         "read_status": ~F.col("read_status").isin("success", "timeout", "error"), "continuation_status": ~F.col("continuation_status").isin("available", "exhausted", "unknown"),

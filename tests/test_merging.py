@@ -265,3 +265,40 @@ def test_an_append_reads_no_runs(spark, tmp_path):
     assert sorted((x.snapshot_id, x.query_count) for x in ledger.counts(spark, folder).collect()) == [("", 1), ("s", 2)]
 
 
+
+
+def test_release_audit_reads_files(spark, tmp_path):
+    from evidrill.operators import release
+
+    (tmp_path / "a").mkdir()
+    held = {"a/x.md": b"C:\\Users\\Bob\\x", "a/y.PY": b"AppData/Local/TEMP \xff", "b.txt": "é api_key = 'abcdefgh1'".encode(), "LICENSE": b"C:\\Users\\Bob", "z.png": b"\xff" * 50, "ok.md": b"C:\\Users\\example\\x"}
+    for name, content in held.items():
+        (tmp_path / name).write_bytes(content)
+    got = {(r.path, r.rule) for r in release.audit_files(release.read_files(spark, str(tmp_path)), most_bytes=40).collect()}
+    assert got == {("a/x.md", "path"), ("a/y.PY", "not_utf8"), ("b.txt", "secret"), ("z.png", "large_file")}
+    assert release.audit_files(release.read_files(spark, str(tmp_path), "*.none")).count() == 0
+
+
+def test_digests_tell_ledgers_apart(spark):
+    from evidrill.operators import decisions
+
+    a = spark.createDataFrame([("s", 1, "x"), ("s", 2, None), ("t", 1, "y"), ("t", 1, "y"), ("u", 1, "z")], "snapshot_id string, k int, v string")
+    b = spark.createDataFrame([("s", 2, None), ("s", 1, "x"), ("t", 1, "y"), ("v", 1, "z"), ("u", 1, None)], a.schema)
+    assert {r.snapshot_id for r in decisions.changed_snapshots(a, b, ["snapshot_id", "k", "v"]).collect()} == {"t", "u", "v"}
+    got = {(r.snapshot_id, r.k, r.fault) for r in decisions.reconcile_changed(a, b, ["snapshot_id", "k"], ["v"]).collect()}
+    assert got == {("u", 1, "changed"), ("v", 1, "added")}
+
+
+def test_analyzer_spellings(spark):
+    import json
+
+    from evidrill.operators import media
+
+    rows = [("a", json.dumps({"transcript": ["one", "", {"content": "two", "startSeconds": "1:00"}], "ocr_results": ["sign", {"text": "bÃd"}, 7], "frames": [1, {"time": 2}], "metadata": {"title": " T ", "durationSeconds": 9, "channel": "c", "upload_date": "d"}, "warnings": ["Whisper used"]})),
+            ("b", json.dumps({"transcript": {"segments": [{"text": "", "content": "x", "start": 0, "end_seconds": 4}]}, "ocrResults": [], "ocr_results": [{"text": "y", "timestamp": "01:01"}], "warnings": "none"})), ("c", "[1]"), ("d", None)]
+    m = {r.signal_key: r for r in media.analyzer_results(spark.createDataFrame(rows, "signal_key string, raw string")).collect()}
+    a, b = m["a"], m["b"]
+    assert ([s.text for s in a.segments], a.segments[1].start_seconds, [r.text for r in a.ocr_rows], a.dropped, a.keyframes) == (["one", "two"], 60.0, ["sign"], 2, 1)
+    assert (a.title, a.duration_seconds, a.uploader, a.upload_date, a.provenance, a.status, a.content_format) == ("T", 9.0, "c", "d", "asr", "partial", "video")
+    assert (b.segments[0].text, b.segments[0].start_seconds, b.segments[0].end_seconds, b.ocr_rows[0].timestamp_seconds, b.status, b.content_format) == ("x", 0.0, 4.0, 61.0, "complete", "unknown")
+    assert m["c"].status == m["d"].status == "unavailable"

@@ -307,9 +307,28 @@ def test_media_rules(spark):
 def test_recovery_plan_faults(spark):
     from evidrill.operators import findings
 
-    r = spark.createDataFrame([("s", "action items", "category"), ("t", "Old term", "category"), ("u", "one two three four five", "category")], "snapshot_id string, term string, layer string")
-    runs = spark.createDataFrame([("t", "old TERM")], "snapshot_id string, query_term string")
-    lacks = spark.createDataFrame([("s", "category"), ("t", "category"), ("u", "subject_bridge")], "snapshot_id string, query_layer string")
-    terms = spark.createDataFrame([("s", "Action Items"), ("t", "old term")], "snapshot_id string, term string")
-    got = {(x.snapshot_id, x.rule) for x in findings.recovery_faults(r, runs, lacks, terms).collect()}
-    assert got == {("t", "repeated"), ("u", "words"), ("u", "layer"), ("u", "evidence")}
+    rows = [("s", "", "action items", "category", "https://n"), ("t", "r9", "Old term", "category", "https://old"), ("u", "", "one two-three four's five six", "category", "mailto:x"), ("v", "", "invented phrase", "category", "https://n"),
+            ("w", "", "any", "nowhere", "https://n"), ("x", "", "a", "category", "https://a"), ("x", "", "b", "category", "https://b")]
+    r = spark.createDataFrame(rows, "snapshot_id string, id string, term string, layer string, url string")
+    runs = spark.createDataFrame([("t", "r9", "old TERM", "https://old", "deep"), *[("w", str(i), f"q{i}", f"https://{i}", "quick") for i in range(99)]], "snapshot_id string, query_id string, query_term string, url string, mode string")
+    needs = spark.createDataFrame([("s", ["category"], True), ("t", ["category"], False), ("u", ["subject_bridge"], False), ("v", [], True)], "snapshot_id string, recommended_layers array<string>, volume_only boolean")
+    terms = spark.createDataFrame([("s", "Action Items"), ("v", "other phrase")], "snapshot_id string, term string")
+    got = {(x.snapshot_id, x.rule) for x in findings.recovery_faults(r, runs, needs, terms).collect()}
+    assert got == {("t", "repeated"), ("t", "id"), ("t", "url_repeated"), ("u", "words"), ("u", "layer"), ("u", "url"), ("v", "evidence"), ("w", "layer_name"), ("w", "budget"), ("x", "one_query")}
+
+
+def test_formats_are_all_counted(spark):
+    from evidrill.operators import findings
+
+    rows = [("s", i, f, h) for i, (f, h) in enumerate([("Reel", "9K posts"), ("reel", None), (None, " 9K posts "), ("", "2M"), ("Short-Video", "1"), ("zine", "7"), ("p", ""), ("post", None), ("image", None)])]
+    d = spark.createDataFrame(rows, "snapshot_id string, ordinal int, format string, hint string")
+    assert [(x.format, x.signals) for x in findings.format_mix(d).orderBy("format_rank").collect()] == [("Format unconfirmed", 2), ("Post", 2), ("Reel", 2), ("Image", 1), ("Short video", 1), ("zine", 1)]
+    assert [x.hint for x in findings.supply_hints(d).orderBy("hint_rank").collect()] == ["9K posts", "2M", "1"]
+
+
+def test_redirects(spark):
+    rows = [("https://www.facebook.com/search/posts?q=a+b", "https://m.facebook.com/search/posts/?q=A%20B", True, False), ("https://www.facebook.com/search/posts?q=a", "https://www.facebook.com/search/top?q=a", True, True),
+            ("https://www.facebook.com/search/posts?q=a", "https://www.facebook.com/search/posts?q=b", True, True), ("https://www.facebook.com/x", "https://evil.test/x", False, True), ("https://other.test/", "https://evil.test/", False, False),
+            ("https://www.facebook.com/search/posts?q=a", "", True, False), ("https://www.facebook.com/search/posts?q=a", "about:blank", True, False)]
+    d = spark.createDataFrame(rows, "e string, a string, s boolean, want boolean")
+    assert all(r.want == r.got for r in d.select("want", text_rules.abnormal_redirect(F.col("e"), F.col("a"), F.col("s")).alias("got")).collect())
