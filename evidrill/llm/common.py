@@ -70,6 +70,18 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
         discard(spark, path)
 
 
+@contextmanager
+def records_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """What runs inside hands n rows at a time to Python, where rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spare(df: DataFrame, name: str) -> str:
     """A column name that df hasn't."""
     taken = {c.lower() for c in df.columns}
