@@ -100,7 +100,8 @@ def detail_results(signals: DataFrame, targets: DataFrame, results: DataFrame) -
     key = ["snapshot_id", "dedupe_key"]
     planned = results.join(targets.select(*key, "layer").distinct(), key)
     audits = planned.groupBy(*key, "artifact", "success").agg(F.min_by(F.struct("layer", "stop_reason"), "seq").alias("x")).select(*key, "artifact", "success", "x.*")
-    own = signals.select(*key, *[F.col(c).alias("_" + c) for c in ("signal_id", "query_term", "query_layer", "source_type")])
+    names = ("signal_id", "query_term", "query_layer")  # of the first observation
+    own = signals.groupBy(*key).agg(F.min(F.struct("ordinal", *names)).alias("x")).select(*key, *[F.col(f"x.{c}").alias("_" + c) for c in names])
     d = planned.where("success").join(own, key)
     filled = {c: F.coalesce(F.col(c), F.col("_" + c)) for c in ("signal_id", "query_term", "query_layer")}
     d = d.withColumns({**filled, "source_type": F.coalesce(S.first(F.col("source_type")), F.lit("direct_post")), "detail_captured": F.lit(True), "ordinal": F.col("seq") + F.lit(1 << 40)})

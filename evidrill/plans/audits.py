@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decisions, dedup, media, release, review
+from ..operators import decisions, dedup, enrich, media, release, review, scoring
 from ..operators.text_rules import SECRETS
 from ..sources import views
+from .scores import _FIVE, DIMENSIONS_SQL, as_of
 
 
 def signal_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,31 @@ def media_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def commented_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as signals; what their users say was captured as comments for two in three."""
+    t = views.table(spark, sf_dir, "conversations")
+    k = F.col("conv_id")
+    note = F.when(k % 2 == 0, "No Comment text was visible here").otherwise("Comment text was unavailable")
+    signals = t.select("conv_id").distinct().select(
+        k.alias("signal_key"), F.array(F.concat(F.lit("ref"), k)).alias("evidence_refs"), F.array(F.lit("partial"), note).alias("limitations"))
+    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))), lambda x: x["text"])
+    captured = t.groupBy("conv_id").agg(said.alias("comments")).select(k.alias("signal_key"), F.when(k % 3 == 0, "blocked").otherwise("captured").alias("status"), "comments", F.when(k % 5 == 0, F.concat(F.lit("ref"), k)).otherwise(F.concat(F.lit("file"), k)).alias("artifact"))
+    j = enrich.with_comments(signals, captured)
+    return j.select("signal_key", "comment_capture_status", F.array_join("evidence_refs", ",").alias("evidence_refs"), F.array_join("limitations", ",").alias("limitations"), F.coalesce(F.size("representative_comments"), F.lit(0)).alias("comments"))
+
+
+def comment_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = views.table(spark, sf_dir, "conversations")
+    q = enrich.comment_queue(c.select(F.lit("s").alias("snapshot_id"), F.col("conv_id").cast("string").alias("signal_key"), F.col("turn").alias("comment_index"), "text"))
+    return enrich.queue_digest(q, ["signal_key"], ["comment_index"], ["comment_index", "comment_key"])
+
+
+def affected_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.affected_signals(scoring.signal_index(views.signals(spark, sf_dir), as_of()))
+
+
 QUERIES = {
+    "commented_signals": commented_signals, "comment_digests": comment_digests, "affected_signals": affected_signals,
     "signal_excerpts": signal_excerpts, "merged_evidence": merged_evidence, "release_audit": release_audit, "reviewed_ledgers": reviewed_ledgers, "reviewed_changes": reviewed_changes, "media_spellings": media_spellings,
 }
 
@@ -111,6 +136,13 @@ v AS (SELECT * FROM f WHERE is_text AND k % 9 <> 0)"""
 _LEDGERS = f"""raw AS (SELECT snapshot_id AS c, query_id, position, dedupe_key AS s, detail_captured AS d, evidence_role AS r, semantic_relevance AS rel, 't' AS topic, price FROM ({views.as_sql(views.CARDS)})),
 rev AS (SELECT c, query_id, position, s, d OR (c % 17 = 0 AND position = 2) AS d, CASE WHEN c % 19 = 0 AND position = 1 THEN '' ELSE r END AS r, rel, CASE WHEN c % 29 = 0 THEN '' ELSE 't' END AS topic, price FROM raw WHERE NOT (c % 13 = 0 AND position = 3))"""
 SQL = {
+    "commented_signals": """WITH g AS (SELECT conv_id AS k, count(*) FILTER (role = 'user') AS n FROM conversations GROUP BY ALL)
+SELECT k AS signal_key, CASE WHEN k % 3 = 0 THEN 'unavailable' ELSE 'captured' END AS comment_capture_status, 'ref' || k || CASE WHEN k % 3 = 0 OR k % 5 = 0 THEN '' ELSE ',file' || k END AS evidence_refs,
+  'partial' || CASE WHEN k % 3 <> 0 THEN '' WHEN k % 2 = 0 THEN ',No Comment text was visible here' ELSE ',Comment text was unavailable' END AS limitations, CAST(CASE WHEN k % 3 = 0 THEN 0 ELSE n END AS INT) AS comments FROM g""",
+    "comment_digests": r"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS signal_key, turn AS i, regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM conversations),
+q AS (SELECT signal_key, i, 'comment-' || substr(sha256(signal_key || chr(10) || i || chr(10) || t), 1, 20) AS k FROM c WHERE t <> '')
+SELECT signal_key, count(*) AS entries, sha256('[' || string_agg('{"comment_index":' || i || ',"comment_key":"' || k || '"}', ',' ORDER BY i) || ']') AS queue_sha256 FROM q GROUP BY ALL""",
+    "affected_signals": f"""WITH {DIMENSIONS_SQL} SELECT snapshot_id, unnest(list_filter([{", ".join(f"CASE WHEN {k} IS NULL THEN '{k}' END" for k in _FIVE)}], lambda x: x IS NOT NULL)) AS field, signal_id FROM dims""",
     "signal_excerpts": r"""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'transcript' END AS channel, lower(trim(regexp_replace(substr(text, 11, 8 + doc_id % 40), '[\s\p{Z}]+', ' ', 'g'))) AS x FROM documents),
 r AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 n AS (SELECT doc_id, CASE WHEN i % 2 = 0 THEN 'ocr' ELSE 'transcript' END AS channel, lower(trim(regexp_replace(l, '[\s\p{Z}]+', ' ', 'g'))) AS y FROM r)

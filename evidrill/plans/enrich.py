@@ -52,9 +52,9 @@ def permalink_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detail_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every unopened signal of an even event is a target; two in three are opened, and one result in five has no target."""
-    s = reviews._with_identity(spark, sf_dir)
-    once = s.where("ordinal % 10 <> 1")  # the others repeat the post before them
+    """Every unopened signal of an even event is a target; two in three are opened. One event in ten repeats the post before
+    it, so that results meet posts that were observed twice."""
+    once = reviews._with_identity(spark, sf_dir)
     targets = once.where("NOT detail_captured AND ordinal % 2 = 0").select("snapshot_id", "dedupe_key", F.col("query_layer").alias("layer"))
     r = once.where("NOT detail_captured AND (ordinal % 2 = 0 OR ordinal % 5 = 0)")
     none = F.lit(None).cast("string")
@@ -218,9 +218,13 @@ SELECT conv_id, turn, {", ".join(_failure_sql(k) for k in enrich.FAILURES)} FROM
 SELECT s.c AS snapshot_id, CAST(s.k AS VARCHAR) AS content_id, CASE WHEN g.k IS NOT NULL THEN 'body ' || pr ELSE '' END AS summary, CASE WHEN g.k IS NOT NULL THEN 'direct_post' ELSE 'search_card' END AS source_type, g.k IS NOT NULL OR s.k % 10 = 0 AS detail_captured,
   CASE WHEN g.k IS NOT NULL THEN 'agent_summary' ELSE '' END AS detail_text_kind, CASE WHEN g.k IS NOT NULL THEN 'partial' ELSE 'The post body was not returned.|partial' END AS limitations FROM s LEFT JOIN g ON s.k = g.k""",
     "permalink_faults": f"""WITH {_LINKS} SELECT DISTINCT c AS snapshot_id, id AS content_id, f AS fault FROM (SELECT c, id, unnest(list_filter([CASE WHEN id = 'none' THEN 'content_id' END, CASE WHEN id = 'none' OR other OR moved THEN 'canonical_url' END, CASE WHEN guess THEN 'body' END], lambda x: x IS NOT NULL)) AS f FROM b)""",
-    "detail_results": f"""WITH signals AS ({views.as_sql(views.SIGNALS)}), k AS (SELECT *, NOT detail_captured AND ordinal % 2 = 0 AND ordinal % 3 <> 0 AS opened FROM signals WHERE ordinal % 10 <> 1)
-SELECT snapshot_id, sha256(platform || '|content_id|' || content_id) AS dedupe_key, signal_id, CASE WHEN opened THEN 'direct_post' ELSE source_type END AS source_type, detail_captured OR opened AS detail_captured,
-  CASE WHEN opened THEN 'the whole text of the opened page' ELSE summary END AS summary, CASE WHEN opened THEN 2 ELSE 1 END AS merged_from_count FROM k""",
+    "detail_results": f"""WITH signals AS ({views.as_sql(views.SIGNALS)}), s AS (SELECT snapshot_id, sha256(platform || '|content_id|' || content_id) AS dedupe_key, ordinal, signal_id, source_type, detail_captured AS d, summary FROM signals),
+r AS (SELECT snapshot_id, dedupe_key, ordinal + 1099511627776 AS ordinal, first(signal_id ORDER BY ordinal) OVER (PARTITION BY snapshot_id, dedupe_key) AS signal_id, 'direct_post' AS source_type, true AS d, 'the whole text of the opened page' AS summary, ordinal AS o FROM s
+  WHERE EXISTS (FROM s t WHERE t.snapshot_id = s.snapshot_id AND t.dedupe_key = s.dedupe_key AND NOT t.d AND t.ordinal % 2 = 0) AND NOT d AND (ordinal % 2 = 0 OR ordinal % 5 = 0) AND ordinal % 3 <> 0),
+u AS (SELECT * FROM s UNION ALL SELECT snapshot_id, dedupe_key, ordinal, signal_id, source_type, d, summary FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, dedupe_key ORDER BY d DESC, {reviews._QUALITY} DESC, length(summary) DESC, ordinal) AS best FROM u)
+SELECT snapshot_id, dedupe_key, max(signal_id) FILTER (best = 1) AS signal_id, max(source_type) FILTER (best = 1) AS source_type, bool_or(d) AS detail_captured,
+  coalesce(nullif(max(summary) FILTER (best = 1), ''), arg_min(summary, ordinal) FILTER (summary <> ''), '') AS summary, CAST(count(*) AS INT) AS merged_from_count FROM k GROUP BY ALL""",
     "merge_faults": """WITH s AS (SELECT o_custkey AS study, o_orderkey AS k, CASE WHEN o_custkey % 9 = 0 THEN lower(o_orderstatus) ELSE 'topic' END AS subject, o_orderkey % 40 AS term, o_orderkey % 3 AS layer FROM orders),
 g AS (SELECT study, count(*) AS n, count(DISTINCT subject) AS subjects, count(DISTINCT (term, layer)) AS queries, count(DISTINCT layer) AS layers FROM s GROUP BY ALL),
 h AS (SELECT study, l_partkey, min(l_suppkey % 50 = 0) AS a, max(l_suppkey % 50 = 0) AS b FROM lineitem JOIN s ON l_orderkey = k WHERE l_linestatus = 'F' OR l_returnflag <> 'R' GROUP BY ALL)
