@@ -17,7 +17,7 @@ can stand in the result, and the way back is unique.
 As the parser stops at the first CLOSE after an OPEN, turns that are recovered one by one are recovered from
 their concatenation.
 
-Defined cases: a null text or role is empty; turns go by (turn, rendered text), null turns first, so repeated
+Defined cases: a null text or role is empty; a very long text is escaped and parsed whole; turns go by (turn, rendered text), null turns first, so repeated
 rows and ties have one order; a null conv_id is a conversation of its own; an empty table gives an empty
 result; other columns are ignored.
 """

@@ -9,8 +9,10 @@ text's commonest words, never read from a column, and the threshold becomes the
 Labelled rows are the only thing that is sampled: at most `rows` of each class, by a hash of their ids.
 
 Defined cases: a null or empty text has no words and gets the score of no evidence; a label that is null or whose
-document is missing is left out; a document with several labels has the highest; repeated rows each get their
-score; without any usable label every score is 0; an empty table gives an empty result.
+document is missing is left out; a document with several labels has the highest, and of several texts of an id the least trains;
+repeated rows each get their score; a very long text is scored whole; a score of exactly 0.5 is toxic; without any
+usable label every score is 0; an empty table gives an empty result; other columns, whatever their names, are ignored by
+`score` and carried by `without_toxic`.
 """
 
 from __future__ import annotations
@@ -253,7 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     some = known.where("_label = 1").orderBy(F.xxhash64(id_col), id_col).limit(rows).unionByName(
         known.where("_label = 0").orderBy(F.xxhash64(id_col), id_col).limit(rows)
     )
-    picked = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(some), id_col).dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).toArrow()
+    texts = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(some), id_col)  # 2 x rows at most
+    picked = texts.groupBy(id_col).agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).orderBy(F.xxhash64(id_col), id_col).toArrow()
     return train(picked["_text"].combine_chunks(), picked["_label"].to_numpy())
 
 

@@ -471,3 +471,43 @@ def test_license_names_without_the_first_keyword(spark):
     got = {r.doc_id: r for r in licenses.scan(table(spark, texts.items())).collect()}
     assert [got[i].labels for i in texts] == ["mit", "bsd-2-clause", "0bsd", "unlicense", "cc0-1.0", "mit"]
     assert got[1].score == 0.99 and got[6].n_base == 1
+
+
+def test_toxicity_forward_pass_and_thresholds():
+    """Against a plain version, word by word; a language with its own rows has its own threshold."""
+    rng = np.random.default_rng(4)
+    dims, k = 3, 2
+    tables = rng.normal(size=(1 + len(toxicity.PREFIXES), toxicity.BUCKETS, dims)).astype(np.float32)
+    model = toxicity.Model(tables, [rng.normal(size=(w, dims, k)).astype(np.float32) for w in toxicity.WIDTHS], rng.normal(size=k * len(toxicity.WIDTHS)).astype(np.float32), rng.normal(size=k * len(toxicity.WIDTHS)), 0.3)
+    texts = ["one two three", "", None, "a", "longer words here, and SHOUTING again again", "x y", "é ü"]
+    w = toxicity.words_of(pa.array(texts, pa.string()))
+    embedded = model.embed(w.buckets)
+    want = []
+    for t in range(len(texts)):
+        words = [embedded[i] for i in w.at[w.bounds[t] : w.bounds[t + 1]]]
+        pooled = []
+        for f in model.filters:
+            for c in range(k):
+                places = [sum(float(words[p + j] @ f[j][:, c]) for j in range(len(f)) if p + j < len(words)) for p in range(len(words))]
+                pooled.append(max(places) if places else 0.0)
+        want.append(np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.out_bias)
+    assert np.allclose(model.logits(w), want, atol=1e-4)
+    first, second = list(toxicity.COMMON)[:2]
+    said = [f"{list(toxicity.COMMON[g])[0]} word{i}" for i in range(60) for g in (first, second)]
+    toxicity.calibrate(model, pa.array(said), rng.integers(0, 2, len(said)).astype(float))
+    z, g = model.logits(toxicity.words_of(pa.array(said))), toxicity.languages(toxicity.words_of(pa.array(said)))
+    assert set(g.tolist()) == {0, 1} and model.threshold[0] != model.threshold[1]
+    score = model.scores(pa.array(said))
+    assert ((score >= 0.5) == (z >= model.threshold[g])).all()
+
+
+def test_toxicity_on_the_given_labels(spark):
+    """Rows that training never saw: balanced accuracy."""
+    from evidrill.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    scored = queries.op9_toxicity(spark, sf).where("held_out").toPandas().set_index("doc_id")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().set_index("doc_id").toxic
+    j = scored.join(labels, how="inner").dropna(subset=["toxic"])
+    found, clean = (j[j.toxic == 1].predicted == 1).mean(), (j[j.toxic == 0].predicted == 0).mean()
+    assert len(j) > 500 and (found + clean) / 2 >= 0.9 and clean >= 0.97

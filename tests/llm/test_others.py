@@ -175,6 +175,28 @@ def test_pipeline_stages(spark):
             assert set(after.doc_id) == set(before.doc_id)
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null, empty, repeated, very long and copied rows, clashing columns, no labels, and no documents at all."""
+    rng = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{int(i)}" for i in rng.integers(0, 5000, n))
+    fine = [text(60) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(fine)] + [(3, fine[3]), (20, fine[4]), (21, fine[5] + " more"), (None, text(50)), (None, text(50)), (30, None), (31, ""), (32, " \n"), (33, "short"), (40, text(30_000)), (41, "same words again " * 40)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, row_key string, length string, _label string"
+    docs = [(i, t, "en", None if (i or 0) % 3 == 0 else "s", None if t is None else len(t), "mine", "mine", "mine") for i, t in rows]
+    for name, some in (("all", docs), ("none", [])):
+        d = spark.createDataFrame(some, schema)
+        d.write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"file://{tmp_path}/{name}").toPandas()
+        if name == "none":
+            assert len(out) == 0
+            continue
+        assert set(out.doc_id.dropna().astype(int)) <= {*range(12), 40} and not set(out.doc_id.dropna().astype(int)) & {20, 21, 30, 31, 32, 33, 41}
+        for _, g in out.groupby("sequence_id"):
+            g = g.sort_values("offset")
+            assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 4096
+
+
 def test_formatted_conversations_query(spark):
     got = {r.conv_id: r for r in queries.op10_chat_format(spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/conversations.parquet").toPandas().sort_values(["conv_id", "turn"])
