@@ -68,3 +68,14 @@ PLATFORM_ALIASES = {
     "tik tok": "tiktok", "国际抖音": "tiktok", "yt": "youtube", "油管": "youtube", "ins": "instagram", "fb": "facebook", "脸书": "facebook",
     "视频号": "wechat_channels", "wechat channels": "wechat_channels",
 }
+
+# Platforms that adapters read, and the names that they go by there.
+ADAPTER_ALIASES = {
+    "x": ("x", "twitter"),
+    "xiaohongshu": ("xiaohongshu", "xhs", "小红书"),
+    "youtube": ("youtube", "yt", "油管"),
+    "tiktok": ("tiktok", "tik tok", "国际抖音"),
+    "reddit": ("reddit",),
+    "instagram": ("instagram", "ins"),
+    "facebook": ("facebook", "fb", "脸书"),
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import ENGAGEMENT_WEIGHTS, HEAT_WEIGHTS, PLATFORM_ALIASES, SOURCE_QUALITY
+from .constants import ADAPTER_ALIASES, ENGAGEMENT_WEIGHTS, HEAT_WEIGHTS, PLATFORM_ALIASES, SOURCE_QUALITY
 
 _EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 _NUMBER = r"^([0-9]+(?:\.[0-9]+)?)\s*(k|m|b|万|亿)?$"
@@ -77,6 +77,18 @@ def platform(c: Column) -> Column:
     return lookup(t, PLATFORM_ALIASES, plain)
 
 
+def adapter_platform(c: Column) -> Column:
+    """The platform whose adapter knows the name; an unknown name is its own, in lower case."""
+    t = F.lower(text(c))
+    return lookup(t, {alias: name for name, aliases in ADAPTER_ALIASES.items() for alias in aliases}, t)
+
+
+def ratio(c: Column) -> Column:
+    """A share from 0 to 1; null if it isn't one."""
+    d = text(c).try_cast("double")
+    return F.when((d >= 0) & (d <= 1), d)
+
+
 def url(c: Column) -> Column:
     """The address if its scheme is one that evidence may have, else ''."""
     t = text(c)

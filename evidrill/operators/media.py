@@ -4,11 +4,13 @@ Media text never adds to a sample's volume; unreviewed text is never shown."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.constants import MOJIBAKE
+from .dedup import ordered_union
+from .review import first_texts
 
 MAX_SEGMENTS, MAX_OCR, MAX_FRAMES = 200, 80, 8
 VIDEO_PLATFORMS = ("tiktok", "instagram", "youtube", "x")
@@ -100,15 +102,20 @@ def apply_review(promoted: DataFrame, reviews: DataFrame) -> DataFrame:
     })
 
 
-def topic_media(excerpts: DataFrame, keep: int = 4) -> DataFrame:
-    """excerpts: snapshot_id, topic, ordinal, channel, text, relevance, url. Relevant excerpts of a topic by channel,
-    the first few texts and the addresses."""
+def topic_media(excerpts: DataFrame, keep: int = 4, summaries: int = 3) -> DataFrame:
+    """excerpts: snapshot_id, topic, ordinal, channel, text, relevance, url and, where reviews have them, summary. Relevant
+    excerpts of a topic by channel, the first few texts, the first few different summaries and the addresses, each once in
+    the order in which they come."""
+    key = ["snapshot_id", "topic"]
     e = excerpts.where(F.col("relevance").isin("direct", "adjacent") & (F.trim("text") != ""))
-    channels = e.groupBy("snapshot_id", "topic", "channel").agg(F.count(F.lit(1)).alias("n")).groupBy("snapshot_id", "topic").agg(
+    channels = e.groupBy(*key, "channel").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "n")))).alias("channel_counts")
     )
-    g = e.groupBy("snapshot_id", "topic").agg(
-        F.count_distinct("url").alias("reviewed_videos"), F.count(F.lit(1)).alias("excerpt_count"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), 1, keep).alias("excerpts"),
-    )
-    return g.join(channels, ["snapshot_id", "topic"])
+    g = e.groupBy(*key).agg(F.count_distinct("url").alias("reviewed_videos"), F.count(F.lit(1)).alias("excerpt_count"))
+    first = e.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("ordinal", "text"))).where(F.col("_n") <= keep)
+    first = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "text"))), lambda x: x["text"]).alias("excerpts"))
+    refs = ordered_union(e.select(*key, "ordinal", F.array("url").alias("refs")), key, ["ordinal"], ["refs"])
+    out = g.join(channels, key).join(first, key).join(refs, key)
+    if "summary" in excerpts.columns:
+        out = out.join(first_texts(e, key, "ordinal", "summary", summaries, "summaries"), key, "left").withColumn("summaries", F.coalesce("summaries", F.array().cast("array<string>")))
+    return out

@@ -46,20 +46,34 @@ def label_faults(reviews: DataFrame, topic_rule: bool = True) -> DataFrame:
     return reviews.select("*", F.explode(broken).alias("rule"))
 
 
-def comment_summary(comments: DataFrame, by: list[str]) -> DataFrame:
+def first_texts(rows: DataFrame, by: list[str], order: str, text: str, keep: int, name: str) -> DataFrame:
+    """Per group an array of the first `keep` different texts that aren't blank, by their least place (ties by text). Each
+    text is one row before the shuffle, and no group is gathered beyond what it keeps."""
+    t = rows.where(F.coalesce(F.col(text), F.lit("")) != "").groupBy(*by, F.col(text).alias("_x")).agg(F.min(order).alias("_at"))
+    t = t.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_at", "_x"))).where(F.col("_n") <= keep)
+    return t.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_x"))), lambda x: x["_x"]).alias(name))
+
+
+def comment_summary(comments: DataFrame, by: list[str], keep: int = 5) -> DataFrame:
     """comments: ordinal, category, relevance, role, insight and the grouping columns. Counts, a map of category
-    counts over relevant comments, and the first five different insights."""
+    counts over relevant comments, and the first `keep` different insights."""
     relevant = F.col("relevance").isin("direct", "adjacent")
-    insight = F.when(relevant & (F.col("insight") != ""), F.struct("ordinal", "insight"))
     g = comments.groupBy(*by).agg(
         F.count(F.lit(1)).alias("reviewed_count"), F.count_if(relevant).alias("relevant_count"),
         F.count_if(relevant & (F.col("role") == "support")).alias("support_count"), F.count_if(relevant & (F.col("role") == "counter")).alias("counter_count"),
-        F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(insight)), lambda x: x["insight"])), 1, 5).alias("insights"),
     )
     c = comments.where(relevant).groupBy(*by, "category").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n")))).alias("category_counts")
     )
-    return g.join(c, by, "left")
+    said = first_texts(comments.where(relevant), by, "ordinal", "insight", keep, "insights")
+    return g.join(c, by, "left").join(said, by, "left").withColumn("insights", F.coalesce("insights", F.array().cast("array<string>")))
+
+
+def with_comment_review(signals: DataFrame, comments: DataFrame) -> DataFrame:
+    """Signals (signal_key) with what the review of their comments found; a signal without reviewed comments has zeros."""
+    s = comment_summary(comments, ["signal_key"])
+    j = signals.join(s, "signal_key", "left")
+    return j.na.fill(0, ["reviewed_count", "relevant_count", "support_count", "counter_count"]).withColumn("comment_evidence", F.when(F.col("relevant_count") > 0, "relevant").when(F.col("reviewed_count") > 0, "reviewed").otherwise("unreviewed"))
 
 
 def normal_text(c: Column) -> Column:
@@ -114,6 +128,24 @@ def cluster_plan(signals: DataFrame, clusters: DataFrame) -> DataFrame:
     return j.withColumn("cluster", F.coalesce("cluster", "fallback")).withColumn("fit", fit).withColumn("transition_match", ~weak).drop("fallback")
 
 
+FITS = ("core", "supporting", "counter")
+
+
+def assignment_faults(assignments: DataFrame, signals: DataFrame) -> DataFrame:
+    """assignments: snapshot_id, signal_id, fit, reason, transition_match. signals: snapshot_id, signal_id. Every signal is
+    assigned exactly once, with a fit, a reason and a yes or no on its match: a row for each broken rule (snapshot_id,
+    signal_id, fault)."""
+    key = ["snapshot_id", "signal_id"]
+    known = signals.select(*key).distinct().withColumn("_known", F.lit(True))
+    a = assignments.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce(F.col("fit").isin(*FITS), F.lit(False))).alias("fits"), F.bool_and(F.trim(F.coalesce("reason", F.lit(""))) != "").alias("reasoned"), F.bool_and(F.col("transition_match").isNotNull()).alias("matched"),
+    )
+    j = a.join(known, key, "full_outer")
+    given = F.col("n").isNotNull()
+    rules = {"unassigned": ~given, "unknown_signal": given & F.col("_known").isNull(), "repeated": F.col("n") > 1, "fit": given & ~F.col("fits"), "reason": given & ~F.col("reasoned"), "transition_match": given & ~F.col("matched")}
+    return j.select(*key, F.explode(F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), k) for k, c in rules.items()]))).alias("fault"))
+
+
 def cluster_audit(assigned: DataFrame) -> DataFrame:
     """Coherence gates per (snapshot_id, cluster)."""
     direct = F.col("detail_captured") | F.col("source_type").isin("direct_post", "exported_item")

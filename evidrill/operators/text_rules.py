@@ -54,6 +54,23 @@ MARKETS = (
 # Inside words and what readers are told instead, in order.
 JARGON = (("copilot", "assistant"), ("orchestration engine", "workflow tool"), ("enablement layer", "support process"), ("flywheel", "feedback process"))
 
+JARGON_ZH = (
+    ("跨时区多语言首轮处理队列", "先处理夜间和多语言售后，复杂问题再转人工"),
+    ("售后 Agent 的政策与订单事实守门层", "售后 AI 助手回复前，先核对订单和政策"),
+    ("多语言售后副驾", "跨境电商多语言售后助手"),
+    ("先准备动作", "自动准备处理方案"),
+    ("资金操作人工批准", "退款等资金操作交给人工确认"),
+    ("政策与订单事实守门层", "政策与订单信息检查机制"),
+    ("副驾", "助手"),
+    ("中台", "统一工作台"),
+    ("引擎", "工具"),
+    ("闭环", "完整流程"),
+    ("赋能", "帮助"),
+    ("桥接", "连接"),
+    ("守门层", "检查机制"),
+    ("Agent", "AI 助手"),
+)
+
 # What an audit note is about, by its words, in order.
 LIMITATIONS = {
     "context": ("search card", "search-card", "not opened", "unopened", "truncat", "linked article not opened", "linked offer page not opened"),
@@ -143,11 +160,18 @@ def classify_requests(requests: DataFrame, prompt: str = "prompt") -> DataFrame:
     return r.withColumn("language", F.when(F.col(prompt).rlike(r"[\x{3400}-\x{9fff}]"), "zh-CN").otherwise("en")).withColumn("missing", missing)
 
 
-def reader_title(title: Column) -> Column:
-    """Inside words replaced one after the other, each in what the one before it left."""
-    for word, plain in JARGON:
-        title = F.replace(title, F.lit(word), F.lit(plain))
-    return title
+def reader_title(title: Column, language: Column | None = None, audience: Column | None = None) -> Column:
+    """Inside words replaced one after the other, each in what the one before it left: those of the reader's language
+    (zh-CN, else English). Experts read the title as it is."""
+
+    def told(words: tuple) -> Column:
+        out = title
+        for word, plain in words:
+            out = F.replace(out, F.lit(word), F.lit(plain))
+        return out
+
+    plain = told(JARGON) if language is None else F.when(language == "zh-CN", told(JARGON_ZH)).otherwise(told(JARGON))
+    return plain if audience is None else F.when(audience == "expert", title).otherwise(plain)
 
 
 def same_in_substance(a: Column, b: Column, least: int = 48, share: float = 0.85) -> Column:

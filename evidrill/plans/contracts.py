@@ -42,10 +42,10 @@ def topic_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.table(spark, sf_dir, "conversations")
     e = c.select(
         (F.col("conv_id") % 5).alias("snapshot_id"), (F.col("conv_id") % 3).alias("topic"), F.struct("conv_id", "turn").alias("ordinal"), F.col("role").alias("channel"), F.col("text"),
-        F.when(F.col("turn") % 3 == 2, "weak").otherwise("direct").alias("relevance"), F.col("conv_id").cast("string").alias("url"),
+        F.when(F.col("turn") % 3 == 2, "weak").otherwise("direct").alias("relevance"), F.col("conv_id").cast("string").alias("url"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("about "), F.col("conv_id") % 20)).alias("summary"),
     )
     t = media.topic_media(e)
-    return t.select("snapshot_id", "topic", "reviewed_videos", "excerpt_count", F.array_join("excerpts", "|").alias("excerpts"),
+    return t.select("snapshot_id", "topic", "reviewed_videos", "excerpt_count", F.array_join("excerpts", "|").alias("excerpts"), F.array_join("summaries", "|").alias("summaries"), F.array_join("refs", ",").alias("refs"),
                     F.array_join(F.transform(F.map_entries("channel_counts"), lambda x: F.concat(x["key"], F.lit(":"), x["value"])), ",").alias("channels"))
 
 
@@ -156,8 +156,11 @@ SELECT snapshot_id, t.topic, observed_heat, raw_confidence, coalesce(comments, 0
 SELECT CASE WHEN seen AND st = 'search_card' AND coalesce(quality, 1) > 0 THEN 'direct_post' ELSE st END AS source_type, CASE WHEN seen AND coalesce(quality, 1) > 0 THEN true ELSE dc END AS detail_captured,
   quality IS NOT NULL AS media_reviewed, count(*) AS signals FROM j GROUP BY ALL""",
     "topic_media": """WITH e AS (SELECT conv_id % 5 AS snapshot_id, conv_id % 3 AS topic, conv_id, turn, role, text AS x FROM conversations WHERE turn % 3 <> 2 AND trim(text) <> ''),
-c AS (SELECT snapshot_id, topic, string_agg(role || ':' || n, ',' ORDER BY role) AS channels FROM (SELECT snapshot_id, topic, role, count(*) AS n FROM e GROUP BY ALL) GROUP BY ALL)
-SELECT snapshot_id, topic, count(DISTINCT conv_id) AS reviewed_videos, count(*) AS excerpt_count, array_to_string(list(x ORDER BY conv_id, turn)[1:4], '|') AS excerpts, any_value(channels) AS channels FROM e JOIN c USING (snapshot_id, topic) GROUP BY ALL""",
+c AS (SELECT snapshot_id, topic, string_agg(role || ':' || n, ',' ORDER BY role) AS channels FROM (SELECT snapshot_id, topic, role, count(*) AS n FROM e GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT snapshot_id, topic, 'about ' || (conv_id % 20) AS y, min((conv_id, turn)) AS o FROM e WHERE turn % 2 = 0 GROUP BY ALL), y AS (SELECT snapshot_id, topic, string_agg(y, '|' ORDER BY o) AS summaries FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY snapshot_id, topic ORDER BY o) <= 3) GROUP BY ALL),
+u AS (SELECT snapshot_id, topic, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS refs FROM (SELECT DISTINCT snapshot_id, topic, conv_id FROM e) GROUP BY ALL)
+SELECT snapshot_id, topic, count(DISTINCT conv_id) AS reviewed_videos, count(*) AS excerpt_count, array_to_string(list(x ORDER BY conv_id, turn)[1:4], '|') AS excerpts, coalesce(any_value(summaries), '') AS summaries, any_value(refs) AS refs, any_value(channels) AS channels
+FROM e JOIN c USING (snapshot_id, topic) LEFT JOIN y USING (snapshot_id, topic) JOIN u USING (snapshot_id, topic) GROUP BY ALL""",
     "plan_faults": f"""WITH p AS (SELECT o_custkey AS plan_id, CASE o_custkey % 3 WHEN 0 THEN 'quick' WHEN 1 THEN 'standard' ELSE 'deep' END AS mode, o_orderkey AS k, o_orderkey % 2000 AS query_id,
   CASE WHEN o_orderkey % 31 = 0 THEN 'elsewhere' ELSE (['platform_baseline', 'category', 'subject_bridge'])[o_orderkey % 3 + 1] END AS layer FROM orders),
 g AS (SELECT plan_id, mode, count(*) AS n, least(count(*) FILTER (layer = 'platform_baseline'), count(*) FILTER (layer = 'category'), count(*) FILTER (layer = 'subject_bridge')) AS l FROM p GROUP BY ALL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, review
@@ -84,8 +84,28 @@ def comment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_comment_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = review.comment_summary(_comments(spark, sf_dir), ["topic"])
-    return s.select("topic", "reviewed_count", "relevant_count", "support_count", "counter_count")
+    s = review.comment_summary(_comments(spark, sf_dir), ["topic"], keep=4)
+    return s.select("topic", "reviewed_count", "relevant_count", "support_count", "counter_count", F.array_join("insights", "|").alias("insights"), _categories())
+
+
+def _categories() -> Column:
+    return F.coalesce(F.array_join(F.transform(F.map_entries("category_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ","), F.lit("")).alias("categories")
+
+
+def commented_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as signals, joined with what was found in the conversation of their number."""
+    d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("signal_key"))
+    j = review.with_comment_review(d, _comments(spark, sf_dir))
+    return j.select("signal_key", "comment_evidence", "reviewed_count", "relevant_count", "support_count", "counter_count", F.coalesce(F.size("insights"), F.lit(0)).alias("insights"))
+
+
+def assignment_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders assigned to clusters by line items: some twice, some never, some without a fit, a reason or a match."""
+    li, k = views.table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    a = li.where("l_linenumber <= 2 AND l_orderkey % 13 <> 0").select(
+        (k % 5).alias("snapshot_id"), F.when(k % 17 == 0, -k).otherwise(k).alias("signal_id"), F.when(k % 7 == 0, "vague").otherwise("core").alias("fit"), F.when(k % 11 == 0, " ").otherwise("why").alias("reason"),
+        F.when(k % 19 != 0, F.col("l_linestatus") == "F").alias("transition_match"))
+    return review.assignment_faults(a, views.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("snapshot_id"), F.col("o_orderkey").alias("signal_id")))
 
 
 def verbatim_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +147,7 @@ def repeatability(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "merged_signals": merged_signals, "document_identity": document_identity, "semantic_review": semantic_review, "label_faults": label_faults, "review_faults": review_faults,
     "comment_summary": comment_summary, "topic_comment_evidence": topic_comment_evidence, "verbatim_excerpts": verbatim_excerpts, "cluster_plan": cluster_plan,
-    "cluster_audit": cluster_audit, "media_candidates": media_candidates, "repeatability": repeatability,
+    "commented_documents": commented_documents, "assignment_faults": assignment_faults, "cluster_audit": cluster_audit, "media_candidates": media_candidates, "repeatability": repeatability,
 }
 
 _SIGNALS = f"signals AS ({views.as_sql(views.SIGNALS)})"
@@ -165,7 +185,16 @@ k AS (SELECT signal_key, category, count(*) AS n FROM c WHERE relevance <> 'weak
 SELECT g.*, coalesce((SELECT string_agg(insight, '|' ORDER BY o) FROM (SELECT * FROM i WHERE i.signal_key = g.signal_key ORDER BY o LIMIT 5)), '') AS insights,
   coalesce((SELECT string_agg(category || ':' || n, ',' ORDER BY category) FROM k WHERE k.signal_key = g.signal_key), '') AS categories
 FROM (SELECT signal_key, {_COUNTS} FROM c GROUP BY ALL) g""",
-    "topic_comment_evidence": f"WITH {_COMMENTS} SELECT topic, {_COUNTS} FROM c GROUP BY ALL",
+    "topic_comment_evidence": f"""WITH {_COMMENTS}, i AS (SELECT topic, insight, min(ordinal) AS o FROM c WHERE relevance <> 'weak' AND insight <> '' GROUP BY ALL), f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY topic ORDER BY o, insight) <= 4),
+s AS (SELECT topic, string_agg(insight, '|' ORDER BY o, insight) AS insights FROM f GROUP BY ALL), k AS (SELECT topic, category, count(*) AS n FROM c WHERE relevance <> 'weak' GROUP BY ALL), m AS (SELECT topic, string_agg(category || ':' || n, ',' ORDER BY category) AS categories FROM k GROUP BY ALL)
+SELECT g.*, coalesce(insights, '') AS insights, coalesce(categories, '') AS categories FROM (SELECT topic, {_COUNTS} FROM c GROUP BY ALL) g LEFT JOIN s USING (topic) LEFT JOIN m USING (topic)""",
+    "commented_documents": f"""WITH {_COMMENTS}, g AS (SELECT signal_key, {_COUNTS}, least(5, count(DISTINCT insight) FILTER (relevance <> 'weak' AND insight <> '')) AS insights FROM c GROUP BY ALL)
+SELECT doc_id AS signal_key, CASE WHEN relevant_count > 0 THEN 'relevant' WHEN reviewed_count > 0 THEN 'reviewed' ELSE 'unreviewed' END AS comment_evidence, coalesce(reviewed_count, 0) AS reviewed_count, coalesce(relevant_count, 0) AS relevant_count,
+  coalesce(support_count, 0) AS support_count, coalesce(counter_count, 0) AS counter_count, CAST(coalesce(insights, 0) AS INT) AS insights FROM documents LEFT JOIN g ON signal_key = doc_id""",
+    "assignment_faults": """WITH a AS (SELECT l_orderkey % 5 AS s, CASE WHEN l_orderkey % 17 = 0 THEN -l_orderkey ELSE l_orderkey END AS id, l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 13 <> 0 GROUP BY ALL),
+o AS (SELECT o_orderkey % 5 AS s, o_orderkey AS id FROM orders)
+SELECT s AS snapshot_id, id AS signal_id, 'unassigned' AS fault FROM o WHERE NOT EXISTS (FROM a WHERE a.s = o.s AND a.id = o.id) UNION ALL SELECT s, id, 'unknown_signal' FROM a WHERE NOT EXISTS (FROM o WHERE a.s = o.s AND a.id = o.id)
+UNION ALL SELECT s, id, 'repeated' FROM a WHERE n > 1 UNION ALL SELECT s, id, 'fit' FROM a WHERE k % 7 = 0 UNION ALL SELECT s, id, 'reason' FROM a WHERE k % 11 = 0 UNION ALL SELECT s, id, 'transition_match' FROM a WHERE k % 19 = 0""",
     "verbatim_excerpts": r"""WITH e AS (SELECT item_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS x FROM benchmark),
 r AS (SELECT DISTINCT lang AS channel, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g'))) AS y FROM documents)
 SELECT DISTINCT item_id, channel FROM e JOIN r ON x = y OR (length(x) >= 12 AND contains(y, x))""",

@@ -74,6 +74,16 @@ def reader_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", R.reader_title(t).alias("title"), R.same_in_substance(t, F.upper(F.col("p_name"))).alias("repeats"))
 
 
+def local_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names with inside words of two languages, for readers of either and for experts; suppliers by an adapter's names."""
+    p = views.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    t = F.concat(F.col("p_name"), F.element_at(F.array(*map(F.lit, (" 多语言售后副驾", " 中台引擎 copilot", " 售后 Agent 的政策与订单事实守门层", " flywheel 闭环赋能", " plain"))), (k % 5 + 1).cast("int")))
+    language, audience = F.when(k % 2 == 0, "zh-CN").otherwise("en"), F.when(k % 7 == 0, "expert").otherwise("general")
+    name = F.element_at(F.array(*map(F.lit, (" Twitter", "小红书", "YT ", "Tik Tok", "脸书", "Elsewhere"))), (k % 6 + 1).cast("int"))
+    return p.select("p_partkey", R.reader_title(t, language, audience).alias("title"), S.adapter_platform(name).alias("platform"), S.ratio(F.concat((k % 13).cast("string"), F.lit("e-1"))).alias("share"))
+
+
 def safety_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.table(spark, sf_dir, "pages")
     k = F.col("page_id") % 9
@@ -132,7 +142,7 @@ def _extraction(kind: str):
 KINDS = ("x", "youtube", "tiktok", "xiaohongshu", "reddit")
 QUERIES = {
     "text_integrity": text_integrity, "secret_scan": secret_scan, "limitation_summary": limitation_summary, "url_canonical": url_canonical, "social_urls": social_urls,
-    "request_classes": request_classes, "reader_titles": reader_titles, "safety_stops": safety_stops, "count_texts": count_texts,
+    "request_classes": request_classes, "reader_titles": reader_titles, "local_titles": local_titles, "safety_stops": safety_stops, "count_texts": count_texts,
 } | {f"capture_{k}": _extraction(k) for k in KINDS}
 
 
@@ -140,6 +150,12 @@ def _quote(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def _told(t: str, words: tuple) -> str:
+    for word, plain in words:
+        t = f"replace({t}, {_quote(word)}, {_quote(plain)})"
+    return t
+
+
 def _contains(t: str, words: tuple) -> str:
     return "(" + " OR ".join(f"contains({t}, {_quote(w)})" for w in words) + ")"
 
@@ -180,6 +196,9 @@ SELECT conv_id, turn, intent, CASE WHEN len(hits) = 1 THEN hits[1] ELSE '' END A
   concat_ws(',', CASE WHEN intent = '' THEN 'research_intent' END, CASE WHEN len(hits) <> 1 THEN 'platform' END, CASE WHEN len(markets) <> 1 THEN 'market' END) AS missing FROM c""",
     "reader_titles": r"""WITH t AS (SELECT p_partkey, p_name, p_name || CASE p_partkey % 4 WHEN 0 THEN ' copilot' WHEN 1 THEN ' enablement layer' WHEN 2 THEN ' orchestration engine flywheel' ELSE '' END AS t FROM part)
 SELECT p_partkey, replace(replace(replace(replace(t, 'copilot', 'assistant'), 'orchestration engine', 'workflow tool'), 'enablement layer', 'support process'), 'flywheel', 'feedback process') AS title, p_partkey % 4 = 3 AS repeats FROM t""",
+    "local_titles": f"""WITH t AS (SELECT p_partkey AS k, p_name || ([' 多语言售后副驾', ' 中台引擎 copilot', ' 售后 Agent 的政策与订单事实守门层', ' flywheel 闭环赋能', ' plain'])[p_partkey % 5 + 1] AS t FROM part)
+SELECT k AS p_partkey, CASE WHEN k % 7 = 0 THEN t WHEN k % 2 = 0 THEN {_told("t", R.JARGON_ZH)} ELSE {_told("t", R.JARGON)} END AS title, (['x', 'xiaohongshu', 'youtube', 'tiktok', 'facebook', 'elsewhere'])[k % 6 + 1] AS platform,
+  CASE WHEN k % 13 <= 10 THEN CAST((k % 13) || 'e-1' AS DOUBLE) END AS share FROM t""",
     "safety_stops": f"""WITH t AS (SELECT page_id, lower('title' || chr(10) || CASE page_id % 9 WHEN 0 THEN 'Security check ' WHEN 1 THEN 'Try again later ' WHEN 2 THEN 'This content is private ' WHEN 3 THEN 'No results found ' ELSE '' END || coalesce(html, '')) AS t, page_id % 3 > 0 AS search,
   CASE page_id % 4 WHEN 1 THEN url WHEN 2 THEN 'https://m.facebook.com/search/posts/?q=Term%20' || page_id WHEN 3 THEN 'https://www.facebook.com/search/posts?q=term+' || page_id || 'x' ELSE '' END AS led FROM pages),
 p AS (SELECT page_id, CASE {" ".join(f"WHEN regexp_matches(t, {_quote(x)})" + {"login_expired": " OR page_id % 9 = 4", "permission_prompt": " OR page_id % 9 = 5"}.get(n, "") + f" THEN '{n}'" for n, x in R.STOPS)}
