@@ -36,8 +36,8 @@ from .common import materialize, row_key, ship
 from .components import connected_components
 from .neighbours import matrix
 
-#: More than what rotating in 32 bits loses of a squared distance between unit vectors.
-SLACK = 1e-5
+#: More than what rotating loses of a squared distance between unit vectors.
+SLACK = 1e-6
 BROADCAST_ROWS = 100_000
 #: Rows whose box is compared before they are.
 RUN = 128
@@ -94,7 +94,14 @@ class Subspaces:
         return list(zip(self.starts[:-1], self.starts[1:], strict=True))
 
     def rotated(self, x: np.ndarray) -> np.ndarray:
-        return ((x / np.sqrt((x * x).sum(axis=1))[:, None]) @ self.rotation).astype(np.float32)
+        """Sums are built up axis by axis, so that every task finds the same numbers for a vector."""
+        size = np.zeros(len(x))
+        for c in x.T:
+            size += c * c
+        out, scaled = np.zeros(x.shape), x / np.sqrt(size)[:, None]
+        for i, axis in enumerate(self.rotation):
+            out += scaled[:, i, None] * axis
+        return out
 
 
 def fit(sample: np.ndarray, cosine: float, blocks: int, depth: int) -> Subspaces:
@@ -153,11 +160,10 @@ class Forest:
                 self.parent = self.parent[self.parent]
 
 
-def links_in(v: np.ndarray, r: np.ndarray, ids: np.ndarray, home: np.ndarray, tile: np.ndarray, pair: tuple[int, int], block: int, model: Subspaces,
+def links_in(v: np.ndarray, r: np.ndarray, home: np.ndarray, tile: np.ndarray, pair: tuple[int, int], block: int, model: Subspaces,
              cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked places (i, j) of one group: rows of two tiles (or of one with itself) of one cell."""
     start, end = model.parts[block]
-    r = r.astype(np.float64)
     norms = np.sqrt(np.einsum("ij,ij->i", v, v))
     sides = [np.flatnonzero(tile == t) for t in dict.fromkeys(pair)]
     sides = [s[_sorted_runs(r[s, start:end])] for s in sides if len(s)]
@@ -195,7 +201,7 @@ def links_in(v: np.ndarray, r: np.ndarray, ids: np.ndarray, home: np.ndarray, ti
             first = np.full(len(p), -1)
             for b, (s, e) in enumerate(model.parts[: block + 1]):
                 apart = np.zeros(len(p))
-                for axis in range(s, e):  # one after the other, so that every task finds the same sum
+                for axis in range(s, e):  # one after the other, as above
                     apart += (r[p, axis] - r[q, axis]) ** 2
                 first = np.where((first < 0) & (apart <= model.budgets[b]), b, first)
             yield p[first == block], q[first == block]
@@ -207,10 +213,11 @@ def classes(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", la
     spark = vectors.sparkSession
     ship(spark)
     v = F.col(vector).cast("array<double>")
+    stored = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     finite = F.forall("v", lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("v", lambda c: c != 0), F.lit(False))
-    rows = materialize(rows.select("id", F.when(usable, row_key(F.col("label"), F.col("v"))).alias("key"), F.when(usable, F.col("label")).alias("label"), F.when(usable, F.col("v")).alias("v")), "classes-rows")
+    rows = materialize(rows.select("id", F.when(usable, row_key(F.col("label"), F.col("v"))).alias("key"), F.when(usable, F.col("label")).alias("label"), F.when(usable, F.col("v")).cast(stored).alias("v")), "classes-rows")
     nothing = rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     sizes = rows.where("key IS NOT NULL").groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     if sizes is None:
@@ -220,24 +227,23 @@ def classes(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", la
     ids = valid.select("key", "id").distinct().groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"))
     entries = valid.groupBy("key").agg(F.first("label").alias("label"), F.first("v").alias("v")).join(ids, "key")
     entries = materialize(entries, "classes-entries")
-    n = entries.count()
+    most = entries.groupBy("label").count().agg(F.max("count")).first()[0]
     sample = entries.select("v").orderBy(F.xxhash64("key"), "key").limit(fit_rows).toArrow()
-    depth = max(0, (min(max_cells, -(-n // cell_rows)) - 1).bit_length())
-    model = fit(matrix(sample["v"]), cosine, blocks, depth)
+    depth = max(0, (min(max_cells, -(-most // cell_rows)) - 1).bit_length())
+    model = fit(matrix(sample["v"]).astype(np.float64), cosine, blocks, depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            r = model.rotated(matrix(b["v"]))
-            stored = pa.FixedSizeListArray.from_arrays(pa.array(r.ravel()), r.shape[1]).cast(pa.list_(pa.float32()))
+            r = model.rotated(matrix(b["v"]).astype(np.float64))
             for k, (start, end) in enumerate(model.parts):
-                row, cell, own = model.trees[k].visited(r[:, start:end].astype(np.float64), float(np.sqrt(model.budgets[k])))
-                taken = [c.take(pa.array(row)) for c in (b["key"], b["m"], b["label"], b["v"], stored)]
+                row, cell, own = model.trees[k].visited(r[:, start:end], float(np.sqrt(model.budgets[k])))
+                taken = [c.take(pa.array(row)) for c in (b["key"], b["m"], b["label"], b["v"])]
                 yield pa.RecordBatch.from_arrays([*taken, pa.array(np.full(len(row), k, np.int32)), pa.array(cell.astype(np.int32)), pa.array(own)], names)
 
-    names = ["key", "m", "label", "v", "r", "block", "cell", "home"]
-    placed = entries.select("key", "m", "label", "v").mapInArrow(place, "key bigint, m bigint, label string, v array<double>, r array<float>, block int, cell int, home boolean")
+    names = ["key", "m", "label", "v", "block", "cell", "home"]
+    placed = entries.select("key", "m", "label", "v").mapInArrow(place, f"key bigint, m bigint, label string, v {stored}, block int, cell int, home boolean")
     by = ["label", "block", "cell"]
     tiles = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by, F.ceil(F.col("n") / tile_rows).cast("int").alias("tiles"))
     tiles = materialize(tiles, "classes-tiles")
@@ -245,13 +251,14 @@ def classes(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", la
     placed = placed.join(F.broadcast(tiles) if small else tiles, by)
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    grouped = placed.select("key", "m", "v", "r", "home", "tile", *by, F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
+    grouped = placed.select("key", "m", "v", "home", "tile", *by, F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"))
 
     def joined(t: pa.Table) -> pa.Table:
-        x, r, key, m = matrix(t["v"]), matrix(t["r"]), t["key"].to_numpy(), t["m"].to_numpy()
+        x, key, m = matrix(t["v"]).astype(np.float64), t["key"].to_numpy(), t["m"].to_numpy()
+        r = model.rotated(x)
         one = lambda c: int(t[c][0].as_py())
         degree, forest = np.zeros(len(key), np.int64), Forest(len(key))
-        for i, j in links_in(x, r, key, t["home"].to_numpy(), t["tile"].to_numpy(), (one("t1"), one("t2")), one("block"), model, cosine):
+        for i, j in links_in(x, r, t["home"].to_numpy(), t["tile"].to_numpy(), (one("t1"), one("t2")), one("block"), model, cosine):
             np.add.at(degree, i, m[j])
             np.add.at(degree, j, m[i])
             forest.join(i, j)
