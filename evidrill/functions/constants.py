@@ -28,28 +28,67 @@ ENGAGEMENT_WEIGHTS = {
     "youtube": {"likes": 1.0, "comments": 3.0, "shares": 4.0, "saves": 1.0},
 }
 
-# Minimums of the sampling contracts; targets have a lower and an upper bound.
+# Minimums of the sampling contracts; targets have a lower and an upper bound.
 CONTRACTS = {
     "quick": {
-        "query_target": (3, 5), "observed_result_target": (20, 40), "unique_signal_target": (8, 15), "detail_open_target": (4, 8),
-        "opportunity_target": (1, 3), "per_query_observed_target": 7, "atomic_read_reserve": 10, "counter_signal_min": 2,
-        "repeat_snapshot_min": 1, "layer_query_min": 1, "layer_observed_min": 4, "layer_unique_signal_min": 2,
-        "layer_relevant_signal_min": 1, "layer_direct_signal_min": 0, "relevant_unique_signal_min": 4, "layer_detail_min": 0,
-        "subject_bridge_direct_min": 0, "relevance_review_coverage_min": 0.0,
+        "query_target": (3, 5),
+        "observed_result_target": (20, 40),
+        "per_query_observed_target": 7,
+        "atomic_read_reserve": 10,
+        "unique_signal_target": (8, 15),
+        "detail_open_target": (4, 8),
+        "counter_signal_min": 2,
+        "opportunity_target": (1, 3),
+        "repeat_snapshot_min": 1,
+        "layer_query_min": 1,
+        "layer_observed_min": 4,
+        "layer_unique_signal_min": 2,
+        "layer_relevant_signal_min": 1,
+        "layer_direct_signal_min": 0,
+        "relevant_unique_signal_min": 4,
+        "layer_detail_min": 0,
+        "subject_bridge_direct_min": 0,
+        "relevance_review_coverage_min": 0.0,
     },
     "standard": {
-        "query_target": (3, 9), "observed_result_target": (60, 100), "unique_signal_target": (30, 50), "detail_open_target": (12, 18),
-        "opportunity_target": (3, 5), "per_query_observed_target": 10, "atomic_read_reserve": 20, "counter_signal_min": 3,
-        "repeat_snapshot_min": 1, "layer_query_min": 1, "layer_observed_min": 8, "layer_unique_signal_min": 4,
-        "layer_relevant_signal_min": 4, "layer_direct_signal_min": 2, "relevant_unique_signal_min": 18, "layer_detail_min": 2,
-        "subject_bridge_direct_min": 2, "relevance_review_coverage_min": 0.8,
+        "query_target": (3, 9),
+        "observed_result_target": (60, 100),
+        "per_query_observed_target": 10,
+        "atomic_read_reserve": 20,
+        "unique_signal_target": (30, 50),
+        "detail_open_target": (12, 18),
+        "counter_signal_min": 3,
+        "opportunity_target": (3, 5),
+        "repeat_snapshot_min": 1,
+        "layer_query_min": 1,
+        "layer_observed_min": 8,
+        "layer_unique_signal_min": 4,
+        "layer_relevant_signal_min": 4,
+        "layer_direct_signal_min": 2,
+        "relevant_unique_signal_min": 18,
+        "layer_detail_min": 2,
+        "subject_bridge_direct_min": 2,
+        "relevance_review_coverage_min": 0.8,
     },
     "deep": {
-        "query_target": (9, 15), "observed_result_target": (100, 300), "unique_signal_target": (80, 200), "detail_open_target": (20, 40),
-        "opportunity_target": (5, 8), "per_query_observed_target": 12, "atomic_read_reserve": 25, "counter_signal_min": 8,
-        "repeat_snapshot_min": 2, "layer_query_min": 3, "layer_observed_min": 15, "layer_unique_signal_min": 8,
-        "layer_relevant_signal_min": 8, "layer_direct_signal_min": 3, "relevant_unique_signal_min": 48, "layer_detail_min": 3,
-        "subject_bridge_direct_min": 3, "relevance_review_coverage_min": 0.9,
+        "query_target": (9, 15),
+        "observed_result_target": (100, 300),
+        "per_query_observed_target": 12,
+        "atomic_read_reserve": 25,
+        "unique_signal_target": (80, 200),
+        "detail_open_target": (20, 40),
+        "counter_signal_min": 8,
+        "opportunity_target": (5, 8),
+        "repeat_snapshot_min": 2,
+        "layer_query_min": 3,
+        "layer_observed_min": 15,
+        "layer_unique_signal_min": 8,
+        "layer_relevant_signal_min": 8,
+        "layer_direct_signal_min": 3,
+        "relevant_unique_signal_min": 48,
+        "layer_detail_min": 3,
+        "subject_bridge_direct_min": 3,
+        "relevance_review_coverage_min": 0.9,
     },
 }
 

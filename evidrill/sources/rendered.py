@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+# How rendered pages look: section rules, addresses of posts, counts.
 _RULE = r"(?m)^---\s*$"
 _VIDEO = r"(?i)https://(?:www\.)?tiktok\.com/@([A-Za-z0-9._-]+)/(video|photo)/(\d+)"
 _X = r"(?i)https://(?:www\.)?x\.com/([A-Za-z0-9_]+)/status/(\d+)"

@@ -19,6 +19,9 @@ from .staging import staged
 HARD_STOPS = ("captcha", "rate_limit", "login_expired", "permission_prompt", "abnormal_redirect", "content_mismatch")
 UNAVAILABLE_STOPS = ("timeout", "no_visible_posts", "details_unavailable", "surface_unreadable", "controller_connection_failed", "verified_zero_results")
 
+# How a page says that its post isn't there any more.
+GONE = r"页面无法显示|页面已被移除|link may be broken|page may have been removed|content isn't available|content is not available"
+
 # What has to be checked and true on each surface.
 CHECKS = {
     "hashtag": ("hashtag_identity", "canonical_post_links", "public_fields_only", "no_account_search_proxy", "no_personalized_explore_feed", "no_write_actions", "no_credential_export"),
@@ -263,7 +266,7 @@ def card_details(rows: DataFrame) -> DataFrame:
     asked, seen = A.facebook_post(F.col("requested_url")), A.facebook_post(F.col("canonical_url"))
     said = lambda *names: F.coalesce(S.first(*[A.visible_text(F.col(n)) for n in names]), F.lit(""))
     d = rows.withColumns({"asked": asked, "seen": seen, "body": said("description", "visible_text", "og_title"), "label": said("observed_time_label", "card_time_label")})
-    gone = F.lower("body").rlike(r"页面无法显示|页面已被移除|link may be broken|page may have been removed|content isn't available|content is not available")
+    gone = F.lower("body").rlike(GONE)
     d = d.where((F.col("asked.content_id") == F.col("seen.content_id")) & (F.col("body") != "") & (F.col("label") != "") & ~gone)
     shown = F.filter(F.transform("comments", lambda x: F.struct(A.visible_text(x["author_name"]).alias("author_name"), A.visible_text(x["text"]).alias("text"), x["top_level_visible"].alias("top"))), lambda x: x["top"] & (x["text"] != ""))
     key = lambda x: F.struct(F.lower(x["author_name"]), x["text"])
