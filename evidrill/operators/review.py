@@ -77,31 +77,42 @@ def with_comment_review(signals: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def normal_text(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " ")))
+    """Runs of white space as one space, lower case letter by letter, whatever stands beside a letter."""
+    return F.lower(F.translate(F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " ")), "Σİ", "σi"))
 
 
 #: How many counts stand for the frequencies of grams; at most as many rows are broadcast.
 GRAM_BUCKETS = 1 << 16
 
+#: A row is compared with all excerpts of its key, up to so many; that costs about as much as cutting it into runs.
+FEW_EXCERPTS = 256
+
 
 def _grams(text: Column, n: int) -> Column:
-    """Hashes of all runs of n characters, in order."""
-    chars = F.split(text, "")
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.xxhash64(F.slice(chars, i, n)))).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of all runs of n characters, in order; the text is gone through once."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1), lambda g: F.xxhash64(g))
 
 
 def verbatim(excerpts: DataFrame, rows: DataFrame, key: list[str], least: int = 12) -> DataFrame:
     """Excerpts (text) that equal a row (row_text) of the same key, or, from `least` characters on, stand within one; both
     without regard to case and runs of white space.
 
-    Short excerpts are joined by equality. Of a long one the rarest run of `least` characters is looked up among those
-    of the rows, and only rows that hold it are compared. How rare a run is, is read from counts over buckets of
-    hashes, GRAM_BUCKETS in number whatever the texts; rows are cut into runs where they are, and only the runs in
+    Keys of at most FEW_EXCERPTS different excerpts have them in a list, which each row of the key is held against.
+    For the other keys, short excerpts are joined by equality. Of a long one the rarest run of `least` characters is looked
+    up among those of the rows, and only rows that hold it are compared. How rare a run is, is read from counts over buckets
+    of hashes, GRAM_BUCKETS in number whatever the texts; rows are cut into runs where they are, and only the runs in
     buckets that some excerpt asks for are shuffled. Excerpts with a null in the key, or a null text, have no row."""
     e = excerpts.withColumn("_e", normal_text(F.col("text")))
-    asked = e.select(*key, "_e").where(F.col("_e").isNotNull()).distinct()
-    r = rows.select(*key, normal_text(F.col("row_text")).alias("_r"))
+    all_asked = e.select(*key, "_e").where(F.col("_e").isNotNull()).distinct()
+    all_rows = rows.select(*key, normal_text(F.col("row_text")).alias("_r"))
+    size = all_asked.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    lists = all_asked.join(size.where(F.col("_n") <= FEW_EXCERPTS), key).groupBy(*key).agg(
+        F.collect_list(F.struct("_e", F.octet_length("_e").alias("n"), (F.length("_e") >= least).alias("long"))).alias("_few"))
+    holds = lambda x: (x["n"] <= F.octet_length("_r")) & ((F.col("_r") == x["_e"]) | (x["long"] & F.col("_r").contains(x["_e"])))
+    listed = all_rows.join(lists, key).select(*key, F.explode(F.filter("_few", holds)["_e"]).alias("_e")).distinct()
+
+    many = size.where(F.col("_n") > FEW_EXCERPTS).select(*key)
+    asked, r = all_asked.join(many, key, "left_semi"), all_rows.join(many, key, "left_semi")
     short = asked.where(F.length("_e") < least)
     equal = short.join(r.withColumnRenamed("_r", "_e"), [*key, "_e"], "left_semi")
     bucket = F.pmod("gram", F.lit(GRAM_BUCKETS)).cast("int")
@@ -114,7 +125,7 @@ def verbatim(excerpts: DataFrame, rows: DataFrame, key: list[str], least: int =
     wanted = F.broadcast(rarest.select("bucket").distinct())
     candidates = of_rows.join(wanted, "bucket", "left_semi").select(*key, "gram", "_r").distinct()
     inside = rarest.join(candidates, [*key, "gram"]).where(F.col("_r").contains(F.col("_e"))).select(*key, "_e").distinct()
-    return e.join(equal.unionByName(inside), [*key, "_e"], "left_semi").select(*excerpts.columns)
+    return e.join(listed.unionByName(equal).unionByName(inside), [*key, "_e"], "left_semi").select(*excerpts.columns)
 
 
 def cluster_plan(signals: DataFrame, clusters: DataFrame) -> DataFrame:

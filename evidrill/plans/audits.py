@@ -13,11 +13,13 @@ from .scores import _FIVE, DIMENSIONS_SQL, as_of
 
 
 def signal_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quote of each document, in capitals half of the times, held against the lines of one of its two channels."""
+    """A quote of each document, in capitals half of the times (where those stand for the same small letters; those of ß
+    don't), held against the lines of one of its two channels."""
     d = views.table(spark, sf_dir, "documents")
     k = F.col("doc_id")
     said = F.substring("text", 11, F.lit(0) + (8 + k % 40).cast("int"))
-    e = d.select(k.alias("signal_key"), F.when(k % 3 == 0, "ocr").otherwise("transcript").alias("channel"), F.when(k % 2 == 0, F.upper(said)).otherwise(said).alias("text"))
+    loud = (k % 2 == 0) & (review.normal_text(F.upper(said)) == review.normal_text(said))
+    e = d.select(k.alias("signal_key"), F.when(k % 3 == 0, "ocr").otherwise("transcript").alias("channel"), F.when(loud, F.upper(said)).otherwise(said).alias("text"))
     rows = d.select(k.alias("signal_key"), F.posexplode(F.split("text", "\n")).alias("at", "row_text")).select("signal_key", F.when(F.col("at") % 2 == 1, "ocr").otherwise("transcript").alias("channel"), "row_text")
     return review.verbatim(e, rows, ["signal_key", "channel"]).select("signal_key", "channel")
 

@@ -1,12 +1,15 @@
 """Merging, excerpts, candidates, quotas, captures and the ledger against plain versions, and with hot keys."""
 
 import random
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from evidrill.functions.constants import RELEVANCE_RANK
 from evidrill.operators import collection, dedup, review
+from evidrill.plans import audits
 from evidrill.sources import views
 from evidrill.streaming import chunks, ledger
 
@@ -111,6 +114,31 @@ def test_excerpts_match_a_plain_version(spark):
     assert sorted(x.id for x in review.verbatim(e, r, ["signal_key", "channel"]).collect()) == want
 
 
+def test_excerpts_beyond_a_list_are_looked_up_by_runs(spark, monkeypatch):
+    monkeypatch.setattr(review, "FEW_EXCERPTS", 2)
+    test_excerpts_match_a_plain_version(spark)
+
+
+def test_long_rows_are_cut_into_runs_once(spark, monkeypatch):
+    """A row of 200,000 characters took time by the square of its length."""
+    monkeypatch.setattr(review, "FEW_EXCERPTS", 0)
+    text = " ".join(f"word{i}" for i in range(20_000))
+    r = spark.createDataFrame([("g", text)], "g string, row_text string")
+    e = spark.createDataFrame([("g", text[5000:5040]), ("g", "word9999 word2"), ("g", "Word19999")], "g string, text string")
+    began = time.perf_counter()
+    assert [x.text for x in review.verbatim(e, r, ["g"]).collect()] == [text[5000:5040]]
+    assert time.perf_counter() - began < 60
+
+
+def test_quotes_of_letters_without_capitals_of_their_own(spark, tmp_path):
+    docs = [(2, "0123456789Straße und Weg\nx"), (4, "0123456789ΛΌΓΟΣ ΕΔΏ\nx"), (6, "0123456789λόγος εδώ πέρα\nx"), (44, "0123456789Straßen und Wege\nx")]
+    spark.createDataFrame([(i, t, "de", "web", len(t)) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(x) for x in audits.signal_excerpts(spark, str(tmp_path)).select("signal_key").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"SELECT signal_key FROM ({audits.SQL['signal_excerpts']})").fetchall())
+
+
 def test_excerpts_are_joined_by_runs(spark):
     r = spark.createDataFrame([("g", "a text that is long enough")], "g string, row_text string")
     plan = review.verbatim(r.withColumnRenamed("row_text", "text"), r, ["g"])._jdf.queryExecution().optimizedPlan().toString()
