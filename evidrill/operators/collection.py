@@ -5,6 +5,8 @@ Inputs are query runs (snapshot_id, query_id, query_term, query_layer, mode, sto
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +29,11 @@ def contract(mode: Column, name: str, bound: int | None = None) -> Column:
 
 
 def unique_signals(cards: DataFrame) -> DataFrame:
-    """One row per (snapshot, key): what any of its cards says. Later counts need no distinct."""
+    """One row per (snapshot, key): what any of its cards says, and how many it has in each layer. Later counts need no
+    distinct. Only numbers and flags are kept, so that it is a hash aggregate."""
     return cards.groupBy("snapshot_id", "dedupe_key").agg(
         F.count(F.lit(1)).alias("cards"),
-        F.collect_set("query_layer").alias("layers"),
+        *[F.count_if(F.col("query_layer") == layer).alias(f"{layer}_cards") for layer in QUERY_LAYERS],
         F.max(S.lookup(F.col("semantic_relevance"), RELEVANCE_RANK, 0)).alias("relevance"),
         F.bool_or("detail_captured").alias("detail"),
         F.bool_or(F.col("source_type").isin("direct_post", "exported_item")).alias("direct_source"),
@@ -38,47 +41,65 @@ def unique_signals(cards: DataFrame) -> DataFrame:
     )
 
 
-def layer_stats(runs: DataFrame, cards: DataFrame) -> DataFrame:
-    """Three rows for each snapshot of runs, with zeros where a layer has nothing."""
-    layers = runs.select("snapshot_id").distinct().select("snapshot_id", F.explode(F.array(*map(F.lit, QUERY_LAYERS))).alias("query_layer"))
-    queries = runs.groupBy("snapshot_id", "query_layer").agg(F.count(F.lit(1)).alias("query_count"))
-    observed = cards.groupBy("snapshot_id", "query_layer").agg(F.count(F.lit(1)).alias("observed_result_count"))
-    found = unique_signals(cards).withColumn("query_layer", F.explode("layers")).groupBy("snapshot_id", "query_layer").agg(
-        F.count(F.lit(1)).alias("unique_signal_count"),
-        F.count_if(_relevant()).alias("relevant_signal_count"),
-        F.count_if(_direct()).alias("direct_signal_count"),
-        F.count_if("detail").alias("detail_open_count"),
-        F.count_if(_direct() & (F.col("detail") | F.col("direct_source"))).alias("direct_relevance_count"),
-    )
-    key = ["snapshot_id", "query_layer"]
-    return layers.join(queries, key, "left").join(observed, key, "left").join(found, key, "left").na.fill(0)
+#: What is counted of a layer.
+_LAYER_COUNTS = ("query_count", "observed_result_count", "unique_signal_count", "relevant_signal_count", "direct_signal_count", "detail_open_count", "direct_relevance_count")
 
 
-def ledger_counts(runs: DataFrame, cards: DataFrame) -> DataFrame:
-    """Per snapshot: counts over raw cards and over distinct keys."""
+def _snapshots(runs: DataFrame, cards: DataFrame) -> DataFrame:
+    """Per snapshot of runs: counts over raw cards and over distinct keys, of the whole and of each layer, in one row, so that
+    what is asked of them needs neither the cards again nor a join."""
     r = runs.groupBy("snapshot_id").agg(
-        F.count(F.lit(1)).alias("query_count"), F.min_by("mode", "query_id").alias("mode"), F.min_by("snapshot_stop", "query_id").alias("stop_reason")
-    )
-    u = unique_signals(cards).groupBy("snapshot_id").agg(
-        F.sum("cards").alias("observed_result_count"), F.count(F.lit(1)).alias("unique_sample_count"), F.count_if("detail").alias("detail_open_count"),
-        F.count_if("counter").alias("counter_signal_count"), F.count_if(_relevant()).alias("relevant_unique_count"), F.count_if(F.col("relevance") > 0).alias("reviewed_count"),
+        F.count(F.lit(1)).alias("query_count"), F.min_by("mode", "query_id").alias("mode"), F.min_by("snapshot_stop", "query_id").alias("stop_reason"),
+        *[F.count_if(F.col("query_layer") == layer).alias(f"{layer}_query_count") for layer in QUERY_LAYERS],
     )
+    counts = {
+        "observed_result_count": F.sum("cards"), "unique_sample_count": F.count(F.lit(1)), "detail_open_count": F.count_if("detail"), "counter_signal_count": F.count_if("counter"),
+        "relevant_unique_count": F.count_if(_relevant()), "reviewed_count": F.count_if(F.col("relevance") > 0),
+    }
+    for layer in QUERY_LAYERS:
+        here = F.col(f"{layer}_cards") > 0
+        of_layer = {
+            "observed_result_count": F.sum(f"{layer}_cards"), "unique_signal_count": F.count_if(here), "relevant_signal_count": F.count_if(here & _relevant()), "direct_signal_count": F.count_if(here & _direct()),
+            "detail_open_count": F.count_if(here & F.col("detail")), "direct_relevance_count": F.count_if(here & _direct() & (F.col("detail") | F.col("direct_source"))),
+        }
+        counts |= {f"{layer}_{k}": v for k, v in of_layer.items()}
+    u = unique_signals(cards).groupBy("snapshot_id").agg(*[v.alias(k) for k, v in counts.items()])
     c = r.join(u, "snapshot_id", "left").na.fill(0)
     return c.withColumn("duplicate_count", F.col("observed_result_count") - F.col("unique_sample_count"))
 
 
+def _layer(layer: str) -> Column:
+    """A layer's counts in a row of `_snapshots`."""
+    return F.struct(F.lit(layer).alias("query_layer"), *[F.col(f"{layer}_{k}").alias(k) for k in _LAYER_COUNTS])
+
+
+def _by_layer(snapshots: DataFrame, *more: str) -> DataFrame:
+    return snapshots.select("snapshot_id", *more, F.inline(F.array(*map(_layer, QUERY_LAYERS))))
+
+
+def layer_stats(runs: DataFrame, cards: DataFrame) -> DataFrame:
+    """Three rows for each snapshot of runs, with zeros where a layer has nothing."""
+    return _by_layer(_snapshots(runs, cards))
+
+
+def layer_stats_with_mode(runs: DataFrame, cards: DataFrame) -> DataFrame:
+    """The same with the mode of the snapshot."""
+    return _by_layer(_snapshots(runs, cards), "mode")
+
+
+def ledger_counts(runs: DataFrame, cards: DataFrame) -> DataFrame:
+    """Per snapshot: counts over raw cards and over distinct keys."""
+    return _snapshots(runs, cards).drop(*[f"{layer}_{k}" for layer in QUERY_LAYERS for k in _LAYER_COUNTS])
+
+
 def collection_status(runs: DataFrame, cards: DataFrame) -> DataFrame:
     """Per snapshot: counts, the 14 contract checks as a map, stop reason and status."""
     m = F.col("mode")
 
-    def per_layer(measure: str, minimum: str) -> Column:
-        return F.min(measure).alias("least_" + measure)
-
-    stats = layer_stats(runs, cards).groupBy("snapshot_id").agg(
-        *[per_layer(k, "") for k in ("query_count", "observed_result_count", "unique_signal_count", "relevant_signal_count", "direct_signal_count", "detail_open_count")],
-        F.max(F.when(F.col("query_layer") == "subject_bridge", F.col("direct_relevance_count"))).alias("bridge_direct"),
-    )
-    c = ledger_counts(runs, cards).join(stats, "snapshot_id")
+    c = _snapshots(runs, cards)
+    for k in _LAYER_COUNTS[:-1]:
+        c = c.withColumn("least_" + k, F.least(*[f"{layer}_{k}" for layer in QUERY_LAYERS]))
+    c = c.withColumn("bridge_direct", F.col("subject_bridge_direct_relevance_count")).drop(*[f"{layer}_{k}" for layer in QUERY_LAYERS for k in _LAYER_COUNTS])
     checks = {
         "queries": F.col("query_count") >= contract(m, "query_target", 0),
         "observed_results": F.col("observed_result_count") >= contract(m, "observed_result_target", 0),
@@ -133,23 +154,25 @@ def query_yields(runs: DataFrame, cards: DataFrame) -> DataFrame:
     })
 
 
-def layer_deficits(runs: DataFrame, cards: DataFrame) -> DataFrame:
-    """Per (snapshot, layer): what is missing to the contract's minimums."""
-    mode = runs.groupBy("snapshot_id").agg(F.min_by("mode", "query_id").alias("mode"))
-    s = layer_stats(runs, cards).join(mode, "snapshot_id")
+def _deficits(of: Callable[[str], Column], bridge: Column) -> dict[str, Column]:
+    """What a layer lacks to the contract's minimums; `of` gives its counts."""
     m = F.col("mode")
 
     def lack(minimum: str, measure: str) -> Column:
-        return F.greatest(F.lit(0), contract(m, minimum) - F.col(measure)).cast("bigint")
-
-    bridge = F.col("query_layer") == "subject_bridge"
-    d = s.select(
-        "snapshot_id", "query_layer", lack("layer_observed_min", "observed_result_count").alias("observed"),
-        lack("layer_unique_signal_min", "unique_signal_count").alias("unique"), lack("layer_relevant_signal_min", "relevant_signal_count").alias("relevant"),
-        lack("layer_direct_signal_min", "direct_signal_count").alias("direct_relevance"), lack("layer_detail_min", "detail_open_count").alias("details"),
-        F.when(bridge, lack("subject_bridge_direct_min", "direct_relevance_count")).otherwise(F.lit(0)).cast("bigint").alias("direct"),
-    )
-    return d.withColumn("recommended", F.greatest("observed", "unique", "relevant", "direct_relevance", "details", "direct") > 0)
+        return F.greatest(F.lit(0), contract(m, minimum) - of(measure)).cast("bigint")
+
+    return {
+        "observed": lack("layer_observed_min", "observed_result_count"), "unique": lack("layer_unique_signal_min", "unique_signal_count"), "relevant": lack("layer_relevant_signal_min", "relevant_signal_count"),
+        "direct_relevance": lack("layer_direct_signal_min", "direct_signal_count"), "details": lack("layer_detail_min", "detail_open_count"),
+        "direct": F.when(bridge, lack("subject_bridge_direct_min", "direct_relevance_count")).otherwise(F.lit(0)).cast("bigint"),
+    }
+
+
+def layer_deficits(runs: DataFrame, cards: DataFrame) -> DataFrame:
+    """Per (snapshot, layer): what is missing to the contract's minimums."""
+    lacks = _deficits(F.col, F.col("query_layer") == "subject_bridge")
+    d = layer_stats_with_mode(runs, cards).select("snapshot_id", "query_layer", *[v.alias(k) for k, v in lacks.items()])
+    return d.withColumn("recommended", F.greatest(*lacks) > 0)
 
 
 def recovery_needs(runs: DataFrame, cards: DataFrame) -> DataFrame:
@@ -159,10 +182,13 @@ def recovery_needs(runs: DataFrame, cards: DataFrame) -> DataFrame:
     for in the bridge first. Where volume is all, the layers of the queries that yielded most, in that order, stand
     instead."""
     m = F.col("mode")
-    layer = F.struct("query_layer", "recommended", F.col("observed_result_count").alias("observed"), F.col("unique_signal_count").alias("unique"), F.col("relevant_signal_count").alias("relevant"), F.col("detail_open_count").alias("details"))
-    own = layer_stats(runs, cards).join(layer_deficits(runs, cards).select("snapshot_id", "query_layer", "recommended"), ["snapshot_id", "query_layer"])
-    own = own.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(layer)).alias("layers"))  # three of each snapshot
-    c = ledger_counts(runs, cards).join(own, "snapshot_id")
+
+    def layer(name: str) -> Column:
+        of = lambda k: F.col(f"{name}_{k}")
+        lacking = F.greatest(*_deficits(of, F.lit(name == "subject_bridge")).values()) > 0
+        return F.struct(F.lit(name).alias("query_layer"), lacking.alias("recommended"), of("observed_result_count").alias("observed"), of("unique_signal_count").alias("unique"), of("relevant_signal_count").alias("relevant"), of("detail_open_count").alias("details"))
+
+    c = _snapshots(runs, cards).withColumn("layers", F.array(*map(layer, sorted(QUERY_LAYERS))))
     lacks = {
         "observed": contract(m, "observed_result_target", 0) - F.col("observed_result_count"), "unique": contract(m, "unique_signal_target", 0) - F.col("unique_sample_count"),
         "relevant": contract(m, "relevant_unique_signal_min") - F.col("relevant_unique_count"), "details": contract(m, "detail_open_target", 0) - F.col("detail_open_count"),

@@ -95,8 +95,7 @@ def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = views.runs(spark, sf_dir)
-    return collection.layer_stats(runs, views.cards(spark, sf_dir)).join(runs.groupBy("snapshot_id").agg(F.max("mode").alias("mode")), "snapshot_id")
+    return collection.layer_stats_with_mode(views.runs(spark, sf_dir), views.cards(spark, sf_dir))
 
 
 def gap_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

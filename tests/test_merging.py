@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidrill.functions.constants import RELEVANCE_RANK
-from evidrill.operators import collection, dedup, review
+from evidrill.operators import collection, dedup, enrich, review
 from evidrill.plans import audits
 from evidrill.sources import views
 from evidrill.streaming import chunks, ledger
@@ -330,3 +330,39 @@ def test_analyzer_spellings(spark):
     assert (a.title, a.duration_seconds, a.uploader, a.upload_date, a.provenance, a.status, a.content_format) == ("T", 9.0, "c", "d", "asr", "partial", "video")
     assert (b.segments[0].text, b.segments[0].start_seconds, b.segments[0].end_seconds, b.ocr_rows[0].timestamp_seconds, b.status, b.content_format) == ("x", 0.0, 4.0, 61.0, "complete", "unknown")
     assert m["c"].status == m["d"].status == "unavailable"
+
+
+def test_cards_come_in_more_parts_as_they_grow(spark, monkeypatch):
+    """All rows went to a fixed number of tasks, each of which joined, grouped and sorted its share."""
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, collection.query_yields(views.runs(spark, sf), views.cards(spark, sf)).collect()))
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 500)
+    y = collection.query_yields(views.runs(spark, sf), views.cards(spark, sf))
+    assert y.rdd.getNumPartitions() >= spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500
+    assert sorted(map(tuple, y.collect())) == want
+
+
+def test_ledger_needs_cards_once(spark):
+    """Counts of layers, of the whole and of the contract come from one pass over the cards and one over the runs."""
+    sf = "/root/testdata/sf0.001"
+    plan = collection.collection_status(views.runs(spark, sf), views.cards(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 3 and "collect_set" not in plan
+
+
+def test_gap_tasks_read_signals_once(spark):
+    status = spark.createDataFrame([("s", "met", []), ("t", "met", [])], "snapshot_id string, contract_status string, failed_checks array<string>")
+    layers = spark.createDataFrame([], "snapshot_id string, mode string, query_layer string, detail_open_count bigint, direct_relevance_count bigint")
+    indexed = spark.createDataFrame([("s", "1", ["a", "b"]), ("s", "2", ["a"]), ("t", "3", []), ("t", "4", None), ("u", "5", ["b"]), ("u", "6", None)], "snapshot_id string, signal_id string, missing_fields array<string>")
+    g = enrich.gap_tasks(status, layers, indexed)
+    assert sorted(map(tuple, g.collect())) == [("s", 1, "a", 2, "high"), ("s", 2, "b", 1, "medium"), ("u", 1, "b", 1, "medium")]
+    assert g._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_union_keeps_rows_whole_up_to_the_group(spark):
+    """Each element went through the shuffle for itself."""
+    rows = [("k", 2, "b", ["x", "y", None], ["p"]), ("k", 1, "a", ["y"], None), ("k", 1, "a", ["z", "y"], []), ("k", 3, "c", ["x", "w", "w"], ["q", "p"]), ("l", 1, "a", ["r", "r"], None), ("m", 1, "a", None, [])]
+    d = spark.createDataFrame(rows, "key string, o int, id string, u array<string>, v array<string>")
+    got = dedup.ordered_union(d, ["key"], ["o", "id"], ["u", "v"])
+    assert sorted(map(tuple, got.collect())) == [("k", ["y", "z", "x", None, "w"], ["p", "q"]), ("l", ["r"], [])]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
