@@ -191,8 +191,11 @@ def gap_tasks(status: DataFrame, layers: DataFrame, indexed: DataFrame) -> DataF
     shallow = row(layers.where(F.col("detail_open_count") < contract(m, "layer_detail_min")), 2, place, F.concat(F.lit("collection.layer."), "query_layer", F.lit(".detail_opens")), none, high)
     bridge = layers.where((F.col("query_layer") == "subject_bridge") & (F.col("direct_relevance_count") < contract(m, "subject_bridge_direct_min")))
     bridge = row(bridge, 3, none, F.lit("collection.layer.subject_bridge.direct_relevance"), none, high)
-    total = indexed.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("signals"))
-    g = indexed.select("snapshot_id", F.explode("missing_fields").alias("field")).groupBy("snapshot_id", "field").agg(F.count(F.lit(1)).alias("affected")).join(total, "snapshot_id")
+    # a null beside the fields counts the signals themselves, in the same pass
+    each = F.concat(F.coalesce("missing_fields", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))
+    g = indexed.select("snapshot_id", F.explode(each).alias("field")).groupBy("snapshot_id", "field").agg(F.count(F.lit(1)).alias("affected"))
+    g = g.groupBy("snapshot_id").agg(F.max(F.when(F.col("field").isNull(), F.col("affected"))).alias("signals"), F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "affected"))).alias("fields"))
+    g = g.select("snapshot_id", "signals", F.inline("fields"))
     fields = row(g, 4, -F.col("affected"), F.col("field"), F.col("affected"), F.when(F.col("affected") == F.col("signals"), "high").otherwise("medium"))
     order = Window.partitionBy("snapshot_id").orderBy("kind", "at", "field")
     every = failed.unionByName(shallow).unionByName(bridge).unionByName(fields)
