@@ -31,18 +31,20 @@ _REVIEWED = ("evidence_role", "topic_key")
 
 def ordered_union(rows: DataFrame, key: list[str], order: list[str], arrays: list[str]) -> DataFrame:
     """Per key, for each array column its different elements over all rows, in the order in which they are first seen.
-    Each element keeps its least place, which is combined before the shuffle. Null arrays are empty; keys without any
-    element have no row."""
-    place = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
-
-    def marked(c: str, kind: int) -> Column:
-        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), x.cast("string").alias("x")))
-
-    parts = [marked(c, k) for k, c in enumerate(arrays)]
-    each = rows.select(*key, F.struct(*place).alias("_row"), F.explode(F.concat(*parts)).alias("e"))
-    least = each.groupBy(*key, "e.kind", "e.x").agg(F.min(F.struct("_row", "e.at")).alias("place"))
-    found = [F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("place", "x")))), lambda e: e["x"]).alias(name) for k, name in enumerate(arrays)]
-    return least.groupBy(*key).agg(*found)
+    Rows of a key that say the same are one, with the least place, before the shuffle; a key's task then holds its different
+    rows. Null arrays are empty; keys without any element have no row."""
+    names = [f"_a{i}" for i in range(len(arrays))]
+    whole = [F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.cast("string")).alias(n) for c, n in zip(arrays, names)]
+    each = rows.select(*key, F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]).alias("_row"), *whole).where(" OR ".join(f"size({n}) > 0" for n in names))
+    least = each.groupBy(*key, *names).agg(F.min("_row").alias("_row"))
+    g = least.groupBy(*key).agg(F.collect_list(F.struct("_row", *names)).alias("_rows"))
+
+    def union(name: str) -> Column:
+        placed = F.flatten(F.transform("_rows", lambda r: F.transform(r[name], lambda x, i: F.struct(r["_row"], i, x.alias("x")))))
+        seen = F.when(F.size("_rows") == 1, F.get("_rows", F.lit(0))[name]).otherwise(F.sort_array(placed)["x"])
+        return F.array_distinct(seen)
+
+    return g.select(*key, *[union(n).alias(c) for n, c in zip(names, arrays)])
 
 
 def merge_duplicates(signals: DataFrame) -> DataFrame:
