@@ -80,8 +80,20 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, RUNS, "orders")
 
 
+#: A task that joins or groups by a key without another shuffle gets about so many rows, whatever the size of the table.
+ROWS_PER_TASK = 1 << 19
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys in as many parts as it has rows for; as it is where the session's own number of parts is enough. The
+    count is that of the files' footers."""
+    parts = -(-df.count() // ROWS_PER_TASK)
+    return df if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *keys)
+
+
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, CARDS, "lineitem", "orders")
+    """Joined by the order and, for yields, grouped by it in the same tasks, so that these have to grow in number."""
+    return spark.sql(CARDS, lineitem=spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), orders=table(spark, sf_dir, "orders"))
 
 
 def as_sql(select: str) -> str:
