@@ -17,6 +17,7 @@ usable label every score is 0; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -256,8 +257,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         known.where("_label = 0").orderBy(F.xxhash64(id_col), id_col).limit(rows)
     )
     texts = docs.select(id_col, F.col(text).alias("_text")).join(F.broadcast(some), id_col)  # 2 x rows at most
-    picked = texts.groupBy(id_col).agg(F.min("_text").alias("_text"), F.max("_label").alias("_label")).orderBy(F.xxhash64(id_col), id_col).toArrow()
-    return train(picked["_text"].combine_chunks(), picked["_label"].to_numpy())
+    picked = texts.groupBy(id_col).agg(F.min("_text").alias("_text"), F.max("_label").cast("int").alias("_label"))
+    picked = picked.repartition(1).sortWithinPartitions(F.xxhash64(id_col), id_col).select("_text", "_label")
+    ship(docs.sparkSession)
+    found = picked.mapInArrow(_trained, "model binary").collect()
+    return pickle.loads(found[0].model) if found else train(pa.array([], pa.string()), np.zeros(0))
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all batches. It is trained in a task, as the driver hasn't the memory for the texts and their words."""
+    rows = list(batches)
+    if rows:
+        t = pa.Table.from_batches(rows)
+        model = train(t["_text"].cast(pa.string()).combine_chunks(), t["_label"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
 
 def _scores(batch: pa.RecordBatch, text: str, model: Model) -> np.ndarray:

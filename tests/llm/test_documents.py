@@ -430,6 +430,22 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
 
 
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    rows = toxic_rows(200)
+    d = table(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    hashed = {r.doc_id: r.h for r in d.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (hashed[r[0]], r[0]))
+    want = toxicity.train(pa.array([t for _, t, _ in order]), np.array([y for _, _, y in order]))
+
+    def here(*_):
+        raise AssertionError("trained in the driver")
+
+    monkeypatch.setattr(toxicity, "train", here)
+    model = toxicity.fit(d, labels, F.lit(True))
+    assert np.allclose(model.tables, want.tables, atol=1e-5) and np.allclose(model.out, want.out, atol=1e-5) and np.allclose(model.threshold, want.threshold, atol=1e-4)
+
+
 def samples(pattern):
     """Texts of a rule's pattern in which each of its alternatives, options and letters stands once."""
     from re import _parser
