@@ -20,10 +20,15 @@ def _struct(**parts: Column) -> Column:
 
 def instagram_post(url: Column, with_profile: bool = False) -> Column:
     """(kind, content_id, profile, url), or null where it isn't the address of a post or reel."""
-    u = F.substring_index(S.text(url), "?", 1)
-    profile, kind, cid = F.regexp_extract(u, INSTAGRAM, 1), F.lower(F.regexp_extract(u, INSTAGRAM, 2)), F.regexp_extract(u, INSTAGRAM, 3)
-    prefix = F.when(profile != "", F.concat(profile, F.lit("/"))).otherwise("") if with_profile else F.lit("")
-    return F.when(cid != "", _struct(kind=kind, content_id=cid, profile=profile, url=F.concat(F.lit("https://www.instagram.com/"), prefix, kind, F.lit("/"), cid, F.lit("/"))))
+    read = lambda u: _struct(profile=F.regexp_extract(u, INSTAGRAM, 1), kind=F.lower(F.regexp_extract(u, INSTAGRAM, 2)), content_id=F.regexp_extract(u, INSTAGRAM, 3))
+
+    def of(x: Column) -> Column:
+        prefix = F.when(x["profile"] != "", F.concat(x["profile"], F.lit("/"))).otherwise("") if with_profile else F.lit("")
+        address = F.concat(F.lit("https://www.instagram.com/"), prefix, x["kind"], F.lit("/"), x["content_id"], F.lit("/"))
+        return F.when(x["content_id"] != "", _struct(kind=x["kind"], content_id=x["content_id"], profile=x["profile"], url=address))
+
+    # lambdas see what was read once
+    return F.get(F.transform(F.transform(F.array(F.substring_index(S.text(url), "?", 1)), read), of), F.lit(0))
 
 
 def facebook_post(url: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .constants import ADAPTER_ALIASES, ENGAGEMENT_WEIGHTS, HEAT_WEIGHTS, PLATFORM_ALIASES, SOURCE_QUALITY
 
-_EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: White space as [\s\p{Z}] has it, letter by letter: trimming by letters costs a fraction of what a pattern does.
+_WHITE = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _NUMBER = r"^([0-9]+(?:\.[0-9]+)?)\s*(k|m|b|万|亿)?$"
 SUFFIXES = {"k": 1e3, "m": 1e6, "b": 1e9, "w": 1e4, "万": 1e4, "亿": 1e8, "": 1.0}
 
@@ -22,7 +23,7 @@ def lookup(key: Column, values: dict, default=None) -> Column:
 
 def text(c: Column) -> Column:
     """Trimmed of any white space; null becomes ''."""
-    return F.coalesce(F.regexp_replace(c.cast("string"), _EDGES, ""), F.lit(""))
+    return F.coalesce(F.btrim(c.cast("string"), F.lit(_WHITE)), F.lit(""))
 
 
 def first(*cols: Column) -> Column:

@@ -21,7 +21,7 @@ def _checks(kind: str, ok: Column) -> Column:
 def _orders(spark: SparkSession, sf_dir: str, row: Column) -> DataFrame:
     """A customer's orders as the rows of one capture, by their numbers."""
     o = views.table(spark, sf_dir, "orders")
-    g = o.groupBy(F.col("o_custkey").alias("capture_id")).agg(F.array_sort(F.collect_list(F.struct(_k().alias("k"), row.alias("x")))).alias("rows"))
+    g = o.groupBy(F.col("o_custkey").alias("capture_id")).agg(F.sort_array(F.collect_list(F.struct(_k().alias("k"), row.alias("x")))).alias("rows"))
     return g
 
 
@@ -121,7 +121,7 @@ def comment_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.table(spark, sf_dir, "conversations")
     k = F.col("conv_id")
     row = F.struct(F.concat(F.lit("u"), F.col("turn")).alias("author_name"), F.col("text").alias("text"), F.lit(True).alias("top_level_visible"))
-    g = t.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", row.alias("x"))))), lambda x: x["x"]).alias("comments"))
+    g = t.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", row.alias("x"))))), lambda x: x["x"]).alias("comments"))
     url = F.concat(F.lit("https://www.tiktok.com/@an.n/video/"), F.abs(k))
     raw = F.struct(url.alias("canonical_url"), F.abs(k).cast("string").alias("content_id"), F.when(k % 7 == 0, "@bob").otherwise("@An.N").alias("author_handle"), F.when(k % 11 == 0, "timeout").otherwise("").alias("stop_reason"),
                    _checks("comments", F.lit(True)).alias("checks"), F.col("comments"), F.when(k % 3 == 0, 0).otherwise(10).alias("visible_comment_entry_count"))
@@ -160,7 +160,7 @@ def page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def thread_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = views.table(spark, sf_dir, "orders")
     row = F.struct(_k().cast("string").alias("id"), F.concat(F.lit("text  "), F.col("o_orderpriority")).alias("text"), F.when(_k() % 9 == 0, "").otherwise("@ann").alias("author"), F.concat(_k() % 30, F.lit("K")).alias("likes"))
-    g = o.groupBy("o_custkey").agg(F.min("o_orderkey").cast("string").alias("target_id"), F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("x")))), lambda x: x["x"]).alias("rows"))
+    g = o.groupBy("o_custkey").agg(F.min("o_orderkey").cast("string").alias("target_id"), F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", row.alias("x")))), lambda x: x["x"]).alias("rows"))
     d = details.x_threads(g.select("target_id", F.to_json("rows").alias("raw")))
     return d.select("target_id", "title", "summary", "likes", F.size("representative_comments").alias("replies"))
 
@@ -179,7 +179,7 @@ def panel_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's turns as comments below a video and below a note, whose replies don't count."""
     t = views.table(spark, sf_dir, "conversations")
     row = F.struct(F.col("role").alias("author"), F.col("text").alias("text"), F.lit("1.2万").alias("likes"), (F.col("turn") % 2 == 1).alias("is_reply"))
-    g = t.groupBy(F.col("conv_id").alias("target_id")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("x")))), lambda x: x["x"])).alias("raw"))
+    g = t.groupBy(F.col("conv_id").alias("target_id")).agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("turn", row.alias("x")))), lambda x: x["x"])).alias("raw"))
     v, n = details.youtube_comments(g), details.xiaohongshu_comments(g).withColumnRenamed("representative_comments", "notes")
     return v.join(n, "target_id").select("target_id", F.size("representative_comments").alias("video_comments"), F.size("notes").alias("note_comments"), F.coalesce(F.array_max(F.transform("notes", lambda x: x["likes"])), F.lit(0)).alias("most_likes"))
 
@@ -188,7 +188,7 @@ def post_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct references of each customer's orders, by status number or address."""
     o = views.table(spark, sf_dir, "orders")
     ref = F.when(_k() % 3 == 0, F.concat(F.lit("https://x.com/a"), _k(), F.lit("/status/"), _k() % 20)).when(_k() % 3 == 1, F.concat(F.lit("https://Test.com/"), _k() % 10, F.lit("/"))).otherwise(F.concat(F.lit(" https://test.com/"), _k() % 10))
-    g = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", ref.alias("r")))), lambda x: x["r"]).alias("refs"))
+    g = o.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", ref.alias("r")))), lambda x: x["r"]).alias("refs"))
     return g.select("o_custkey", F.array_join(A.distinct_references(F.col("refs")), ",").alias("refs"))
 
 

@@ -123,7 +123,7 @@ def _capture(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
         r = F.struct(F.when(~none, F.concat(F.lit("https://www.xiaohongshu.com/explore/n"), i)).alias("url"), text.alias("title"), F.lit("/user/profile/p1").alias("author_url"), likes.alias("likes"))
     else:
         r = F.struct(F.when(~none, i).alias("id"), text.alias("title"), F.lit("test").alias("subreddit"), (F.col("o_orderkey") % 90).alias("num_comments"), F.lit(1704067200).alias("created_utc"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", r.alias("r")))), lambda x: x["r"])
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", r.alias("r")))), lambda x: x["r"])
     c = o.groupBy(F.col("o_custkey").alias("capture_id")).agg(rows.alias("rows")).select("capture_id", F.lit("term").alias("query_term"), F.lit("category").alias("query_layer"), F.to_json("rows").alias("raw"))
     if kind == "reddit":
         c = captures.envelopes(c.withColumn("raw", F.concat(F.lit('{"data":{"posts":'), F.col("raw"), F.lit("}}"))))

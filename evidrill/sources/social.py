@@ -90,16 +90,23 @@ def _empty(c: Column) -> Column:
     return F.coalesce(c, F.array().cast(f"array<{_POST}>"))
 
 
+def _read_once(parts) -> Column:
+    """What `parts` makes of a capture. A lambda sees the text parsed once; fields taken from the parsed text one by one would
+    each parse it again."""
+    make = lambda c: F.struct(*[v.alias(k) for k, v in parts(c).items()])
+    return F.get(F.transform(F.array(F.from_json("raw", CAPTURE)), make), F.lit(0))
+
+
 def _parsed(captures: DataFrame, post, more: tuple[str, ...]) -> DataFrame:
     """Adds the capture's parts: links of each pass (null where one isn't a post's), cards and details by content id. Texts
     are parsed and addresses read once; the parts are written, and everything else goes by those."""
-    d = captures.withColumn("c", F.from_json("raw", CAPTURE)).withColumn("forbidden", forbidden_keys(F.col("raw"), *more)).drop("raw")
-    own = lambda rows: F.transform(_empty(F.col(rows)), lambda x: F.struct(post(x["canonical_url"]).alias("id"), x.alias("x")))
-    d = d.withColumns({
-        "stop": F.lower(S.text(F.col("c.stop_reason"))), "passes": F.transform("c.result_passes", lambda p: F.transform(p, lambda u: post(u))), "cards": own("c.result_cards"), "details": own("c.posts"),
-        "c": F.struct("c.hashtag", "c.checks"),
-    })
-    d = staged(d, "captures")
+    own = lambda rows: F.transform(_empty(rows), lambda x: F.struct(post(x["canonical_url"]).alias("id"), x.alias("x")))
+    parts = lambda c: {
+        "stop": F.lower(S.text(c["stop_reason"])), "passes": F.transform(c["result_passes"], lambda p: F.transform(p, lambda u: post(u))), "cards": own(c["result_cards"]), "details": own(c["posts"]),
+        "hashtag": c["hashtag"], "checks": c["checks"],
+    }
+    d = captures.withColumn("forbidden", forbidden_keys(F.col("raw"), *more)).withColumn("c", _read_once(parts)).drop("raw")
+    d = staged(d, "captures").select("*", "c.stop", "c.passes", "c.cards", "c.details").withColumn("c", F.struct("c.hashtag", "c.checks"))
     observed = _once(F.filter(F.coalesce(F.get("passes", F.lit(0)), F.array()), lambda x: x.isNotNull()))
     d = d.withColumn("observed", observed).withColumn("urls", F.transform("observed", lambda x: x["url"]))
     urls = lambda i: F.array_distinct(F.transform(F.filter(F.get("passes", F.lit(i)), lambda x: x.isNotNull()), lambda x: x["url"]))
@@ -214,12 +221,14 @@ def account_signals(captures: DataFrame) -> DataFrame:
     account itself, under an address that names no other, and at least one of them opened."""
     post = lambda u: A.instagram_post(u, with_profile=True)
     name = lambda c: F.regexp_replace(F.regexp_replace(S.text(c), "^@+", ""), "^/+|/+$", "")
-    d = captures.withColumn("c", F.from_json("raw", CAPTURE)).withColumn("own", F.lower(name(F.col("username"))))
-    d = d.withColumn("rows", F.transform(_empty(F.col("c.posts")), lambda x: F.struct(post(x["canonical_url"]).alias("id"), x.alias("x"), F.coalesce(x["detail_captured"], F.lit(False)).alias("open"))))
+    rows = lambda posts: F.transform(_empty(posts), lambda x: F.struct(post(x["canonical_url"]).alias("id"), F.lower(name(x["author_username"])).alias("by"), F.coalesce(x["detail_captured"], F.lit(False)).alias("open"), x.alias("x")))
+    d = captures.withColumn("forbidden", forbidden_keys(F.col("raw"), "followers", "following")).withColumn("own", F.lower(name(F.col("username"))))
+    d = d.withColumn("c", _read_once(lambda c: {"username": c["username"], "stop_reason": c["stop_reason"], "checks": c["checks"], "rows": rows(c["posts"])})).drop("raw")
+    d = staged(d, "accounts").withColumn("rows", F.col("c.rows"))
     opened = F.size(F.filter("rows", lambda r: r["open"]))
-    alien = F.exists("rows", lambda r: (F.lower(name(r["x"]["author_username"])) != F.col("own")) | ((r["id"]["profile"] != "") & (F.lower(r["id"]["profile"]) != F.col("own"))))
+    alien = F.exists("rows", lambda r: (r["by"] != F.col("own")) | ((r["id"]["profile"] != "") & (F.lower(r["id"]["profile"]) != F.col("own"))))
     bad = (
-        forbidden_keys(F.col("raw"), "followers", "following") | (S.text(F.col("c.stop_reason")) != "") | (F.lower(name(F.col("c.username"))) != F.col("own")) | ~_checked(F.col("c.checks"), "account") | alien
+        F.col("forbidden") | (S.text(F.col("c.stop_reason")) != "") | (F.lower(name(F.col("c.username"))) != F.col("own")) | ~_checked(F.col("c.checks"), "account") | alien
         | F.exists("rows", lambda r: r["id"].isNull() | (r["open"] & ((S.text(r["x"]["caption"]) == "") | (S.text(r["x"]["published_at"]) == ""))) | comment_faults(r["x"]["representative_comments"]) | (F.coalesce(F.size(r["x"]["representative_comments"]), F.lit(0)) > 5))
         | _repeated(F.transform("rows", lambda r: r["id"]["content_id"])) | (F.size("rows") > F.col("max_posts")) | (opened > F.col("max_detail_posts")) | (opened == 0)
     )
