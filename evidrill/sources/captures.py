@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .staging import staged
 
 _TEXT = {
     "x": "id string, url string, text string, author string, created_at string, views string, likes string, bookmarks string, replies string, retweets string",
@@ -82,20 +83,20 @@ def extract(captures: DataFrame, kind: str) -> DataFrame:
 
 def envelopes(captures: DataFrame) -> DataFrame:
     """Post records nested under results, posts, data, result, items or content, however deep, become one flat array, for
-    `extract`. Levels are read until one holds nothing more."""
+    `extract`. Levels are read until one holds nothing more; each is written, so that none is worked out again for the next."""
     keys = ("results", "posts", "data", "result", "items", "content")
-    level = captures.select("capture_id", "query_term", "query_layer", F.try_parse_json("raw").alias("v"), F.array(F.lit(0).cast("bigint")).alias("path"))
+    own = ["capture_id", "query_term", "query_layer"]
+    post = F.expr("try_variant_get(v, '$.id', 'string') IS NOT NULL AND try_variant_get(v, '$.title', 'string') IS NOT NULL AND coalesce(try_variant_get(v, '$.subreddit', 'string'), try_variant_get(v, '$.permalink', 'string')) IS NOT NULL")
+    level = captures.select(*own, F.try_parse_json("raw").alias("v"), F.array(F.lit(0).cast("bigint")).alias("path"))
     found = None
     while found is None or not level.isEmpty():
-        level = level.where(F.col("v").isNotNull())
-        lists = F.expr("try_variant_get(v, '$', 'array<variant>')")
-        post = F.expr("try_variant_get(v, '$.id', 'string') IS NOT NULL AND try_variant_get(v, '$.title', 'string') IS NOT NULL AND coalesce(try_variant_get(v, '$.subreddit', 'string'), try_variant_get(v, '$.permalink', 'string')) IS NOT NULL")
-        flat = level.withColumn("_many", F.coalesce(lists, F.array("v"))).select("capture_id", "query_term", "query_layer", "path", F.posexplode("_many").alias("at", "v"))
-        flat = flat.withColumn("path", F.concat("path", F.array(F.col("at").cast("bigint")))).drop("at")
-        here = flat.where(post)
-        found = here if found is None else found.unionByName(here)
+        many = F.coalesce(F.expr("try_variant_get(v, '$', 'array<variant>')"), F.array("v"))
+        flat = level.where(F.col("v").isNotNull()).select(*own, "path", F.posexplode(many).alias("at", "v"))
+        flat = flat.select(*own, F.concat("path", F.array(F.col("at").cast("bigint"))).alias("path"), "v", F.coalesce(post, F.lit(False)).alias("post"))
         inner = F.filter(F.array(*[F.struct(F.lit(i).cast("bigint").alias("i"), F.expr(f"try_variant_get(v, '$.{k}', 'variant')").alias("v")) for i, k in enumerate(keys)]), lambda x: x["v"].isNotNull())
-        level = flat.where(~F.coalesce(post, F.lit(False))).withColumn("_in", F.explode(inner)).select("capture_id", "query_term", "query_layer", F.col("_in.v").alias("v"), F.concat("path", F.array("_in.i")).alias("path"))
-    rows = found.select("capture_id", "query_term", "query_layer", F.struct("path", F.to_json("v").alias("j")).alias("s"))
-    g = rows.groupBy("capture_id", "query_term", "query_layer").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return g.select("capture_id", "query_term", "query_layer", F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["j"]), ","), F.lit("]")).alias("raw"))
+        flat = staged(flat.select(*own, "path", F.when(F.col("post"), F.to_json("v")).alias("j"), F.when(~F.col("post"), inner).alias("inner")), "envelopes")
+        here = flat.where("j IS NOT NULL").select(*own, F.struct("path", "j").alias("s"))
+        found = here if found is None else found.unionByName(here)
+        level = flat.where("size(inner) > 0").select(*own, F.explode("inner").alias("x"), "path").select(*own, F.col("x.v").alias("v"), F.concat("path", F.array("x.i")).alias("path"))
+    g = found.groupBy(*own).agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return g.select(*own, F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["j"]), ","), F.lit("]")).alias("raw"))

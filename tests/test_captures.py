@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evidrill.functions import addresses as A
 from evidrill.functions import scalars as S
-from evidrill.sources import social, staging
+from evidrill.sources import captures, social, staging
 
 
 def plan(df):
@@ -43,3 +43,12 @@ def test_addresses_of_posts(spark):
         (("p", "Ab_-9", "Ann.b", "https://www.instagram.com/p/Ab_-9/"), "https://www.instagram.com/Ann.b/p/Ab_-9/"), (("reel", "z9", "", "https://www.instagram.com/reel/z9/"), "https://www.instagram.com/reel/z9/"),
         (None, None), (None, None), (None, None),
     ]
+
+
+def test_levels_of_an_envelope_are_written(spark):
+    raw = '{"data":{"posts":[{"id":"1","title":"a","subreddit":"s"},{"items":{"content":[{"id":"2","title":"b","permalink":"/p"},null,7]}}]},"results":[{"id":"3","title":"c","subreddit":"s"},{"id":"4"}]}'
+    d = spark.createDataFrame([(1, "t", "c", raw), (2, "t", "c", "no json"), (3, "t", "c", "{}"), (4, "t", "c", None)], "capture_id bigint, query_term string, query_layer string, raw string")
+    e = captures.envelopes(d)
+    assert "parse_json" not in plan(e)
+    got = e.select("capture_id", F.from_json("raw", "array<struct<id:string>>").alias("r")).collect()
+    assert [(r.capture_id, [x.id for x in r.r]) for r in got] == [(1, ["3", "1", "2"])]
