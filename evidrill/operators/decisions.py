@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 INTERNAL_TOPICS = ("unreviewed", "excluded-keyword-collision", "reviewed-unclustered")
 
 
@@ -113,32 +115,39 @@ def ledger_faults(raw: DataFrame, stored: DataFrame, reviewed: DataFrame, report
     review. stored: snapshot_id, details, counters (the raw ledger's own counts). report: snapshot_id, details, counters,
     contract_status, stop_reason (of the reviewed ledger). audits: snapshot_id, success, content_ids, details. Details that the
     reviewed ledger has and the raw one hasn't need a successful audit, which names them or, if none names any, counts
-    enough; opened signals keep their review, role and topic. Detail keys are compared where their digests differ."""
+    enough; opened signals keep their review, role and topic. Both ledgers are grouped by signal in one pass, and everything
+    else goes by the rows of that, which are written."""
     key = ["snapshot_id", "signal_key"]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
 
-    def miscounted(counts: DataFrame, signals: DataFrame, name: str) -> DataFrame:
-        j = counts.select("snapshot_id", F.col("details").alias("_d"), F.col("counters").alias("_c")).join(_sums(signals), "snapshot_id", "left")
-        faults = F.array_compact(F.array(F.when(zero("_d") != zero("details"), f"{name}_details"), F.when(zero("_c") != zero("counters"), f"{name}_counters")))
-        return j.select("snapshot_id", F.explode(faults).alias("fault"))
-
-    opened = lambda d: d.where("detail_captured").groupBy(*key).agg(F.min("content_id").alias("content_id"))
-    a, b = opened(raw), opened(reviewed)
-    moved = changed_snapshots(a, b, key)
-    appended = b.join(moved, "snapshot_id", "left_semi").join(a, key, "left_anti")
-    good = audits.where("success")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    seen, counter = F.col("detail_captured"), F.col("evidence_role") == "counter"
+    lost = seen & (blank("evidence_role") | blank("review") | (F.col("semantic_relevance").isin("direct", "adjacent") & blank("topic_key")))
+    null = lambda kind: F.lit(None).cast(kind)
+    x = raw.select(*key, seen.alias("d"), counter.alias("c"), null("boolean").alias("d2"), null("boolean").alias("c2"), null("boolean").alias("lost"), null("string").alias("content_id"))
+    y = reviewed.select(*key, null("boolean").alias("d"), null("boolean").alias("c"), seen.alias("d2"), counter.alias("c2"), lost.alias("lost"), F.when(seen, F.col("content_id").cast("string")).alias("content_id"))
+    each = x.unionByName(y).groupBy(*key).agg(*[F.coalesce(F.bool_or(n), F.lit(False)).alias(n) for n in ("d", "c", "d2", "c2", "lost")], F.min("content_id").alias("content_id"))
+    new = F.col("d2") & ~F.col("d") & F.col("snapshot_id").isNotNull()
+    each = staged(each.select("snapshot_id", "d", "c", "d2", "c2", "lost", new.alias("new"), F.when(new, F.col("content_id")).alias("content_id")), "ledger-signals")
+    counts = {"d": "raw_details", "c": "raw_counters", "d2": "report_details", "c2": "report_counters", "new": "appended"}
+    per = staged(each.groupBy("snapshot_id").agg(*[F.count_if(n).alias(v) for n, v in counts.items()], F.bool_or("lost").alias("lost")), "ledger-snapshots")
+
+    def miscounted(counts: DataFrame, name: str, **more: Column) -> DataFrame:
+        j = counts.join(per, "snapshot_id", "left")
+        rules = {f"{name}_{c}": zero(c) != zero(f"{name}_{c}") for c in ("details", "counters")} | more
+        return j.select("snapshot_id", F.explode(F.array_compact(F.array(*[F.when(c, k) for k, c in rules.items()]))).alias("fault"))
+
+    good = staged(audits.where("success").select("snapshot_id", "content_ids", "details"), "ledger-audits")
     ids = good.select("snapshot_id", F.explode("content_ids").alias("content_id")).where("content_id <> ''").distinct()
     audited = good.groupBy("snapshot_id").agg(F.sum(F.coalesce("details", F.lit(0))).alias("n"), F.count(F.lit(1)).alias("audits"))
     named = ids.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("named"))
-    missing = appended.where("content_id <> ''").join(ids, ["snapshot_id", "content_id"], "left_anti").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("missing"))
-    s = appended.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("appended")).join(audited, "snapshot_id", "left").join(named, "snapshot_id", "left").join(missing, "snapshot_id", "left")
+    missing = each.where("new AND content_id <> ''").join(ids, ["snapshot_id", "content_id"], "left_anti").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("missing"))
+    s = per.where("appended > 0").join(audited, "snapshot_id", "left").join(named, "snapshot_id", "left").join(missing, "snapshot_id", "left")
     fault = F.when(zero("audits") == 0, "no_audit").when((zero("named") > 0) & (zero("missing") > 0), "unaudited_detail").when((zero("named") == 0) & (zero("n") < F.col("appended")), "audit_count")
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    lost = F.col("detail_captured") & (blank("evidence_role") | blank("review") | (F.col("semantic_relevance").isin("direct", "adjacent") & blank("topic_key")))
     stopped = (F.col("contract_status") == "met") & (F.coalesce("stop_reason", F.lit("")) != "sampling_contract_met")
     parts = [
-        miscounted(stored, raw, "raw"), miscounted(report, reviewed, "report"), s.select("snapshot_id", fault.alias("fault")).where("fault IS NOT NULL"),
-        reviewed.where(lost).select("snapshot_id").distinct().withColumn("fault", F.lit("lost_review")), report.where(stopped).select("snapshot_id", F.lit("stop_reason").alias("fault")),
+        miscounted(stored, "raw"), miscounted(report, "report", stop_reason=stopped), s.select("snapshot_id", fault.alias("fault")).where("fault IS NOT NULL"),
+        per.where("lost").select("snapshot_id", F.lit("lost_review").alias("fault")),
     ]
     out = parts[0]
     for p in parts[1:]:

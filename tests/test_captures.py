@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evidrill.functions import addresses as A
 from evidrill.functions import scalars as S
+from evidrill.operators import decisions
 from evidrill.sources import captures, social, staging
 
 
@@ -52,3 +53,25 @@ def test_levels_of_an_envelope_are_written(spark):
     assert "parse_json" not in plan(e)
     got = e.select("capture_id", F.from_json("raw", "array<struct<id:string>>").alias("r")).collect()
     assert [(r.capture_id, [x.id for x in r.r]) for r in got] == [(1, ["3", "1", "2"])]
+
+
+def test_ledgers_are_read_once_to_be_compared(spark, monkeypatch):
+    made = []
+
+    def kept(df, name):
+        made.append(plan(df))
+        return staging.staged(df, name)
+
+    monkeypatch.setattr(decisions, "staged", kept, raising=False)
+    k = F.col("id")
+    ledger = lambda low, seen: spark.range(low, 10).select(
+        (k % 2).alias("snapshot_id"), k.alias("signal_key"), k.cast("string").alias("content_id"), seen.alias("detail_captured"), F.lit("counter").alias("evidence_role"), F.lit("weak").alias("semantic_relevance"),
+        F.lit("").alias("topic_key"), F.lit("read").alias("review"))
+    raw, reviewed = ledger(3, k > 8), ledger(2, k > 7)
+    stored = spark.createDataFrame([(0, 0, 3), (1, 2, 4)], "snapshot_id bigint, details bigint, counters bigint")
+    report = spark.createDataFrame([(0, 1, 4, "met", "timeout"), (1, 1, 4, "partial", "")], "snapshot_id bigint, details bigint, counters bigint, contract_status string, stop_reason string")
+    audits = spark.createDataFrame([(0, True, ["7"], 0)], "snapshot_id bigint, success boolean, content_ids array<string>, details bigint")
+    out = decisions.ledger_faults(raw, stored, reviewed, report, audits)
+    made.append(plan(out))
+    assert sorted(map(tuple, out.collect())) == [(0, "stop_reason"), (0, "unaudited_detail"), (1, "raw_details")]
+    assert sum(p.count("Range (3, 10") for p in made) == 1 and sum(p.count("Range (2, 10") for p in made) == 1
