@@ -1,7 +1,9 @@
 """The collection ledger: counts, layer statistics, contract checks, budgets, yields and recovery plans.
 
 Inputs are query runs (snapshot_id, query_id, query_term, query_layer, mode, stop_reason) and result cards
-(snapshot_id, query_id, dedupe_key, query_layer, semantic_relevance, evidence_role, detail_captured, source_type)."""
+(snapshot_id, query_id, dedupe_key, query_layer, semantic_relevance, evidence_role, detail_captured, source_type).
+`parts` is the number of tasks that cards are dealt to when they are grouped by snapshot and key; 0 leaves it to the session,
+whose number doesn't grow with the cards."""
 
 from __future__ import annotations
 
@@ -28,16 +30,22 @@ def contract(mode: Column, name: str, bound: int | None = None) -> Column:
     return S.lookup(mode, pick, pick["quick"])
 
 
-def unique_signals(cards: DataFrame) -> DataFrame:
+def _dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    return df.repartition(parts, *keys) if parts else df
+
+
+def unique_signals(cards: DataFrame, parts: int = 0) -> DataFrame:
     """One row per (snapshot, key): what any of its cards says, and how many it has in each layer. Later counts need no
     distinct. Only numbers and flags are kept, so that it is a hash aggregate."""
-    return cards.groupBy("snapshot_id", "dedupe_key").agg(
+    c = cards.select(
+        "snapshot_id", "dedupe_key", *[(F.col("query_layer") == layer).alias(layer) for layer in QUERY_LAYERS],
+        S.lookup(F.col("semantic_relevance"), RELEVANCE_RANK, 0).alias("relevance"), F.col("detail_captured").alias("detail"),
+        F.col("source_type").isin("direct_post", "exported_item").alias("direct_source"), (F.col("evidence_role") == "counter").alias("counter"),
+    )
+    return _dealt(c, parts, "snapshot_id", "dedupe_key").groupBy("snapshot_id", "dedupe_key").agg(
         F.count(F.lit(1)).alias("cards"),
-        *[F.count_if(F.col("query_layer") == layer).alias(f"{layer}_cards") for layer in QUERY_LAYERS],
-        F.max(S.lookup(F.col("semantic_relevance"), RELEVANCE_RANK, 0)).alias("relevance"),
-        F.bool_or("detail_captured").alias("detail"),
-        F.bool_or(F.col("source_type").isin("direct_post", "exported_item")).alias("direct_source"),
-        F.bool_or(F.col("evidence_role") == "counter").alias("counter"),
+        *[F.count_if(layer).alias(f"{layer}_cards") for layer in QUERY_LAYERS],
+        F.max("relevance").alias("relevance"), *[F.bool_or(c).alias(c) for c in ("detail", "direct_source", "counter")],
     )
 
 
@@ -45,10 +53,10 @@ def unique_signals(cards: DataFrame) -> DataFrame:
 _LAYER_COUNTS = ("query_count", "observed_result_count", "unique_signal_count", "relevant_signal_count", "direct_signal_count", "detail_open_count", "direct_relevance_count")
 
 
-def _snapshots(runs: DataFrame, cards: DataFrame) -> DataFrame:
+def _snapshots(runs: DataFrame, cards: DataFrame, parts: int = 0) -> DataFrame:
     """Per snapshot of runs: counts over raw cards and over distinct keys, of the whole and of each layer, in one row, so that
     what is asked of them needs neither the cards again nor a join."""
-    r = runs.groupBy("snapshot_id").agg(
+    r = _dealt(runs, parts, "snapshot_id").groupBy("snapshot_id").agg(
         F.count(F.lit(1)).alias("query_count"), F.min_by("mode", "query_id").alias("mode"), F.min_by("snapshot_stop", "query_id").alias("stop_reason"),
         *[F.count_if(F.col("query_layer") == layer).alias(f"{layer}_query_count") for layer in QUERY_LAYERS],
     )
@@ -63,7 +71,7 @@ def _snapshots(runs: DataFrame, cards: DataFrame) -> DataFrame:
             "detail_open_count": F.count_if(here & F.col("detail")), "direct_relevance_count": F.count_if(here & _direct() & (F.col("detail") | F.col("direct_source"))),
         }
         counts |= {f"{layer}_{k}": v for k, v in of_layer.items()}
-    u = unique_signals(cards).groupBy("snapshot_id").agg(*[v.alias(k) for k, v in counts.items()])
+    u = unique_signals(cards, parts).groupBy("snapshot_id").agg(*[v.alias(k) for k, v in counts.items()])
     c = r.join(u, "snapshot_id", "left").na.fill(0)
     return c.withColumn("duplicate_count", F.col("observed_result_count") - F.col("unique_sample_count"))
 
@@ -77,26 +85,26 @@ def _by_layer(snapshots: DataFrame, *more: str) -> DataFrame:
     return snapshots.select("snapshot_id", *more, F.inline(F.array(*map(_layer, QUERY_LAYERS))))
 
 
-def layer_stats(runs: DataFrame, cards: DataFrame) -> DataFrame:
+def layer_stats(runs: DataFrame, cards: DataFrame, parts: int = 0) -> DataFrame:
     """Three rows for each snapshot of runs, with zeros where a layer has nothing."""
-    return _by_layer(_snapshots(runs, cards))
+    return _by_layer(_snapshots(runs, cards, parts))
 
 
-def layer_stats_with_mode(runs: DataFrame, cards: DataFrame) -> DataFrame:
+def layer_stats_with_mode(runs: DataFrame, cards: DataFrame, parts: int = 0) -> DataFrame:
     """The same with the mode of the snapshot."""
-    return _by_layer(_snapshots(runs, cards), "mode")
+    return _by_layer(_snapshots(runs, cards, parts), "mode")
 
 
-def ledger_counts(runs: DataFrame, cards: DataFrame) -> DataFrame:
+def ledger_counts(runs: DataFrame, cards: DataFrame, parts: int = 0) -> DataFrame:
     """Per snapshot: counts over raw cards and over distinct keys."""
-    return _snapshots(runs, cards).drop(*[f"{layer}_{k}" for layer in QUERY_LAYERS for k in _LAYER_COUNTS])
+    return _snapshots(runs, cards, parts).drop(*[f"{layer}_{k}" for layer in QUERY_LAYERS for k in _LAYER_COUNTS])
 
 
-def collection_status(runs: DataFrame, cards: DataFrame) -> DataFrame:
+def collection_status(runs: DataFrame, cards: DataFrame, parts: int = 0) -> DataFrame:
     """Per snapshot: counts, the 14 contract checks as a map, stop reason and status."""
     m = F.col("mode")
 
-    c = _snapshots(runs, cards)
+    c = _snapshots(runs, cards, parts)
     for k in _LAYER_COUNTS[:-1]:
         c = c.withColumn("least_" + k, F.least(*[f"{layer}_{k}" for layer in QUERY_LAYERS]))
     c = c.withColumn("bridge_direct", F.col("subject_bridge_direct_relevance_count")).drop(*[f"{layer}_{k}" for layer in QUERY_LAYERS for k in _LAYER_COUNTS])
@@ -129,12 +137,12 @@ def collection_status(runs: DataFrame, cards: DataFrame) -> DataFrame:
     return c.withColumn("contract_status", status)
 
 
-def search_budget(runs: DataFrame, cards: DataFrame) -> DataFrame:
+def search_budget(runs: DataFrame, cards: DataFrame, parts: int = 0) -> DataFrame:
     """Per snapshot: how many results may be observed before a new search, and by how much they were overshot."""
     m = F.col("mode")
     upper = contract(m, "observed_result_target", 1)
     ceiling = F.greatest(contract(m, "observed_result_target", 0), upper - contract(m, "atomic_read_reserve"))
-    c = ledger_counts(runs, cards)
+    c = ledger_counts(runs, cards, parts)
     return c.withColumns({
         "launch_ceiling": ceiling, "may_start_search": F.col("observed_result_count") <= ceiling,
         "atomic_overshoot": F.greatest(F.lit(0), F.col("observed_result_count") - upper).cast("bigint"),
@@ -168,14 +176,14 @@ def _deficits(of: Callable[[str], Column], bridge: Column) -> dict[str, Column]:
     }
 
 
-def layer_deficits(runs: DataFrame, cards: DataFrame) -> DataFrame:
+def layer_deficits(runs: DataFrame, cards: DataFrame, parts: int = 0) -> DataFrame:
     """Per (snapshot, layer): what is missing to the contract's minimums."""
     lacks = _deficits(F.col, F.col("query_layer") == "subject_bridge")
-    d = layer_stats_with_mode(runs, cards).select("snapshot_id", "query_layer", *[v.alias(k) for k, v in lacks.items()])
+    d = layer_stats_with_mode(runs, cards, parts).select("snapshot_id", "query_layer", *[v.alias(k) for k, v in lacks.items()])
     return d.withColumn("recommended", F.greatest(*lacks) > 0)
 
 
-def recovery_needs(runs: DataFrame, cards: DataFrame) -> DataFrame:
+def recovery_needs(runs: DataFrame, cards: DataFrame, parts: int = 0) -> DataFrame:
     """Per snapshot: what the whole lacks to its contract (observed, unique, relevant, details, counters), the layers that a
     new query should go to, in order, and whether volume is all that is lacking. First come layers that lack something
     themselves, by name; then, for each thing that the whole lacks, the layers with the least of it; counters are looked
@@ -188,7 +196,7 @@ def recovery_needs(runs: DataFrame, cards: DataFrame) -> DataFrame:
         lacking = F.greatest(*_deficits(of, F.lit(name == "subject_bridge")).values()) > 0
         return F.struct(F.lit(name).alias("query_layer"), lacking.alias("recommended"), of("observed_result_count").alias("observed"), of("unique_signal_count").alias("unique"), of("relevant_signal_count").alias("relevant"), of("detail_open_count").alias("details"))
 
-    c = _snapshots(runs, cards).withColumn("layers", F.array(*map(layer, sorted(QUERY_LAYERS))))
+    c = _snapshots(runs, cards, parts).withColumn("layers", F.array(*map(layer, sorted(QUERY_LAYERS))))
     lacks = {
         "observed": contract(m, "observed_result_target", 0) - F.col("observed_result_count"), "unique": contract(m, "unique_signal_target", 0) - F.col("unique_sample_count"),
         "relevant": contract(m, "relevant_unique_signal_min") - F.col("relevant_unique_count"), "details": contract(m, "detail_open_target", 0) - F.col("detail_open_count"),
@@ -205,7 +213,7 @@ def recovery_needs(runs: DataFrame, cards: DataFrame) -> DataFrame:
     wanted.append(F.when(F.col("counters") > 0, F.array(*map(F.lit, ("subject_bridge", "category", "platform_baseline")))).otherwise(none))
     quality = (F.greatest("relevant", "details", "counters") > 0) | F.exists("layers", lambda x: x["recommended"])
     best = F.min(F.struct((-F.col("relevant")).alias("a"), (-F.col("observed")).alias("b"), (-F.col("relevant_yield_rate")).alias("c"), "query_term", "query_id"))
-    proven = query_yields(runs, cards).where("observed > 0").groupBy("snapshot_id", "query_layer").agg(best.alias("best")).groupBy("snapshot_id").agg(
+    proven = _dealt(query_yields(runs, cards).where("observed > 0"), parts, "snapshot_id").groupBy("snapshot_id", "query_layer").agg(best.alias("best")).groupBy("snapshot_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("best", "query_layer"))), lambda x: x["query_layer"]).alias("proven"))
     c = c.withColumn("volume_only", (F.greatest("observed", "unique") > 0) & ~quality).withColumn("recommended_layers", F.array_distinct(F.concat(*wanted)))
     c = c.join(proven, "snapshot_id", "left")

@@ -18,12 +18,20 @@ def _ledger(operator):
     return query
 
 
+def _counted(operator):
+    """The same for operators that group cards by snapshot and key."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(views.runs(spark, sf_dir), views.cards(spark, sf_dir), views.card_parts(spark, sf_dir))
+
+    return query
+
+
 def layer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ledger(collection.layer_stats)(spark, sf_dir)
+    return _counted(collection.layer_stats)(spark, sf_dir)
 
 
 def collection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _ledger(collection.collection_status)(spark, sf_dir)
+    c = _counted(collection.collection_status)(spark, sf_dir)
     return c.select(
         "snapshot_id", "mode", "query_count", "observed_result_count", "unique_sample_count", "duplicate_count", "detail_open_count",
         "counter_signal_count", F.array_join("failed_checks", ",").alias("failed_checks"), "stop_reason", "contract_status",
@@ -31,7 +39,7 @@ def collection_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _ledger(collection.search_budget)(spark, sf_dir)
+    c = _counted(collection.search_budget)(spark, sf_dir)
     return c.select("snapshot_id", "observed_result_count", "launch_ceiling", "may_start_search", "atomic_overshoot")
 
 
@@ -40,11 +48,11 @@ def query_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ledger(collection.layer_deficits)(spark, sf_dir)
+    return _counted(collection.layer_deficits)(spark, sf_dir)
 
 
 def recovery_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _ledger(collection.recovery_needs)(spark, sf_dir)
+    n = _counted(collection.recovery_needs)(spark, sf_dir)
     return n.withColumn("recommended_layers", F.array_join("recommended_layers", ","))
 
 

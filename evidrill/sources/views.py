@@ -84,11 +84,17 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROWS_PER_TASK = 1 << 19
 
 
+def parts(df: DataFrame) -> int:
+    """How many parts df has rows for; 0 where the session's own number of parts is enough. The count is that of the
+    files' footers."""
+    n = -(-df.count() // ROWS_PER_TASK)
+    return 0 if n <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else n
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df by its keys in as many parts as it has rows for; as it is where the session's own number of parts is enough. The
-    count is that of the files' footers."""
-    parts = -(-df.count() // ROWS_PER_TASK)
-    return df if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(parts, *keys)
+    """df by its keys in as many parts as it has rows for; as it is where the session's own number of parts is enough."""
+    n = parts(df)
+    return df.repartition(n, *keys) if n else df
 
 
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +102,11 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CARDS, lineitem=spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), orders=table(spark, sf_dir, "orders"))
 
 
+def card_parts(spark: SparkSession, sf_dir: str) -> int:
+    """The parts that cards need when they are grouped by anything but their order: a card is a line item."""
+    return parts(table(spark, sf_dir, "lineitem"))
+
+
 def as_sql(select: str) -> str:
     """The view as another engine reads it, with the tables under their own names."""
     for t in ("events", "orders", "lineitem", "documents", "labels", "conversations", "pages", "part", "customer", "nation", "benchmark"):

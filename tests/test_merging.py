@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from evidrill import plans
 from evidrill.functions.constants import RELEVANCE_RANK
 from evidrill.operators import collection, dedup, enrich, review
 from evidrill.plans import audits
@@ -366,3 +367,17 @@ def test_union_keeps_rows_whole_up_to_the_group(spark):
     assert sorted(map(tuple, got.collect())) == [("k", ["y", "z", "x", None, "w"], ["p", "q"]), ("l", ["r"], [])]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_signals_and_snapshots_come_in_more_parts_as_cards_grow(spark, monkeypatch):
+    """Distinct signals and the yields of a snapshot went to the session's own number of tasks, whatever there was of them."""
+    sf = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = {name: rows(plan(spark, sf)) for name, plan in plans.ledger.QUERIES.items() if name in ("recovery_needs", "collection_status", "layer_deficits")}
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 500)
+    parts = views.card_parts(spark, sf)
+    assert parts >= spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500
+    assert collection.unique_signals(views.cards(spark, sf), parts).rdd.getNumPartitions() == parts
+    assert all(rows(plans.ledger.QUERIES[name](spark, sf)) == w for name, w in want.items())
+    plan = plans.ledger.recovery_needs(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{parts}), REPARTITION_BY_NUM") >= 4  # line items twice, signals, yields (and runs)
