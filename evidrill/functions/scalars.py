@@ -31,9 +31,15 @@ def first(*cols: Column) -> Column:
     return F.coalesce(*[F.when(c.cast("string") != "", c) for c in cols])
 
 
+def _entry(key: Column, values: dict) -> Column:
+    """The value of a small fixed table, or null. The key is looked up, so that it is worked out once: a chain of conditions
+    repeats it, and code that long is never compiled."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+
+
 def _times(suffix: Column) -> Column:
-    """What a suffix multiplies by; the suffix is looked up, so that it is worked out once."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), suffix)
+    """What a suffix multiplies by."""
+    return _entry(suffix, SUFFIXES)
 
 
 def number(c: Column) -> Column:
@@ -75,7 +81,7 @@ def parse_count(c: Column, suffixes: str = "kmb", anchored: bool = True, rounded
 def platform(c: Column) -> Column:
     t = F.lower(text(c))
     plain = F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9_\-\x{4e00}-\x{9fff}]+", "_"), r"^_+|_+$", "")
-    return lookup(t, PLATFORM_ALIASES, plain)
+    return F.coalesce(_entry(t, {name: name for name in PLATFORM_ALIASES.values()} | PLATFORM_ALIASES), plain)  # known names need no pattern
 
 
 def adapter_platform(c: Column) -> Column:

@@ -21,7 +21,7 @@ def _with_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = dedup.merge_duplicates(_with_identity(spark, sf_dir))
-    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    joined = lambda c: F.array_join(F.sort_array(c), ",")
     return m.select(
         "snapshot_id", "dedupe_key", "signal_id", "source_type", "detail_captured", "semantic_relevance", "merged_from_count", "views", "likes",
         joined("query_terms").alias("query_terms"), joined("evidence_refs").alias("evidence_refs"), joined("limitations").alias("limitations"),

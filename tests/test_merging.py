@@ -381,3 +381,21 @@ def test_signals_and_snapshots_come_in_more_parts_as_cards_grow(spark, monkeypat
     assert all(rows(plans.ledger.QUERIES[name](spark, sf)) == w for name, w in want.items())
     plan = plans.ledger.recovery_needs(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f"{parts}), REPARTITION_BY_NUM") >= 4  # line items twice, signals, yields (and runs)
+
+
+def test_keys_with_few_rows_are_shuffled_once(spark, monkeypatch):
+    """Every row was sorted, combined and shuffled four times, though few keys have rows to combine."""
+    rng = random.Random(5)
+    rows = [observation(rng, f"k{k}", i) for k in range(60) for i in rng.sample(range(50), rng.choice([1, 1, 2, 9]))]
+    d = spark.createDataFrame(rows, MERGE).repartition(3)
+    want = {k: folded([dict(zip(NAMES, r)) for r in rows if r[1] == k]) for k in {r[1] for r in rows}}
+    for few in (100, 2, 0):
+        monkeypatch.setattr(dedup, "FEW_ROWS", few)
+        m = dedup.merge_duplicates(d)
+        plan = m._jdf.queryExecution().executedPlan().toString()
+        assert (few < 100) == ("Join" in plan) and (few < 100 or plan.count("Exchange hashpartitioning") == 1)
+        got = {r.dedupe_key: r.asDict() for r in m.collect()}
+        assert got.keys() == want.keys()
+        for k, w in want.items():
+            assert all(got[k][c] == w[c] for c in ("ordinal", "signal_id", "source_type", "detail_captured", "title", "summary", "published_text", "semantic_relevance", "evidence_role", "topic_key", *METRICS)), (few, k)
+            assert all(list(got[k][c]) == w[c] for c in ("query_terms", "query_layers", "evidence_refs", "limitations")) and got[k]["merged_from_count"] == w["n"], (few, k)
