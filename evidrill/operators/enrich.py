@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import addresses as A
 from ..functions import scalars as S
 from ..functions.constants import QUERY_LAYERS, RELEVANCE_RANK
+from ..sources.staging import staged
 from . import dedup
 from .collection import contract
 
@@ -96,16 +97,17 @@ def detail_results(signals: DataFrame, targets: DataFrame, results: DataFrame) -
     """signals as `dedup.merge_duplicates` takes them. targets: snapshot_id, dedupe_key, layer. results: snapshot_id,
     dedupe_key, seq, success, stop_reason, artifact and, for a success, the fields of a signal, null where the page
     doesn't show them. Only planned targets count; a success is folded into its signal, with what it lacks taken from
-    it; attempts are one row for each (key, artifact, success)."""
+    it; attempts are one row for each (key, artifact, success). Successes are written once, as merging reads its rows twice."""
     key = ["snapshot_id", "dedupe_key"]
     planned = results.join(targets.select(*key, "layer").distinct(), key)
     audits = planned.groupBy(*key, "artifact", "success").agg(F.min_by(F.struct("layer", "stop_reason"), "seq").alias("x")).select(*key, "artifact", "success", "x.*")
     names = ("signal_id", "query_term", "query_layer")  # of the first observation
-    own = signals.groupBy(*key).agg(F.min(F.struct("ordinal", *names)).alias("x")).select(*key, *[F.col(f"x.{c}").alias("_" + c) for c in names])
+    own = signals.groupBy("dedupe_key", "snapshot_id").agg(F.min(F.struct("ordinal", *names)).alias("x")).select(*key, *[F.col(f"x.{c}").alias("_" + c) for c in names])
     d = planned.where("success").join(own, key)
     filled = {c: F.coalesce(F.col(c), F.col("_" + c)) for c in ("signal_id", "query_term", "query_layer")}
     d = d.withColumns({**filled, "source_type": F.coalesce(S.first(F.col("source_type")), F.lit("direct_post")), "detail_captured": F.lit(True), "ordinal": F.col("seq") + F.lit(1 << 40)})
-    return dedup.merge_duplicates(signals.unionByName(d.select(*signals.columns))), audits
+    d = staged(d.select(*signals.columns), "details")
+    return dedup.merge_duplicates(signals.unionByName(d)), audits
 
 
 def retained(signals: DataFrame) -> DataFrame:

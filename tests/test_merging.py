@@ -399,3 +399,18 @@ def test_keys_with_few_rows_are_shuffled_once(spark, monkeypatch):
         for k, w in want.items():
             assert all(got[k][c] == w[c] for c in ("ordinal", "signal_id", "source_type", "detail_captured", "title", "summary", "published_text", "semantic_relevance", "evidence_role", "topic_key", *METRICS)), (few, k)
             assert all(list(got[k][c]) == w[c] for c in ("query_terms", "query_layers", "evidence_refs", "limitations")) and got[k]["merged_from_count"] == w["n"], (few, k)
+
+
+def test_opened_details_are_joined_once(spark):
+    """Merging worked out the joins that details come from each time it read its rows."""
+    s = spark.createDataFrame([observation(random.Random(i), f"k{i % 5}", i) for i in range(12)], MERGE)
+    targets = s.where("ordinal < 4").select("snapshot_id", "dedupe_key", F.lit("category").alias("layer"))
+    none = F.lit(None).cast("string")
+    results = s.where("ordinal < 6").select(
+        *[c for c in NAMES if c not in ("ordinal", "signal_id", "query_term", "query_layer", "source_type", "detail_captured", "summary")], F.col("ordinal").alias("seq"), (F.col("ordinal") != 3).alias("success"), F.lit("").alias("stop_reason"),
+        F.lit("raw").alias("artifact"), none.alias("signal_id"), none.alias("query_term"), none.alias("query_layer"), none.alias("source_type"), F.lit("all of it").alias("summary"))
+    merged, audits = enrich.detail_results(s, targets, results)
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    got = {r.dedupe_key: r for r in merged.collect()}
+    assert {k: r.merged_from_count for k, r in got.items()} == {"k0": 5, "k1": 4, "k2": 3, "k3": 2, "k4": 2} and audits.count() == 4
+    assert [got[f"k{i}"].detail_captured for i in range(3)] == [True] * 3 and all(got[f"k{i}"].summary for i in range(3))
