@@ -4,11 +4,19 @@ A document is its set of hashed shingles of `n` words. Sizes fall into bands, ea
 sets that can be similar share an instance, in which they differ in at most k shingles. The instance deals the
 shingle domain into n1 partitions and each into 3 parts. Of n1 partitions more than k / 2 leave one, with at most
 one difference, so one of the partition's three pairs of parts is equal in both sets: the hash of a pair is a
-signature, and similar sets share one. A pair of parts without any shingle says nothing. n1 has a margin of
-partitions for those, and a set that has no more of them than the margin leaves their signatures out: a similar
+signature, and similar sets share one. A pair of parts without any shingle says nothing. Where all shingles of a
+partition are in one part, they are a signature together and without each one of them, so that sets meet there
+whose difference is in that part. What is left are partitions of one shingle or none. n1 has a margin for those,
+and a set that has no more of them than the margin leaves the signatures of their empty pairs out: a similar
 set then still agrees with it in a partition that has shingles. Sets beyond the margin emit them all.
 
-Equal sets are one set from the start. Sets that share a signature are candidates; candidates that hang together
+Similar sets share more signatures than one: each partition with at most one difference has one, and there are as
+many of those as the margin and one more, less those of one shingle or none. Two sets that share fewer are no
+candidates. A line or passage that very many documents have gives many pairs one signature by chance, through
+which most of a large table would hang together, and few pairs several. Where more than PAIRED sets share a
+signature their pairs aren't counted; all of them hang on the least.
+
+Equal sets are one set from the start. Candidates that hang together
 form groups, which are ordered by size, cut into blocks and verified by exact intersection, block against block,
 leaving out blocks of too different sizes. A task finds a spanning forest of the links among its sets and emits
 that alone, so neither candidates nor links are ever written as pairs of a whole group. The forests' connected
@@ -39,6 +47,12 @@ PARTS = 3
 BLOCK = 512_000
 BROADCAST_ROWS = 1_000_000
 HOT_ROWS = 1 << 18
+#: Up to so many sets that share a signature are counted as pairs.
+PAIRED = 256
+#: A set says in the low bits of its signatures how many of them a similar set shares at least, up to 8.
+NEEDED = 8
+#: Rows whose signatures are wanted are marked in so many bits where they are too many to be broadcast.
+MARKS = 1 << 27
 CHUNK = 4 << 20
 _PLAIN = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in bytes(range(256)).lower())
 _U = np.uint64
@@ -142,21 +156,35 @@ def instances(similarity: Similarity, size: int) -> list[Instance]:
 
 def signatures(s: np.ndarray, similarity: Similarity) -> np.ndarray:
     """The signatures of a set in all its instances."""
-    found = []
+    return _signed(s, similarity)[0]
+
+
+def _signed(s: np.ndarray, similarity: Similarity) -> tuple[np.ndarray, int]:
+    """The signatures of a set in all its instances, and how many of them any similar set shares at least."""
+    found, needed = [], NEEDED
     for x in instances(similarity, len(s)):
         h = _mix(s, 200 + x.number)
         cell = (h >> _U(32)) % _U(x.partitions) * _U(PARTS) + (h & _U(0xFFFFFFFF)) % _U(PARTS)
-        total = np.zeros(x.partitions * PARTS, _U)
+        total, mixed = np.zeros(x.partitions * PARTS, _U), _mix(h, 7)
         count = np.bincount(cell.astype(np.int64), minlength=len(total)).reshape(-1, PARTS)
-        np.add.at(total, cell.astype(np.int64), _mix(h, 7))
+        np.add.at(total, cell.astype(np.int64), mixed)
         total = total.reshape(-1, PARTS)
         place = _mix(np.arange(x.partitions).astype(_U), 300 + x.number)
         none = np.stack([count[:, (o + 1) % PARTS] + count[:, (o + 2) % PARTS] == 0 for o in range(PARTS)])
-        all_of_them = none.any(axis=0).sum() > x.margin
+        few = count.sum(axis=1) < 2
+        bad = int(few.sum())
+        all_of_them = bad > x.margin
+        needed = min(needed, max(1, 1 + x.margin - bad))
         for o in range(PARTS):
             sig = _mix(_mix(total[:, (o + 1) % PARTS] ^ place, 400 + o) + total[:, (o + 2) % PARTS], 500)
-            found.append(sig if all_of_them else sig[~none[o]])
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
+            found.append(sig[~none[o] | few] if all_of_them else sig[~none[o]])
+        at = (cell // _U(PARTS)).astype(np.int64)
+        one_part = (count.max(axis=1) == count.sum(axis=1)) & (count.sum(axis=1) > 0)
+        whole = total.sum(axis=1, dtype=_U)
+        without = one_part[at] & ~few[at]
+        rest = np.concatenate([whole[one_part] ^ place[one_part], whole[at[without]] - mixed[without] ^ place[at[without]]])
+        found.append(_mix(_mix(rest, 410), 501))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, _U), needed
 
 
 def forest(sets: list[np.ndarray], similarity: Similarity) -> np.ndarray:
@@ -204,11 +232,25 @@ def _keys_of_documents(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(build, f"doc_id {id_type}, row_key bigint, size bigint, k1 bigint, k2 bigint")
 
 
-def _signatures_of_documents(docs: DataFrame, n: int, similarity: Similarity, rows: int = 1 << 18) -> DataFrame:
-    """A row for each signature of each document (row_key, t): rid, sig."""
+def _marks(rids: DataFrame) -> np.ndarray:
+    """A bit for the low bits of each rid. Its size is fixed: the more rids, the more others are taken for one."""
+    place = F.col("rid").bitwiseAND(F.lit(MARKS - 1))
+    rows = rids.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(rid & 63 AS int))").alias("bit"))
+    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most MARKS / 64
+    marks = np.zeros(max(1, MARKS >> 6), np.int64)
+    marks[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return marks
+
+
+def _signatures_of_documents(docs: DataFrame, n: int, similarity: Similarity, marks: np.ndarray | None = None, rows: int = 1 << 18) -> DataFrame:
+    """A row for each signature of each document (row_key, t) that may be marked: rid, sig. The low bits of sig say how
+    many a similar set shares at least, less one."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if marks is not None:
+                rid = b.column(0).to_numpy()
+                b = b.filter(pa.array(marks[(rid & MARKS - 1) >> 6] >> (rid & 63) & 1 == 1))  # noqa: PLW2901
             found, of, held = [], [], 0
 
             def part() -> pa.RecordBatch:
@@ -216,7 +258,8 @@ def _signatures_of_documents(docs: DataFrame, n: int, similarity: Similarity, ro
                 return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate(found))], ["rid", "sig"])  # noqa: B023
 
             for i, s in enumerate(shingle_sets(b.column(1), n)):
-                found.append(signatures(s, similarity).view(np.int64))
+                sig, needed = _signed(s, similarity)
+                found.append((sig & ~_U(NEEDED - 1) | _U(needed - 1)).view(np.int64))
                 of.append(i)
                 held += len(found[-1])
                 if held >= rows:
@@ -228,6 +271,60 @@ def _signatures_of_documents(docs: DataFrame, n: int, similarity: Similarity, ro
     return docs.mapInArrow(sign, "rid bigint, sig bigint")
 
 
+def _key() -> Column:
+    return F.col("sig").bitwiseAND(F.lit(-NEEDED))
+
+
+def _meetings(signed: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """What shares a signature, of rows (rid, sig, salt) that are dealt by key and salt and sorted: rid, anchor, n, needed, hot.
+    Pairs have n = 1, more than PAIRED sets hang on the least with n = NEEDED, as do all with a salt, where hot is the
+    key and the least set hangs on itself."""
+
+    def pairs(key: np.ndarray, salt: np.ndarray, rid: np.ndarray, needed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.diff(key, prepend=~key[:1]) | np.diff(salt, prepend=salt[:1]))
+        size = np.diff(first, append=len(key))
+        for m in np.unique(size[(size > 1) & (size <= PAIRED) & (salt[first] < 0)]).tolist():
+            x, y = np.triu_indices(m, 1)
+            starts = first[(size == m) & (salt[first] < 0)]
+            step = max(1, rows // len(x))
+            for at in range(0, len(starts), step):
+                a, b = ((starts[at : at + step, None] + k).ravel() for k in (y, x))
+                yield _met(rid[a], rid[b], np.ones(len(a), np.int64), np.maximum(needed[a], needed[b]), None)
+        star = np.repeat((size > PAIRED) | (salt[first] >= 0), size)
+        anchor, hot = np.repeat(rid[first], size), salt >= 0
+        star &= hot | (rid != anchor)
+        if star.any():
+            all_ = np.full(int(star.sum()), NEEDED)
+            yield _met(rid[star], anchor[star], all_, all_, pa.array(key[star], mask=~hot[star]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for b in batches:
+            held.append([b.column(k).to_numpy() for k in range(3)])
+            waiting += b.num_rows
+            if waiting >= rows:  # the last group may go on
+                rid, sig, salt = (np.concatenate(c) for c in zip(*held, strict=True))
+                end = int(np.flatnonzero((sig & -NEEDED != sig[-1] & -NEEDED) | (salt != salt[-1])).max(initial=-1)) + 1
+                yield from ready(rid[:end], sig[:end], salt[:end])
+                held, waiting = [[rid[end:], sig[end:], salt[end:]]], 0
+        if held:
+            yield from ready(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def ready(rid: np.ndarray, sig: np.ndarray, salt: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(rid):
+            key = sig & -NEEDED
+            new = np.append(True, (key[1:] != key[:-1]) | (rid[1:] != rid[:-1]) | (salt[1:] != salt[:-1]))
+            yield from pairs(key[new], salt[new].astype(np.int64), rid[new], (sig[new] & NEEDED - 1) + 1)
+
+    dealt = signed.repartition(_key(), "salt").sortWithinPartitions(_key(), "salt", "rid")
+    return dealt.select("rid", "sig", "salt").mapInArrow(meet, "rid bigint, anchor bigint, n bigint, needed bigint, hot bigint")
+
+
+def _met(rid: np.ndarray, anchor: np.ndarray, n: np.ndarray, needed: np.ndarray, hot: pa.Array | None) -> pa.RecordBatch:
+    hot = pa.nulls(len(rid), pa.int64()) if hot is None else hot
+    return pa.RecordBatch.from_arrays([*map(pa.array, (rid, anchor, n, needed)), hot], ["rid", "anchor", "n", "needed", "hot"])
+
+
 def join(docs: DataFrame, n: int = 5, similarity: Similarity = Similarity(80, 100), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least id that links lead to, its own included)."""
     return _classes(docs, n, similarity, id_col, text).select(
@@ -248,27 +345,29 @@ def _classes(docs: DataFrame, n: int, similarity: Similarity, id_col: str, text:
         d = d.dropDuplicates(["row_key"])
     representative = grouped.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "row_key")).alias("x"), F.max("size").alias("size"))
     representative = materialize(representative.select("k1", "k2", "x", F.col("x.row_key").alias("rid"), "size"), "jaccard-signed")
-    # of equal sets one is signed; nothing but signatures is shuffled unless there are very many sets
-    wanted = representative.select("rid")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    signed = _signatures_of_documents(d.join(wanted, d.row_key == wanted.rid, "left_semi"), n, similarity)
-    # a set hangs on the least one that shares its signature; what has a hot signature is dealt over salts first
+    # of equal sets one is signed; nothing but signatures is shuffled
+    wanted, marks = representative.select("rid"), None
+    if representative.count() <= BROADCAST_ROWS:
+        some = d.join(F.broadcast(wanted), d.row_key == wanted.rid, "left_semi")
+    else:
+        some, marks = d, _marks(wanted)
+    signed = _signatures_of_documents(some, n, similarity, marks)
+    # what has a hot signature is dealt over salts and hangs on the least one of its salt first
     hot = _hot_signatures(d, representative.count(), n, similarity)
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if hot:
-        listed = F.broadcast(spark.createDataFrame([(x,) for x in hot], "hot bigint"))  # bounded, see there
-        signed = signed.join(listed, signed.sig == listed.hot, "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod("rid", F.lit(salts))).otherwise(0).cast("int"))
+        listed = F.broadcast(spark.createDataFrame([(x & -NEEDED,) for x in hot], "hot bigint").distinct())  # bounded, see there
+        signed = signed.join(listed, _key() == listed.hot, "left").withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod("rid", F.lit(salts))).otherwise(-1).cast("int"))
     else:
-        signed = signed.withColumn("hot", F.lit(None).cast("bigint")).withColumn("salt", F.lit(0))
-    first = F.first("rid").over(Window.partitionBy("sig", "salt").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0))
-    found = signed.withColumn("anchor", first).where("rid <> anchor OR hot IS NOT NULL")
+        signed = signed.withColumn("salt", F.lit(-1))
+    found = _meetings(signed)
     if hot:
-        found = materialize(found.select("rid", "anchor", "hot"), "jaccard-candidates")
+        found = materialize(found, "jaccard-candidates")
         least = found.where("hot IS NOT NULL").groupBy("hot").agg(F.min("anchor").alias("least"))
         across = found.where("hot IS NOT NULL").select("hot", F.col("anchor").alias("rid")).distinct().join(F.broadcast(least), "hot")
-        found = found.select("rid", "anchor").unionByName(across.select("rid", F.col("least").alias("anchor")))
-    candidates = found.where("rid <> anchor").select("rid", "anchor").distinct()
+        across = across.select("rid", F.col("least").alias("anchor"), F.lit(NEEDED).alias("n"), F.lit(NEEDED).alias("needed"))
+        found = found.drop("hot").unionByName(across)
+    candidates = found.where("rid <> anchor").groupBy("rid", "anchor").agg(F.sum("n").alias("n"), F.max("needed").alias("needed")).where("n >= needed")
     groups = materialize(connected_components(candidates, "rid", "anchor"), "jaccard-groups")
     links = _verify(d, representative.select("rid", "size"), groups, n, similarity)
     classes = materialize(connected_components(links, "rid", "root"), "jaccard-linked")
@@ -290,7 +389,7 @@ def _hot_signatures(d: DataFrame, sets: int, n: int, similarity: Similarity) ->
         return []
     least = max(HOT_ROWS, sets // (4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     some = _signatures_of_documents(d.where(F.pmod("row_key", F.lit(64)) == 0), n, similarity)
-    return [r.sig for r in some.groupBy("sig").count().where(F.col("count") * 64 > least).select("sig").collect()]
+    return [r.sig for r in some.groupBy(_key().alias("sig")).count().where(F.col("count") * 64 > least).select("sig").collect()]
 
 
 def _weight() -> Column:

@@ -377,6 +377,44 @@ def test_signatures_of_similar_sets_meet():
                     assert len(np.intersect1d(jaccard_join.signatures(a, similarity), jaccard_join.signatures(b, similarity)))
 
 
+def test_similar_sets_share_as_many_signatures_as_they_say():
+    rng = np.random.default_rng(2)
+    for similarity in (jaccard_join.Similarity(90, 100), jaccard_join.Similarity(80, 100)):
+        for size in [*range(1, 60, 3), 100, 235, 400, 2000]:
+            for _ in range(5):
+                a = rng.permutation(np.unique(rng.integers(0, 2**63, size).astype(np.uint64)))
+                drop = int(rng.integers(0, min(len(a) - 1, similarity.differences(size)) + 1))
+                more = rng.integers(0, 2**63, int(rng.integers(0, 1 + max(0, similarity.differences(size) - drop)))).astype(np.uint64)
+                a, b = np.sort(a), np.unique(np.concatenate([a[drop:], more]))
+                if similarity.linked(len(a), np.array([len(b)]), np.array([len(np.intersect1d(a, b))]))[0]:
+                    (x, least), (y, other) = jaccard_join._signed(a, similarity), jaccard_join._signed(b, similarity)
+                    assert len(np.intersect1d(x, y)) >= max(least, other)
+
+
+def test_a_shared_passage_makes_no_group(spark, monkeypatch):
+    """Texts of which each has a fifth in common with all others, which isn't similar, aren't candidates; copies among them are."""
+    rng, seen, verify = random.Random(1), [], jaccard_join._verify
+    monkeypatch.setattr(jaccard_join, "_verify", lambda d, sizes, groups, *args: seen.append(groups.count()) or verify(d, sizes, groups, *args))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    passage = " ".join(f"same{k}" for k in range(50))
+    rows = [(i, f"{passage} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(200 + i % 60))) for i in range(1500)]
+    rows += [(2000 + i, t + " end") for i, t in rows[:20]]
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(table(spark, rows)).collect()}
+    assert got == {i: i % 2000 for i, _ in rows}
+    assert 40 <= seen[0] < 200
+
+
+@pytest.mark.parametrize(("paired", "marks"), [(1, 1 << 27), (3, 64)])
+def test_jaccard_classes_hold_for_any_limits(spark, monkeypatch, paired, marks):
+    """Hardly any pair is counted, or half of the rows are taken for marked ones."""
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+    monkeypatch.setattr(jaccard_join, "MARKS", marks)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    rows = near_copies(8)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(table(spark, rows)).collect()}
+    assert got == plain_classes(rows, 5, 80, 100)[0]
+
+
 def test_jaccard_edges(docs, empty):
     got = jaccard_join.join(docs).collect()
     by = {r.doc_id: r for r in got}
