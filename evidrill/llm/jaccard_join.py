@@ -48,7 +48,7 @@ BLOCK = 512_000
 BROADCAST_ROWS = 1_000_000
 HOT_ROWS = 1 << 18
 #: Up to so many sets that share a signature are counted as pairs.
-PAIRED = 256
+PAIRED = 64
 #: A set says in the low bits of its signatures how many of them a similar set shares at least, up to 8.
 NEEDED = 8
 #: Rows whose signatures are wanted are marked in so many bits where they are too many to be broadcast.
